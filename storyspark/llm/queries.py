@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .simhash import near_duplicates
-from .substrings import remove_repeats
+from . import bytebpe, chat, decontaminate, language, neighbours, secrets, simhash, substrings, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,16 +16,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.train(docs), with_spans=False)
+    return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read_ids(files, with_ids=False)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(rows.unionByName(extra))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_substring_dedup": op4_substring_dedup}
+    found = (op1_simhash, op2_warc, op3_language, op4_substring_dedup, op5_decontaminate, op6_neighbours, op7_token_files, op8_byte_bpe, op9_chat, op10_secrets)
+    return {f.__name__: f for f in found}
+
+
+#: SQL for the operators that it can express over whole tables.
+ORACLES = {
+    "op2_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages
+        ), w as (
+            select body, count(*) as copies, max(page_id) as keeper from p where n >= 1000 group by body
+        )
+        select p.page_id, cast(p.n as bigint) as payload_bytes, p.digest as payload_digest,
+            case when w.copies > 1 and p.page_id <> w.keeper then 'revisit' else 'response' end as record_type,
+            case when w.copies > 1 and p.page_id <> w.keeper then w.keeper end as refers_to
+        from p left join w on p.body = w.body
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
