@@ -84,8 +84,8 @@ def letters_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_scores(model: Model, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of a text: first letters, numbers of letters, scores (words x languages)."""
     at, bucket, script = letters_of(text)
-    if not len(at):
-        return at, at, np.zeros((0, len(model.languages)), np.float32)
+    if not len(at) or not model.languages:
+        return at[:0], at[:0], np.zeros((0, len(model.languages)), np.float32)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
     scores = np.add.reduceat(model.scores[bucket], first, axis=0)
     allowed = np.logical_and.reduceat(model.scripts[script], first, axis=0)

@@ -3,8 +3,8 @@
 Two order-2 character models, one of random strings and one of ordinary identifiers, are trained from
 labelled samples; a candidate string is a secret if its log-likelihood ratio favours the random model
 clearly. The labelled samples come from a bounded set of documents (those with the smallest hash of
-their id): strings that the fixed patterns hold are random, other long strings are identifiers. Random
-strings drawn from a fixed seed are added, so that a corpus without secrets still gives a model.
+their id): strings that the fixed patterns hold are random, other long strings are identifiers. Labelled
+random strings and identifiers made from a fixed seed are added, so that any corpus gives a model.
 """
 
 from __future__ import annotations
@@ -54,9 +54,9 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Model:
-    """Log-likelihood ratio of two order-2 character models."""
+    """Log-likelihood ratio of two order-2 character models; lower orders back the higher ones."""
 
-    def __init__(self, secret: list[str], ordinary: list[str], smoothing: float = 0.2) -> None:
+    def __init__(self, secret: list[str], ordinary: list[str], backing: float = 4.0) -> None:
         size = len(ALPHABET) + 1
         logs = []
         for sample in (secret, ordinary):
@@ -64,9 +64,10 @@ class Model:
             for text in sample:
                 c = _codes(text)
                 np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
-            one = counts.sum(axis=0) + smoothing  # order 1 backs order 2
+            none = counts.sum(axis=(0, 1)) + 1
+            one = counts.sum(axis=0) + backing * none / none.sum()
             one /= one.sum(axis=1, keepdims=True)
-            two = counts + 4 * one[None]
+            two = counts + backing * one[None]
             logs.append(np.log(two / two.sum(axis=2, keepdims=True)))
         self.ratio = logs[0] - logs[1]
 
@@ -82,6 +83,36 @@ def random_strings(n: int = 3000, seed: int = 7) -> list[str]:
     return ["".join(draw.choices(draw.choice(sets), k=draw.randint(20, 48))) for _ in range(n)]
 
 
+# Words of which labelled identifiers are made.
+_WORDS = (
+    "get set is has load save read write find list make user name file path data index page count total size token key value "
+    "config option state error message request response server client account order item product version release build test "
+    "default internal external public private module package library service handler manager factory context session cache "
+    "usr local share lib src main docs images static assets html json http https www com org net example"
+).split()
+
+
+def identifiers(n: int = 3000, seed: int = 8) -> list[str]:
+    """Names in the usual styles, some with small numbers, dates or versions."""
+    draw = random.Random(seed)
+    out = []
+    for _ in range(n):
+        words = draw.choices(_WORDS, k=draw.randint(3, 6))
+        style = draw.randrange(6)
+        if style == 0:
+            text = words[0] + "".join(w.title() for w in words[1:])
+        elif style == 1:
+            text = "_".join(words).upper()
+        elif style == 2:
+            text = f"20{draw.randint(10, 29)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}-" + "-".join(words)
+        elif style == 3:
+            text = "/" + "/".join(words) + draw.choice(["", f"/{draw.randint(1, 9999)}", f"/v{draw.randint(1, 9)}"])
+        else:
+            text = "_-"[style - 4].join(words) + draw.choice(["", str(draw.randint(1, 99)), f"_{draw.randint(1, 2030)}"])
+        out.append(text)
+    return out
+
+
 def strings_of(text: str) -> tuple[list[str], list[str]]:
     """Labelled strings of a text: in fixed patterns, and others of 8 letters or more."""
     spans = base_spans(text)
@@ -89,8 +120,7 @@ def strings_of(text: str) -> tuple[list[str], list[str]]:
     rest = text
     for _, a, b in reversed(spans):
         rest = rest[:a] + " " + rest[b:]
-    ordinary = [w for w in re.findall(r"[A-Za-z_-]{8,}", rest)]
-    return secret, ordinary
+    return secret, re.findall(r"[A-Za-z_/-]{8,}", rest)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +135,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     chosen = chosen.orderBy("h").limit(sample).select("text")
     words = chosen.mapInArrow(_labelled, "word string, label int").distinct()
     got = [[r.word for r in words.where(F.col("label") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()] for k in (0, 1)]
-    return Model(got[0] + random_strings(), got[1] + ["identifier", "configuration_value", "continue", "description"])
+    return Model(got[0] + random_strings(), got[1] + identifiers())
 
 
 def all_spans(model: Model, text: str, least: float = LEAST) -> list[tuple[str, int, int]]:
