@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.scores import lookup, score_of, scores, top
-from ..functions.textfn import compact, first_present, has, has_any, matches, strip
+from ..functions.textfn import compact, first_present, has, has_any, strip
 
 
 def gf_type(books: DataFrame, lexicon=L.GOLDEN_FINGERS) -> DataFrame:
@@ -30,12 +30,17 @@ def constraints(books: DataFrame, lexicon=L.CONSTRAINTS, stop: str = "。", grav
     def item(base: int, kind: str):
         return lambda m, i: F.struct((F.lit(base) + i).alias("ord"), F.lit(kind).alias("constraint_type"), strip(m).alias("description"), m.alias("raw"))
 
+    def with_key(key: str):
+        return lambda x: F.contains(x, F.lit(key))
+
     parts = []
     for c, (kind, keys) in enumerate(lexicon.items()):
         for k, key in enumerate(keys):
-            found = F.slice(matches("text", rf"[^{stop}]*\Q{key}\E[^{stop}]*[{stop}]"), 1, per_keyword)
+            found = F.slice(F.filter("__ended", with_key(key)), 1, per_keyword)
             parts.append(F.transform(found, item(c * 10_000 + k * 100, kind)))
-    rows = books.select("novel_id", F.explode(F.flatten(F.array(*parts))).alias("r")).select("novel_id", "r.*")
+    pieces = F.split("text", rf"\Q{stop}\E", -1)  # the last piece has no mark behind it and is no sentence
+    rows = books.select("novel_id", F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda x: F.concat(x, F.lit(stop))).alias("__ended"))
+    rows = rows.select("novel_id", F.explode(F.flatten(F.array(*parts))).alias("r")).select("novel_id", "r.*")
     severity = F.when(has_any("raw", gravest), 5).when(has_any("raw", grave), 4).otherwise(3)
     rows = rows.withColumn("severity", severity)
     first = F.row_number().over(Window.partitionBy("novel_id", "description").orderBy("ord"))
