@@ -104,9 +104,23 @@ def knn_approx(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     return pairs.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
 
+def knn_lsh(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", width: float = 1.0, tables: int = 4, radius: float = 1.5, seed: int = 3) -> DataFrame:
+    """Random-projection hashing: rows that share a bucket with a query within ``radius`` are candidates."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    a = rows.select(F.col(key).alias("vec_id"), array_to_vector(l2_normalize(F.col(vector))).alias("__f"))
+    b = queries.select("query_id", array_to_vector(l2_normalize(F.col("vector"))).alias("__f"))
+    model = BucketedRandomProjectionLSH(inputCol="__f", outputCol="__h", bucketLength=width, numHashTables=tables, seed=seed).fit(a)
+    near = model.approxSimilarityJoin(a, b, radius, "__d").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), "__d")
+    near = near.where("vec_id != query_id").select("query_id", "vec_id", (1 - F.col("__d") * F.col("__d") / 2).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
+
+
 def search(rows: DataFrame, queries: DataFrame, method: str = "exact", **options) -> DataFrame:
-    """The search by a named method: ``exact`` or ``ivf``."""
-    methods = {"exact": knn_exact, "ivf": knn_approx}
+    """The search by a named method: ``exact``, ``ivf`` or ``lsh``."""
+    methods = {"exact": knn_exact, "ivf": knn_approx, "lsh": knn_lsh}
     if method not in methods:
         raise ValueError(f"unknown method: {method}")
     return methods[method](rows, queries, **options)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import search as Q
 from ..operators import telemetry as W
 from ..operators import vectors as K
+from ..operators.text import line_chapters
 from ..sources import files as S
 from ..sources import tables as X
+from ..streaming import streams
 from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, strip, with_
 from .bindings import top as sql_top
 
@@ -268,6 +270,11 @@ def k7_knn_approx(t: Tables) -> DataFrame:
     return K.search(t.read("embeddings"), _asked(t), "ivf").withColumn("score", F.round("score", 6))
 
 
+@query()
+def k7_knn_lsh(t: Tables) -> DataFrame:
+    return K.search(t.read("embeddings"), _asked(t), "lsh").withColumn("score", F.round("score", 6))
+
+
 @query(
     "with e as (select vec_id // 4 as novel_id, embedding from embeddings), m as (select novel_id, list(x order by pos) as v from (select novel_id, pos, avg(x) as x from (select novel_id, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as pos from e) group by 1, 2) group by 1), "
     "q as (select novel_id as query_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from m where novel_id % 25 = 0), u as (select vec_id // 4 as novel_id, v from unit), "
@@ -342,6 +349,42 @@ def w7_failure_rate_alert(t: Tables) -> DataFrame:
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _live(t: Tables) -> DataFrame:
+    """The events as a stream."""
+    kind = t.read("events").schema
+    rows = t.spark.readStream.schema(kind).parquet(f"{t.folder}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
+def w1_stream_counter_totals(t: Tables) -> DataFrame:
+    out = streams.drained(streams.counter_totals(_live(t), ["event_type"], late="400 days"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("select date_trunc('hour', ts) as window_start, count(*) as n, count(*) filter (event_type = 'error') as hits from events where event_type in ('click', 'error', 'view') group by 1")
+def w7_stream_failure_rates(t: Tables) -> DataFrame:
+    out = streams.drained(streams.failure_rates(_live(t), F.col("event_type") == "error", F.col("event_type").isin("click", "error", "view"), late="400 days"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "hits")
+
+
+def _live_chapters(t: Tables) -> DataFrame:
+    kind = t.read("documents").schema
+    rows = t.spark.readStream.schema(kind).parquet(f"{t.folder}/documents.parquet*")
+    return rows.select(F.col("doc_id").alias("novel_id"), "text")
+
+
+@query(with_(CHAPTERS) + "select novel_id, cast(count(*) as bigint) as chapters from chapters group by 1")
+def w11_stream_ingest(t: Tables) -> DataFrame:
+    return streams.drained(line_chapters(_live_chapters(t))).groupBy("novel_id").agg(F.count("*").alias("chapters"))
+
+
+@query("select md5(text) as chapter_hash from documents group by 1")
+def w12_stream_new_chapters(t: Tables) -> DataFrame:
+    rows = _live_chapters(t).select(F.md5("text").alias("chapter_hash"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    return streams.drained(streams.new_chapters(rows)).select("chapter_hash")
+
+
 @query(with_(_TASKS) + "select count(*) filter (status = 'pending') as pending, cast(ceil(count(*) filter (status = 'pending') / 10) as bigint) as workers from tasks")
 def w8_queue_backlog(t: Tables) -> DataFrame:
     return W.queue_backlog(_tasks(t))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,3 +56,22 @@ def new_chapters(chapters: DataFrame, ts: str = "ts", remember: str = "30 days")
 def ingest(books: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Start a query that hands each micro-batch to a sink, once each."""
     return books.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and read its result.
+
+    ``append`` adds each micro-batch to a table, ``complete`` replaces the table by each. The table and the
+    query's checkpoint are in the shared folder that the session names.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyspark-")
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        target = f"{path}/table" if mode == "complete" else f"{path}/table/batch={n}"
+        batch.write.mode("overwrite").parquet(target)  # a batch that is run again replaces itself
+
+    query = rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/table")
