@@ -130,9 +130,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, strings: int = STRINGS) -> Model:
-    """Models from the strings of up to ``sample`` documents, ``strings`` of each label at most."""
-    chosen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    chosen = chosen.orderBy("h").limit(sample).select("text")
+    """Models from the strings of up to ``sample`` document ids, ``strings`` of each label at most.
+
+    Only hashes are sorted; the texts of the chosen ids are found by a filter on their hash.
+    """
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.where(F.col("h") <= F.lit(last).cast("long")).select("text")
     words = chosen.mapInArrow(_labelled, "word string, label int").distinct()
     got = [[r.word for r in words.where(F.col("label") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()] for k in (0, 1)]
     return Model(got[0] + random_strings(), got[1] + identifiers())

@@ -2,9 +2,8 @@
 
 Each id is coded against a mix of three predictions: the id that last followed the same two ids, the
 one that last followed the same id (each weighted by how often predictions of its kind have held), and
-adaptive counts of all ids. The counts stand in a tree of 16 branches a level, from which cumulative
-counts are read and which the decoder descends. All state starts anew in every block, so the blocks of a
-file are coded side by side, one array operation for all of them at each step.
+adaptive counts of all ids, which are summed up anew every 256 ids. All state starts anew in every block, so
+the blocks of a file are coded side by side, one array operation for all of them at each step.
 
 File: ``MAGIC``; the header's length (uint32) and the header as JSON; the tables of document ids (int64),
 null marks (uint8) and lengths (uint32), compressed; then the blocks. The header lists for each block
@@ -14,6 +13,7 @@ its ids, its bytes and the CRC-32 of its ids. All numbers are little-endian.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,95 +35,97 @@ BLOCK, LEAST_BLOCK, LANES = 8192, 512, 1024
 #: Ids in a file.
 FILE_IDS = BLOCK * LANES
 
-ALPHABET = 1 << 16
 _BITS = 30  # of the coder's total
 _UNIT, _TOP, _BOTTOM = np.uint64(16), np.uint64(1 << 48), np.uint64(1 << 32)
 _STEP = 7  # what an id's count grows by when it occurs; counts of a block fit in 16 bits
+_EPOCH = 256  # steps after which the counts are summed up anew
 _SLOTS1, _SLOTS2, _STATES = 4096, 8192, 8
-_LEVELS = (12, 8, 4, 0)
 
 
 class Model:
-    """The predictions of ``lanes`` blocks at one step."""
-
-    def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.counts = [np.full((lanes, ALPHABET >> s), 1 << s, np.uint16) for s in _LEVELS]
-        self.total = np.full(lanes, ALPHABET, np.int64)
-        self.guess = [np.zeros((lanes, n), np.int32) for n in (_SLOTS1, _SLOTS2)]
-        self.state = [np.zeros((lanes, n), np.int8) for n in (_SLOTS1, _SLOTS2)]
-        self.trust = [np.full((lanes, _STATES), 512, np.int64) for _ in range(2)]  # of 4096
+    """The predictions of ``lanes`` blocks at one step; tables are flat, a lane's part after the other's."""
+
+    def __init__(self, lanes: int, alphabet: int) -> None:
+        self.lanes, self.alphabet = lanes, alphabet
+        lane = np.arange(lanes)
+        self.at_count, self.at_sum, self.at_trust = lane * alphabet, lane * (alphabet + 1), lane * _STATES
+        self.at_slot = [lane * _SLOTS1, lane * _SLOTS2]
+        self.counts = np.ones(lanes * alphabet, np.uint16)
+        self.sums = np.zeros((lanes, alphabet + 1), np.int32)
+        self.guess = [np.zeros(lanes * n, np.int64) for n in (_SLOTS1, _SLOTS2)]
+        self.state = [np.zeros(lanes * n, np.int8) for n in (_SLOTS1, _SLOTS2)]
+        self.trust = [np.full(lanes * _STATES, 512, np.int64) for _ in range(2)]  # of 4096
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.seen: list[np.ndarray] = []
+        self.refresh(lanes)
+
+    def refresh(self, m: int) -> None:
+        """Sum up the counts of the first ``m`` lanes, with what was seen since."""
+        if self.seen:
+            np.add.at(self.counts, np.concatenate([self.at_count[: len(x)] + x for x in self.seen]), np.uint16(_STEP))
+            self.seen = []
+        counts = self.counts.reshape(self.lanes, self.alphabet)
+        for k in range(m):
+            np.cumsum(counts[k], dtype=np.int32, out=self.sums[k, 1:])
+        self.flat = self.sums.ravel()
+        self.total = self.sums[:, -1].astype(np.int64)
 
     def predict(self, m: int) -> None:
         """Sets what the first ``m`` lanes expect: two guessed ids with shares, and the counts' share."""
-        lane = self.lane[:m]
-        one = (self.last[:m] * 40503 & 0xFFFF) >> 4
-        two = ((self.last[:m] * 40503 + self.before[:m] * 30011) & 0xFFFF) >> 3
-        self.slots = one, two
-        self.ids = [g[lane, s] for g, s in zip(self.guess, self.slots, strict=True)]
-        self.how = [g[lane, s] for g, s in zip(self.state, self.slots, strict=True)]
-        q1, q2 = (t[lane, h] for t, h in zip(self.trust, self.how, strict=True))
-        two_share = q2 << (_BITS - 12)
-        rest = (1 << _BITS) - two_share
-        one_share = rest * q1 >> 12
-        self.shares = [one_share, two_share]
-        self.base = rest - one_share
-
-    def below(self, ids: np.ndarray, counted: np.ndarray, m: int) -> np.ndarray:
-        """The coder's cumulative share below ids, given the counts below them."""
-        out = counted * self.base // self.total[:m]
-        for guess, share in zip(self.ids, self.shares, strict=True):
-            out += share * (ids > guess)
-        return out
+        if len(self.seen) == _EPOCH:
+            self.refresh(m)
+        mixed = self.last[:m] * 40503
+        self.slots = [self.at_slot[0][:m] + ((mixed & 0xFFFF) >> 4), self.at_slot[1][:m] + ((mixed + self.before[:m] * 30011 & 0xFFFF) >> 3)]
+        self.ids = [g.take(s) for g, s in zip(self.guess, self.slots, strict=True)]
+        self.how = [g.take(s) for g, s in zip(self.state, self.slots, strict=True)]
+        self.places = [self.at_trust[:m] + h for h in self.how]
+        self.odds = [t.take(p) for t, p in zip(self.trust, self.places, strict=True)]
+        two = self.odds[1] << (_BITS - 12)
+        rest = (1 << _BITS) - two
+        one = rest * self.odds[0] >> 12
+        self.shares = [one, two]
+        self.base = rest - one
 
     def interval(self, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids' intervals."""
-        lane, counted = self.lane[:m], np.zeros(m, np.int64)
-        for counts, s in zip(self.counts, _LEVELS, strict=True):
-            digit = (ids >> s) & 15
-            row = counts[lane[:, None], ((ids >> (s + 4)) << 4)[:, None] + _SIXTEEN]
-            counted += (row * (_SIXTEEN < digit[:, None])).sum(axis=1, dtype=np.int64)
-        own = self.counts[-1][lane, ids]
-        low = self.below(ids, counted, m)
-        return low, self.below(ids + 1, counted + own, m) - low
-
-    def find(self, target: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose intervals hold the targets, with the intervals."""
-        lane, counted, ids = self.lane[:m], np.zeros(m, np.int64), np.zeros(m, np.int64)
-        for counts, s in zip(self.counts, _LEVELS, strict=True):
-            row = counts[lane[:, None], (ids << 4)[:, None] + _SIXTEEN]
-            upto = np.cumsum(row, axis=1, dtype=np.int64)
-            start = counted[:, None] + upto - row
-            first = ((ids << 4)[:, None] + _SIXTEEN) << s
-            share = start * self.base[:, None] // self.total[:m, None]
-            for guess, part in zip(self.ids, self.shares, strict=True):
-                share += part[:, None] * (first > guess[:, None])
-            digit = (share <= target[:, None]).sum(axis=1) - 1
-            counted = start[lane, digit]
-            ids = (ids << 4) + digit
-        low = self.below(ids, counted, m)
-        return ids, low, self.below(ids + 1, counted + self.counts[-1][lane, ids], m) - low
+        at = self.at_sum[:m] + ids
+        low = self.flat.take(at) * self.base // self.total[:m]
+        size = self.flat.take(at + 1) * self.base // self.total[:m] - low
+        for guess, share in zip(self.ids, self.shares, strict=True):
+            low += share * (ids > guess)
+            size += share * (ids == guess)
+        return low, size
+
+    def find(self, target: np.ndarray, m: int) -> np.ndarray:
+        """The ids whose intervals hold the targets."""
+        first = self.ids[0] <= self.ids[1]
+        pairs = [(np.where(first, *self.ids), np.where(first, *self.shares)), (np.where(first, *self.ids[::-1]), np.where(first, *self.shares[::-1]))]
+        left, hit = target, np.full(m, -1)
+        for guess, share in pairs:  # take the guesses' shares out, the smaller id first
+            at = self.at_sum[:m] + guess
+            low = self.flat.take(at) * self.base // self.total[:m]
+            high = self.flat.take(at + 1) * self.base // self.total[:m]
+            hit = np.where((hit < 0) & (left >= low) & (left < high + share), guess, hit)
+            left = np.where(left >= low + share, left - share, left)
+        want = ((left + 1) * self.total[:m] - 1) // self.base
+        low, size = np.zeros(m, np.int64), self.alphabet
+        while size > 1:  # the last id whose sum below is not over what is wanted
+            half = size >> 1
+            low += half * (self.flat.take(self.at_sum[:m] + low + half) <= want)
+            size -= half
+        return np.where(hit < 0, low, hit)
 
     def update(self, ids: np.ndarray, m: int) -> None:
-        lane = self.lane[:m]
         for k in (0, 1):
             hit = self.ids[k] == ids
-            q = self.trust[k][lane, self.how[k]]
-            q += (np.where(hit, 4000, 0) - q) >> 5
-            self.trust[k][lane, self.how[k]] = np.minimum(q, 3968)
-            self.state[k][lane, self.slots[k]] = np.where(hit, np.minimum(self.how[k] + 1, _STATES - 1), 0)
-            self.guess[k][lane, self.slots[k]] = ids
-        for counts, s in zip(self.counts, _LEVELS, strict=True):
-            counts[lane, ids >> s] += _STEP
-        self.total[:m] += _STEP
+            self.trust[k][self.places[k]] = np.minimum(self.odds[k] + ((np.where(hit, 4000, 0) - self.odds[k]) >> 5), 3968)
+            self.state[k][self.slots[k]] = np.where(hit, np.minimum(self.how[k] + 1, _STATES - 1), 0)
+            self.guess[k][self.slots[k]] = ids
+        self.seen.append(ids)
         self.before[:m] = self.last[:m]
         self.last[:m] = ids
 
 
-_SIXTEEN = np.arange(16)
-
-
 def _narrow(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Lanes whose leading unit is settled; the size of some is cut so that it settles."""
     settled = (low ^ (low + size)) < _TOP
@@ -133,7 +135,7 @@ def _narrow(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return settled | tight
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Code blocks side by side. They may differ in length; each result stands alone."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
@@ -144,7 +146,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     out = np.zeros((lanes, 2 * steps + 8), "<u2")
     used = np.zeros(lanes, np.int64)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    model = Model(lanes)
+    model = Model(lanes, alphabet)
     for t in range(steps):
         m = int(np.searchsorted(-sizes, -t, "left"))
         now = ids[t, :m]
@@ -169,7 +171,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return found
 
 
-def decode_blocks(blobs: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_blocks(blobs: list[bytes], lengths: list[int], alphabet: int) -> list[np.ndarray]:
     """The ids of blocks that ``encode_blocks`` coded."""
     order = sorted(range(len(blobs)), key=lambda i: -lengths[i])
     sizes = np.array([lengths[i] for i in order])
@@ -183,13 +185,14 @@ def decode_blocks(blobs: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         code = (code << _UNIT) | data[:, j]
     used = np.full(lanes, 4)
     ids = np.zeros((steps, lanes), np.uint32)
-    model = Model(lanes)
+    model = Model(lanes, alphabet)
     for t in range(steps):
         m = int(np.searchsorted(-sizes, -t, "left"))
         model.predict(m)
         unit = size[:m] >> np.uint64(_BITS)
         target = np.minimum((code[:m] - low[:m]) // unit, np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        now, start, width = model.find(target, m)
+        now = model.find(target, m)
+        start, width = model.interval(now, m)
         low[:m] += unit * start.astype(np.uint64)
         size[:m] = unit * width.astype(np.uint64)
         while (at := np.flatnonzero(_narrow(low[:m], size[:m]))).size:
@@ -209,10 +212,11 @@ def write_file(out, docs: list[int | None], lengths: np.ndarray, ids: np.ndarray
     """Write documents' ids, laid end to end, as one file."""
     size = int(np.clip(-(-len(ids) // LANES), LEAST_BLOCK, BLOCK))
     blocks = [ids[a : a + size] for a in range(0, len(ids), size)]
-    blobs = [x for a in range(0, len(blocks), LANES) for x in encode_blocks(blocks[a : a + LANES])]
+    alphabet = int(ids.max()) + 1 if len(ids) else 1
+    blobs = [x for a in range(0, len(blocks), LANES) for x in encode_blocks(blocks[a : a + LANES], alphabet)]
     table = np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + np.asarray(lengths, "<u4").tobytes()
     table = zlib.compress(table)
-    head = {"documents": len(docs), "table": len(table), "table_crc32": zlib.crc32(table)}
+    head = {"alphabet": alphabet, "documents": len(docs), "table": len(table), "table_crc32": zlib.crc32(table)}
     head["blocks"] = [[len(b), len(x), zlib.crc32(b.astype("<u4").tobytes())] for b, x in zip(blocks, blobs, strict=True)]
     said = json.dumps(head).encode()
     out.write(MAGIC + struct.pack("<I", len(said)) + said + table)
@@ -235,7 +239,7 @@ def read_file(stream) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     parts = []
     for a in range(0, len(head["blocks"]), LANES):
         own = head["blocks"][a : a + LANES]
-        for ids, (_, _, crc) in zip(decode_blocks([stream.read(b[1]) for b in own], [b[0] for b in own]), own, strict=True):
+        for ids, (_, _, crc) in zip(decode_blocks([stream.read(b[1]) for b in own], [b[0] for b in own], head["alphabet"]), own, strict=True):
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                 raise ValueError("a block is damaged")
             parts.append(ids)
@@ -244,6 +248,7 @@ def read_file(stream) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel units
     return Tokenizer.from_file(path)
 
 

@@ -356,10 +356,10 @@ def test_coder_round_trip_and_damage(tmp_path):
     rng = np.random.default_rng(5)
     blocks = [rng.zipf(1.3, n).clip(max=49407).astype(np.uint32) for n in (1, 700, 3, 2000, 5)]
     blocks += [np.full(3000, 49407, np.uint32), np.tile(np.array([5, 9, 11], np.uint32), 900), np.array([65535, 0], np.uint32)]
-    blobs = tokenfiles.encode_blocks(blocks)
-    for a, b in zip(tokenfiles.decode_blocks(blobs, [len(b) for b in blocks]), blocks, strict=True):
+    blobs = tokenfiles.encode_blocks(blocks, 65536)
+    for a, b in zip(tokenfiles.decode_blocks(blobs, [len(b) for b in blocks], 65536), blocks, strict=True):
         assert (a == b).all()
-    assert tokenfiles.decode_blocks(blobs[1:2], [700])[0].tolist() == blocks[1].tolist()  # blocks stand alone
+    assert tokenfiles.decode_blocks(blobs[1:2], [700], 65536)[0].tolist() == blocks[1].tolist()  # blocks stand alone
     assert len(blobs[6]) < 1500 and len(blobs[5]) < 1500
     with open(tmp_path / "x", "wb") as f:
         tokenfiles.write_file(f, [3, None], np.array([2, 698]), blocks[1])
