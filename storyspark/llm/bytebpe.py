@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, USER_DEFINED, BPE = 1, 2, 4, 2
 #: Ids that the model has before the vocabulary's own: the unknown piece and the divider.
 FIRST = 2
 #: A byte that UTF-8 never has marks the divider between pre-tokens.
-DIVIDER_BYTE, DIVIDER = 0xFF, ""
+DIVIDER_BYTE, DIVIDER = 0xFF, "\ue000"
 
 
 def byte_characters() -> list[str]:
@@ -121,9 +121,8 @@ class Codec:
         table = self.bytes
         return b"".join([table[i + FIRST] for i in ids])
 
-    def digests(self, text: str) -> tuple[int, str, str]:
+    def digests(self, pieces: list[int]) -> tuple[int, str, str]:
         """Number of ids, hash of the decimal ids joined by commas, hash of the decoded bytes."""
-        pieces = self.pieces(text)
         names, table = self.names, self.bytes
         said = "".join([names[i] for i in pieces])[:-1]
         decoded = b"".join([table[i] for i in pieces])
@@ -151,11 +150,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            found = [own.digests(x) for x in texts]
+            pieces = [own.pieces(x or "") for x in batch.column(1).to_pylist()]
+            found = [own.digests(p) for p in pieces]
             cols = [batch.column(0), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
             if with_ids:
-                cols.append(pa.array([own.encode(x) for x in texts], pa.list_(pa.int32())))
+                cols.append(pa.array([[i - FIRST for i in p if i >= FIRST] for p in pieces], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
