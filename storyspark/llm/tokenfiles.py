@@ -280,11 +280,9 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, id_col: str
     rows = written(encoded(docs, path, id_col, text_col), "encoded")
     total = rows.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // file_ids))
-    cuts = rows.where("id is not null").approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    part = F.lit(0)
-    for k, cut in enumerate(sorted(set(cuts))):
-        part = F.when(F.col("id") > cut, k + 1).otherwise(part)
-    dealt = rows.withColumn("part", part).repartition(n, "part").sortWithinPartitions("part", "id", "n", "ids")
+    # ranges of ids in ascending order, so that the partition's number is the file's place
+    dealt = rows.repartitionByRange(n, "id", "n", "ids").sortWithinPartitions("id", "n", "ids")
+    dealt = dealt.withColumn("part", F.spark_partition_id().cast("long"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -518,3 +518,16 @@ def test_pipeline_against_brute_force(spark):
             text = text[:a] + "[SECRET]" + text[b:]
         assert got[i].ids == codec.encode(text)
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    for df in (docs_of(spark), clashing(docs_of(spark)), docs_of(spark, [])):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == df.columns, name
+        rows = docs.collect()
+        assert {r.doc_id for r in rows} <= {r[0] for r in ODD}
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
