@@ -79,7 +79,7 @@ def commercial_score(arpu_: Column, best_roi: Column, potentials: Column) -> Col
 
 
 def monetization_path(segment: Column, adaptation: Column, best_roi: Column) -> Column:
-    adapted = F.when(adaptation.isNotNull(), F.concat(adaptation, F.lit("改编（ROI预测："), F.format_string("%.1f", best_roi), F.lit("倍）")))
+    adapted = F.when(adaptation.isNotNull(), F.concat(adaptation, F.lit("改编（ROI预测："), F.format_number(best_roi, 1), F.lit("倍）")))
     return F.concat_ws(" → ", F.concat(F.lit("付费阅读（核心受众："), segment, F.lit("）")), adapted, F.lit("IP衍生开发（周边、游戏、系列文）"))
 
 
