@@ -81,6 +81,41 @@ ORACLES = {
             case when w.copies > 1 and p.page_id <> w.keeper then w.keeper end as refers_to
         from p left join w on p.body = w.body
     """,
+    "op4_substring_dedup": """
+        with w as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
+        ), starts as (
+            select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w where len(ws) >= 35
+        ), windows as (
+            select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s from starts
+        ), hits as (
+            select doc_id, i from (select doc_id, i, count(*) over (partition by s) as n from windows) where n > 1
+        ), covered as (
+            select distinct doc_id, unnest(range(i, i + 35)) as pos from hits
+        ), words as (
+            select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w
+        ), kept as (
+            select words.doc_id, count(covered.pos) as removed, string_agg(word, ' ' order by words.pos) filter (covered.pos is null) as said
+            from words left join covered on words.doc_id = covered.doc_id and words.pos = covered.pos group by 1
+        )
+        select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(removed, 0) as bigint) as n_removed, sha256(coalesce(said, '')) as kept_sha256
+        from w left join kept on w.doc_id = kept.doc_id
+    """,
+    "op9_chat": """
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+        ), e as (
+            select *, length(replace(replace(replace(text, '\\', '\\\\'), '##', '#\\#'), '</turn>', '<\\/turn>')) as text_size,
+                length(replace(replace(replace(replace(role, '\\', '\\\\'), '##', '#\\#'), '</turn>', '<\\/turn>'), ': ', ':\\ ')) as role_size
+            from t
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            cast(sum(length('### ') + role_size + length(': ') + text_size + length('</turn>') + 1) as bigint) as formatted_chars
+        from e group by conv_id
+    """,
 }
 
 
