@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -252,16 +253,44 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+#: Pieces between ASCII white space, which the tokenizer drops: each is encoded on its own, so ids can be kept by piece.
+_PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Pieces that a worker keeps, and the longest of them.
+KEPT, LONGEST = 500_000, 64
+
+
+@lru_cache(maxsize=1)
+def pieces(path: str) -> dict[str, bytes]:
+    """What a worker process keeps from one task to the next."""
+    return {}
+
+
+def encode_batch(own: Tokenizer, kept: dict[str, bytes], texts: list[str]) -> list[bytes]:
+    """Ids of texts as 16-bit numbers, with the end id; pieces seen before are not encoded again."""
+    parts = [_PIECE.findall(t) for t in texts]
+    new = list({w for p in parts for w in p} - kept.keys())
+    if len(kept) + len(new) > KEPT:
+        kept.clear()
+        new = list({w for p in parts for w in p})
+    said = own.encode(" ".join(new), add_special_tokens=False)
+    starts = np.cumsum([0, *(len(w) + 1 for w in new)])
+    ids = np.array(said.ids, "<u2")
+    cuts = np.searchsorted(np.array([a for a, _ in said.offsets], np.int64), starts)  # tokens stand in the order of the text
+    fresh = {w: ids[a:b].tobytes() for w, a, b in zip(new, cuts, cuts[1:], strict=False)}
+    kept.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+    end = np.array([END], "<u2").tobytes()
+    return [b"".join([kept[w] if w in kept else fresh[w] for w in p]) + end for p in parts]
+
+
 def encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """``(id, n, ids)`` with the end id; ids as little-endian 16-bit numbers."""
     arrow_rows(docs.sparkSession, 500)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own, kept = tokenizer(path), pieces(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [[*e.ids, END] for a in range(0, len(texts), 50) for e in own.encode_batch_fast(texts[a : a + 50], add_special_tokens=False)]
-            cols = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.array(x, "<u2").tobytes() for x in ids], pa.binary())]
+            ids = encode_batch(own, kept, [x or "" for x in batch.column(1).to_pylist()])
+            cols = [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -281,7 +310,7 @@ def write_ids(docs: DataFrame, path: str, folder: str | None = None, id_col: str
     total = rows.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // file_ids))
     # ranges of ids in ascending order, so that the partition's number is the file's place
-    dealt = rows.repartitionByRange(n, "id", "n", "ids").sortWithinPartitions("id", "n", "ids")
+    dealt = rows.repartitionByRange(n, "id", "n").sortWithinPartitions("id", "n", "ids")
     dealt = dealt.withColumn("part", F.spark_partition_id().cast("long"))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -352,6 +352,15 @@ def test_token_files_against_library(spark, monkeypatch):
     assert not got
 
 
+def test_pieces_encode_like_whole_texts():
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["", "  ", "It's we'LL \u00a0x\u3000y\u2003z", "a\u0301 \u0301b e\u0301", "x\x1cy\x1f z\x85w", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ Σ", "İstanbul ß", "東京123abc!!?", "a" * 3000, "\x00 \t\r\n\x0b\x0c", "🙂 👍🏽"]
+    kept: dict = {}
+    for _ in range(2):
+        got = tokenfiles.encode_batch(own, kept, odd)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[*own.encode(t, add_special_tokens=False).ids, 1] for t in odd]
+
+
 def test_coder_round_trip_and_damage(tmp_path):
     rng = np.random.default_rng(5)
     blocks = [rng.zipf(1.3, n).clip(max=49407).astype(np.uint32) for n in (1, 700, 3, 2000, 5)]
