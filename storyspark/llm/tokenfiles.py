@@ -53,7 +53,7 @@ class Model:
         self.at_slot = [lane * _SLOTS1, lane * _SLOTS2]
         self.counts = np.ones(lanes * alphabet, np.uint16)
         self.sums = np.zeros((lanes, alphabet + 1), np.int32)
-        self.guess = [np.zeros(lanes * n, np.int64) for n in (_SLOTS1, _SLOTS2)]
+        self.guess = [np.zeros(lanes * n, np.int32) for n in (_SLOTS1, _SLOTS2)]
         self.state = [np.zeros(lanes * n, np.int8) for n in (_SLOTS1, _SLOTS2)]
         self.trust = [np.full(lanes * _STATES, 512, np.int64) for _ in range(2)]  # of 4096
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -256,7 +256,7 @@ def tokenizer(path: str) -> Tokenizer:
 #: Pieces between ASCII white space, which the tokenizer drops: each is encoded on its own, so ids can be kept by piece.
 _PIECE = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Pieces that a worker keeps, and the longest of them.
-KEPT, LONGEST = 500_000, 64
+KEPT, LONGEST = 300_000, 64
 
 
 @lru_cache(maxsize=1)
