@@ -173,12 +173,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest id stays.
+    """The documents without near copies: of each group the row with the smallest id stays."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose ``component_id`` among ``rows`` is their own id.
 
     Columns stay as they are. Of rows that repeat an id one stays, the least by its values; rows with
     a null id stay. The texts are shuffled once, by id.
     """
-    rows = near_duplicates(docs, id_col, text_col)
     kept = rows.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__kept_id")).agg(F.count("*").alias("__kept_n"))
     kept = written(kept, "kept")
     once = docs.join(kept.where("__kept_n = 1").hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
