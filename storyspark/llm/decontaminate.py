@@ -3,7 +3,9 @@
 A mask keeps some of the tokens of a window and ignores the others; windows of training texts and of
 benchmark items are hashed under the same masks and joined by hash. Around a hit the texts are laid
 over each other along its diagonal, and the best stretch is scored with a penalty for each differing
-token. ``MASKS`` were chosen so that any 12 aligned tokens with at most two substitutions hold a hit.
+token; any 12 aligned tokens with ``LEAST`` matches count too. ``MASKS`` were chosen so that any 12 aligned
+tokens with at most two substitutions hold a hit. An item of fewer than ``LEAST`` tokens is found where a
+text holds all of it, word for word; ``SHORT`` are the masks of items that are shorter than ``MASKS``.
 
 The benchmark is a query set that is run against all documents in blocks: a block holds at most
 ``BLOCK_BYTES`` of text, is indexed once, and reaches the tasks as a broadcast variable of that bounded
@@ -27,18 +29,24 @@ from .common import arrow_rows, written
 
 #: Kept (1) and ignored (0) tokens.
 MASKS = ("11111", "110111", "111011", "1100111", "1101101", "1110011", "1011011", "11010011")
+SHORT = ("1", "11", "111", "1111")
 BLOCK_BYTES = 4 << 20
-#: Matching tokens that an overlap needs; shorter items can't be told from chance and are never found.
+#: Matching tokens that an overlap needs; of a shorter item, all.
 LEAST = 10
+#: Aligned tokens among which so many matches are enough, wherever the differing ones stand.
+SPAN = 12
 #: What a differing token costs, where a matching one gives 1.
 PENALTY = 3
 
-_WORD = re.compile(r"[^\W_]+")
-_FACTORS = np.random.default_rng(5).integers(1 << 62, dtype=np.uint64, size=(len(MASKS), 16)) * np.uint64(2) + np.uint64(1)
+_ALL = MASKS + SHORT
+#: Scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, Han, kana, bopomofo.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_FACTORS = np.random.default_rng(5).integers(1 << 62, dtype=np.uint64, size=(len(_ALL), 16)) * np.uint64(2) + np.uint64(1)
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits; single characters of scripts without spaces."""
     return _WORD.findall((text or "").lower())
 
 
@@ -48,7 +56,7 @@ def _hashes(parts: list[str]) -> np.ndarray:
 
 def masked(hashes: np.ndarray, which: int) -> np.ndarray:
     """Hash of the window from each place, under one mask."""
-    mask = MASKS[which]
+    mask = _ALL[which]
     n = max(0, len(hashes) - len(mask) + 1)
     out = np.zeros(n, np.uint64)
     for k, kept in enumerate(mask):
@@ -66,7 +74,15 @@ def overlap(ours: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     low = np.minimum.accumulate(total)
     end = int((total - low).argmax())
     start = int(total[: end + 1].argmin())
-    return int(same[start:end].sum()), a + start, a + end
+    n = int(same[start:end].sum())
+    if n < LEAST <= len(same):
+        span = min(SPAN, len(same))
+        sums = np.concatenate([[0], np.cumsum(same)])
+        sums = sums[span:] - sums[:-span]
+        if sums.max() >= LEAST:
+            start = int(sums.argmax())
+            n, end = int(sums[start]), start + span
+    return n, a + start, a + end
 
 
 class Index:
@@ -76,8 +92,8 @@ class Index:
         self.ids = [i for i, _ in items]
         self.items = [_hashes(tokens(t)) for _, t in items]
         self.tables = []
-        for which in range(len(MASKS)):
-            parts = [masked(x, which) for x in self.items]
+        for which, mask in enumerate(_ALL):
+            parts = [masked(x if which < len(MASKS) or len(x) == len(mask) else x[:0], which) for x in self.items]
             keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             place = np.concatenate([*(np.arange(len(p)) for p in parts), np.zeros(0, np.int64)])
@@ -93,6 +109,8 @@ class Index:
         joined = np.concatenate([*parts, np.zeros(0, np.uint64)])
         pairs: set[tuple[int, int, int]] = set()
         for which, (keys, owner, place, some) in enumerate(self.tables):
+            if not len(keys):
+                continue
             own = masked(joined, which)
             hits = np.flatnonzero(some[own >> np.uint64(44)])
             left, right = np.searchsorted(keys, own[hits], "left"), np.searchsorted(keys, own[hits], "right")
@@ -101,13 +119,13 @@ class Index:
             at = np.repeat(hits, n)
             slot = np.repeat(left, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             text = np.searchsorted(ends, at, "right")
-            whole = at + len(MASKS[which]) <= ends[text]
+            whole = at + len(_ALL[which]) <= ends[text]
             shift = at - (ends[text] - np.array([len(p) for p in parts], np.int64)[text]) - place[slot]
             pairs.update(zip(text[whole].tolist(), owner[slot][whole].tolist(), shift[whole].tolist(), strict=True))
         found: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in texts]
         for text, item, shift in pairs:
             n, a, b = overlap(parts[text], self.items[item], shift)
-            if n >= LEAST:
+            if n >= min(LEAST, len(self.items[item])):
                 found[text].setdefault(item, []).append((n, a, b))
         out = []
         for x in found:
