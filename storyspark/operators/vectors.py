@@ -86,8 +86,11 @@ def knn_exact(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     return out
 
 
-def knn_approx(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probe: int = 6, seed: int = 3) -> DataFrame:
-    """Inverted lists: rows are grouped around centres, and a query looks into its nearest few."""
+def knn_approx(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probe: int = 12, seed: int = 3) -> DataFrame:
+    """Inverted lists: rows are grouped around centres, and a query looks into its nearest ones.
+
+    Vectors without structure need most lists for a recall of 0.9: on sf0.1 six of 16 gave 0.69, twelve 0.96.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
