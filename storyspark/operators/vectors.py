@@ -130,16 +130,23 @@ def search(rows: DataFrame, queries: DataFrame, method: str = "exact", **options
 
 
 def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str = "novel_id", vector: str = "vector", max_queries: int = 5000) -> DataFrame:
-    """``(query_id, place, novel_id, score)`` by mean vectors; a novel once, with its best row."""
+    """``(query_id, place, novel_id, score)`` by mean vectors; a novel once, with its best row.
+
+    More than ``max_queries`` queries are run in blocks of that size.
+    """
     means = mean_vector(rows.join(queries.select(F.col("query_id").alias(novel)).distinct(), novel, "left_semi"), novel, vector)
     asked = means.select(F.col(novel).alias("query_id"), l2_normalize(F.col(vector)).alias("__q"))
-    if asked.count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; run them in parts")
+    blocks = max(1, -(-asked.count() // max_queries))
     own = rows.select(novel, l2_normalize(F.col(vector)).alias("__v"))
-    pairs = own.crossJoin(F.broadcast(asked)).where(F.col(novel) != F.col("query_id"))
-    best = pairs.groupBy("query_id", novel).agg(F.max(inner_product(F.col("__q"), F.col("__v"))).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), novel))
-    return best.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", novel, "score")
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = own.crossJoin(F.broadcast(part)).where(F.col(novel) != F.col("query_id"))
+        best = pairs.groupBy("query_id", novel).agg(F.max(inner_product(F.col("__q"), F.col("__v"))).alias("score"))
+        best = best.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", novel, "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def delete_vectors(rows: DataFrame, gone: DataFrame, key: str = "vec_id") -> DataFrame:
