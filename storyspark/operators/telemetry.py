@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +54,27 @@ def failure_rate_alert(events: DataFrame, failed: Column, within: Column, thresh
 def alert_cooldown(events: DataFrame, key: str, ts: str = "ts", seconds: int = 300) -> DataFrame:
     """``(key, ts)`` of alerts that are let through: at least ``seconds`` after the last one let through.
 
-    The rule depends on what was let through before, so the times of a key are folded in order.
+    The rule depends on what was let through before, so the times of a key pass in order through one
+    task, which holds only the last one let through.
     """
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("times"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(state: Column, t: Column) -> Column:
-        go = state["last"].isNull() | (t - state["last"] >= seconds * 1_000_000)
-        return F.struct(F.when(go, t).otherwise(state["last"]).alias("last"), F.when(go, F.concat(state["out"], F.array(t))).otherwise(state["out"]).alias("out"))
-
-    kept = F.aggregate("times", start, step, lambda s: s["out"])
-    return times.select(key, F.explode(kept).alias("t")).select(key, F.timestamp_micros("t").alias("ts"))
+    rows = events.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("t is not null")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for batch in batches:
+            kept = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or not (k == now or (k != k and now != now)):
+                    go = True
+                else:
+                    go = t - last >= seconds * 1_000_000
+                if go:
+                    now, last = k, t
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "t")
+    return dealt.mapInArrow(told, dealt.schema).select(key, F.timestamp_micros("t").alias("ts"))
 
 
 def queue_backlog(tasks: DataFrame, per_worker: int = 10) -> DataFrame:
