@@ -5,8 +5,10 @@ a word's letters narrow the candidates to languages that were learned with that
 pass over the words of a text, with a penalty for each switch, labels every word; equal neighbours
 form spans. The language with most letters is the text's, its share of the letters is the score.
 
-The trigram counts are learned from a bounded sample: ``SAMPLE`` documents of each language, those
-with the smallest hash of their id. Whole texts are used, in training and in prediction.
+The trigram counts are learned from a bounded sample: all documents of a language that has up to ``SAMPLE``
+of them, else those whose hash falls below the share that makes ``SAMPLE`` to be expected. No rows are moved to
+draw it: the languages' counts are the only thing it needs. Whole texts are used, in training and in
+prediction.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows
 
-#: Training documents of each language.
-SAMPLE = 2000
+#: Training documents of each language, and languages.
+SAMPLE, LANGUAGES = 2000, 1000
 #: Buckets of hashed letter trigrams.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -156,15 +158,22 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from up to ``sample`` rows of each language that are not held out.
+    """Learn from about ``sample`` rows of each language, or all, that are not held out.
 
-    The sample is bounded by ``sample`` times the number of languages; the model by ``BUCKETS``.
+    The sample is bounded by ``sample`` times the number of languages, of which there may be ``LANGUAGES``
+    (more raise an error); the model by ``BUCKETS``.
     """
-    own = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang")]
-    fit = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = written(fit.select(*own).withColumn("rank", rank).where(F.col("rank") <= sample).select("id").distinct(), "sample")
-    texts = fit.select(*own, F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi").select("text", "lang")
+    own = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")]
+    fit = docs.select(*own).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r.lang: r["count"] for r in fit.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    drawn = F.shiftrightunsigned(F.xxhash64("id", "text"), 1)
+    bound = F.lit(None).cast("long")
+    for lang, n in sizes.items():
+        if n > sample:
+            bound = F.when(F.col("lang") == lang, F.lit((sample << 63) // n)).otherwise(bound)
+    texts = fit.where(F.coalesce(drawn < bound, F.lit(True))).select("text", "lang")
     rows = texts.mapInArrow(_counts, "lang string, kind int, slot int, n long")
     rows = rows.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).collect()
     languages = tuple(sorted({r.lang for r in rows}))
