@@ -8,6 +8,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few numbers each that may be broadcast, once they have been counted.
+MAX_BROADCAST_ROWS = 100_000
+
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
@@ -45,3 +48,21 @@ def arrow_rows(spark: SparkSession, rows: int) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) != rows:
         spark.conf.set(key, str(rows))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Links that a node of a tree has to nodes after it.
+FAN = 16
+
+
+def tree_links(nodes: list[int]) -> list[tuple[int, int]]:
+    """Links that join nodes as a shallow tree, the smallest at its root; no node gets over ``FAN`` + 1."""
+    rows = sorted(nodes)
+    return [(x, rows[(i - 1) // FAN]) for i, x in enumerate(rows) if i]

@@ -19,15 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import MAX_BROADCAST_ROWS, arrow_rows, tree_links, unused, written
 from .components import components
 
 BITS, MAX_BITS, BLOCKS = 64, 3, 6
 SEED = 42
 #: Fingerprints in a bucket before it is divided again.
 LIMIT = 2000
-#: Heavy buckets that are broadcast; more of them are joined by shuffle.
-MAX_BROADCAST_ROWS = 100_000
 
 
 def words(text: str) -> list[bytes]:
@@ -78,15 +76,14 @@ def spanning(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
     """Links that join exactly what chains of at most ``MAX_BITS`` differing bits join."""
     left, found = np.arange(len(fps)), []
     while len(left):
-        front, left = [left[0]], left[1:]
+        front, group, left = [left[0]], [int(nodes[left[0]])], left[1:]
         while front and len(left):
-            at = front.pop()
-            close = np.bitwise_count(fps[left] ^ fps[at]) <= MAX_BITS
+            close = np.bitwise_count(fps[left] ^ fps[front.pop()]) <= MAX_BITS
             if close.any():
-                new = left[close]
-                found += [(int(nodes[at]), int(nodes[x])) for x in new]
-                front += new.tolist()
+                front += left[close].tolist()
+                group += nodes[left[close]].tolist()
                 left = left[~close]
+        found += tree_links(group)
     return found
 
 
@@ -180,13 +177,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_least(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose ``component_id`` among ``rows`` is their own id.
 
-    Columns stay as they are. Of rows that repeat an id one stays, the least by its values; rows with
-    a null id stay. The texts are shuffled once, by id.
+    Columns stay as they are. Of rows that repeat an id one stays, the one whose values have the smallest
+    hash; rows with a null id stay. The texts are shuffled once, by id.
     """
-    kept = rows.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__kept_id")).agg(F.count("*").alias("__kept_n"))
+    own, n = unused("kept_id", docs.columns), unused("kept_n", docs.columns)
+    kept = rows.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias(n))
     kept = written(kept, "kept")
-    once = docs.join(kept.where("__kept_n = 1").hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
-    several = docs.join(kept.where("__kept_n > 1").hint("merge"), F.col(id_col) == F.col("__kept_id"), "left_semi")
-    least = several.groupBy(F.col(id_col).alias("__kept_id")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    once = docs.join(kept.where(F.col(n) == 1).hint("merge"), F.col(id_col) == F.col(own), "left_semi")
+    several = docs.join(kept.where(F.col(n) > 1).hint("merge"), F.col(id_col) == F.col(own), "left_semi")
+    row = F.struct(*docs.columns)
+    least = several.groupBy(F.col(id_col).alias(own)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
     out = once.unionByName(least).unionByName(docs.where(F.col(id_col).isNull()))
     return out.select(*docs.columns)

@@ -64,6 +64,13 @@ def test_components(spark):
     assert got == {k: v for k, v in label.items() if k != v}
 
 
+def test_components_with_a_node_of_very_many_links(spark):
+    hub, n = 5000, 1500
+    pairs = [(hub, k) for k in range(6000, 6000 + n)] + [(20_000 + k, 6000 + k) for k in range(n)] + [(hub, 40), (40, 39)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: 39 for p in pairs for x in p if x != 39}
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -84,6 +91,23 @@ def slow_groups(fps):
     return label
 
 
+def slow_copies(texts):
+    """texts: id -> text; the smallest id that links of five-word similarity 0.8 or more reach."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a in texts:
+            for b in texts:
+                if label[b] < label[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    label[a], changed = label[b], True
+    return label
+
+
 def test_simhash_against_brute_force(spark):
     texts = texts_of(spark)
     got = {r.doc_id: r for r in queries.op1_simhash(spark, SF).collect()}
@@ -173,6 +197,24 @@ def test_language_accuracy_and_spans(spark):
     assert language.label_texts(model, ["", None, "123 .,-"]) == [("und", 0.0, [])] * 3
 
 
+def test_language_sample_is_drawn_by_share(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("wort satz "), F.col("id")).alias("text"), F.when(F.col("id") % 50 == 0, "de").otherwise("en").alias("lang"))
+    counted = language.train(docs, sample=1000)
+    assert counted.languages == ("de", "en")
+    whole = language.train(docs.where("lang = 'de'"), sample=1000)
+    again = language.train(docs.repartition(7), sample=1000)
+    assert (again.scores == counted.scores).all() and whole.languages == ("de",)
+    with pytest.raises(ValueError):
+        language.train(docs.withColumn("lang", F.col("doc_id").cast("string")))
+
+
+def test_keep_least_of_repeated_ids_with_maps(spark):
+    rows = [(1, {"a": "x"}, "y"), (1, {"a": "z"}, "y"), (2, None, "y"), (None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, extra map<string,string>, kept_id string").withColumn("text", F.lit("one two three four five six"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1]
+
+
 def test_viterbi_against_plain_loop():
     rng = np.random.default_rng(3)
     sizes = np.array([5, 0, 17, 1, 9, 17])
@@ -513,7 +555,7 @@ def test_pipeline_against_brute_force(spark):
     model, hidden = language.train(docs), None
     labels = {i: language.label_texts(model, [r.text])[0] for i, r in rows.items()}
     kept = {i for i, (lang, score, _) in labels.items() if lang != "und" and score >= 0.5}
-    groups = slow_groups({i: slow_fingerprint(rows[i].text) for i in kept})
+    groups = slow_copies({i: rows[i].text for i in kept})  # the stage's rule: five words, similarity 0.8
     kept = {i for i in kept if groups[i] == i}
     index = next(decontaminate.indexes(spark.read.parquet(f"{SF}/benchmark.parquet")))
     kept = {i for i in kept if not index.search([rows[i].text])[0]}
