@@ -179,6 +179,11 @@ ROLE_TEXTS = {
     "emotion_trigger": "情绪触发器，激发主角情感反应", "emotion_sacrifice": "牺牲型配角，为剧情提供虐点", "contrast_foil": "对比衬托型，突出主角特质",
     "conflict_antagonist": "冲突制造者，推动剧情发展",
 }
+PLOT_FUNCTIONS = {
+    "tool_info": "推动信息线，提供剧情线索", "tool_resource": "解决资源困境，助力主角成长", "tool_escape": "制造安全网，增加剧情容错",
+    "emotion_trigger": "激发情感波动，增强代入感", "emotion_sacrifice": "制造情感高潮，深化主题", "contrast_foil": "强化主角形象，突出特质",
+    "conflict_antagonist": "制造冲突，推动情节",
+}
 GF_NAMES = {"system": r"(?U)(\w+系统)", "space": r"(?U)(\w+空间)", "item": r"(?U)(\w+戒指|\w+项链|\w+玉佩)"}
 
 # Rules: id, label, target field, kind, keywords or pattern, weight. The label is the value that a rule stands for.

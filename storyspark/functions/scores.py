@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textfn import cnt, col, has
+from .textfn import cnt, col, has, once
 
 Lexicon = dict[str, list[str]]
 
@@ -30,13 +30,18 @@ def best(found: str | Column) -> Column:
 
 
 def total(found: str | Column) -> Column:
+    """The sum of the scores."""
     return F.aggregate(col(found), F.lit(0).cast("long"), lambda a, s: a + s["score"])
 
 
 def top(found: str | Column) -> Column:
-    """The category with the highest score, the first of several; with all scores 0 the first."""
-    most = best(found)
-    return F.get(F.filter(col(found), lambda s: s["score"] == most), F.lit(0))["category"]
+    """The category with the highest score, the first of several; with all scores 0 the first.
+
+    One fold, in which the scores are named once: naming them twice would compute them twice.
+    """
+    none = F.struct(F.lit(None).cast("string").alias("category"), F.lit(float("-inf")).alias("score"))
+    own = lambda s: F.struct(s["category"].alias("category"), s["score"].cast("double").alias("score"))
+    return F.aggregate(col(found), none, lambda a, s: F.when(s["score"] > a["score"], own(s)).otherwise(a), lambda a: a["category"])
 
 
 def score_of(found: str | Column, category: str) -> Column:
@@ -45,8 +50,8 @@ def score_of(found: str | Column, category: str) -> Column:
 
 def shares(found: str | Column) -> Column:
     """Map of category to its share of all scores; equal shares where all are 0."""
-    all_ = total(found)
-    return F.map_from_entries(F.transform(col(found), lambda s: F.struct(s["category"], F.when(all_ > 0, s["score"] / all_).otherwise(1 / F.size(col(found))))))
+    share = lambda f, n: F.transform(f, lambda s: F.struct(s["category"], F.when(n > 0, s["score"] / n).otherwise(1 / F.size(f))))
+    return F.map_from_entries(once(col(found), lambda f: once(total(f), lambda n: share(f, n))))
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:

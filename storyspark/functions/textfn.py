@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +12,22 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+#: Rows of a declared table (rules, lexicon) that may be broadcast to the texts.
+MOST_DECLARED = 10_000
+
+
+def declared(rows: DataFrame) -> DataFrame:
+    """A declared table, to be broadcast; one that is not small raises."""
+    if len(rows.limit(MOST_DECLARED + 1).select(F.lit(1)).collect()) > MOST_DECLARED:
+        raise ValueError(f"over {MOST_DECLARED} declared rows")
+    return F.broadcast(rows)
+
+
 def cnt(text: str | Column, keyword: str) -> Column:
     """Occurrences of a keyword that do not overlap."""
     t = col(text)

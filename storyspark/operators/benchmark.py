@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,25 @@ def similarity(ours: dict[str, Column], theirs: dict[str, Column]) -> Column:
 FIELDS = ["conflict_type", "gf_type", "arc_type", "rhythm_pattern", "short_ratio"]
 
 
-def compare(novels: DataFrame, library: DataFrame, top: int = 3) -> DataFrame:
+#: Rows of the library's best that may be broadcast.
+MOST_BROADCAST = 100_000
+
+
+def compare(novels: DataFrame, library: DataFrame, top: int = 3, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(novel_id, place, benchmark_id, title, similarity)``.
 
     The ``2 * top`` most read active benchmarks of the novel's genre are ranked by similarity. Only that
-    many rows of the library can meet a novel, so the join grows with the novels alone.
+    many rows of the library can meet a novel, so the join grows with the novels alone: these rows are
+    broadcast once their number is checked. ``describe`` adds the fields to library rows that lack
+    them; it sees the best rows alone.
     """
     read = F.row_number().over(Window.partitionBy("genre").orderBy(F.col("read_count").desc_nulls_last(), "benchmark_id"))
-    best = library.where("is_active").withColumn("__read", read).where(F.col("__read") <= 2 * top)
+    ids = library.where("is_active").select("genre", "benchmark_id", "read_count").withColumn("__read", read).where(F.col("__read") <= 2 * top).select("benchmark_id", "__read")
+    how = "broadcast" if ids.count() <= MOST_BROADCAST else "merge"
+    best = library.join(ids.hint(how), "benchmark_id")
+    best = describe(best) if describe else best
     best = best.select("genre", "benchmark_id", "title", "__read", *[F.col(c).alias(f"__{c}") for c in FIELDS], *[c for c in ("top_hook",) if c in library.columns])
-    pairs = novels.withColumnRenamed("top_hook", "own_hook").join(best, "genre")
+    pairs = novels.withColumnRenamed("top_hook", "own_hook").join(best.hint(how), "genre")
     pairs = pairs.withColumn("similarity", similarity({c: F.col(c) for c in FIELDS}, {c: F.col(f"__{c}") for c in FIELDS}))
     place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("similarity"), "__read"))
     return pairs.withColumn("place", place).where(F.col("place") <= top)
@@ -55,13 +66,23 @@ def differentiation(title: Column, innovation: Column, own_hook: Column, hook: C
     )
 
 
-def reusable_elements(title: Column, own_conflict: Column, conflict: Column, reuse: Column, rhythm: Column) -> Column:
-    """Array of (element, source, description, score) against one benchmark."""
+#: Roles of a novel that are looked at, and the reusability above which one is a template.
+ROLES, ROLE_LEAST = 2, 0.8
+
+
+def reusable_elements(title: Column, own_conflict: Column, conflict: Column, reuse: Column, rhythm: Column, roles: Column | None = None) -> Column:
+    """Array of (element, source, description, score) against one benchmark.
+
+    ``roles`` are the novel's supporting roles, best first: structs with role_name, function_type, reusability.
+    """
     item = lambda e, d, s: F.struct(F.lit(e).alias("element"), title.alias("source"), d.alias("description"), s.cast("double").alias("score"))
-    return compact(
-        F.when(own_conflict == conflict, item("冲突公式", F.concat(F.lit("可复用《"), title, F.lit("》的冲突公式结构")), reuse)),
-        F.when(F.contains(rhythm, F.lit("每")), item("爽点节奏", F.concat(F.lit("可复用节奏模式："), rhythm), F.lit(0.75))),
-    )
+    formula = compact(F.when(own_conflict == conflict, item("冲突公式", F.concat(F.lit("可复用《"), title, F.lit("》的冲突公式结构")), reuse)))
+    pace = compact(F.when(F.contains(rhythm, F.lit("每")), item("爽点节奏", F.concat(F.lit("可复用节奏模式："), rhythm), F.lit(0.75))))
+    if roles is None:
+        return F.concat(formula, pace)
+    good = F.filter(F.slice(F.coalesce(roles, F.array().cast("array<struct<role_name:string,function_type:string,reusability:double>>")), 1, ROLES), lambda r: r["reusability"] > ROLE_LEAST)
+    said = lambda r: F.concat(F.lit("『"), r["role_name"], F.lit("』类型的"), r["function_type"], F.lit("配角可复用"))
+    return F.concat(formula, F.transform(good, lambda r: item("配角模板", said(r), r["reusability"])), pace)
 
 
 def suggestions(total_hooks: Column, n_constraints: Column, completion: Column, commercial: Column) -> Column:
@@ -75,6 +96,31 @@ def suggestions(total_hooks: Column, n_constraints: Column, completion: Column,
     )
 
 
+#: What is suggested where the library has no benchmark of the novel's genre.
+NO_LIBRARY = "暂无标杆数据，建议添加同类标杆进行对比"
+
+
+def comparison(novels: DataFrame, library: DataFrame, top: int = 3, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(novel_id, differentiation, reusable, suggestions, similar)``: four lists for each novel.
+
+    Novels have the fields of ``compare`` and innovations, reusability, roles, total_hooks, n_constraints,
+    completion, commercial_score. Differences are told against the most similar benchmark, reusable
+    elements against the first two. A novel without a benchmark of its genre has empty lists, but for one
+    suggestion, ``NO_LIBRARY``.
+    """
+    c = F.col
+    rows = compare(novels, library, top, describe)
+    diff = differentiation(c("title"), F.get("innovations", F.lit(0)), c("own_hook"), c("top_hook"), c("arc_type"), c("__arc_type"))
+    again = reusable_elements(c("title"), c("conflict_type"), c("__conflict_type"), c("reusability"), c("rhythm_pattern"), c("roles"))
+    item = F.struct("place", F.struct("benchmark_id", "title", "similarity").alias("similar"), F.when(c("place") == 1, diff).alias("differentiation"), F.when(c("place") <= 2, again).alias("reusable"))
+    told = rows.groupBy("novel_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    own = suggestions(c("total_hooks"), c("n_constraints"), c("completion"), c("commercial_score"))
+    lonely = F.array(F.struct(F.lit("").alias("category"), F.lit(NO_LIBRARY).alias("suggestion"), F.lit("").alias("priority"), F.lit("").alias("reference")))
+    lists = {n: F.coalesce(F.flatten(F.array_compact(c(f"rows.{n}"))), F.array()) for n in ("differentiation", "reusable")}
+    out = novels.select("novel_id", own.alias("own")).join(told, "novel_id", "left")
+    return out.select("novel_id", *[v.alias(n) for n, v in lists.items()], F.when(c("rows").isNull(), lonely).otherwise(c("own")).alias("suggestions"), F.coalesce("rows.similar", F.array()).alias("similar"))
+
+
 def trending_features(library: DataFrame, since: Column, dimensions: list[str], genre: str | None = None, sample: int = 50, top: int = 3) -> DataFrame:
     """``(dimension, place, value, n)``: the most common values among the most read recent rows."""
     rows = library.where(F.col("is_active") & (F.col("updated_at") >= since))

@@ -86,8 +86,8 @@ def person_mentions(books: DataFrame, patterns=L.PERSON_PATTERNS, most: int = 10
     return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "person", "mentions")
 
 
-def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, stop: str = "。", reusable=L.REUSABLE_ROLES, most: int = 5) -> DataFrame:
-    """``(novel_id, place, role_name, function_type, reusability)``.
+def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, stop: str = "。", reusable=L.REUSABLE_ROLES, most: int = 5, texts=L.ROLE_TEXTS, plots=L.PLOT_FUNCTIONS, relations=L.RELATIONSHIPS) -> DataFrame:
+    """``(novel_id, place, role_name, function_type, role_description, relationship, plot_function, reusability)``.
 
     A person's sentences are scored one by one and summed, which is what scoring them joined gives. The
     few persons of a book meet its sentences by an equi-join on the book.
@@ -100,7 +100,10 @@ def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, s
     rows = rows.select("novel_id", "person", "mentions", table.alias("found")).withColumn("function_type", top("found"))
     rows = rows.withColumn("reusability", F.when(F.col("function_type").isin(*reusable), 0.95).otherwise(0.75))
     place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("reusability"), F.desc("mentions"), "person"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", F.col("person").alias("role_name"), "function_type", "reusability")
+    return rows.withColumn("place", place).where(F.col("place") <= most).select(
+        "novel_id", "place", F.col("person").alias("role_name"), "function_type", role_description(F.col("function_type"), texts).alias("role_description"),
+        infer_relationship("person", relations).alias("relationship"), lookup(F.col("function_type"), plots, "辅助剧情").alias("plot_function"), "reusability",
+    )
 
 
 def infer_relationship(name: str | Column, table=L.RELATIONSHIPS, default: str = "其他") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,34 +36,33 @@ def model_features(responses: DataFrame, response: str = "response", schema: str
 def apply_model(rows: DataFrame, call: Callable[[str], str], key: str = "novel_id", prompt: str = "prompt", concurrency: int = 5, attempts: int = 3, pause: float = 0.0) -> DataFrame:
     """``(key, response, error, attempts)``: the caller's function on each prompt.
 
-    ``concurrency`` partitions bound the calls that run at once. A call that raises is tried again, with
-    pauses that double; what still fails is told as an error, and the run goes on.
+    Rows stay in their partitions; each task has up to ``concurrency`` calls under way, which wait rather
+    than compute. A call that raises is tried again, with pauses that double; what still fails is told as
+    an error, and the run goes on.
     """
     kind = dict(rows.dtypes)[key]
 
+    def one(text: str | None) -> tuple[str | None, str | None, int]:
+        said = error = None
+        for n in range(1, attempts + 1):
+            try:
+                said, error = call(text), None
+                break
+            except Exception as e:  # the caller's function may raise anything; it is told in the row
+                error = f"{type(e).__name__}: {e}"
+                if n < attempts:
+                    time.sleep(pause * 2 ** (n - 1))
+        return said, error, n
+
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                said = error = None
-                for n in range(1, attempts + 1):
-                    try:
-                        said, error = call(text), None
-                        break
-                    except Exception as e:  # the caller's function may raise anything; it is told in the row
-                        error = f"{type(e).__name__}: {e}"
-                        if n < attempts:
-                            time.sleep(pause * 2 ** (n - 1))
-                out.append((said, error, n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32())))], [key, "response", "error", "attempts"])
-
-    return rows.select(key, prompt).repartition(concurrency).mapInArrow(told, f"`{key}` {kind}, response string, error string, attempts int")
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                out = list(pool.map(one, batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32())))], [key, "response", "error", "attempts"])
+
+    return rows.select(key, prompt).mapInArrow(told, f"`{key}` {kind}, response string, error string, attempts int")
 
 
 def batch_run_summary(results: DataFrame) -> DataFrame:
     """Numbers of results, successes and errors, and the share that succeeded."""
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.avg(F.col("error").isNull().cast("int")).alias("share"))
-
-
-def run_with_errors(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return results.where("error is null"), results.where("error is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schemas
 from ..functions.lexicons import RULES
-from ..functions.textfn import alternation, col, first_present, has
+from ..functions.textfn import col, declared
 
 CONFIDENCE = {"task.task_structure": 0.8, "background.world_type": 0.9, "background.power_system": 0.85, "writing.narrative_perspective": 0.7, "plot.conflict_types": 0.75}
 
@@ -44,7 +44,7 @@ def rule_scores(books: DataFrame, rules: DataFrame) -> DataFrame:
     The rules are a small declared table and are broadcast to the books.
     """
     own = rules.where(F.coalesce("enabled", F.lit(True))).select("rule_id", "rule_ord", "name", "target_field", "rule_type", "keywords", "pattern", F.col("value").alias("rule_value"), "weight")
-    pairs = books.select("novel_id", "text").crossJoin(F.broadcast(own))
+    pairs = books.select("novel_id", "text").crossJoin(declared(own))
     none = F.array().cast("array<string>")
     keywords = F.coalesce("keywords", none)
     score = F.when(F.col("rule_type") == "keyword", keyword_presence_ratio("text", keywords)).when(F.col("rule_type") == "regex", regex_rule_score("text", F.col("pattern"))).otherwise(0.0)
@@ -86,29 +86,12 @@ def rulesets_for_genre(sets: DataFrame, genre: str | None) -> DataFrame:
     return sets.where(F.col("enabled") & (F.col("genre").eqNullSafe(F.lit(genre)) | F.col("genre").isNull()))
 
 
-def keyword_columns(text: str | Column, named: dict[str, list[str]]) -> dict[str, Column]:
-    """First present keyword of each list, for lists that are known when the plan is built."""
-    return {name: first_present(text, keys) for name, keys in named.items()}
-
-
-def keyword_matches(text: str | Column, keywords: list[str]) -> Column:
-    """All matches of any of the keywords, leftmost first, the earlier listed before the later."""
-    return F.regexp_extract_all(col(text), F.lit(alternation(keywords)), F.lit(0))
-
-
 def lexicon_scores(books: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Scores by a lexicon that is itself a table: ``(novel_id, category, cat_ord, n, present)``.
 
     Categories without a hit have their row too. The lexicon is small and is broadcast.
     """
     own = lexicon.select("category", "cat_ord", "keyword")
-    pairs = books.select("novel_id", "text").crossJoin(F.broadcast(own))
+    pairs = books.select("novel_id", "text").crossJoin(declared(own))
     hits = (F.length("text") - F.length(F.replace("text", "keyword", F.lit("")))) / F.length("keyword")
     return pairs.groupBy("novel_id", "category", "cat_ord").agg(F.sum(hits).cast("long").alias("n"), F.sum(F.contains("text", "keyword").cast("int")).alias("present"))
-
-
-def any_keyword(text: str | Column, keywords: list[str]) -> Column:
-    out = F.lit(False)
-    for k in keywords:
-        out = out | has(text, k)
-    return out

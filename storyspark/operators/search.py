@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +35,23 @@ def text_search(rows: DataFrame, query: str, text: str = "text") -> DataFrame:
 def similar_by_features(rows: DataFrame, same: list[str], key: str = "novel_id", score: str = "confidence_score", least: float = 0.6, limit: int = 10) -> DataFrame:
     """``(novel_id, place, other_id)``: others with the same fields, the most confident first.
 
-    Only the ``limit`` + 1 best rows of each combination can be among the answers, so only those are
-    joined; no group meets itself whole. A row that lacks a field is not searched.
+    A row is searched by the fields it has; one that lacks all of them may be like any other. Only the ``limit``
+    + 1 best rows of each combination can be among the answers, so only those are joined; no group meets
+    itself whole.
     """
-    ok = rows.where(" and ".join(f"{c} is not null" for c in same))
-    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc(score), key))
-    good = ok.where(F.col(score) >= least).withColumn("__p", place).where(F.col("__p") <= limit + 1)
-    good = good.select(*same, F.col(key).alias("other_id"), F.col(score).alias("__s"))
-    pairs = ok.select(key, *same).join(good, same).where(F.col(key) != F.col("other_id"))
+    parts = []
+    for have in product((True, False), repeat=len(same)):
+        own = [c for c, h in zip(same, have, strict=True) if h]
+        asked = rows.where(" and ".join(f"{c} is {'not ' if h else ''}null" for c, h in zip(same, have, strict=True))).select(key, *own)
+        good = rows.where(F.col(score) >= least).select(*own, F.col(key).alias("other_id"), F.col(score).alias("__s"))
+        if own:
+            place = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("__s"), "other_id"))
+            good = good.where(" and ".join(f"{c} is not null" for c in own)).withColumn("__p", place).where(F.col("__p") <= limit + 1).drop("__p")
+            pairs = asked.join(good, own)
+        else:
+            pairs = asked.crossJoin(F.broadcast(good.orderBy(F.desc("__s"), "other_id").limit(limit + 1)))
+        parts.append(pairs.where(F.col(key) != F.col("other_id")).select(key, "other_id", "__s"))
+    pairs = reduce(DataFrame.unionByName, parts)
     mine = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__s"), "other_id"))
     return pairs.withColumn("place", mine).where(F.col("place") <= limit).select(key, "place", "other_id")
 

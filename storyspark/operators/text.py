@@ -53,16 +53,15 @@ def split_chapters(books: DataFrame, patterns: list[str] = TITLE_PATTERNS) -> Da
     A title opens a chapter and takes a number even if nothing follows it; such a chapter is dropped, as
     is text before the first title. A book without any chapter is one chapter, its whole text.
     """
-    marked = F.transform(lines("text"), lambda x: F.struct(x.alias("line"), is_title(x, patterns).alias("title")))
-    rows = books.select("novel_id", F.posexplode(marked).alias("pos", "l")).select("novel_id", "pos", "l.line", "l.title")
-    so_far = Window.partitionBy("novel_id").orderBy("pos")
-    rows = rows.withColumn("chapter_number", F.sum(F.col("title").cast("int")).over(so_far).cast("int")).where("chapter_number > 0")
-    body = F.array_sort(F.collect_list(F.when(~F.col("title"), F.struct("pos", "line"))))
-    found = rows.groupBy("novel_id", "chapter_number").agg(F.max(F.when(F.col("title"), F.col("line"))).alias("title"), body.alias("body"))
-    found = found.where(F.size("body") > 0).select("novel_id", "chapter_number", "title", F.array_join(F.col("body.line"), "\n").alias("content"))
-    whole = books.join(found.select("novel_id").distinct(), "novel_id", "left_anti")
-    whole = whole.select("novel_id", F.lit(1).alias("chapter_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"))
-    return found.unionByName(whole).withColumn("word_count", word_count("content"))
+    rows = books.select("novel_id", "text", lines("text").alias("__l"))
+    rows = rows.withColumn("__t", F.filter(F.transform("__l", lambda x, i: F.when(is_title(x, patterns), i)), lambda i: i.isNotNull()))
+    l, t = F.col("__l"), F.col("__t")
+    body = lambda p, k: F.slice(l, p + 2, F.coalesce(F.get(t, k + 1), F.size(l)) - p - 1)
+    found = F.transform(t, lambda p, k: F.struct((k + 1).alias("chapter_number"), F.get(l, p).alias("title"), body(p, k).alias("body")))
+    found = F.transform(F.filter(found, lambda c: F.size(c["body"]) > 0), lambda c: F.struct(c["chapter_number"].alias("chapter_number"), c["title"].alias("title"), F.array_join(c["body"], "\n").alias("content")))
+    whole = F.array(F.struct(F.lit(1).alias("chapter_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content")))
+    rows = rows.select("novel_id", "text", found.alias("__c")).select("novel_id", F.inline(F.when(F.size("__c") > 0, F.col("__c")).otherwise(whole)))
+    return rows.withColumn("word_count", word_count("content"))
 
 
 def line_chapters(books: DataFrame) -> DataFrame:
@@ -146,9 +145,9 @@ def chunk_text(books: DataFrame, size: int = 2000, overlap: int = 200) -> DataFr
     return books.select("novel_id", F.posexplode(pieces).alias("chunk", "content"))
 
 
-def parse_book(books: DataFrame, patterns: list[str] = TITLE_PATTERNS, labels: dict[str, str] = METADATA_LABELS) -> DataFrame:
+def parse_book(books: DataFrame, patterns: list[str] = TITLE_PATTERNS, labels: dict[str, str] = METADATA_LABELS, junk: list[str] = JUNK_PATTERNS) -> DataFrame:
     """Clean, read metadata, split and mark: chapters with their book's metadata and total length."""
-    cleaned = books.select("novel_id", clean_text("text").alias("text"))
+    cleaned = books.select("novel_id", clean_text("text", junk).alias("text"))
     info = extract_metadata(cleaned, labels).drop("text")
     info = info.withColumnsRenamed({k: f"novel_{k}" for k in labels})
     chapters = mark_core_chapters(split_chapters(cleaned, patterns))

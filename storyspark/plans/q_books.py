@@ -262,12 +262,14 @@ def c6_person_mentions(t: Tables) -> DataFrame:
     return C.person_mentions(t.books, B.PERSONS)
 
 
-@query(with_(BOOKS, CHAPTERS, C6, C7) + "select novel_id, cast(place as int) as place, role_name, function_type, reusability from c7")
-def c7_supporting_roles(t: Tables) -> DataFrame:
-    return _roles(t)
+_RELATIONS = {"kin": ["th", "sch"], "guild": ["eau", "ci"]}
+_ROLE_TEXTS = {"info": "tells", "help": "gives"}
+_PLOTS = {"info": "clues", "foe": "conflict"}
 
 
-_RELATIONS = {"kin": ["th", "sch"], "guild": ["eau", "ci"]}
+@query(with_(BOOKS, CHAPTERS, C6, C7) + "select novel_id, cast(place as int) as place, role_name, function_type, case function_type when 'info' then 'tells' when 'help' then 'gives' else '功能性配角' end as role_description, " + f"case when {has_any('role_name', _RELATIONS['kin'])} then 'kin' when {has_any('role_name', _RELATIONS['guild'])} then 'guild' else '其他' end as relationship, " + "case function_type when 'info' then 'clues' when 'foe' then 'conflict' else '辅助剧情' end as plot_function, reusability from c7")
+def c7_supporting_roles(t: Tables) -> DataFrame:
+    return C.supporting_roles(t.chapters, C.person_mentions(t.books, B.PERSONS), B.ROLES, ".", ["info", "foe"], texts=_ROLE_TEXTS, plots=_PLOTS, relations=_RELATIONS)
 
 
 @query(with_(BOOKS, C6) + f"select novel_id, person, case when {has_any('person', _RELATIONS['kin'])} then 'kin' when {has_any('person', _RELATIONS['guild'])} then 'guild' else 'none' end as relationship from c6")

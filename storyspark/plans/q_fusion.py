@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schemas import FEATURES
 from ..functions.scores import scores, top
 from ..operators import benchmark as BM
+from ..operators import character as C
 from ..operators import deep
 from ..operators import fusion as U
 from ..operators import model as P
 from ..operators import rules as R
 from . import bindings as B
-from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, scored, with_
+from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, with_
 from .bindings import top as sql_top
+from .q_books import C6, C7
 
-#: Rule rows for even, model rows for documents not divisible by three: both, one or none of the sides.
+#: Rule rows, model rows or both for each document, by its length.
 _SIDES = f"""sides as (select novel_id, genre, text, n_chars, {sql_top(LATIN, cols(LATIN))} as guess from (select *, {scored(LATIN)} from books)),
-ru as (select novel_id, case when n_chars % 3 = 0 then null else genre end as world_type, guess as task_structure, case when n_chars % 2 = 0 then 'first' end as narrative_perspective, case when n_chars % 5 = 0 then 'qi' end as power_system, [genre, 'x', ''] as conflict_types, cast(n_chars % 10 as double) / 10 as confidence_score, case when n_chars % 4 = 0 then 'fast' end as pacing from sides where novel_id % 2 = 0),
-mo as (select novel_id, guess as world_type, genre as task_structure, 'first' as narrative_perspective, case when n_chars % 7 > 3 then 'mana' end as power_system, ['y', genre, 'y'] as conflict_types, cast(n_chars % 8 as double) / 8 as confidence_score, substring(text, 1, 5) as main_task from sides where novel_id % 3 > 0)"""
+ru as (select novel_id, case when n_chars % 3 = 0 then null else genre end as world_type, guess as task_structure, case when n_chars % 2 = 0 then 'first' end as narrative_perspective, case when n_chars % 5 = 0 then 'qi' end as power_system, [genre, 'x', ''] as conflict_types, cast(n_chars % 10 as double) / 10 as confidence_score, case when n_chars % 4 = 0 then 'fast' end as pacing from sides where n_chars % 5 <> 3),
+mo as (select novel_id, guess as world_type, genre as task_structure, 'first' as narrative_perspective, case when n_chars % 7 > 3 then 'mana' end as power_system, ['y', genre, 'y'] as conflict_types, cast(n_chars % 8 as double) / 8 as confidence_score, substring(text, 1, 5) as main_task from sides where n_chars % 5 <> 1)"""
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     n = F.col("n_chars")
     rows = t.books.withColumn("guess", top(scores("text", LATIN)))
-    ru = rows.where("novel_id % 2 = 0").select(
+    ru = rows.where("n_chars % 5 != 3").select(
         "novel_id", F.when(n % 3 != 0, F.col("genre")).alias("world_type"), F.col("guess").alias("task_structure"), F.when(n % 2 == 0, "first").alias("narrative_perspective"), F.when(n % 5 == 0, "qi").alias("power_system"),
         F.array("genre", F.lit("x"), F.lit("")).alias("conflict_types"), ((n % 10).cast("double") / 10).alias("confidence_score"), F.when(n % 4 == 0, "fast").alias("pacing"),
     )
-    mo = rows.where("novel_id % 3 > 0").select(
+    mo = rows.where("n_chars % 5 != 1").select(
         "novel_id", F.col("guess").alias("world_type"), F.col("genre").alias("task_structure"), F.lit("first").alias("narrative_perspective"), F.when(n % 7 > 3, "mana").alias("power_system"),
         F.array(F.lit("y"), F.col("genre"), F.lit("y")).alias("conflict_types"), ((n % 8).cast("double") / 8).alias("confidence_score"), F.substr(F.col("text"), F.lit(1), F.lit(5)).alias("main_task"),
     )
@@ -89,9 +93,11 @@ def f7_validate_features(t: Tables) -> DataFrame:
     return _fused(t).select("novel_id", F.array_join(issues, "|").alias("issues"))
 
 
-@query(with_(BOOKS, _SIDES) + "select novel_id, world_type, confidence_score from ru")
+@query(with_(BOOKS, _FUSED) + " union all ".join(f"select '{k}' as engine, novel_id, world_type, confidence_score from {v}" for k, v in (("rules", "ru"), ("model", "mo"), ("both", "fd"))))
 def f8_engine_switch(t: Tables) -> DataFrame:
-    return U.engine_switch(_sides(t)[0], None).select("novel_id", "world_type", "confidence_score")
+    ru, mo = _sides(t)
+    parts = {"rules": (ru, None), "model": (None, mo), "both": (ru, mo)}
+    return reduce(DataFrame.unionByName, [U.engine_switch(*v).select(F.lit(k).alias("engine"), "novel_id", "world_type", "confidence_score") for k, v in parts.items()])
 
 
 @query(with_(BOOKS, _SIDES) + "select coalesce(o.novel_id, n.novel_id) as novel_id, case when n.novel_id is not null and (o.novel_id is null or n.confidence_score > o.confidence_score) then n.world_type else o.world_type end as world_type, case when n.novel_id is not null and (o.novel_id is null or n.confidence_score > o.confidence_score) then n.confidence_score else o.confidence_score end as confidence_score from ru o full join mo n on o.novel_id = n.novel_id")
@@ -219,11 +225,19 @@ def p6_parse_novels_batch(t: Tables) -> DataFrame:
 _LIB = f"lib as (select novel_id as benchmark_id, 'B' || novel_id as title, genre, n_chars % 4 > 0 as is_active, case when n_chars % 6 > 0 then n_chars % 97 end as read_count, {sql_top(LATIN, cols(LATIN))} as conflict_type, source as gf_type, case when n_chars % 3 = 0 then 'a' else 'b' end as arc_type, case when n_chars % 2 = 0 then '每' else '-' end as rhythm_pattern, cast(n_chars % 10 as double) / 10 as short_ratio, case when n_chars % 5 > 1 then 'h1' else 'h2' end as top_hook, n_chars from (select *, {scored(LATIN)} from books))"
 
 
+def _described(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("conflict_type", top(scores("text", LATIN)))
+
+
 def _library(t: Tables) -> DataFrame:
+    return _described(_shelf(t)).drop("text")
+
+
+def _shelf(t: Tables) -> DataFrame:
     n = F.col("n_chars")
     return t.books.select(
         F.col("novel_id").alias("benchmark_id"), F.concat(F.lit("B"), F.col("novel_id").cast("string")).alias("title"), "genre", (n % 4 > 0).alias("is_active"), F.when(n % 6 > 0, n % 97).alias("read_count"),
-        top(scores("text", LATIN)).alias("conflict_type"), F.col("source").alias("gf_type"), F.when(n % 3 == 0, "a").otherwise("b").alias("arc_type"), F.when(n % 2 == 0, "每").otherwise("-").alias("rhythm_pattern"),
+        "text", F.col("source").alias("gf_type"), F.when(n % 3 == 0, "a").otherwise("b").alias("arc_type"), F.when(n % 2 == 0, "每").otherwise("-").alias("rhythm_pattern"),
         ((n % 10).cast("double") / 10).alias("short_ratio"), F.when(n % 5 > 1, "h1").otherwise("h2").alias("top_hook"), "n_chars", F.array(F.col("source"), F.col("genre")).alias("tags"),
     )
 
@@ -234,9 +248,12 @@ cmp as (select *, row_number() over (partition by novel_id order by round(simila
  case when n.conflict_type = b.conflict_type then 0.2e0 else 0.0e0 end + case when n.gf_type = b.gf_type then 0.15e0 else 0.0e0 end + case when n.arc_type = b.arc_type then 0.15e0 else 0.0e0 end + case when contains(n.rhythm_pattern, '每') and contains(b.rhythm_pattern, '每') then 0.1e0 else 0.0e0 end + case when n.short_ratio > 0.4e0 and b.short_ratio > 0.4e0 then 0.1e0 else 0.0e0 end as similarity from nov n join bestb b using (genre)))"""
 
 
+def _novels(t: Tables) -> DataFrame:
+    return _library(t).where("n_chars % 4 <> 1").withColumnRenamed("benchmark_id", "novel_id").drop("title", "is_active", "read_count", "tags")
+
+
 def _compared(t: Tables) -> DataFrame:
-    novels = _library(t).where("n_chars % 4 <> 1").withColumnRenamed("benchmark_id", "novel_id").drop("title", "is_active", "read_count", "tags")
-    return BM.compare(novels, _library(t))
+    return BM.compare(_novels(t), _shelf(t), describe=_described)
 
 
 @query(with_(BOOKS, _LIB) + "select benchmark_id, read_count from lib where is_active and genre = 'en' and (gf_type = 'src1' or gf_type = 'src0') order by read_count desc nulls last, benchmark_id limit 20")
@@ -249,9 +266,34 @@ def b2_benchmark_similarity(t: Tables) -> DataFrame:
     return _compared(t).select("novel_id", "benchmark_id", "similarity")
 
 
-@query(with_(BOOKS, _LIB, _NOVELS, _SIMS) + "select novel_id, string_agg(title, ',' order by place) as similar from cmp where place <= 3 group by 1")
+#: Novels of one language have no benchmark of their genre here; roles, and the numbers that suggestions go by, are made from the length.
+_FOUR = """novs as (select *, 'R' || (n_chars % 7) as role, cast(n_chars % 10 as double) / 10 as role_score, n_chars % 40 as hooks, n_chars % 4 as limits, cast(n_chars % 11 as double) / 10 as done, cast(n_chars % 7 as double) / 6 as money from nov),
+told as (select c.*, array_to_string(list_filter([case when nc = bc then '可复用《' || title || '》的冲突公式结构' end, case when role_score > 0.8e0 then '『' || role || '』类型的info配角可复用' end, case when contains(nr, '每') then '可复用节奏模式：' || nr end], lambda x: x is not null), '|') as again from cmp c join novs v using (novel_id) where place <= 3 and v.genre <> 'fr'),
+four as (select novel_id, string_agg(title, ',' order by place) as similar,
+ coalesce(string_agg(array_to_string(list_filter([case when ns > 0.5e0 then '相比《' || title || '》，本作金手指具有创新性：new' end, case when nh <> bh then '《' || title || '》以' || bh || '为主，本作以' || nh || '为主' end, case when na <> ba then '人物弧光类型不同：' || na || ' vs ' || ba end], lambda x: x is not null), '|'), '|' order by place) filter (place = 1), '') as points,
+ coalesce(string_agg(again, '|' order by place) filter (place <= 2 and again <> ''), '') as reusable from told group by 1)"""
+_TIPS = "array_to_string(list_filter([case when hooks < 20 then '情绪节奏' end, case when limits < 2 then '设定设计' end, case when done < 0.6e0 then '人物塑造' end, case when money < 0.6e0 then '商业潜力' end], lambda x: x is not null), '|')"
+
+
+def _profiles(t: Tables) -> DataFrame:
+    """Novels with all that a comparison takes."""
+    n = F.col("n_chars")
+    role = F.struct(F.concat(F.lit("R"), (n % 7).cast("string")).alias("role_name"), F.lit("info").alias("function_type"), ((n % 10).cast("double") / 10).alias("reusability"))
+    return _novels(t).withColumns({
+        "innovations": F.when(F.col("short_ratio") > 0.5, F.array(F.lit("new"))).otherwise(F.array().cast("array<string>")), "reusability": F.lit(0.5), "roles": F.array(role),
+        "total_hooks": n % 40, "n_constraints": n % 4, "completion": (n % 11).cast("double") / 10, "commercial_score": (n % 7).cast("double") / 6,
+    })
+
+
+def _told(t: Tables) -> DataFrame:
+    return BM.comparison(_profiles(t), _shelf(t).where("genre != 'fr'"), describe=_described)
+
+
+@query(with_(BOOKS, _LIB, _NOVELS, _SIMS, _FOUR) + f"select v.novel_id, coalesce(f.similar, '') as similar, coalesce(points, '') as differentiation, coalesce(reusable, '') as reusable, case when f.novel_id is null then {s(BM.NO_LIBRARY)} else {_TIPS} end as suggestions from novs v left join four f using (novel_id)")
 def b3_compare_with_benchmarks(t: Tables) -> DataFrame:
-    return _compared(t).groupBy("novel_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "title")))["title"], ",").alias("similar"))
+    joined = lambda c: F.array_join(F.col(c), "|")
+    tips = F.array_join(F.transform("suggestions", lambda x: F.when(x["category"] == "", x["suggestion"]).otherwise(x["category"])), "|")
+    return _told(t).select("novel_id", F.array_join(F.col("similar.title"), ",").alias("similar"), joined("differentiation.point").alias("differentiation"), joined("reusable.description").alias("reusable"), tips.alias("suggestions"))
 
 
 @query(with_(BOOKS, _LIB, _NOVELS, _SIMS) + "select novel_id, array_to_string(list_filter([case when ns > 0.5e0 then '相比《' || title || '》，本作金手指具有创新性：new' end, case when nh <> bh then '《' || title || '》以' || bh || '为主，本作以' || nh || '为主' end, case when na <> ba then '人物弧光类型不同：' || na || ' vs ' || ba end], lambda x: x is not null), '|') as points from cmp where place = 1")
@@ -260,10 +302,16 @@ def b4_differentiation(t: Tables) -> DataFrame:
     return _compared(t).where("place = 1").select("novel_id", F.array_join(d["point"], "|").alias("points"))
 
 
-@query(with_(BOOKS, _LIB, _NOVELS, _SIMS) + "select novel_id, string_agg(d, '|' order by place) filter (d <> '') as reusable from (select novel_id, place, array_to_string(list_filter([case when nc = bc then '可复用《' || title || '》的冲突公式结构' end, case when contains(nr, '每') then '可复用节奏模式：' || nr end], lambda x: x is not null), '|') as d from cmp where place <= 2) group by 1")
+@query(with_(BOOKS, CHAPTERS, C6, C7, _LIB, _NOVELS, _SIMS) + ", rr as (select novel_id, role_name, function_type, reusability, place as role_place from c7 where place <= 2 and reusability > 0.8e0) "
+    + "select novel_id, nullif(string_agg(d, '|' order by place, k, role_place), '') as reusable from (select novel_id, place, 0 as k, 0 as role_place, '可复用《' || title || '》的冲突公式结构' as d from cmp where place <= 2 and nc = bc "
+    + "union all select novel_id, cmp.place, 1, role_place, '『' || role_name || '』类型的' || function_type || '配角可复用' from cmp join rr using (novel_id) where cmp.place <= 2 "
+    + "union all select novel_id, place, 2, 0, '可复用节奏模式：' || nr from cmp where place <= 2 and contains(nr, '每') union all select novel_id, place, 3, 0, null from cmp where place <= 2) group by 1")
 def b5_reusable_elements(t: Tables) -> DataFrame:
-    d = BM.reusable_elements(F.col("title"), F.col("conflict_type"), F.col("__conflict_type"), F.lit(0.5), F.col("rhythm_pattern"))["description"]
-    rows = _compared(t).where("place <= 2").select("novel_id", "place", d.alias("d"))
+    cast = C.supporting_roles(t.chapters, C.person_mentions(t.books, B.PERSONS), B.ROLES, ".", ["info", "foe"])
+    item = F.struct("place", F.struct("role_name", "function_type", "reusability").alias("role"))
+    cast = cast.groupBy("novel_id").agg(F.array_sort(F.collect_list(item))["role"].alias("roles"))
+    d = BM.reusable_elements(F.col("title"), F.col("conflict_type"), F.col("__conflict_type"), F.lit(0.5), F.col("rhythm_pattern"), F.col("roles"))["description"]
+    rows = _compared(t).where("place <= 2").join(cast, "novel_id", "left").select("novel_id", "place", d.alias("d"))
     merged = F.flatten(F.array_sort(F.collect_list(F.struct("place", "d")))["d"])
     return rows.groupBy("novel_id").agg(F.nullif(F.array_join(merged, "|"), F.lit("")).alias("reusable"))
 

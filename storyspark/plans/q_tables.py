@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +16,8 @@ from ..operators.text import line_chapters
 from ..sources import files as S
 from ..sources import tables as X
 from ..streaming import streams
-from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, strip, with_
+from . import q_fusion  # noqa: F401  its reports are read here
+from .bindings import _FOUND, BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, strip, with_
 from .bindings import top as sql_top
 
 # --- sources and tables
@@ -112,9 +117,10 @@ def s14_create_catalog_row(t: Tables) -> DataFrame:
     return X.create_rows(t.read("documents"), ["doc_id", "source"]).select("doc_id", "id")
 
 
-@query("select o_orderkey, o_custkey from orders where o_orderkey between 1 and 3000")
+@query("select o_orderkey, o_custkey, date_diff('day', date '1990-01-01', cast(o_orderdate as date)) as age from orders")
 def s15_relational_scan(t: Tables) -> DataFrame:
-    return t.read("orders").where("o_orderkey between 1 and 3000").select("o_orderkey", "o_custkey")
+    """The tables stand in for a database: a scan of two columns and one computed, over all rows."""
+    return S.relational(t.read("orders"), ["o_orderkey", "o_custkey", "datediff(o_orderdate, date'1990-01-01') as age"])
 
 
 @query("select doc_id, md5(text) as file_hash, cast(strlen(text) as int) as file_size, case when strlen(text) > 4000 then 'too large' when strlen(text) = 0 then 'empty' end as reject_reason from documents")
@@ -123,11 +129,18 @@ def s4_catalog_files(t: Tables) -> DataFrame:
     return S.catalog_files(rows, 4000).select("doc_id", "file_hash", "file_size", "reject_reason")
 
 
-@query("select doc_id, md5(text) as text_md5, case when doc_id % 2 = 0 or regexp_full_match(text, '[\\x00-\\x7f]*') then 'utf-8' else 'gb18030' end as encoding from documents where regexp_full_match(text, '[\\x00-\\x7f]*') or doc_id % 2 = 0")
+def _as_gb18030(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of odd length as GB18030, the others as UTF-8."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        data = [None if x is None else x.encode("gb18030" if len(x) % 2 else "utf-8") for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "content"])
+
+
+@query("select doc_id, md5(text) as text_md5, case when text is null then null when length(text) % 2 = 0 or regexp_full_match(text, '[\\x00-\\x7f]*') then 'utf-8' else 'gb18030' end as encoding, case when text is null then 'no known encoding fits' end as error from documents")
 def s3_decode_charset(t: Tables) -> DataFrame:
-    ascii_ = F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))
-    rows = t.read("documents").where(ascii_ | (F.col("doc_id") % 2 == 0)).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return S.decode_charset(rows).select("doc_id", F.md5("text").alias("text_md5"), "encoding")
+    rows = t.read("documents").select("doc_id", "text").mapInArrow(_as_gb18030, "doc_id long, content binary")
+    return S.decode_charset(rows).select("doc_id", F.md5("text").alias("text_md5"), "encoding", "error")
 
 
 # --- search
@@ -144,9 +157,9 @@ def q2_text_search(t: Tables) -> DataFrame:
     return Q.text_search(t.books, "Thing eaux").select("novel_id", "matched")
 
 
-@query(with_(_FEAT) + "select novel_id, cast(place as int) as place, other_id from (select a.novel_id, b.novel_id as other_id, row_number() over (partition by a.novel_id order by b.confidence_score desc, b.novel_id) as place from feat a join feat b on a.world_type = b.world_type and a.version = b.version and a.novel_id <> b.novel_id and b.confidence_score >= 0.6e0) where place <= 5")
+@query(with_(_FEAT) + "select novel_id, cast(place as int) as place, other_id from (select a.novel_id, b.novel_id as other_id, row_number() over (partition by a.novel_id order by b.confidence_score desc, b.novel_id) as place from feat a join feat b on (a.world_type is null or a.world_type = b.world_type) and (a.version is null or a.version = b.version) and a.novel_id <> b.novel_id and b.confidence_score >= 0.6e0) where place <= 5")
 def q3_similar_by_features(t: Tables) -> DataFrame:
-    return Q.similar_by_features(_feat(t), ["world_type", "version"], limit=5)
+    return Q.similar_by_features(_feat(t), ["world_type", "version"], limit=5)  # a missing field is no filter
 
 
 @query("select 'lang' as dimension, lang as value, count(*) as n from documents where lang is not null group by 2 union all select 'source', source, count(*) from documents where source is not null group by 2")
@@ -211,14 +224,20 @@ def q12_task_progress_log(t: Tables) -> DataFrame:
     return Q.stage_progress(_log(t))
 
 
-@query(with_(_FEAT) + "select novel_id, world_type || ' (' || version || ')' as said from feat where novel_id in (3, 5, 8, 13, 21)")
+_REPORTS = {name: _FOUND[name] for name in ("f14_formulas", "f15_creative_report", "f16_comparison_report")}
+
+
+@query("select novel_id, formula, summary, report, report_md5 from " + " join ".join(f"({sql}) {name}" + (" using (novel_id)" if k else "") for k, (name, (_, sql)) in enumerate(_REPORTS.items())) + f" where novel_id in ({_LABELS})")
 def q13_deep_reports(t: Tables) -> DataFrame:
-    return Q.get_by_key(_feat(t), "novel_id", [3, 5, 8, 13, 21]).select("novel_id", F.concat("world_type", F.lit(" ("), F.col("version").cast("string"), F.lit(")")).alias("said"))
+    """The reports of the novels that are asked for: those labelled good."""
+    wanted = t.read("labels").where("quality = 1").select(F.col("doc_id").alias("novel_id"))
+    first, *rest = (Q.get_by_key(f(t), "novel_id", wanted) for f, _ in _REPORTS.values())
+    return reduce(lambda a, b: a.join(b, "novel_id"), rest, first)
 
 
-@query(with_(_LOG) + ", r as (select *, row_number() over (partition by task_id order by ts desc, seq desc) as p from log) select task_id, status, stage as current_stage from r where p = 1 and task_id % 10 = 3")
+@query(with_(_LOG) + ", r as (select *, row_number() over (partition by task_id order by ts desc, seq desc) as p from log) select task_id, status, stage as current_stage from r where p = 1")
 def q14_task_status(t: Tables) -> DataFrame:
-    return Q.status_transitions(_log(t)).where("task_id % 10 = 3").select("task_id", "status", "current_stage")
+    return Q.status_transitions(_log(t)).select("task_id", "status", "current_stage")
 
 
 # --- vectors

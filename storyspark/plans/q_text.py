@@ -82,13 +82,20 @@ def t5_extract_metadata(t: Tables) -> DataFrame:
     return T.extract_metadata(t.books.select("novel_id", "text"), {"title": "anth", "author": "keit|eau"}).select("novel_id", F.nullif("title", F.lit("")).alias("title"), F.nullif("author", F.lit("")).alias("author"))
 
 
-@query(with_(_SPLIT) + ", n as (select *, count(*) over (partition by novel_id) as c from split) select novel_id, chapter_number, cast(length(content) as int) as word_count, cast(sum(length(content)) over (partition by novel_id) as bigint) as total_word_count, md5(content) as chapter_hash from n")
-def t6_parse_book(t: Tables) -> DataFrame:
-    books = titled(t).where(F.lit(True))
-    chapters = T.mark_core_chapters(T.split_chapters(books))
-    from pyspark.sql import Window
+_PARSED = _SPLIT.replace("titled as (", "raw as (", 1).replace(",\ntl as (", f",\ntitled as (select novel_id, {_CLEAN} as text from raw),\ntl as (", 1)
+_LABELS = {"title": "anth", "author": "keit|eau"}
+_LABELLED = "".join(f", {strip(f"list_filter(list_transform(string_split(text, chr(10))[:50], lambda x: regexp_extract(x, '(?:{p})[:\\s]*(.+)', 1)), lambda y: y <> '')[1]")} as novel_{k}" for k, p in _LABELS.items())
+
 
-    return chapters.select("novel_id", "chapter_number", "word_count", F.sum("word_count").over(Window.partitionBy("novel_id")).alias("total_word_count"), T.content_hash("content").alias("chapter_hash"))
+@query(
+    with_(_PARSED)
+    + f", info as (select novel_id{_LABELLED} from titled), n as (select *, row_number() over (partition by novel_id order by chapter_number) - 1 as i, count(*) over (partition by novel_id) as c from split) "
+    + "select novel_id, chapter_number, title, cast(length(content) as int) as word_count, c <= 20 or i < 10 or i >= c - 5 or (i - 10) % 10 = 0 as is_core, cast(sum(length(content)) over (partition by novel_id) as bigint) as total_word_count, "
+    + "md5(content) as chapter_hash, novel_title, novel_author from n join info using (novel_id)"
+)
+def t6_parse_book(t: Tables) -> DataFrame:
+    rows = T.parse_book(titled(t), labels=_LABELS, junk=[r"www\..+\.com", "tion"])
+    return rows.select("novel_id", "chapter_number", "title", "word_count", "is_core", "total_word_count", "chapter_hash", "novel_title", "novel_author")
 
 
 @query(with_(_CORE) + "select novel_id, md5(string_agg(content, chr(10) || chr(10) order by chapter_number) filter (is_core)) as text_md5 from core group by novel_id")

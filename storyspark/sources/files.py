@@ -106,6 +106,11 @@ def source(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return _READERS[name.lower()]
 
 
+def relational(rows: DataFrame, columns: list[str], where: str | None = None) -> DataFrame:
+    """Columns or expressions of the rows that fit; both reach the scan, whatever it reads."""
+    return (rows.where(where) if where else rows).selectExpr(*columns)
+
+
 def read_relational(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int) -> DataFrame:
     """A table scan over a pool of connections, dealt out by ranges of a key."""
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)

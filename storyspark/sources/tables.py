@@ -5,17 +5,22 @@ Plain Parquet has no update, so each operator takes tables and returns the new t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.vectors import l2_normalize
 
 
+def one_each(rows: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
+    """One row for each key: the highest ``version``, where one is named, then the smallest hash of the row."""
+    order = [F.col(version).desc_nulls_last()] if version else []
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.xxhash64(F.to_json(F.struct(*rows.columns)))))
+    return rows.withColumn("__p", place).where("__p = 1").drop("__p")
+
+
 def upsert(table: DataFrame, updates: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
-    """Replace or insert by key. Of several updates of a key the highest ``version`` stands."""
-    if version:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.xxhash64(*updates.columns)))
-        updates = updates.withColumn("__p", place).where("__p = 1").drop("__p")
+    """Replace or insert by key. Of several updates of a key one stands, see ``one_each``."""
+    updates = one_each(updates, keys, version)
     return table.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)
 
 
@@ -24,9 +29,12 @@ def append_chapters(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("chapter_hash", F.md5("content"))
 
 
-def update_columns(table: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Set columns where an update has a value; ``changed`` tells whether a row is another now."""
-    own = updates.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+def update_columns(table: DataFrame, updates: DataFrame, key: str, columns: list[str], version: str | None = None) -> DataFrame:
+    """Set columns where an update has a value; ``changed`` tells whether a row is another now.
+
+    Of several updates of a key one stands, see ``one_each``.
+    """
+    own = one_each(updates, [key], version).select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     rows = table.join(own, key, "left")
     changed = F.lit(False)
     for c in columns:
@@ -56,11 +64,3 @@ def insert_vectors(rows: DataFrame, vector: str = "vector", title: str | None =
 def create_rows(rows: DataFrame, parts: list[str], name: str = "id") -> DataFrame:
     """Add an id that is a hash of the row's own values, so that a repeated task makes the same id."""
     return rows.withColumn(name, F.sha2(F.concat_ws("\x1f", *[F.col(p).cast("string") for p in parts]), 256))
-
-
-def write_partitioned(rows: DataFrame, path: str, by: list[str], mode: str = "append") -> None:
-    rows.write.mode(mode).partitionBy(*by).parquet(path)
-
-
-def normalised(vector: Column) -> Column:
-    return l2_normalize(vector)
