@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import character, commercial, fusion, narrative, rules, setting, story, text
 
 DIMENSIONS = {
@@ -45,21 +48,56 @@ def dimension_structs(deep: DataFrame) -> DataFrame:
     return deep.select("novel_id", *[F.struct(*names.split()).alias(d) for d, names in DIMENSIONS.items()], "overall_quality", "reusable_tags", "reverse_summary", "consistency_score", "formula_summary")
 
 
-def basic_features(books: DataFrame, rule_table: DataFrame, model: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chapters and features of raw books: parse, core text, rules, and fusion with a model's rows."""
-    chapters = text.parse_book(books)
-    found = rules.rule_features(text.core_text(chapters), rule_table)
+class Basic(NamedTuple):
+    """What basic parsing leaves: chapters and features to store, and the stages that each book passed."""
+
+    chapters: DataFrame
+    features: DataFrame
+    progress: DataFrame
+
+
+#: Stages of basic parsing, with the status that a task has in them.
+STAGES = (("preprocessing", "preprocessing"), ("feature_extraction", "extracting"), ("result_fusion", "fusing"))
+
+
+def text_features(texts: DataFrame, rule_table: DataFrame, model: DataFrame | None = None, cultivation: str = "仙侠") -> DataFrame:
+    """Features of texts by rules, fused with a model's rows where there are any, and their ``issues``."""
+    found = rules.rule_features(texts, rule_table)
     found = found.withColumnsRenamed({c: c.split("_", 1)[1] for c in found.columns if c not in ("novel_id", "confidence_score")})
     found = found.withColumn("conflict_types", F.when(F.col("conflict_types").isNotNull(), F.array("conflict_types")).otherwise(F.array().cast("array<string>")))
-    return chapters, fusion.engine_switch(found, model)
+    out = fusion.engine_switch(found, model)
+    c = F.col
+    return out.withColumn("issues", fusion.validate_features(c("confidence_score"), c("world_type"), c("task_structure"), c("power_system"), cultivation=cultivation))
+
+
+def basic_features(books: DataFrame, rule_table: DataFrame, model: DataFrame | None = None, known: DataFrame | None = None, **parse) -> Basic:
+    """Parse raw books, take features of their core texts, check them, and put them in the ``known`` table.
+
+    ``parse`` are options of ``text.parse_book``. Progress has a row for each book, stage and end of it.
+    """
+    chapters = text.parse_book(books, **parse)
+    found = text_features(text.core_text(chapters), rule_table, model)
+    stored = found if known is None else tables.upsert(known, found, ["novel_id"])
+    ends = [F.struct(F.lit(2 * i + k).alias("ord"), F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.lit(100.0 * k).alias("progress")) for i, (stage, status) in enumerate(STAGES) for k in (0, 1)]
+    return Basic(chapters, stored, found.select("novel_id", F.inline(F.array(*ends))))
+
+
+def incremental_features(chapters: DataFrame, features: DataFrame, incoming: DataFrame, rule_table: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """The features after new chapters came in.
+
+    Only incoming chapters whose hash is unknown count; the features of a book's new text take the place
+    of its known ones where they are surer. A book without new chapters keeps what it had.
+    """
+    new = text.joined_text(fusion.incremental_chapters(chapters, incoming))
+    return fusion.merge_by_confidence(features, text_features(new, rule_table, model).select(*features.columns))
 
 
-def parse_batch(books: DataFrame, wanted: DataFrame, rule_table: DataFrame, kind: str = "basic") -> DataFrame:
+def parse_batch(books: DataFrame, wanted: DataFrame, rule_table: DataFrame, kind: str = "basic", **parse) -> DataFrame:
     """Basic or deep features of the wanted books in one job."""
-    own = books.join(wanted.select("novel_id").distinct(), "novel_id", "left_semi")
+    own = books.join(wanted.select("novel_id").distinct().hint("merge"), "novel_id", "left_semi")
     if kind == "basic":
-        return basic_features(own, rule_table)[1]
+        return basic_features(own, rule_table, **parse).features
     if kind == "deep":
-        chapters = text.parse_book(own).select("novel_id", "chapter_number", "content")
+        chapters = text.parse_book(own, **parse).select("novel_id", "chapter_number", "content")
         return deep_features(text.full_text(chapters), chapters)
     raise ValueError(f"unknown kind: {kind}")

@@ -99,7 +99,7 @@ def merge_by_confidence(old: DataFrame, new: DataFrame, key: str = "novel_id", b
 
 def incremental_chapters(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """The chapters whose hash is not known yet."""
-    return incoming.join(known.select("chapter_hash").distinct(), "chapter_hash", "left_anti")
+    return incoming.join(known.select("chapter_hash").distinct().hint("merge"), "chapter_hash", "left_anti")
 
 
 def overall_quality(reuse: Column, unique: Column, coherent: Column, novel: Column, satisfying: Column, memorable: Column, rhythm: Column, difficulty: Column) -> Column:

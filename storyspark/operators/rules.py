@@ -24,7 +24,7 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 def keyword_presence_ratio(text: str | Column, keywords: Column) -> Column:
     """Share of the keywords that the text holds; 0 without keywords."""
     n = F.size(F.filter(keywords, lambda k: F.contains(col(text), k)))
-    return F.when(F.size(keywords) > 0, n / F.size(keywords)).otherwise(0.0)
+    return F.when((F.size(keywords) > 0) & col(text).isNotNull(), n / F.size(keywords)).otherwise(0.0)
 
 
 def regex_rule_score(text: str | Column, pattern: str | Column) -> Column:
@@ -34,8 +34,12 @@ def regex_rule_score(text: str | Column, pattern: str | Column) -> Column:
 
 
 def first_matching_keyword(text: str | Column, keywords: Column) -> Column:
-    """The first listed keyword that the text holds."""
-    return F.get(F.filter(keywords, lambda k: F.contains(col(text), k)), F.lit(0))
+    """The first listed keyword that the text holds.
+
+    The text is named outside the lambda too: a filter that names it in there alone may be pushed to the
+    side of a join that lacks it.
+    """
+    return F.when(col(text).isNotNull(), F.get(F.filter(keywords, lambda k: F.contains(col(text), k)), F.lit(0)))
 
 
 def rule_scores(books: DataFrame, rules: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,12 +23,10 @@ def feature_texts(deep: DataFrame) -> DataFrame:
 
 def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
     """A plain encoder for tests: words hashed to places, unit length."""
-    import zlib
-
     out = np.zeros((len(texts), size), np.float32)
     for i, t in enumerate(texts):
         for w in (t or "").lower().split():
-            h = zlib.crc32(w.encode())
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
             out[i, h % size] += 1 if h >> 16 & 1 else -1
     size_ = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(size_ == 0, 1, size_)
@@ -121,12 +120,19 @@ def knn_lsh(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     return near.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
 
+_METHODS: dict[str, Callable[..., DataFrame]] = {"exact": knn_exact, "ivf": knn_approx, "lsh": knn_lsh}
+
+
+def register_index(name: str, method: Callable[..., DataFrame]) -> None:
+    """Let ``search`` use a caller's method under a name."""
+    _METHODS[name] = method
+
+
 def search(rows: DataFrame, queries: DataFrame, method: str = "exact", **options) -> DataFrame:
-    """The search by a named method: ``exact``, ``ivf`` or ``lsh``."""
-    methods = {"exact": knn_exact, "ivf": knn_approx, "lsh": knn_lsh}
-    if method not in methods:
+    """The search by a named method: ``exact``, ``ivf``, ``lsh`` or one that was registered."""
+    if method not in _METHODS:
         raise ValueError(f"unknown method: {method}")
-    return methods[method](rows, queries, **options)
+    return _METHODS[method](rows, queries, **options)
 
 
 def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str = "novel_id", vector: str = "vector", max_queries: int = 5000) -> DataFrame:

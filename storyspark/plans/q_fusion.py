@@ -14,11 +14,11 @@ from ..operators import character as C
 from ..operators import deep
 from ..operators import fusion as U
 from ..operators import model as P
-from ..operators import rules as R
 from . import bindings as B
 from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, with_
 from .bindings import top as sql_top
 from .q_books import C6, C7
+from .q_text import CORE_TEXTS, FIELD_ROWS, FOUND, PARSE, PARSED, rule_table, titled
 
 #: Rule rows, model rows or both for each document, by its length.
 _SIDES = f"""sides as (select novel_id, genre, text, n_chars, {sql_top(LATIN, cols(LATIN))} as guess from (select *, {scored(LATIN)} from books)),
@@ -175,10 +175,21 @@ def f17_extract_keywords(t: Tables) -> DataFrame:
     return _fused(t).select("novel_id", F.array_join(U.extract_keywords(F.col("world_type"), F.col("power_system"), F.col("task_structure"), F.col("narrative_perspective")), ",").alias("keywords"))
 
 
-@query(with_(CHAPTERS) + ", h as (select *, md5(content) as chapter_hash from chapters), old as (select chapter_hash from h where novel_id % 3 = 0) select novel_id, chapter_number, chapter_hash from h where novel_id % 3 > 0 and chapter_hash not in (select chapter_hash from old)")
+#: Known are two thirds of the chapters; of those that come in, every fifth has changed.
+_NEW = (
+    CHAPTERS + ", old as (select distinct md5(content) as h from chapters where chapter_number % 3 > 0), inc as (select novel_id, chapter_number, case when chapter_number % 5 = 0 then content || '!' else content end as content from chapters), "
+    "books as (select novel_id, string_agg(content, chr(10) || chr(10) order by chapter_number) as text from inc where md5(content) not in (select h from old) group by 1), "
+    "was as (select doc_id as novel_id, 'old' as world_type, null as task_structure, cast(n_chars % 10 as double) / 10 as confidence_score from documents)"
+)
+
+
+@query(with_(_NEW, FOUND) + "select o.novel_id, case when n.confidence_score > o.confidence_score then n.world_type else o.world_type end as world_type, case when n.confidence_score > o.confidence_score then n.task_structure else o.task_structure end as task_structure, case when n.confidence_score > o.confidence_score then n.confidence_score else o.confidence_score end as confidence_score from was o left join found n using (novel_id)")
 def v2_incremental_features(t: Tables) -> DataFrame:
-    rows = t.chapters.withColumn("chapter_hash", F.md5("content"))
-    return U.incremental_chapters(rows.where("novel_id % 3 = 0"), rows.where("novel_id % 3 > 0")).select("novel_id", "chapter_number", "chapter_hash")
+    n = F.col("chapter_number")
+    known = t.chapters.where(n % 3 > 0).withColumn("chapter_hash", F.md5("content"))
+    new = t.chapters.withColumn("content", F.when(n % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).withColumn("chapter_hash", F.md5("content"))
+    was = t.books.select("novel_id", F.lit("old").alias("world_type"), F.lit(None).cast("string").alias("task_structure"), ((F.col("n_chars") % 10).cast("double") / 10).alias("confidence_score"))
+    return deep.incremental_features(known, was, new, rule_table(t, FIELD_ROWS))
 
 
 @query(with_(BOOKS) + f"select novel_id, array_to_string(list_filter([case when a < 0 or a > 0.9e0 then 'a' end, case when b < 0.1e0 or b > 1 then 'b' end, case when k < 1 or k > 4 then 'k' end], lambda x: x is not null), ',') as issues from ({_Q})")
@@ -203,9 +214,15 @@ def v1_deep_features(t: Tables) -> DataFrame:
     return rows.select("novel_id", "conflict_type", "gf_type", "arc_type", "perspective", "segment", "overall_quality", "consistency_score", F.array_join("reusable_tags", "|").alias("reusable_tags"), "reverse_summary", "formula_summary")
 
 
-@query()
+_ISSUES = "array_to_string(list_filter([case when confidence_score < 0.7e0 then 'Confidence score too low' end, case when coalesce(world_type, '') = '' then 'Missing world_type' end, case when coalesce(task_structure, '') = '' then 'Missing task_structure' end], lambda x: x is not null), '|')"
+
+
+@query(with_(PARSED, CORE_TEXTS, FOUND) + f"select novel_id, task_structure, world_type, confidence_score, {_ISSUES} as issues, 6 as steps, 100.0e0 as progress, chapters from found join (select novel_id, count(*) as chapters from split group by 1) using (novel_id)")
 def v4_basic_features(t: Tables) -> DataFrame:
-    return deep.basic_features(t.books.select(F.col("novel_id").cast("string").alias("novel_id"), "text"), R.builtin_rules(t.spark), None)[1].select("novel_id", "task_structure", "world_type", "confidence_score")
+    out = deep.basic_features(titled(t), rule_table(t, FIELD_ROWS), **PARSE)
+    steps = out.progress.groupBy("novel_id").agg(F.count("*").cast("int").alias("steps"), F.max_by("progress", "ord").alias("progress"))
+    n = out.chapters.groupBy("novel_id").agg(F.count("*").alias("chapters"))
+    return out.features.select("novel_id", "task_structure", "world_type", "confidence_score", F.array_join("issues", "|").alias("issues")).join(steps, "novel_id").join(n, "novel_id")
 
 
 @query()
@@ -214,10 +231,10 @@ def v5_dimension_structs(t: Tables) -> DataFrame:
     return rows.select("novel_id", *[F.to_json(d).alias(d) for d in deep.DIMENSIONS])
 
 
-@query()
+@query(with_(PARSED, CORE_TEXTS, FOUND) + "select novel_id, world_type, confidence_score from found where novel_id in (select doc_id from labels)")
 def p6_parse_novels_batch(t: Tables) -> DataFrame:
-    books = t.books.select("novel_id", "text")
-    return deep.parse_batch(books, t.read("labels").select(F.col("doc_id").alias("novel_id")), R.builtin_rules(t.spark)).select("novel_id", "confidence_score")
+    wanted = t.read("labels").select(F.col("doc_id").alias("novel_id"))
+    return deep.parse_batch(titled(t), wanted, rule_table(t, FIELD_ROWS), **PARSE).select("novel_id", "world_type", "confidence_score")
 
 
 # --- benchmark library

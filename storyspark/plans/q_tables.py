@@ -123,6 +123,31 @@ def s15_relational_scan(t: Tables) -> DataFrame:
     return S.relational(t.read("orders"), ["o_orderkey", "o_custkey", "datediff(o_orderdate, date'1990-01-01') as age"])
 
 
+def _as_files(t: Tables, *by: str) -> str:
+    """The documents as text files, a line end after each."""
+    path = X.scratch(t.spark, "texts")
+    t.read("documents").select(F.coalesce("text", F.lit("")).alias("value"), *by).write.partitionBy(*by).text(path)
+    return path
+
+
+@query("select source, cast(sum(length(coalesce(text, '')) + 1) as bigint) as n_chars from documents group by 1")
+def s1_read_text_corpus(t: Tables) -> DataFrame:
+    files = S.read_text_corpus(t.spark, _as_files(t, "source"))
+    return files.select(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), F.length("text").alias("n")).groupBy("source").agg(F.sum("n").alias("n_chars"))
+
+
+@query("select 'txt' as extension, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as size, true as titled from documents")
+def s2_read_directory(t: Tables) -> DataFrame:
+    files = S.read_directory(t.spark, _as_files(t))
+    return files.groupBy("extension").agg(F.sum("size").alias("size"), F.bool_and(F.startswith("title", F.lit("part-"))).alias("titled"))
+
+
+@query("select doc_id as novel_id, coalesce(text, '') as content from documents")
+def u4_user_source(t: Tables) -> DataFrame:
+    S.register_source("table", lambda spark, path: spark.read.parquet(path).select(F.col("doc_id").alias("novel_id"), F.coalesce("text", F.lit("")).alias("content")))
+    return S.source("Table")(t.spark, f"{t.folder}/documents.parquet")
+
+
 @query("select doc_id, md5(text) as file_hash, cast(strlen(text) as int) as file_size, case when strlen(text) > 4000 then 'too large' when strlen(text) = 0 then 'empty' end as reject_reason from documents")
 def s4_catalog_files(t: Tables) -> DataFrame:
     rows = t.read("documents").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.lit("txt").alias("extension"))
@@ -250,10 +275,14 @@ def k1_feature_texts(t: Tables) -> DataFrame:
     return K.feature_texts(rows)
 
 
-@query()
+@query(
+    with_(BOOKS)
+    + "select novel_id, cast(h % 64 as int) as slot, round(n / sqrt(sum(n * n) over (partition by novel_id)), 4) as value from (select novel_id, h % 64 as h, cast(sum(case when (h >> 16) & 1 = 1 then 1 else -1 end) as double) as n "
+    + "from (select novel_id, cast('0x' || md5(w)[1:8] as bigint) as h from (select novel_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from books)) group by 1, 2) where n <> 0"
+)
 def k2_embed(t: Tables) -> DataFrame:
     rows = K.embed(t.books.select("novel_id", "text"))
-    return rows.select("novel_id", F.round(K.norm(F.col("vector")), 5).alias("norm"))
+    return rows.select("novel_id", F.posexplode("vector").alias("slot", "value")).where("value != 0").withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query(with_(_UNIT) + "select vec_id, round(list_sum(v), 9) as total from unit")
@@ -284,6 +313,12 @@ def k6_knn_filtered(t: Tables) -> DataFrame:
     return K.search(t.read("embeddings"), _asked(t), k=5, where=F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
+@query(_knn_sql("u.label < 5", 3))
+def u5_user_vector_index(t: Tables) -> DataFrame:
+    K.register_index("low_labels", lambda rows, queries, **options: K.knn_exact(rows.where("label < 5"), queries, **options))
+    return K.search(t.read("embeddings"), _asked(t), "low_labels", k=3).withColumn("score", F.round("score", 6))
+
+
 @query()
 def k7_knn_approx(t: Tables) -> DataFrame:
     return K.search(t.read("embeddings"), _asked(t), "ivf").withColumn("score", F.round("score", 6))

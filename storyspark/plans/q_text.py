@@ -82,19 +82,27 @@ def t5_extract_metadata(t: Tables) -> DataFrame:
     return T.extract_metadata(t.books.select("novel_id", "text"), {"title": "anth", "author": "keit|eau"}).select("novel_id", F.nullif("title", F.lit("")).alias("title"), F.nullif("author", F.lit("")).alias("author"))
 
 
-_PARSED = _SPLIT.replace("titled as (", "raw as (", 1).replace(",\ntl as (", f",\ntitled as (select novel_id, {_CLEAN} as text from raw),\ntl as (", 1)
+PARSED = _SPLIT.replace("titled as (", "raw as (", 1).replace(",\ntl as (", f",\ntitled as (select novel_id, {_CLEAN} as text from raw),\ntl as (", 1)
 _LABELS = {"title": "anth", "author": "keit|eau"}
+PARSE = {"labels": _LABELS, "junk": [r"www\..+\.com", "tion"]}
 _LABELLED = "".join(f", {strip(f"list_filter(list_transform(string_split(text, chr(10))[:50], lambda x: regexp_extract(x, '(?:{p})[:\\s]*(.+)', 1)), lambda y: y <> '')[1]")} as novel_{k}" for k, p in _LABELS.items())
 
 
+#: Texts of the core chapters of parsed books.
+CORE_TEXTS = (
+    "pn as (select *, row_number() over (partition by novel_id order by chapter_number) - 1 as i, count(*) over (partition by novel_id) as c from split), "
+    "books as (select novel_id, string_agg(content, chr(10) || chr(10) order by chapter_number) filter (c <= 20 or i < 10 or i >= c - 5 or (i - 10) % 10 = 0) as text from pn group by 1)"
+)
+
+
 @query(
-    with_(_PARSED)
+    with_(PARSED)
     + f", info as (select novel_id{_LABELLED} from titled), n as (select *, row_number() over (partition by novel_id order by chapter_number) - 1 as i, count(*) over (partition by novel_id) as c from split) "
     + "select novel_id, chapter_number, title, cast(length(content) as int) as word_count, c <= 20 or i < 10 or i >= c - 5 or (i - 10) % 10 = 0 as is_core, cast(sum(length(content)) over (partition by novel_id) as bigint) as total_word_count, "
     + "md5(content) as chapter_hash, novel_title, novel_author from n join info using (novel_id)"
 )
 def t6_parse_book(t: Tables) -> DataFrame:
-    rows = T.parse_book(titled(t), labels=_LABELS, junk=[r"www\..+\.com", "tion"])
+    rows = T.parse_book(titled(t), **PARSE)
     return rows.select("novel_id", "chapter_number", "title", "word_count", "is_core", "total_word_count", "chapter_hash", "novel_title", "novel_author")
 
 
@@ -160,14 +168,18 @@ RULE_ROWS = [
 ]
 
 
-def rule_table(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(RULE_ROWS, schemas.RULES)
+#: The same rules for fields that features have.
+FIELD_ROWS = [(*r[:3], {"f.lang": "background.world_type", "f.style": "task.task_structure"}[r[3]], *r[4:]) for r in RULE_ROWS]
 
 
-def _rule_sql() -> str:
+def rule_table(t: Tables, rows: list[tuple] = RULE_ROWS) -> DataFrame:
+    return t.spark.createDataFrame(rows, schemas.RULES)
+
+
+def _rule_sql(rows: list[tuple] = RULE_ROWS) -> str:
     parts = []
-    for rid, k, name, field, kind, words, pattern, value, weight, on, _ in RULE_ROWS:
-        if not on:
+    for rid, k, name, field, kind, words, pattern, value, weight, on, _ in rows:
+        if not on or kind not in ("keyword", "regex"):
             continue
         score = f"{present('text', words)} / {len(words)}" if kind == "keyword" else f"least(len(regexp_extract_all(text, {s('(?i)' + pattern)})) / 10, 1.0)"
         val = s(value) if value else first_present("text", words) if kind == "keyword" else s(name)
@@ -176,7 +188,13 @@ def _rule_sql() -> str:
 
 
 _RULES = with_(BOOKS, _rule_sql())
-_APPLY = _RULES[:-1] + ", ap as (select novel_id, target_field, value, sum(score * weight) as score, min(rule_ord) as o from rs where value is not null group by 1, 2, 3), best as (select *, row_number() over (partition by novel_id, target_field order by round(score, 9) desc, o) as p from ap)\n"
+_BEST = "ap as (select novel_id, target_field, value, sum(score * weight) as score, min(rule_ord) as o from rs where value is not null group by 1, 2, 3), best as (select *, row_number() over (partition by novel_id, target_field order by round(score, 9) desc, o) as p from ap)"
+_APPLY = _RULES[:-1] + f", {_BEST}\n"
+#: Features that the rules give the texts of ``books``.
+FOUND = (
+    f"{_rule_sql(FIELD_ROWS)}, {_BEST}, fr as (select b.novel_id, max(value) filter (target_field = 'background.world_type' and p = 1) as world_type, max(value) filter (target_field = 'task.task_structure' and p = 1) as task_structure from books b left join best using (novel_id) group by 1), "
+    "found as (select *, case when world_type is null and task_structure is null then 0.0e0 else (case when world_type is null then 0.0e0 else 0.9e0 end + case when task_structure is null then 0.0e0 else 0.8e0 end) / (cast(world_type is not null as int) + cast(task_structure is not null as int)) end as confidence_score from fr)"
+)
 
 
 @query(_RULES + "select novel_id, rule_id, score from rs where rule_id like 'k%'")
@@ -204,6 +222,19 @@ def r6_rule_features(t: Tables) -> DataFrame:
     return R.rule_features(t.books, rule_table(t), ["f.lang", "f.style"]).select("novel_id", "f_lang", "f_style")
 
 
+_USER_ROWS = [
+    ("u_keit", 100, "mine", "f.lang", "keyword", ["keit", "ung"], None, "mine", 2.0, True, None),
+    ("u_case", 101, "case", "f.case", "regex", None, "[A-Z][a-z]+ion", "cased", 1.0, True, None),
+    ("u_ml", 102, "ml", "f.case", "ml", None, None, "never", 9.0, True, None),
+]
+
+
+@query(with_(BOOKS, _rule_sql(RULE_ROWS + _USER_ROWS), _BEST) + "select novel_id, target_field, value, score from best where p = 1")
+def u2_user_rules(t: Tables) -> DataFrame:
+    """Rules of the caller beside the others; a rule of a kind that has no score never applies."""
+    return R.apply_rules(t.books, rule_table(t).unionByName(rule_table(t, _USER_ROWS)))
+
+
 @query(with_(BOOKS) + "select novel_id, case when a + b > 0 then (a * 0.8e0 + b * 0.9e0) / (a + b) else 0.0e0 end as confidence from (select novel_id, cast(contains(text, 'keit') as int) as a, cast(contains(text, 'eau') as int) as b from books)")
 def r7_rule_confidence(t: Tables) -> DataFrame:
     has_ = lambda k: F.when(F.contains("text", F.lit(k)), F.lit("x"))

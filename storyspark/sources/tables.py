@@ -5,12 +5,28 @@ Plain Parquet has no update, so each operator takes tables and returns the new t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.vectors import l2_normalize
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Only a local session may do without that setting; on a cluster tasks would write to their own disks.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def one_each(rows: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """One row for each key: the highest ``version``, where one is named, then the smallest hash of the row."""
     order = [F.col(version).desc_nulls_last()] if version else []

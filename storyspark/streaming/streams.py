@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.tables import scratch
+
 
 def counter_totals(events: DataFrame, labels: list[str], width: str = "1 day", late: str = "1 hour", ts: str = "ts") -> DataFrame:
     by = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *labels).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -30,10 +30,17 @@ def sessions(events: DataFrame, key: str, silence: str = "60 seconds", late: str
 
 
 def alert_cooldown(events: DataFrame, key: str, seconds: int = 300, ts: str = "ts") -> DataFrame:
-    """Alerts that are let through; the state of a key is the time of its last one."""
+    """Alerts that are let through; the state of a key is the time of its last one.
+
+    The state is dropped once the watermark, which the caller sets on ``events``, is past the time at which
+    every alert would be let through.
+    """
     kind = dict(events.dtypes)[key]
 
     def told(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for t in sorted(x for p in parts for x in p[ts].tolist()):
@@ -43,9 +50,10 @@ def alert_cooldown(events: DataFrame, key: str, seconds: int = 300, ts: str = "t
                 last = at
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
 
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts).groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_chapters(chapters: DataFrame, ts: str = "ts", remember: str = "30 days") -> DataFrame:
@@ -65,8 +73,7 @@ def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     query's checkpoint are in the shared folder that the session names.
     """
     spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyspark-")
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
         target = f"{path}/table" if mode == "complete" else f"{path}/table/batch={n}"

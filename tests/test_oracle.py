@@ -14,7 +14,7 @@ from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Composites whose parts are compared one by one; run here for their rows alone.
-ROWS_ONLY = {"v1_deep_features", "v4_basic_features", "v5_dimension_structs", "p6_parse_novels_batch", "k2_embed", "k7_knn_approx", "k7_knn_lsh"}
+ROWS_ONLY = {"v1_deep_features", "v5_dimension_structs", "k7_knn_approx", "k7_knn_lsh"}
 
 
 @pytest.fixture(scope="module")
