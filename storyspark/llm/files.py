@@ -35,3 +35,9 @@ def opened(path: str):
     """A readable stream of a file."""
     store, root = _at(path)
     return store.open_input_stream(root, compression=None)
+
+
+def seekable(path: str):
+    """A file for reading at any place."""
+    store, root = _at(path)
+    return store.open_input_file(root)

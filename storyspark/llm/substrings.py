@@ -13,26 +13,30 @@ one aligned anchor of ``length - PERIOD + 1`` words, and only anchors at cover p
 No pairs are made: a group is only told whether it has a second member. Each map task thins out what
 repeats among its own rows (one witness goes on under the hash, the others are known to repeat and are
 dealt out evenly), so a passage that a third of all documents share loads no single task.
+
+The texts are written once, each row with a number of its own, and stay where they are: what was found is
+dealt out by the files of that table, and a task that gets a file's findings reads that file.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, written
+from .files import seekable
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 LENGTH = 35
-#: Bytes of run tables that may be broadcast; larger ones are joined by shuffle.
-MAX_BROADCAST_BYTES = 64 << 20
 #: Hashes that a map task looks through at once for repeats of its own.
 CHUNK = 1 << 21
 
@@ -69,23 +73,23 @@ def cover_positions(n: int) -> np.ndarray:
 
 
 class _Out:
-    """Gathers (key, check, id, tag, pos) rows and yields them with their kind, in bounded pieces."""
+    """Gathers (key, check, row, pos) rows and yields them with their kind, in bounded pieces."""
 
-    names = ("key", "check", "id", "tag", "pos", "kind")
-    types = (np.uint64, np.int32, np.int64, np.int32, np.int32, np.int32)
+    names = ("key", "check", "row", "pos", "kind")
+    types = (np.uint64, np.int32, np.int64, np.int32)
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.n = 0
 
-    def add(self, key: np.ndarray, check: np.ndarray, doc: int, tag: int, pos: np.ndarray) -> None:
-        self.parts.append((key, check, np.full(len(pos), doc, np.int64), np.full(len(pos), tag, np.int32), pos))
+    def add(self, key: np.ndarray, check: np.ndarray, row: int, pos: np.ndarray) -> None:
+        self.parts.append((key, check, np.full(len(pos), row, np.int64), pos))
         self.n += len(pos)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        cols = [np.concatenate([p[i] for p in self.parts]).astype(t, copy=False) for i, t in enumerate(self.types[:5])]
+        cols = [np.concatenate([p[i] for p in self.parts]).astype(t, copy=False) for i, t in enumerate(self.types)]
         self.parts, self.n = [], 0
         order = np.lexsort((cols[1], cols[0]))
         key, check = cols[0][order], cols[1][order]
@@ -102,7 +106,7 @@ class _Out:
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], list(self.names))
 
 
-_ROWS = "key long, check int, id long, tag int, pos int, kind int"
+_ROWS = "key long, check int, row long, pos int, kind int"
 
 
 def _hashed(text: str | None) -> np.ndarray:
@@ -116,11 +120,11 @@ def _anchors(length: int):
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
         for batch in batches:
-            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = _hashed(text.as_py())
                 if len(hashes) >= length:
                     at = cover_positions(len(hashes) - size + 1)
-                    out.add(window_hashes(hashes, at, size), np.zeros(len(at), np.int32), doc, tag, at)
+                    out.add(window_hashes(hashes, at, size), np.zeros(len(at), np.int32), row, at)
                 if out.n >= CHUNK:
                     yield from out.batches()
         yield from out.batches()
@@ -128,18 +132,30 @@ def _anchors(length: int):
     return told
 
 
+def _read(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """The rows of files of texts, each with its runs: starts and ends. Batches are (path, runs)."""
+    for batch in batches:
+        for path, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = {r["row"]: (r["starts"], r["ends"]) for r in runs or []}
+            with seekable(path) as file:
+                for part in pq.ParquetFile(file).iter_batches(500, columns=columns):
+                    for row, *rest in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                        yield *rest, row, *found.get(row, ([], []))
+
+
 def _windows(length: int):
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
-        for batch in batches:
-            for doc, tag, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = _hashed(text)
-                last = len(hashes) - length + 1
-                at = np.concatenate([np.arange(max(a, 0), min(b, last)) for a, b in zip(starts, ends, strict=True)])
-                check = (window_hashes(hashes, at, length, 1) >> np.uint64(33)).astype(np.int32)
-                out.add(window_hashes(hashes, at, length), check, doc, tag, at)
-                if out.n >= CHUNK:
-                    yield from out.batches()
+        for text, row, starts, ends in _read(batches, ["row", "text"]):
+            if not starts:
+                continue
+            hashes = _hashed(text)
+            last = len(hashes) - length + 1
+            at = np.concatenate([np.arange(max(a, 0), min(b, last)) for a, b in zip(starts, ends, strict=True)])
+            check = (window_hashes(hashes, at, length, 1) >> np.uint64(33)).astype(np.int32)
+            out.add(window_hashes(hashes, at, length), check, row, at)
+            if out.n >= CHUNK:
+                yield from out.batches()
         yield from out.batches()
 
     return told
@@ -167,11 +183,11 @@ def _told(cols: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch
     n = len(cols[0])
     if not n:
         return
-    kind = cols[5]
+    kind = cols[4]
     owners = np.add.reduceat((kind < 2).astype(np.int64), starts)
     hit = (kind > 0) | np.repeat(owners > 1, np.diff(np.append(starts, n)))
     if hit.any():
-        yield pa.RecordBatch.from_arrays([pa.array(cols[i][hit]) for i in (2, 3, 4)], ["id", "tag", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[i][hit]) for i in (2, 3)], ["row", "pos"])
 
 
 def merged(starts: np.ndarray, width_left: int, width_right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +200,8 @@ def merged(starts: np.ndarray, width_left: int, width_right: int) -> tuple[np.nd
 def _runs(left: int, right: int):
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [merged(np.sort(np.array(x.as_py(), np.int64)), left, right) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([p[i].tolist() for p in pairs], pa.list_(pa.int32())) for i in (0, 1))],
-                ["id", "tag", "starts", "ends"],
-            )
+            pairs = [merged(np.sort(np.array(x.as_py(), np.int64)), left, right) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[i].tolist() for p in pairs], pa.list_(pa.int32())) for i in (0, 1))], ["row", "starts", "ends"])
 
     return told
 
@@ -196,33 +209,38 @@ def _runs(left: int, right: int):
 def _found(rows: DataFrame, left: int, right: int, name: str) -> DataFrame:
     """Per document the merged runs around the places of repeated hashes."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "check")
-    places = dealt.mapInArrow(_repeated, "id long, tag int, pos int")
-    lists = places.groupBy("id", "tag").agg(F.collect_list("pos").alias("pos"))
-    return written(lists.mapInArrow(_runs(left, right), "id long, tag int, starts array<int>, ends array<int>"), name)
+    places = dealt.mapInArrow(_repeated, "row long, pos int")
+    lists = places.groupBy("row").agg(F.collect_list("pos").alias("pos"))
+    return written(lists.mapInArrow(_runs(left, right), "row long, starts array<int>, ends array<int>"), name)
+
 
+def _part(row: str) -> Column:
+    """The task that wrote a row, and so its file: the upper bits of the number it got."""
+    return F.shiftright(row, 33).alias("part")
 
-def _beside(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    """Join runs to documents: by broadcast only under a checked size, else by shuffle."""
-    n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("starts") * 8), F.lit(0))).first()
-    hint = "broadcast" if n * 64 + size <= MAX_BROADCAST_BYTES else "merge"
-    return docs.join(runs.hint(hint), ["id", "tag"], how)
+
+def _beside(files: DataFrame, runs: DataFrame, how: str) -> DataFrame:
+    """Files ``(path, runs)``, each with its rows' runs, one file a task."""
+    told = runs.groupBy(_part("row")).agg(F.collect_list(F.struct("row", "starts", "ends")).alias("runs"))
+    return files.join(told.hint("merge"), "part", how).select("path", "runs").repartition(max(1, files.count()))
 
 
 def _removed(with_text: bool):
     kinds = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        names = list(kinds)[: 4 + with_text]
+        rows = _read(batches, ["row", "id", "none", "text"])
+        while some := list(islice(rows, 500)):
             out: list[tuple] = []
-            for doc, none, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, none, text, _, starts, ends in some:
                 parts = words(text)
                 gone = 0
-                for a, b in zip(reversed(starts or []), reversed(ends or []), strict=True):
+                for a, b in zip(reversed(starts), reversed(ends), strict=True):
                     gone += len(parts[a:b])
                     del parts[a:b]
                 kept = b" ".join(parts)
                 out.append((None if none else doc, len(parts) + gone, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
-            names = list(kinds)[: 4 + with_text]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[c]) for i, c in enumerate(names)], names)
 
     return told
@@ -242,17 +260,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrow_rows(docs.sparkSession, 1000)
     kind = docs.schema[id_col].dataType.simpleString()
     own = F.col(id_col)
-    rows = docs.select(
-        F.coalesce(own.cast("long"), F.lit(0)).alias("id"),
-        F.hash(F.col(text_col), own.isNull()).alias("tag"),
-        own.isNull().alias("none"),
-        F.col(text_col).alias("text"),
-    )
-    texts = rows.select("id", "tag", "text")
-    near = _found(texts.mapInArrow(_anchors(length), _ROWS), PERIOD - 1, 1, "anchors")
-    held = _beside(texts, near, "inner").select("id", "tag", "text", "starts", "ends")
-    runs = _found(held.mapInArrow(_windows(length), _ROWS), 0, length, "windows")
-    out = _beside(rows, runs, "left").select("id", "none", "text", "starts", "ends")
+    rows = docs.select(own.cast("long").alias("id"), own.isNull().alias("none"), F.col(text_col).alias("text"))
+    texts = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+    files = written(texts.select(_part("row"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
+    near = _found(texts.select("row", "text").mapInArrow(_anchors(length), _ROWS), PERIOD - 1, 1, "anchors")
+    runs = _found(_beside(files, near, "inner").mapInArrow(_windows(length), _ROWS), 0, length, "windows")
     text = ", kept string" if with_text else ""
-    out = out.mapInArrow(_removed(with_text), f"id long, n_words long, n_removed long, kept_sha256 string{text}")
+    out = _beside(files, runs, "left").mapInArrow(_removed(with_text), f"id long, n_words long, n_removed long, kept_sha256 string{text}")
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
