@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a few numbers each that may be broadcast, once they have been counted.
@@ -18,17 +23,36 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, as a path with its scheme.
 
-    Only where the cluster names none (local tests) a folder of our own is used.
+    Only a local session may do without that setting, as tests do; on a cluster tasks would write to their
+    own disks. A path without scheme is in the cluster's default file system, as it is for Spark.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own_dir()).rstrip("/")
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        return _own_dir()
+    store = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if ":" not in named.split("/")[0] and not store.startswith("file:"):
+        named = store.rstrip("/") + named
+    return named.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing is written yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+_MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove what the operators have written so far; to be called when their results are stored or no longer wanted."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,12 +68,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small in memory."""
+    """Bound the rows of an Arrow batch, so that a batch of long texts stays small in memory.
+
+    Spark reads the setting when a result is run, so it is only ever lowered: the smallest bound holds for all.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != rows:
+    if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose texts have about ``most_bytes`` at most; a single row may have more."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(at, end - at)
+            at, before = end, int(ends[end - 1])
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, lengthened until no column has it."""
     taken = {c.lower() for c in columns}
