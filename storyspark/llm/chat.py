@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 #: JSON strings may be as long as a value can be.
 _OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
@@ -89,14 +91,15 @@ def canonical(records: DataFrame, json_col: str = "record", layouts: tuple[Layou
     layout keeps its row with null in both. Columns of those names that were there are replaced.
     """
     record = F.col(json_col)
+    own, mark = unused("top", records.columns), unused("print", records.columns)
     top = F.from_json(record, "map<string,string>", _OPTIONS)
-    with_top = records.withColumn("__top", top).withColumn("__print", fingerprint(F.col("__top"), layouts))
+    with_top = records.withColumn(own, top).withColumn(mark, fingerprint(F.col(own), layouts))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for x in layouts:
-        own = F.xxhash64(F.lit("\n".join(x.paths())))
-        name = F.when(F.col("__print") == own, x.name).otherwise(name)
-        turns = F.when(F.col("__print") == own, _turns(x, F.col("__top"))).otherwise(turns)
-    return with_top.withColumn("layout", name).withColumn("turns", turns).drop("__top", "__print")
+        paths = F.xxhash64(F.lit("\n".join(x.paths())))
+        name = F.when(F.col(mark) == paths, x.name).otherwise(name)
+        turns = F.when(F.col(mark) == paths, _turns(x, F.col(own))).otherwise(turns)
+    return with_top.withColumn("layout", name).withColumn("turns", turns).drop(own, mark)
 
 
 def escaped(text: Column) -> Column:
@@ -124,9 +127,10 @@ def formatted(conversations: DataFrame, turns_col: str = "turns", loss_role: str
     turns = F.col(turns_col)
     heads = F.transform(turns, lambda t: F.concat(F.lit(OPEN), escaped_role(t["role"]), F.lit(MIDDLE)))
     bodies = F.transform(turns, lambda t: escaped(t["text"]))
-    out = conversations.withColumn("__heads", heads).withColumn("__bodies", bodies)
-    parts = F.zip_with("__heads", "__bodies", lambda h, b: F.concat(h, b, F.lit(CLOSE)))
-    sizes = F.zip_with("__heads", "__bodies", lambda h, b: F.struct(F.length(h).alias("head"), F.length(b).alias("body")))
+    head, body = unused("heads", conversations.columns), unused("bodies", conversations.columns)
+    out = conversations.withColumn(head, heads).withColumn(body, bodies)
+    parts = F.zip_with(head, body, lambda h, b: F.concat(h, b, F.lit(CLOSE)))
+    sizes = F.zip_with(head, body, lambda h, b: F.struct(F.length(h).alias("head"), F.length(b).alias("body")))
     marked = F.zip_with(sizes, turns, lambda s, t: F.struct(s["head"].alias("head"), s["body"].alias("body"), (t["role"] == loss_role).alias("loss")))
 
     def step(state: Column, x: Column) -> Column:
@@ -137,7 +141,7 @@ def formatted(conversations: DataFrame, turns_col: str = "turns", loss_role: str
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     spans = F.aggregate(marked, none, step, lambda s: s["spans"])
-    return out.withColumn("formatted", _joined(parts)).withColumn("loss_spans", spans).drop("__heads", "__bodies")
+    return out.withColumn("formatted", _joined(parts)).withColumn("loss_spans", spans).drop(head, body)
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

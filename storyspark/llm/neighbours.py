@@ -131,13 +131,13 @@ def nearest_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, vector)`` of rows with an id and a finite, non-zero vector of the most common length."""
+    """``(id, vector)`` of rows with an id and a finite, non-zero vector; shorter ones end in zeros."""
     v = F.col("vector")
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     own = own.where(F.col("id").isNotNull() & v.isNotNull()).where(fine)
-    size = own.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.where(F.size(v) == (size.n if size else 0))
+    size = own.agg(F.max(F.size(v))).first()[0] or 0
+    return own.withColumn("vector", F.concat(v, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(v))))
 
 
 def search(
@@ -148,7 +148,7 @@ def search(
 
     Candidates are all rows but the query's own; the score is the Euclidean distance of the original
     vectors in double precision; ties go to the smaller id. Null, zero or non-finite vectors, and
-    rows without an id, take no part. Rows that repeat both id and vector are one; an id with several
+    rows without an id, take no part; of vectors of several lengths the shorter count as ending in zeros. Rows that repeat both id and vector are one; an id with several
     vectors is searched by each, and its best results stand. Other columns are not read.
     """
     spark = rows.sparkSession

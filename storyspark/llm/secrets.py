@@ -29,6 +29,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "markov")
 
+#: Strings that are scored: long enough for a mean ratio to tell; a 16-digit number is no secret.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Documents from which labelled samples are taken.
 SAMPLE = 2000
@@ -150,7 +151,7 @@ def all_spans(model: Model, text: str, least: float = LEAST) -> list[tuple[str,
         if any(x < b and y > a for _, x, y in found):
             continue
         s = m.group()
-        if any(c.isdigit() for c in s) and model.score(s) > least:
+        if model.score(s) > least:
             found.append(("markov", a, b))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
