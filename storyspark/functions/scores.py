@@ -55,7 +55,7 @@ def shares(found: str | Column) -> Column:
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
-    """Constant for a category, from a small literal table."""
+    """Constant for a category, from a small literal table; a list becomes an array."""
     out = F.lit(default)
     for k, v in table.items():
         out = F.when(key == k, F.lit(v)).otherwise(out)

@@ -121,14 +121,19 @@ def memorability(done: Column, n_tags: Column, n_roles: Column) -> Column:
     return F.least(F.lit(0.6) + done * 0.15 + F.least(n_tags * 0.03, F.lit(0.15)) + F.least(n_roles * 0.02, F.lit(0.1)), F.lit(1.0))
 
 
-def character_analysis(books: DataFrame, chapters: DataFrame, arcs=L.ARCS, turnings=L.TURNINGS, persons=L.PERSON_PATTERNS, roles=L.ROLES, stop: str = "。") -> DataFrame:
-    """All of the characters, one row a book."""
+def character_analysis(
+    books: DataFrame, chapters: DataFrame, arcs=L.ARCS, turnings=L.TURNINGS, persons=L.PERSON_PATTERNS, roles=L.ROLES, stop: str = "。",
+    speech: str = L.SPEECH_PATTERN, behaviours=L.BEHAVIOURS, habits=L.HABITS, reusable=L.REUSABLE_ROLES, popular=L.POPULAR_ARCS,
+) -> DataFrame:
+    """All of the characters, one row a book; ``roles`` are its supporting roles, the most reusable first."""
     n = lambda df, name: df.groupBy("novel_id").agg(F.count("*").alias(name))
-    cast = supporting_roles(chapters, person_mentions(books, persons), roles, stop)
+    cast = supporting_roles(chapters, person_mentions(books, persons), roles, stop, reusable)
+    role = F.struct("place", F.struct("role_name", "function_type", "role_description", "relationship", "plot_function", "reusability").alias("role"))
+    cast = cast.groupBy("novel_id").agg(F.count("*").alias("n_roles"), F.array_sort(F.collect_list(role))["role"].alias("roles"))
     out = books.select("novel_id").join(arc_type(chapters, arcs), "novel_id", "left").join(arc_completion(chapters, turnings), "novel_id", "left")
-    out = out.join(n(character_tags(books), "n_tags"), "novel_id", "left").join(n(cast, "n_roles"), "novel_id", "left")
+    out = out.join(n(character_tags(books, speech, behaviours, habits), "n_tags"), "novel_id", "left").join(cast, "novel_id", "left")
     out = out.withColumns({"arc_type": F.coalesce("arc_type", F.lit(next(iter(arcs)))), "completion": F.coalesce("completion", F.lit(0.5)), "n_tags": F.coalesce("n_tags", F.lit(0)), "n_roles": F.coalesce("n_roles", F.lit(0))})
     return out.withColumns({
-        "satisfaction": satisfaction(F.col("arc_type"), F.col("completion")), "memorability": memorability(F.col("completion"), F.col("n_tags"), F.col("n_roles")),
+        "satisfaction": satisfaction(F.col("arc_type"), F.col("completion"), popular), "memorability": memorability(F.col("completion"), F.col("n_tags"), F.col("n_roles")),
         "initial_state": lookup(F.col("arc_type"), L.ARC_STARTS, "普通状态"), "final_state": lookup(F.col("arc_type"), L.ARC_ENDS, "成长后的状态"),
     })

@@ -50,12 +50,12 @@ def distinct_matches(text: str, pattern: str) -> Column:
 def adaptations(books: DataFrame, lexicon=L.ADAPTATIONS, base=L.BASE_COST, speaker: str = L.SPEAKER_PATTERN, scene: str = L.SCENE_PATTERN, least: float = 0.3, most: int = 3) -> DataFrame:
     """``(novel_id, place, adaptation_type, suitability, key_points, cost, roi)``, the best return first."""
     kinds = []
-    for k, (kind, keys) in enumerate(lexicon.items()):
-        n = reduce(lambda a, b: a + b, [cnt("text", w) for w in keys])
-        points = F.slice(compact(*[F.when(cnt("text", w) > 5, F.lit(w)) for w in keys]), 1, 3)
-        kinds.append(F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("adaptation_type"), F.least(n / (10 * len(keys)), F.lit(1.0)).alias("suitability"), points.alias("key_points")))
+    for k, (kind, keys) in enumerate(lexicon.items()):  # each keyword is counted once, as (word, n)
+        kinds.append(F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("adaptation_type"), F.array(*[F.struct(F.lit(w).alias("word"), cnt("text", w).alias("n")) for w in keys]).alias("words")))
     rows = books.select("novel_id", distinct_matches("text", scene).alias("scenes"), distinct_matches("text", speaker).alias("speakers"), F.explode(F.array(*kinds)).alias("k"))
-    rows = rows.select("novel_id", "scenes", "speakers", "k.*").where(F.col("suitability") > least)
+    n = F.aggregate("k.words", F.lit(0), lambda a, w: a + w["n"])
+    points = F.slice(F.filter("k.words", lambda w: w["n"] > 5)["word"], 1, 3)
+    rows = rows.select("novel_id", "scenes", "speakers", "k.ord", "k.adaptation_type", F.least(n / (10 * F.size("k.words")), F.lit(1.0)).alias("suitability"), points.alias("key_points")).where(F.col("suitability") > least)
     rows = rows.withColumn("cost", adaptation_cost(F.col("adaptation_type"), F.col("scenes"), F.col("speakers"), base)).withColumn("roi", roi(F.col("suitability"), F.col("cost")))
     item = F.struct((-F.round("roi", 2)).alias("by"), "ord", "adaptation_type", "suitability", "key_points", "cost", "roi")
     best_of = rows.groupBy("novel_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, most).alias("best"))
@@ -83,12 +83,12 @@ def monetization_path(segment: Column, adaptation: Column, best_roi: Column) ->
     return F.concat_ws(" → ", F.concat(F.lit("付费阅读（核心受众："), segment, F.lit("）")), adapted, F.lit("IP衍生开发（周边、游戏、系列文）"))
 
 
-def commercial_value(books: DataFrame, audiences=L.AUDIENCES, triggers=L.PAYMENT_TRIGGERS, kinds=L.ADAPTATIONS, ages=L.AGE_RANGES, base=L.BASE_ARPU, motives=L.MOTIVATIONS, costs=L.BASE_COST, **derived) -> DataFrame:
+def commercial_value(books: DataFrame, audiences=L.AUDIENCES, triggers=L.PAYMENT_TRIGGERS, kinds=L.ADAPTATIONS, ages=L.AGE_RANGES, base=L.BASE_ARPU, motives=L.MOTIVATIONS, costs=L.BASE_COST, speaker: str = L.SPEAKER_PATTERN, scene: str = L.SCENE_PATTERN, **derived) -> DataFrame:
     """All of the commercial value, one row a book."""
-    first = adaptations(books, kinds, costs).where("place = 1").select("novel_id", F.col("adaptation_type").alias("best_adaptation"), F.col("roi").alias("best_roi"))
-    most = adaptations(books, kinds, costs).groupBy("novel_id").agg(F.max("roi").alias("max_roi"))
-    out = audience(books, audiences, ages).join(payment_behavior(books, triggers, motives), "novel_id").join(first, "novel_id", "left").join(most, "novel_id", "left")
-    out = out.join(books.select("novel_id", derivatives("text", **derived).alias("derivatives")), "novel_id").withColumn("arpu", arpu(F.col("segment"), F.col("motivation"), base))
+    found = adaptations(books, kinds, costs, speaker, scene)
+    best = found.groupBy("novel_id").agg(F.min_by("adaptation_type", "place").alias("best_adaptation"), F.min_by("roi", "place").alias("best_roi"), F.max("roi").alias("max_roi"))
+    out = audience(books, audiences, ages).join(payment_behavior(books, triggers, motives), "novel_id").join(best, "novel_id", "left")
+    out = out.join(books.select("novel_id", derivatives("text", speaker=speaker, **derived).alias("derivatives")), "novel_id").withColumn("arpu", arpu(F.col("segment"), F.col("motivation"), base))
     out = out.withColumn("commercial_score", commercial_score(F.col("arpu"), F.col("max_roi"), F.col("derivatives.potential")))
     return out.withColumn("monetization_path", monetization_path(F.col("segment"), F.col("best_adaptation"), F.col("best_roi")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import character, commercial, fusion, narrative, rules, setting, story, text
+from . import benchmark, character, commercial, fusion, narrative, rules, setting, story, text
 
 DIMENSIONS = {
     "story_core": "conflict_type formula_name desire obstacle path genres reusability value_type relatability rhythm_pattern top_hook total_hooks types_used uniqueness core_attraction",
@@ -30,8 +30,11 @@ def deep_fuse(joined: DataFrame) -> DataFrame:
     return joined.withColumns({"overall_quality": quality, "reusable_tags": tags, "reverse_summary": summary, "consistency_score": check, "formula_summary": formula})
 
 
-def deep_features(books: DataFrame, chapters: DataFrame, options: dict[str, dict] | None = None) -> DataFrame:
-    """All five dimensions of each book in one row. The dimensions are independent plans joined by book."""
+def deep_features(books: DataFrame, chapters: DataFrame, options: dict[str, dict] | None = None, library: DataFrame | None = None) -> DataFrame:
+    """All five dimensions of each book in one row. The dimensions are independent plans joined by book.
+
+    With a benchmark ``library`` there is a column ``benchmark_comparisons`` too, see ``compared``.
+    """
     o = options or {}
     parts = [
         story.story_core(books, chapters, **o.get("story", {})), setting.core_setting(books, chapters, **o.get("setting", {})), character.character_analysis(books, chapters, **o.get("character", {})),
@@ -40,7 +43,16 @@ def deep_features(books: DataFrame, chapters: DataFrame, options: dict[str, dict
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "novel_id")
-    return deep_fuse(out)
+    out = deep_fuse(out)
+    return out if library is None else compared(out, library)
+
+
+def compared(deep: DataFrame, library: DataFrame) -> DataFrame:
+    """Add ``benchmark_comparisons``: the four lists of ``benchmark.comparison`` within a book's first genre."""
+    novels = deep.withColumn("genre", F.get("genres", F.lit(0)))
+    lists = benchmark.comparison(novels, library)
+    told = lists.select("novel_id", F.struct("differentiation", "reusable", "suggestions", "similar").alias("benchmark_comparisons"))
+    return deep.join(told, "novel_id", "left")
 
 
 def dimension_structs(deep: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def creative_report(deep: DataFrame) -> DataFrame:
         F.struct(F.col("gf_type").alias("type"), F.col("growth_type").alias("growth"), F.col("constraint_types").alias("constraints")).alias("golden_finger_design"),
         F.struct(F.col("arc_type").alias("type"), F.col("completion")).alias("character_arc"),
         F.struct(F.col("segment").alias("target_audience"), F.col("best_adaptation"), F.col("monetization_path")).alias("commercial_highlights"),
-        F.struct(F.col("reusable_tags").alias("tags"), F.split("genres", ",").alias("applicable_genres")).alias("reusable_template"),
+        F.struct(F.col("reusable_tags").alias("tags"), F.col("genres").alias("applicable_genres")).alias("reusable_template"),
     )
     return deep.select("novel_id", F.to_json(report).alias("report"))
 

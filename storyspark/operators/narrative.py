@@ -83,9 +83,9 @@ def validate_ratios(hook: Column, development: Column, cliffhanger: Column) -> C
     return F.abs(hook + development + cliffhanger - 1) < 0.01
 
 
-def narrative_technique(books: DataFrame, chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_METHODS, marks: str = "[。！？；]", first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN) -> DataFrame:
+def narrative_technique(books: DataFrame, chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_METHODS, marks: str = "[。！？；]", first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN, other: str = L.RELEASE_OTHER) -> DataFrame:
     """All of the technique, one row a book."""
-    releases = info_releases(chapters, kinds, methods).groupBy("novel_id").agg(F.count("*").alias("n_releases"), F.avg("mystery_ratio").alias("mean_mystery"))
+    releases = info_releases(chapters, kinds, methods, other).groupBy("novel_id").agg(F.count("*").alias("n_releases"), F.avg("mystery_ratio").alias("mean_mystery"))
     out = sentence_stats(books, marks).join(perspective(books, first, third, switch), "novel_id").join(chapter_structure(chapters), "novel_id", "left").join(releases, "novel_id", "left")
     defaults = {"hook_ratio": 0.1, "development_ratio": 0.7, "cliffhanger_ratio": 0.2, "paragraph_length": 200.0, "dialogue_ratio": 0.3}
     out = out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()} | {"n_releases": F.coalesce("n_releases", F.lit(0))})

@@ -16,7 +16,7 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
     """The default rules as a table."""
     rows = []
     for k, (rule_id, value, field, kind, what, weight) in enumerate(RULES):
-        words, pattern = (what.split(), None) if kind == "keyword" else (None, what)
+        words, pattern = (what, None) if kind == "keyword" else (None, what)
         rows.append((rule_id, k, rule_id, field, kind, words, pattern, value, weight, True, None))
     return spark.createDataFrame(rows, schemas.RULES)
 

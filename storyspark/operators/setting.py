@@ -22,7 +22,7 @@ def growth_type(books: DataFrame, lexicon=L.GROWTH) -> DataFrame:
 
 
 def constraints(books: DataFrame, lexicon=L.CONSTRAINTS, stop: str = "。", gravest=L.SEVERITY_GRAVEST, grave=L.SEVERITY_GRAVE, per_keyword: int = 3, most: int = 5) -> DataFrame:
-    """``(novel_id, ord, constraint_type, description, severity)``: sentences that hold a keyword.
+    """``(novel_id, place, constraint_type, description, severity, plot_impact)``: sentences that hold a keyword.
 
     Of each keyword the first few, in list order; of equal descriptions the first; then the first few.
     """
@@ -46,11 +46,7 @@ def constraints(books: DataFrame, lexicon=L.CONSTRAINTS, stop: str = "。", grav
     first = F.row_number().over(Window.partitionBy("novel_id", "description").orderBy("ord"))
     rows = rows.withColumn("__first", first).where("__first = 1")
     place = F.row_number().over(Window.partitionBy("novel_id").orderBy("ord"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", "constraint_type", "description", "severity")
-
-
-def plot_impact(kind: Column, table=L.PLOT_IMPACTS) -> Column:
-    return lookup(kind, table, "影响剧情发展")
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", "constraint_type", "description", "severity", lookup(F.col("constraint_type"), L.PLOT_IMPACTS, "影响剧情发展").alias("plot_impact"))
 
 
 def early_text(chapters: DataFrame, first: int = 5) -> DataFrame:
@@ -138,15 +134,18 @@ def coherence(n_constraints: Column, n_rules: Column) -> Column:
     return F.least(F.lit(0.8) + n_constraints * 0.05 + n_rules * 0.05, F.lit(1.0))
 
 
-def core_setting(books: DataFrame, chapters: DataFrame, fingers=L.GOLDEN_FINGERS, growth=L.GROWTH, limits=L.CONSTRAINTS, stop: str = "。", systems=L.POWER_SYSTEMS) -> DataFrame:
+def core_setting(
+    books: DataFrame, chapters: DataFrame, fingers=L.GOLDEN_FINGERS, growth=L.GROWTH, limits=L.CONSTRAINTS, stop: str = "。", gravest=L.SEVERITY_GRAVEST, grave=L.SEVERITY_GRAVE, systems=L.POWER_SYSTEMS,
+    resources=L.RESOURCES, pains=L.PAINS, solves=(("system", "弱"), ("item", "穷")), mood: str = "情绪值", price: str = "代价", names=L.GF_NAMES, peaks=L.PEAKS,
+) -> DataFrame:
     """All of the setting, one row a book."""
-    held = constraints(books, limits, stop)
+    held = constraints(books, limits, stop, gravest, grave)
     types = gf_type(books, fingers)
     out = books.join(types, "novel_id").join(growth_type(books, growth), "novel_id")
     n = held.groupBy("novel_id").agg(F.count("*").alias("n_constraints"), F.array_sort(F.collect_list(F.struct("place", "constraint_type")))["constraint_type"].alias("constraint_types"))
-    rules = world_rules(books, systems).groupBy("novel_id").agg(F.count("*").alias("n_rules"))
-    out = out.join(n, "novel_id", "left").join(rules, "novel_id", "left").join(fit(early_text(chapters), types), "novel_id").join(innovations(books, held, fingers), "novel_id")
+    rules = world_rules(books, systems, resources).groupBy("novel_id").agg(F.count("*").alias("n_rules"))
+    out = out.join(n, "novel_id", "left").join(rules, "novel_id", "left").join(fit(early_text(chapters), types, pains, solves), "novel_id").join(innovations(books, held, fingers, mood, price), "novel_id")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_constraints", "n_rules")}).withColumn("constraint_types", F.coalesce("constraint_types", F.array().cast("array<string>")))
     out = out.withColumn("similarity", similarity_to_common(F.col("gf_type"), F.col("growth_type"), F.col("n_constraints")))
-    out = out.withColumns({"novelty": novelty(F.col("similarity")), "coherence": coherence(F.col("n_constraints"), F.col("n_rules")), "gf_name": gf_name("text", F.col("gf_type")), "initial_power": initial_power(F.col("gf_type")), "max_potential": max_potential("text")})
+    out = out.withColumns({"novelty": novelty(F.col("similarity")), "coherence": coherence(F.col("n_constraints"), F.col("n_rules")), "gf_name": gf_name("text", F.col("gf_type"), names), "initial_power": initial_power(F.col("gf_type")), "max_potential": max_potential("text", peaks)})
     return out.drop("text")

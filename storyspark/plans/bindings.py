@@ -11,8 +11,8 @@ from ..operators.text import line_chapters
 
 #: A lexicon that the tables' texts hit in every category.
 LATIN = {"en": ["the", "and", "th", "ing"], "de": ["und", "sch", "keit", "der"], "fr": ["les", "eau", "pour", "ai"], "es": ["que", "ción", "los", "ado"]}
-FORMULAS = {"en": ("rise", "status", "class", "help", "city,myth"), "de": ("growth", "purpose", "doubt", "trial", "work")}
-FORMULA_DEFAULT = ("plain", "goal", "block", "act", "any")
+FORMULAS = {"en": ("rise", "status", "class", "help", ["city", "myth"]), "de": ("growth", "purpose", "doubt", "trial", ["work"])}
+FORMULA_DEFAULT = ("plain", "goal", "block", "act", ["any"])
 RESPONSES = {"en": "calm", "de": "order", "fr": "joy"}
 GROWTH = {"static": ["sch", "ado"], "growth": ["ing", "tion"], "exp": ["eau", "ción"]}
 LIMITS = {"price": ["under", "nder"], "limit": ["eaux", "ingen"], "side": ["sch", "ando"], "need": ["tionth", "lles"]}

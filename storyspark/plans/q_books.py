@@ -13,13 +13,15 @@ from ..operators import story as D
 from . import bindings as B
 from .bindings import BOOKS, CHAPTERS, LATIN, QUOTED, Tables, case, cols, first_present, has, has_any, present, query, s, scored, strip, top, total, with_
 
-FORMULAS = {k: v for k, v in B.FORMULAS.items()}
+#: Genres as SQL tells them, joined.
+FORMULAS = {k: (*v[:4], ",".join(v[4])) for k, v in B.FORMULAS.items()}
+_DEFAULT = (*B.FORMULA_DEFAULT[:4], ",".join(B.FORMULA_DEFAULT[4]))
 _NAMES = ("formula_name", "desire", "obstacle", "path", "genres")
 
 # --- story core
 
 D1 = (
-    f"d1 as (select novel_id, conflict_type, {', '.join(case('conflict_type', {k: v[i] for k, v in FORMULAS.items()}, s(B.FORMULA_DEFAULT[i])) + ' as ' + n for i, n in enumerate(_NAMES))}, "
+    f"d1 as (select novel_id, conflict_type, {', '.join(case('conflict_type', {k: v[i] for k, v in FORMULAS.items()}, s(_DEFAULT[i])) + ' as ' + n for i, n in enumerate(_NAMES))}, "
     f"case when {' + '.join(cols(LATIN))} > 0 then greatest({', '.join(cols(LATIN))}) / ({' + '.join(cols(LATIN))}) else 0.5e0 end as reusability "
     f"from (select *, {top(LATIN, cols(LATIN))} as conflict_type from (select novel_id, {scored(LATIN, present)} from books)))"
 )
@@ -38,7 +40,7 @@ HT = "ht as (select novel_id, ord, hook_type, sum(n) as n from hc group by 1, 2,
 
 @query(with_(BOOKS, D1) + "select * from d1")
 def d1_conflict_formula(t: Tables) -> DataFrame:
-    return D.conflict_formula(t.books, LATIN, FORMULAS, B.FORMULA_DEFAULT)
+    return D.conflict_formula(t.books, LATIN, B.FORMULAS, B.FORMULA_DEFAULT).withColumn("genres", F.array_join("genres", ","))
 
 
 _HM = " union all ".join(f"select novel_id, chapter_number, content, {s(c)} as hook_type, least(len(h), 5) as intensity, unnest(h) as keyword from (select *, regexp_extract_all(content, {s('|'.join(k))}) as h from chapters)" for c, k in LATIN.items())
@@ -75,7 +77,7 @@ _STORY = with_(BOOKS, CHAPTERS, HC, D1, D5, D6, HT)[:-1] + (
 
 
 def _story(t: Tables) -> DataFrame:
-    return D.story_core(t.books, t.chapters, LATIN, LATIN, LATIN, FORMULAS)
+    return D.story_core(t.books, t.chapters, LATIN, LATIN, LATIN, B.FORMULAS)
 
 
 @query(_STORY.replace(s(B.FORMULA_DEFAULT[0]), s("通用冲突公式")) + "select novel_id, '以『' || formula_name || '』为核心冲突，通过『' || hook || '』类情绪钩子驱动剧情，传递『' || value_type || '』的价值主张，形成' || rhythm || '的阅读节奏。' as core_attraction from sc")
@@ -95,8 +97,8 @@ def d9_emotional_response(t: Tables) -> DataFrame:
 
 # --- setting
 
-_FINGERS = {"system": LATIN["en"], "space": LATIN["de"], "item": LATIN["fr"], "rebirth": LATIN["es"]}
-G1 = f"g1 as (select novel_id, {top(_FINGERS, cols(_FINGERS))} as gf_type from (select novel_id, {scored(_FINGERS)} from books))"
+FINGERS = {"system": LATIN["en"], "space": LATIN["de"], "item": LATIN["fr"], "rebirth": LATIN["es"]}
+G1 = f"g1 as (select novel_id, {top(FINGERS, cols(FINGERS))} as gf_type from (select novel_id, {scored(FINGERS)} from books))"
 G2 = f"g2 as (select novel_id, case when s2 > 5 then 'dynamic_exp' when s1 > s0 then 'dynamic_linear' when s0 > s1 then 'static' else 'dynamic_step' end as growth_type from (select novel_id, {scored(B.GROWTH)} from books))"
 _KW = [(c, k, kind, w) for c, (kind, ws) in enumerate(B.LIMITS.items()) for k, w in enumerate(ws)]
 G3 = (
@@ -109,7 +111,7 @@ _C = dict(lexicon=B.LIMITS, stop=".", gravest=["ea", "sch"], grave=["on", "los"]
 
 @query(with_(BOOKS, G1) + "select * from g1")
 def g1_gf_type(t: Tables) -> DataFrame:
-    return G.gf_type(t.books, _FINGERS)
+    return G.gf_type(t.books, FINGERS)
 
 
 @query(with_(BOOKS, G2) + "select * from g2")
@@ -117,7 +119,7 @@ def g2_growth_type(t: Tables) -> DataFrame:
     return G.growth_type(t.books, B.GROWTH)
 
 
-@query(with_(BOOKS, G3) + "select novel_id, cast(place as int) as place, constraint_type, description, severity from g3")
+@query(with_(BOOKS, G3) + "select novel_id, cast(place as int) as place, constraint_type, description, severity, '影响剧情发展' as plot_impact from g3")
 def g3_constraints(t: Tables) -> DataFrame:
     return G.constraints(t.books, **_C)
 
@@ -127,18 +129,21 @@ EARLY = "early as (select novel_id, string_agg(content, ' ' order by chapter_num
 
 @query(with_(BOOKS, CHAPTERS, EARLY, G1) + f"select novel_id, pain as pain_keyword, case when pain is null then '主角初期处于普通状态' else '主角初期面临' || pain || '的困境' end as pain_point, case when (gf_type = 'system' and {has('e', 'ing')}) or (gf_type = 'item' and {has('e', 'eau')}) then 0.8e0 else 0.5e0 end as fit_score from (select novel_id, gf_type, coalesce(early_text, '') as e, {first_present('coalesce(early_text, ' + chr(39) * 2 + ')', B.PAINS)} as pain from g1 left join early using (novel_id))")
 def g4_fit(t: Tables) -> DataFrame:
-    return G.fit(G.early_text(t.chapters), G.gf_type(t.books, _FINGERS), B.PAINS, (("system", "ing"), ("item", "eau")))
+    return G.fit(G.early_text(t.chapters), G.gf_type(t.books, FINGERS), B.PAINS, (("system", "ing"), ("item", "eau")))
 
 
-_TYPES = "list_filter([" + ", ".join(f"case when {has_any('text', k[:3])} then {s(c)} end" for c, k in _FINGERS.items()) + "], lambda x: x is not null)"
+_TYPES = "list_filter([" + ", ".join(f"case when {has_any('text', k[:3])} then {s(c)} end" for c, k in FINGERS.items()) + "], lambda x: x is not null)"
+
+
+INNOVATIONS = f"list_filter([case when {has('text', 'eaux')} then '使用''情绪值''作为系统兑换资源，而非传统积分' end, case when priced and grave then '金手指使用需要付出沉重代价，增加剧情张力' end, case when len({_TYPES}) > 1 then '多金手指组合：' || array_to_string({_TYPES}, ', ') end], lambda x: x is not null)"
 
 
 @query(
     with_(BOOKS, G3)
-    + f", h as (select novel_id, bool_or(constraint_type = 'price') as priced, max(severity) >= 4 as grave from g3 group by 1) select novel_id, array_to_string(list_filter([case when {has('text', 'eaux')} then '使用''情绪值''作为系统兑换资源，而非传统积分' end, case when priced and grave then '金手指使用需要付出沉重代价，增加剧情张力' end, case when len({_TYPES}) > 1 then '多金手指组合：' || array_to_string({_TYPES}, ', ') end], lambda x: x is not null), '|') as innovations from books left join h using (novel_id)"
+    + f", h as (select novel_id, bool_or(constraint_type = 'price') as priced, max(severity) >= 4 as grave from g3 group by 1) select novel_id, array_to_string({INNOVATIONS}, '|') as innovations from books left join h using (novel_id)"
 )
 def g5_innovations(t: Tables) -> DataFrame:
-    return G.innovations(t.books, G.constraints(t.books, **_C), _FINGERS, "eaux", "price").select("novel_id", F.array_join("innovations", "|").alias("innovations"))
+    return G.innovations(t.books, G.constraints(t.books, **_C), FINGERS, "eaux", "price").select("novel_id", F.array_join("innovations", "|").alias("innovations"))
 
 
 _G6 = with_(BOOKS, G1, G2, G3)[:-1] + ", n as (select novel_id, count(*) as k from g3 group by 1), g6 as (select g1.novel_id, greatest(case when (gf_type, growth_type) in (('system', 'dynamic_linear'), ('rebirth', 'static'), ('supernatural', 'dynamic_linear')) then 0.7e0 else 0.5e0 end - coalesce(k, 0) * 0.1e0, 0.1e0) as similarity from g1 join g2 using (novel_id) left join n on g1.novel_id = n.novel_id)\n"
@@ -147,14 +152,14 @@ _G6 = with_(BOOKS, G1, G2, G3)[:-1] + ", n as (select novel_id, count(*) as k fr
 @query(_G6 + "select novel_id, similarity, 1 - similarity as novelty from g6")
 def g6_similarity_novelty(t: Tables) -> DataFrame:
     n = G.constraints(t.books, **_C).groupBy("novel_id").agg(F.count("*").alias("k"))
-    rows = G.gf_type(t.books, _FINGERS).join(G.growth_type(t.books, B.GROWTH), "novel_id").join(n, "novel_id", "left")
+    rows = G.gf_type(t.books, FINGERS).join(G.growth_type(t.books, B.GROWTH), "novel_id").join(n, "novel_id", "left")
     rows = rows.select("novel_id", G.similarity_to_common(F.col("gf_type"), F.col("growth_type"), F.coalesce("k", F.lit(0))).alias("similarity"))
     return rows.withColumn("novelty", G.novelty(F.col("similarity")))
 
 
 @query(with_(BOOKS, G1) + r"select novel_id, nullif(case gf_type when 'system' then regexp_extract(text, '([\p{L}\p{N}_]+ing)', 1) when 'space' then regexp_extract(text, '([\p{L}\p{N}_]+keit)', 1) end, '') as gf_name from g1 join books using (novel_id)")
 def g7_gf_name(t: Tables) -> DataFrame:
-    rows = t.books.join(G.gf_type(t.books, _FINGERS), "novel_id")
+    rows = t.books.join(G.gf_type(t.books, FINGERS), "novel_id")
     return rows.select("novel_id", G.gf_name("text", F.col("gf_type"), {"system": r"(?U)(\w+ing)", "space": r"(?U)(\w+keit)"}).alias("gf_name"))
 
 
@@ -166,13 +171,13 @@ def g8_max_potential(t: Tables) -> DataFrame:
     return t.books.select("novel_id", G.max_potential("text", _PEAKS).alias("max_potential"))
 
 
-_SYSTEMS = {"wood": ["tionth", "ander"], "stone": ["schund", "keit"], "water": ["eauou", "ción"]}
-G9 = "g9 as (" + " union all ".join(f"select novel_id, {i} as ord, {s(k + '体系')} as rule_name, '力量体系' as rule_category, 0.9e0 as consistency from books where {has_any('text', v)}" for i, (k, v) in enumerate(_SYSTEMS.items())) + f" union all select novel_id, 3, '资源分配规则', '资源分配', 0.8e0 from books where {has_any('text', ['lles', 'thing'])})"
+SYSTEMS = {"wood": ["tionth", "ander"], "stone": ["schund", "keit"], "water": ["eauou", "ción"]}
+G9 = "g9 as (" + " union all ".join(f"select novel_id, {i} as ord, {s(k + '体系')} as rule_name, '力量体系' as rule_category, 0.9e0 as consistency from books where {has_any('text', v)}" for i, (k, v) in enumerate(SYSTEMS.items())) + f" union all select novel_id, 3, '资源分配规则', '资源分配', 0.8e0 from books where {has_any('text', ['lles', 'thing'])})"
 
 
 @query(with_(BOOKS, G9) + "select * from g9")
 def g9_world_rules(t: Tables) -> DataFrame:
-    return G.world_rules(t.books, _SYSTEMS, ["lles", "thing"])
+    return G.world_rules(t.books, SYSTEMS, ["lles", "thing"])
 
 
 _EXPLOITS = ["tionth", "schund", "eauou", "ciónm", "ander"]
@@ -187,7 +192,7 @@ def g10_rule_exploits(t: Tables) -> DataFrame:
 @query(with_(BOOKS, G3, G9) + "select novel_id, least(0.8e0 + coalesce(a, 0) * 0.05e0 + coalesce(b, 0) * 0.05e0, 1.0e0) as coherence from books left join (select novel_id, count(*) as a from g3 group by 1) using (novel_id) left join (select novel_id, count(*) as b from g9 group by 1) using (novel_id)")
 def g11_coherence(t: Tables) -> DataFrame:
     a = G.constraints(t.books, **_C).groupBy("novel_id").agg(F.count("*").alias("a"))
-    b = G.world_rules(t.books, _SYSTEMS, ["lles", "thing"]).groupBy("novel_id").agg(F.count("*").alias("b"))
+    b = G.world_rules(t.books, SYSTEMS, ["lles", "thing"]).groupBy("novel_id").agg(F.count("*").alias("b"))
     rows = t.books.select("novel_id").join(a, "novel_id", "left").join(b, "novel_id", "left")
     return rows.select("novel_id", G.coherence(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("coherence"))
 
@@ -325,13 +330,13 @@ def n3_sentence_stats(t: Tables) -> DataFrame:
     return N.sentence_stats(t.books, "[.!?;]")
 
 
-_VIEW = dict(first="th|und", third="an|ei|que", switch="th.*?an|an.*?th")
+VIEW = dict(first="th|und", third="an|ei|que", switch="th.*?an|an.*?th")
 N4 = "n4 as (select novel_id, case when a > b * 2 or b > a * 2 then 0 else c end as switches, case when a > b * 2 then '第一人称' when b > a * 2 then '第三人称' when c > 5 then '多视角' else '第三人称' end as perspective from (select novel_id, len(regexp_extract_all(text, 'th|und')) as a, len(regexp_extract_all(text, 'an|ei|que')) as b, len(regexp_extract_all(substring(text, 1, 10000), 'th.*?an|an.*?th')) as c from books))"
 
 
 @query(with_(BOOKS, N4) + "select novel_id, cast(switches as int) as switches, perspective from n4")
 def n4_perspective(t: Tables) -> DataFrame:
-    return N.perspective(t.books, **_VIEW)
+    return N.perspective(t.books, **VIEW)
 
 
 _SENSE = " union all ".join(f"select novel_id, {s(k)} as sense, {total('text', v)} as n from books" for k, v in B.SENSES.items())
@@ -344,7 +349,7 @@ def n5_sensory_distribution(t: Tables) -> DataFrame:
 
 @query(with_(BOOKS, N3, N4) + "select novel_id, greatest(least(0.5e0 + (short_ratio - 0.3e0) * 0.5e0 - least(switches * 0.02e0, 0.1e0), 1.0e0), 0.0e0) as rhythm_score from n3 join n4 using (novel_id)")
 def n6_rhythm_score(t: Tables) -> DataFrame:
-    rows = N.sentence_stats(t.books, "[.!?;]").join(N.perspective(t.books, **_VIEW), "novel_id")
+    rows = N.sentence_stats(t.books, "[.!?;]").join(N.perspective(t.books, **VIEW), "novel_id")
     return rows.select("novel_id", N.rhythm_score(F.col("short_ratio"), F.col("switches")).alias("rhythm_score"))
 
 
@@ -400,10 +405,10 @@ def m4_arpu(t: Tables) -> DataFrame:
     return _arpu(t).select("novel_id", "arpu")
 
 
-_SPEAKER, _SCENE = "[A-Z][a-z]{1,3}(?:th|ei)", "then|when|there"
+_SPEAKER, SCENE = "[A-Z][a-z]{1,3}(?:th|ei)", "then|when|there"
 _POINTS = lambda keys: "array_to_string(list_filter([" + ", ".join(f"case when {total('text', [k])} > 5 then {s(k)} end" for k in keys) + "], lambda x: x is not null)[:3], ',')"
 M5 = (
-    f"mk as (select *, len(list_distinct(regexp_extract_all(text, {s(_SCENE)}))) as scenes, len(list_distinct(regexp_extract_all(text, {s(_SPEAKER)}))) as speakers from books), "
+    f"mk as (select *, len(list_distinct(regexp_extract_all(text, {s(SCENE)}))) as scenes, len(list_distinct(regexp_extract_all(text, {s(_SPEAKER)}))) as speakers from books), "
     "mu as (" + " union all ".join(f"select novel_id, {i} as ord, {s(k)} as adaptation_type, least({total('text', v)} / {10 * len(v)}, 1.0e0) as suitability, {_POINTS(v)} as key_points, greatest({B.COSTS[k]}e0 - (case when scenes > 20 then 0.1e0 else 0.0e0 end + case when speakers > 30 then 0.1e0 else 0.0e0 end), 0.1e0) as cost from mk" for i, (k, v) in enumerate(B.KINDS.items()))
     + "), mr as (select *, least((suitability * 0.7e0 + cost * 0.3e0) / greatest(1 - cost, 0.1e0), 5.0e0) as roi from mu where suitability > 0.3), "
     "m5 as (select * from (select *, row_number() over (partition by novel_id order by round(roi, 2) desc, ord) as place from mr) where place <= 3)"
@@ -411,7 +416,7 @@ M5 = (
 
 
 def _adapt(t: Tables) -> DataFrame:
-    return M.adaptations(t.books, B.KINDS, B.COSTS, _SPEAKER, _SCENE)
+    return M.adaptations(t.books, B.KINDS, B.COSTS, _SPEAKER, SCENE)
 
 
 @query(with_(BOOKS, M5) + "select novel_id, cast(place as int) as place, adaptation_type, suitability, key_points, cost, roi from m5")
@@ -421,7 +426,7 @@ def m5_adaptation_potential(t: Tables) -> DataFrame:
 
 @query(with_(BOOKS, M5) + "select novel_id, adaptation_type, cost from mu")
 def m6_adaptation_cost(t: Tables) -> DataFrame:
-    rows = t.books.select("novel_id", M.distinct_matches("text", _SCENE).alias("a"), M.distinct_matches("text", _SPEAKER).alias("b"), F.explode(F.array(*[F.lit(k) for k in B.KINDS])).alias("adaptation_type"))
+    rows = t.books.select("novel_id", M.distinct_matches("text", SCENE).alias("a"), M.distinct_matches("text", _SPEAKER).alias("b"), F.explode(F.array(*[F.lit(k) for k in B.KINDS])).alias("adaptation_type"))
     return rows.select("novel_id", "adaptation_type", M.adaptation_cost(F.col("adaptation_type"), F.col("a"), F.col("b"), B.COSTS).alias("cost"))
 
 
@@ -430,20 +435,20 @@ def m7_roi(t: Tables) -> DataFrame:
     return _adapt(t).groupBy("novel_id").agg(F.max(M.roi(F.col("suitability"), F.col("cost"))).alias("best_roi"), F.count("*").alias("n"))
 
 
-_DERIVED = dict(system="ing", world="ción", branch=("eau", "keit"), speaker=_SPEAKER, long=5000)
+DERIVED = dict(system="ing", world="ción", branch=("eau", "keit"), speaker=_SPEAKER, long=5000)
 M8 = f"m8 as (select novel_id, list_filter([case when {has('text', 'ing')} then 0.7e0 end, case when len(list_distinct(regexp_extract_all(text, {s(_SPEAKER)}))) >= 5 then 0.6e0 end, case when {has('text', 'ción')} or length(text) > 5000 then 0.8e0 end, case when {has_any('text', ('eau', 'keit'))} then 0.65e0 end], lambda x: x is not null) as p from books)"
 
 
 @query(with_(BOOKS, M8) + "select novel_id, cast(len(p) as int) as n, coalesce(list_sum(p), 0.0e0) as potential from m8")
 def m8_derivatives(t: Tables) -> DataFrame:
-    rows = t.books.select("novel_id", M.derivatives("text", **_DERIVED).alias("d"))
+    rows = t.books.select("novel_id", M.derivatives("text", **DERIVED).alias("d"))
     return rows.select("novel_id", F.size("d").alias("n"), F.aggregate("d.potential", F.lit(0.0), lambda a, x: a + x).alias("potential"))
 
 
 @query(with_(BOOKS, M1, M3, M4, M5, M8) + "select novel_id, least(least(arpu / 100, 1.0e0) * 0.3e0 + case when r is null then 0.1e0 else r / 5 * 0.4e0 end + case when len(p) > 0 then list_sum(p) / len(p) * 0.3e0 else 0.1e0 end, 1.0e0) as score from m4 join m8 using (novel_id) left join (select novel_id, max(roi) as r from m5 group by 1) using (novel_id)")
 def m9_commercial_score(t: Tables) -> DataFrame:
     most = _adapt(t).groupBy("novel_id").agg(F.max("roi").alias("r"))
-    rows = _arpu(t).join(t.books.select("novel_id", M.derivatives("text", **_DERIVED).alias("d")), "novel_id").join(most, "novel_id", "left")
+    rows = _arpu(t).join(t.books.select("novel_id", M.derivatives("text", **DERIVED).alias("d")), "novel_id").join(most, "novel_id", "left")
     return rows.select("novel_id", M.commercial_score(F.col("arpu"), F.col("r"), F.col("d.potential")).alias("score"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions.schemas import FEATURES
 from ..functions.scores import scores, top
 from ..operators import benchmark as BM
@@ -15,9 +16,9 @@ from ..operators import deep
 from ..operators import fusion as U
 from ..operators import model as P
 from . import bindings as B
-from .bindings import BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, with_
+from .bindings import BOOKS, CHAPTERS, LATIN, Tables, case, cols, query, s, scored, with_
 from .bindings import top as sql_top
-from .q_books import C6, C7
+from .q_books import C1, C2, C3, C5, C6, C7, D1, D5, D6, DERIVED, FINGERS, G1, G2, G3, G9, HC, HT, INNOVATIONS, M1, M3, M4, M5, M8, N1, N2, N3, N4, SCENE, SYSTEMS, VIEW
 from .q_text import CORE_TEXTS, FIELD_ROWS, FOUND, PARSE, PARSED, rule_table, titled
 
 #: Rule rows, model rows or both for each document, by its length.
@@ -155,8 +156,8 @@ def f14_formulas(t: Tables) -> DataFrame:
 
 @query(with_(BOOKS) + "select novel_id, '{\"core_formula\":\"' || genre || ' + o + p\",\"emotional_rhythm\":\"r\",\"golden_finger_design\":{\"type\":\"' || source || '\",\"growth\":\"g\",\"constraints\":[\"c\"]},\"character_arc\":{\"type\":\"a\",\"completion\":0.5},\"commercial_highlights\":{\"target_audience\":\"s\",\"best_adaptation\":\"b\",\"monetization_path\":\"m\"},\"reusable_template\":{\"tags\":[\"t\"],\"applicable_genres\":[\"x\",\"y\"]}}' as report from books")
 def f15_creative_report(t: Tables) -> DataFrame:
-    fixed = {"obstacle": "o", "path": "p", "rhythm_pattern": "r", "growth_type": "g", "arc_type": "a", "segment": "s", "best_adaptation": "b", "monetization_path": "m", "genres": "x,y"}
-    rows = t.books.select("novel_id", F.col("genre").alias("desire"), F.col("source").alias("gf_type"), F.array(F.lit("c")).alias("constraint_types"), F.lit(0.5).alias("completion"), F.array(F.lit("t")).alias("reusable_tags"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    fixed = {"obstacle": "o", "path": "p", "rhythm_pattern": "r", "growth_type": "g", "arc_type": "a", "segment": "s", "best_adaptation": "b", "monetization_path": "m"}
+    rows = t.books.select("novel_id", F.col("genre").alias("desire"), F.col("source").alias("gf_type"), F.array(F.lit("c")).alias("constraint_types"), F.lit(0.5).alias("completion"), F.array(F.lit("t")).alias("reusable_tags"), F.array(F.lit("x"), F.lit("y")).alias("genres"), *[F.lit(v).alias(k) for k, v in fixed.items()])
     return U.creative_report(rows)
 
 
@@ -197,21 +198,53 @@ def v3_range_checks(t: Tables) -> DataFrame:
     return _numbers(t).select("novel_id", F.array_join(U.range_checks({"a": (0, 0.9), "b": (0.1, 1), "k": (1, 4)}), ",").alias("issues"))
 
 
-# --- composites, told as rows only
+# --- composites
 
 DEEP = {
-    "story": dict(conflict=LATIN, hooks=LATIN, values=LATIN, formulas=B.FORMULAS),
-    "setting": dict(fingers={"system": LATIN["en"], "space": LATIN["de"], "item": LATIN["fr"], "rebirth": LATIN["es"]}, growth=B.GROWTH, limits=B.LIMITS, stop="."),
-    "character": dict(arcs=B.ARCS, turnings=B.TURNINGS, persons=B.PERSONS, roles=B.ROLES, stop="."),
-    "narrative": dict(kinds=B.INFO, methods=B.METHODS, marks="[.!?;]", first="th|und", third="an|ei|que", switch="th.*?an|an.*?th"),
-    "commercial": dict(audiences=B.SEGMENTS, triggers=LATIN, kinds=B.KINDS, ages=B.AGES, base=B.ARPU, motives=B.MOTIVES, costs=B.COSTS, system="ing", world="ción", branch=("eau", "keit")),
+    "story": dict(conflict=LATIN, hooks=LATIN, values=LATIN, formulas=B.FORMULAS, default=B.FORMULA_DEFAULT, common=("en", "fr")),
+    "setting": dict(fingers=FINGERS, growth=B.GROWTH, limits=B.LIMITS, stop=".", gravest=["ea", "sch"], grave=["on", "los"], systems=SYSTEMS, resources=["lles", "thing"], pains=B.PAINS, solves=(("system", "ing"), ("item", "eau")), mood="eaux", price="price"),
+    "character": dict(arcs=B.ARCS, turnings=B.TURNINGS, persons=B.PERSONS, roles=B.ROLES, stop=".", speech=B.SPEECH, behaviours=B.BEHAVIOURS, habits=B.HABITS, reusable=["info", "foe"], popular=["a", "c"]),
+    "narrative": dict(kinds=B.INFO, methods=B.METHODS, marks="[.!?;]", other="found", **VIEW),
+    "commercial": dict(audiences=B.SEGMENTS, triggers=LATIN, kinds=B.KINDS, ages=B.AGES, base=B.ARPU, motives=B.MOTIVES, costs=B.COSTS, scene=SCENE, **DERIVED),
 }
+#: The chain of all dimensions, from the SQL of their parts; books stand for the quoted ones.
+_DEEP = with_(
+    BOOKS, CHAPTERS, "quoted as (select novel_id, text from books)", HC, D1, D5, D6, HT, G1, G2, G3, G9, C1, C2, C3, C5, C6, C7, N1, N2, N3, N4, M1, M3, M4, M5, M8,
+    f"h as (select novel_id, bool_or(constraint_type = 'price') as priced, max(severity) >= 4 as grave, count(*) as n_constraints from g3 group by 1), inn as (select novel_id, {INNOVATIONS} as innovations from books left join h using (novel_id))",
+    "k9 as (select novel_id, count(*) as n_rules from g9 group by 1), k5 as (select novel_id, count(*) as n_tags from c5 group by 1), k7 as (select novel_id, count(*) as n_roles from c7 group by 1), k2 as (select novel_id, count(*) as n_releases, avg(mystery_ratio) as mystery from n2 group by 1), roi as (select novel_id, max(roi) as max_roi from m5 group by 1)",
+    f"""deep as (select b.novel_id, d1.conflict_type, d1.formula_name, desire, obstacle, path, d1.reusability, coalesce(rhythm_pattern, '无明显节奏') as rhythm_pattern, coalesce(top_hook, 'en') as top_hook, value_type,
+ least(case when d1.conflict_type in ('en', 'fr') then 0.7e0 else 0.85e0 end + coalesce(types_used, 0) / 4 * 0.2e0 + case when contains(coalesce(rhythm_pattern, ''), '大爽点') then 0.1e0 else 0.0e0 end, 1.0e0) as uniqueness,
+ gf_type, growth_type, coalesce(n_constraints, 0) as n_constraints, innovations, least(0.8e0 + coalesce(n_constraints, 0) * 0.05e0 + coalesce(n_rules, 0) * 0.05e0, 1.0e0) as coherence,
+ 1 - greatest(case when (gf_type, growth_type) in (('system', 'dynamic_linear'), ('rebirth', 'static')) then 0.7e0 else 0.5e0 end - coalesce(n_constraints, 0) * 0.1e0, 0.1e0) as novelty,
+ coalesce(arc_type, 'a') as arc_type, least(case when coalesce(arc_type, 'a') in ('a', 'c') then 0.75e0 else 0.7e0 end + coalesce(completion, 0.5e0) * 0.25e0, 1.0e0) as satisfaction,
+ least(0.6e0 + coalesce(completion, 0.5e0) * 0.15e0 + least(coalesce(n_tags, 0) * 0.03e0, 0.15e0) + least(coalesce(n_roles, 0) * 0.02e0, 0.1e0), 1.0e0) as memorability,
+ perspective, greatest(least(0.5e0 + (short_ratio - 0.3e0) * 0.5e0 - least(switches * 0.02e0, 0.1e0), 1.0e0), 0.0e0) as rhythm_score, least(3 + cast(coalesce(n_releases, 0) > 2 as int) + cast(coalesce(mystery, 0) > 0.6e0 as int), 5) as difficulty,
+ m1.segment, least(least(arpu / 100, 1.0e0) * 0.3e0 + case when max_roi is null then 0.1e0 else max_roi / 5 * 0.4e0 end + case when len(p) > 0 then list_sum(p) / len(p) * 0.3e0 else 0.1e0 end, 1.0e0) as commercial_score, {case('gf_type', {k: v for k, v in L.INITIAL_POWERS.items()}, s('未知初始能力'))} as initial_power
+ from books b join d1 using (novel_id) join d6 using (novel_id) left join d5 using (novel_id) left join th using (novel_id) join g1 using (novel_id) join g2 using (novel_id) left join h using (novel_id) join inn using (novel_id) left join k9 using (novel_id)
+ left join c1 using (novel_id) left join c3 using (novel_id) left join k5 using (novel_id) left join k7 using (novel_id) join n3 using (novel_id) join n4 using (novel_id) left join k2 using (novel_id) join m1 using (novel_id) join m4 using (novel_id) join m8 using (novel_id) left join roi using (novel_id))""",
+    f"""fused as (select *, least((reusability * 0.15e0 + uniqueness * 0.10e0) + (coherence * 0.10e0 + novelty * 0.10e0) + (satisfaction * 0.15e0 + memorability * 0.10e0) + (rhythm_score * 0.10e0 + (1 - difficulty / 5) * 0.10e0), 1.0e0) as overall_quality,
+ case when n_constraints >= 2 then 0.9e0 else 0.8e0 end as consistency_score,
+ '冲突公式:' || formula_name || '|金手指:' || gf_type || '|成长性:' || growth_type || '|情绪节奏:' || rhythm_pattern || '|人物弧光:' || arc_type || coalesce('|' || array_to_string(list_transform(innovations, lambda x: '创新:' || substring(x, 1, 20)), '|'), '') as tags,
+ '这是一个关于『' || desire || '』的故事，主角面临『' || obstacle || '』的阻碍，通过『' || path || '』实现目标。' || chr(10) || '主角拥有『' || gf_type || '』金手指，具有『' || growth_type || '』特性，初始能力为『' || initial_power || '』。' || chr(10) || '主角从『普通状态』成长为『成长后的状态』，完成『' || arc_type || '』的人物弧光。' || chr(10) || '故事以『' || top_hook || '』为主要情绪驱动，形成『' || rhythm_pattern || '』的阅读体验。' as reverse_summary,
+ formula_name || ' | ' || gf_type || '/' || growth_type || ' | ' || arc_type || ' | ' || rhythm_pattern as formula_summary from deep)""",
+)
+
+
+def _deep(t: Tables) -> DataFrame:
+    return deep.deep_features(t.books.select("novel_id", "text"), t.chapters, DEEP)
+
 
+_V1 = ["conflict_type", "gf_type", "arc_type", "perspective", "segment", "rhythm_pattern", "value_type", "uniqueness", "coherence", "novelty", "satisfaction", "memorability", "rhythm_score", "difficulty", "commercial_score"]
 
-@query()
+
+@query(_DEEP + f"select novel_id, {', '.join(_V1)} from fused")
 def v1_deep_features(t: Tables) -> DataFrame:
-    rows = deep.deep_features(t.books.select("novel_id", "text"), t.chapters, DEEP)
-    return rows.select("novel_id", "conflict_type", "gf_type", "arc_type", "perspective", "segment", "overall_quality", "consistency_score", F.array_join("reusable_tags", "|").alias("reusable_tags"), "reverse_summary", "formula_summary")
+    return _deep(t).select("novel_id", *_V1)
+
+
+@query(_DEEP + "select novel_id, overall_quality, consistency_score, rtrim(tags, '|') as reusable_tags, reverse_summary, formula_summary from fused")
+def v6_deep_fuse(t: Tables) -> DataFrame:
+    return _deep(t).select("novel_id", "overall_quality", "consistency_score", F.array_join("reusable_tags", "|").alias("reusable_tags"), "reverse_summary", "formula_summary")
 
 
 _ISSUES = "array_to_string(list_filter([case when confidence_score < 0.7e0 then 'Confidence score too low' end, case when coalesce(world_type, '') = '' then 'Missing world_type' end, case when coalesce(task_structure, '') = '' then 'Missing task_structure' end], lambda x: x is not null), '|')"
@@ -225,10 +258,11 @@ def v4_basic_features(t: Tables) -> DataFrame:
     return out.features.select("novel_id", "task_structure", "world_type", "confidence_score", F.array_join("issues", "|").alias("issues")).join(steps, "novel_id").join(n, "novel_id")
 
 
-@query()
+@query(_DEEP + "select novel_id, conflict_type, uniqueness, gf_type, coherence, arc_type, memorability, perspective, rhythm_score, segment, commercial_score, overall_quality from fused")
 def v5_dimension_structs(t: Tables) -> DataFrame:
-    rows = deep.dimension_structs(deep.deep_features(t.books.select("novel_id", "text"), t.chapters, DEEP))
-    return rows.select("novel_id", *[F.to_json(d).alias(d) for d in deep.DIMENSIONS])
+    rows = deep.dimension_structs(_deep(t))
+    told = "story_core.conflict_type story_core.uniqueness core_setting.gf_type core_setting.coherence character_analysis.arc_type character_analysis.memorability narrative_technique.perspective narrative_technique.rhythm_score commercial_value.segment commercial_value.commercial_score"
+    return rows.select("novel_id", *told.split(), "overall_quality")
 
 
 @query(with_(PARSED, CORE_TEXTS, FOUND) + "select novel_id, world_type, confidence_score from found where novel_id in (select doc_id from labels)")
