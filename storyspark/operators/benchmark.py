@@ -117,7 +117,7 @@ def comparison(novels: DataFrame, library: DataFrame, top: int = 3, describe: Ca
     own = suggestions(c("total_hooks"), c("n_constraints"), c("completion"), c("commercial_score"))
     lonely = F.array(F.struct(F.lit("").alias("category"), F.lit(NO_LIBRARY).alias("suggestion"), F.lit("").alias("priority"), F.lit("").alias("reference")))
     lists = {n: F.coalesce(F.flatten(F.array_compact(c(f"rows.{n}"))), F.array()) for n in ("differentiation", "reusable")}
-    out = novels.select("novel_id", own.alias("own")).join(told, "novel_id", "left")
+    out = novels.select("novel_id", own.alias("own")).join(told.hint("merge"), "novel_id", "left")
     return out.select("novel_id", *[v.alias(n) for n, v in lists.items()], F.when(c("rows").isNull(), lonely).otherwise(c("own")).alias("suggestions"), F.coalesce("rows.similar", F.array()).alias("similar"))
 
 

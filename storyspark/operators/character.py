@@ -53,7 +53,7 @@ def completion(n: Column, last_chapter: Column, n_chapters: Column, most: int =
 def arc_completion(chapters: DataFrame, keywords=L.TURNINGS) -> DataFrame:
     """``(novel_id, n_turning_points, completion)``."""
     points = turning_points(chapters, keywords).groupBy("novel_id").agg(F.count("*").alias("n"), F.max("chapter_number").alias("last"))
-    rows = chapters.groupBy("novel_id").agg(F.count("*").alias("n_chapters")).join(points, "novel_id", "left")
+    rows = chapters.groupBy("novel_id").agg(F.count("*").alias("n_chapters")).join(points.hint("merge"), "novel_id", "left")
     return rows.select("novel_id", F.coalesce("n", F.lit(0)).alias("n_turning_points"), completion(F.col("n"), F.col("last"), F.col("n_chapters")).alias("completion"))
 
 
@@ -93,7 +93,7 @@ def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, s
     few persons of a book meet its sentences by an equi-join on the book.
     """
     pieces = chapters.select("novel_id", F.explode(F.split("content", f"[{stop}]", -1)).alias("sentence"))
-    pairs = pieces.join(persons.select("novel_id", "person", "mentions"), "novel_id").where(F.contains("sentence", "person"))
+    pairs = pieces.join(persons.select("novel_id", "person", "mentions").hint("merge"), "novel_id").where(F.contains("sentence", "person"))
     sums = [F.sum(reduce(lambda a, b: a + b, [cnt("sentence", w) for w in keys])).alias(f"__s{k}") for k, keys in enumerate(lexicon.values())]
     rows = pairs.groupBy("novel_id", "person", "mentions").agg(*sums)
     table = F.array(*[F.struct(F.lit(r).alias("category"), F.col(f"__s{k}").alias("score")) for k, r in enumerate(lexicon)])
@@ -130,8 +130,8 @@ def character_analysis(
     cast = supporting_roles(chapters, person_mentions(books, persons), roles, stop, reusable)
     role = F.struct("place", F.struct("role_name", "function_type", "role_description", "relationship", "plot_function", "reusability").alias("role"))
     cast = cast.groupBy("novel_id").agg(F.count("*").alias("n_roles"), F.array_sort(F.collect_list(role))["role"].alias("roles"))
-    out = books.select("novel_id").join(arc_type(chapters, arcs), "novel_id", "left").join(arc_completion(chapters, turnings), "novel_id", "left")
-    out = out.join(n(character_tags(books, speech, behaviours, habits), "n_tags"), "novel_id", "left").join(cast, "novel_id", "left")
+    out = books.select("novel_id").join(arc_type(chapters, arcs).hint("merge"), "novel_id", "left").join(arc_completion(chapters, turnings).hint("merge"), "novel_id", "left")
+    out = out.join(n(character_tags(books, speech, behaviours, habits), "n_tags").hint("merge"), "novel_id", "left").join(cast.hint("merge"), "novel_id", "left")
     out = out.withColumns({"arc_type": F.coalesce("arc_type", F.lit(next(iter(arcs)))), "completion": F.coalesce("completion", F.lit(0.5)), "n_tags": F.coalesce("n_tags", F.lit(0)), "n_roles": F.coalesce("n_roles", F.lit(0))})
     return out.withColumns({
         "satisfaction": satisfaction(F.col("arc_type"), F.col("completion"), popular), "memorability": memorability(F.col("completion"), F.col("n_tags"), F.col("n_roles")),

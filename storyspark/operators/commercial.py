@@ -87,8 +87,8 @@ def commercial_value(books: DataFrame, audiences=L.AUDIENCES, triggers=L.PAYMENT
     """All of the commercial value, one row a book."""
     found = adaptations(books, kinds, costs, speaker, scene)
     best = found.groupBy("novel_id").agg(F.min_by("adaptation_type", "place").alias("best_adaptation"), F.min_by("roi", "place").alias("best_roi"), F.max("roi").alias("max_roi"))
-    out = audience(books, audiences, ages).join(payment_behavior(books, triggers, motives), "novel_id").join(best, "novel_id", "left")
-    out = out.join(books.select("novel_id", derivatives("text", speaker=speaker, **derived).alias("derivatives")), "novel_id").withColumn("arpu", arpu(F.col("segment"), F.col("motivation"), base))
+    out = audience(books, audiences, ages).join(payment_behavior(books, triggers, motives).hint("merge"), "novel_id").join(best.hint("merge"), "novel_id", "left")
+    out = out.join(books.select("novel_id", derivatives("text", speaker=speaker, **derived).alias("derivatives")).hint("merge"), "novel_id").withColumn("arpu", arpu(F.col("segment"), F.col("motivation"), base))
     out = out.withColumn("commercial_score", commercial_score(F.col("arpu"), F.col("max_roi"), F.col("derivatives.potential")))
     return out.withColumn("monetization_path", monetization_path(F.col("segment"), F.col("best_adaptation"), F.col("best_roi")))
 

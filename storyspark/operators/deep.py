@@ -42,7 +42,7 @@ def deep_features(books: DataFrame, chapters: DataFrame, options: dict[str, dict
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, "novel_id")
+        out = out.join(p.hint("merge"), "novel_id")
     out = deep_fuse(out)
     return out if library is None else compared(out, library)
 
@@ -52,7 +52,7 @@ def compared(deep: DataFrame, library: DataFrame) -> DataFrame:
     novels = deep.withColumn("genre", F.get("genres", F.lit(0)))
     lists = benchmark.comparison(novels, library)
     told = lists.select("novel_id", F.struct("differentiation", "reusable", "suggestions", "similar").alias("benchmark_comparisons"))
-    return deep.join(told, "novel_id", "left")
+    return deep.join(told.hint("merge"), "novel_id", "left")
 
 
 def dimension_structs(deep: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def fuse_features(rules: DataFrame, model: DataFrame) -> DataFrame:
     """
     names = [c for c in dict.fromkeys(rules.columns + model.columns) if c != "novel_id"]
     side = lambda df, p: df.select("novel_id", *[(F.col(c) if c in df.columns else F.lit(None).cast(dict(rules.dtypes + model.dtypes)[c])).alias(f"{p}_{c}") for c in names])
-    both = side(rules, "r").join(side(model, "m"), "novel_id", "full_outer")
+    both = side(rules, "r").join(side(model, "m").hint("merge"), "novel_id", "full_outer")
     r, m = (lambda c: F.col(f"r_{c}")), (lambda c: F.col(f"m_{c}"))
     out = {}
     for c in names:

@@ -37,7 +37,7 @@ def info_releases(chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_MET
     by = rows.groupBy("novel_id", "ord", "info_type", "method").agg(F.count("*").alias("n"), F.min("chapter_number").alias("first"))
     by = by.groupBy("novel_id", "ord", "info_type").agg(F.max_by("method", F.struct("n", -F.col("first"))).alias("release_method"), F.sum("n").alias("release_chapters"))
     size = chapters.groupBy("novel_id").agg(F.count("*").alias("n_chapters"))
-    return by.join(size, "novel_id").select("novel_id", "ord", "info_type", "release_method", "release_chapters", (1 - F.col("release_chapters") / F.col("n_chapters")).alias("mystery_ratio"))
+    return by.join(size.hint("merge"), "novel_id").select("novel_id", "ord", "info_type", "release_method", "release_chapters", (1 - F.col("release_chapters") / F.col("n_chapters")).alias("mystery_ratio"))
 
 
 def sentence_stats(books: DataFrame, marks: str = "[。！？；]", short: int = 10, long: int = 30) -> DataFrame:
@@ -86,7 +86,7 @@ def validate_ratios(hook: Column, development: Column, cliffhanger: Column) -> C
 def narrative_technique(books: DataFrame, chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_METHODS, marks: str = "[。！？；]", first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN, other: str = L.RELEASE_OTHER) -> DataFrame:
     """All of the technique, one row a book."""
     releases = info_releases(chapters, kinds, methods, other).groupBy("novel_id").agg(F.count("*").alias("n_releases"), F.avg("mystery_ratio").alias("mean_mystery"))
-    out = sentence_stats(books, marks).join(perspective(books, first, third, switch), "novel_id").join(chapter_structure(chapters), "novel_id", "left").join(releases, "novel_id", "left")
+    out = sentence_stats(books, marks).join(perspective(books, first, third, switch).hint("merge"), "novel_id").join(chapter_structure(chapters).hint("merge"), "novel_id", "left").join(releases.hint("merge"), "novel_id", "left")
     defaults = {"hook_ratio": 0.1, "development_ratio": 0.7, "cliffhanger_ratio": 0.2, "paragraph_length": 200.0, "dialogue_ratio": 0.3}
     out = out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()} | {"n_releases": F.coalesce("n_releases", F.lit(0))})
     return out.withColumns({

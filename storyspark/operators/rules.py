@@ -67,7 +67,7 @@ def rule_features(books: DataFrame, rules: DataFrame, fields: list[str] | None =
     """One row a book, one column a target field (dots as underscores), and ``confidence_score``."""
     fields = fields or list(dict.fromkeys(r[2] for r in RULES))
     found = apply_rules(books, rules).groupBy("novel_id").pivot("target_field", fields).agg(F.first("value"))
-    out = books.select("novel_id").join(found, "novel_id", "left")
+    out = books.select("novel_id").join(found.hint("merge"), "novel_id", "left")
     return out.select("novel_id", *[F.col(f"`{f}`").alias(f.replace(".", "_")) for f in fields], rule_confidence({f: F.col(f"`{f}`") for f in fields}).alias("confidence_score"))
 
 

@@ -58,7 +58,7 @@ def early_text(chapters: DataFrame, first: int = 5) -> DataFrame:
 
 def fit(early: DataFrame, types: DataFrame, pains=L.PAINS, solves=(("system", "弱"), ("item", "穷"))) -> DataFrame:
     """``(novel_id, pain_keyword, pain_point, fit_score)``."""
-    rows = types.join(early, "novel_id", "left").withColumn("early_text", F.coalesce("early_text", F.lit("")))
+    rows = types.join(early.hint("merge"), "novel_id", "left").withColumn("early_text", F.coalesce("early_text", F.lit("")))
     pain = first_present("early_text", pains)
     good = F.lit(False)
     for kind, word in solves:
@@ -71,7 +71,7 @@ def innovations(books: DataFrame, found: DataFrame, lexicon=L.GOLDEN_FINGERS, mo
     """``(novel_id, innovations)``: up to three tags; ``found`` are the book's constraints."""
     heavy = found.groupBy("novel_id").agg((F.count_if(F.col("constraint_type") == price) > 0).alias("priced"), (F.max("severity") >= 4).alias("grave"))
     types = F.filter(F.array(*[F.when(has_any("text", keys[:3]), F.lit(t)) for t, keys in lexicon.items()]), lambda x: x.isNotNull())
-    rows = books.join(heavy, "novel_id", "left").withColumn("__types", types)
+    rows = books.join(heavy.hint("merge"), "novel_id", "left").withColumn("__types", types)
     tags = compact(
         F.when(has("text", mood), "使用'情绪值'作为系统兑换资源，而非传统积分"),
         F.when(F.col("priced") & F.col("grave"), "金手指使用需要付出沉重代价，增加剧情张力"),
@@ -141,10 +141,10 @@ def core_setting(
     """All of the setting, one row a book."""
     held = constraints(books, limits, stop, gravest, grave)
     types = gf_type(books, fingers)
-    out = books.join(types, "novel_id").join(growth_type(books, growth), "novel_id")
+    out = books.join(types.hint("merge"), "novel_id").join(growth_type(books, growth).hint("merge"), "novel_id")
     n = held.groupBy("novel_id").agg(F.count("*").alias("n_constraints"), F.array_sort(F.collect_list(F.struct("place", "constraint_type")))["constraint_type"].alias("constraint_types"))
     rules = world_rules(books, systems, resources).groupBy("novel_id").agg(F.count("*").alias("n_rules"))
-    out = out.join(n, "novel_id", "left").join(rules, "novel_id", "left").join(fit(early_text(chapters), types, pains, solves), "novel_id").join(innovations(books, held, fingers, mood, price), "novel_id")
+    out = out.join(n.hint("merge"), "novel_id", "left").join(rules.hint("merge"), "novel_id", "left").join(fit(early_text(chapters), types, pains, solves).hint("merge"), "novel_id").join(innovations(books, held, fingers, mood, price).hint("merge"), "novel_id")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_constraints", "n_rules")}).withColumn("constraint_types", F.coalesce("constraint_types", F.array().cast("array<string>")))
     out = out.withColumn("similarity", similarity_to_common(F.col("gf_type"), F.col("growth_type"), F.col("n_constraints")))
     out = out.withColumns({"novelty": novelty(F.col("similarity")), "coherence": coherence(F.col("n_constraints"), F.col("n_rules")), "gf_name": gf_name("text", F.col("gf_type"), names), "initial_power": initial_power(F.col("gf_type")), "max_potential": max_potential("text", peaks)})

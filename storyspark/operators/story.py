@@ -97,8 +97,8 @@ def emotional_response(hook_type: Column, table=L.HOOK_RESPONSES, default: str =
 
 def story_core(books: DataFrame, chapters: DataFrame, conflict=L.CONFLICT, hooks=L.HOOKS, values=L.VALUES, formulas=L.FORMULAS, default=L.FORMULA_DEFAULT, common=UNDERDOGS) -> DataFrame:
     """All of the story core, one row a book."""
-    out = conflict_formula(books, conflict, formulas, default).join(value_proposition(books, values), "novel_id")
-    out = out.join(rhythm_pattern(chapters, hooks), "novel_id", "left").join(top_hook(chapters, hooks), "novel_id", "left")
+    out = conflict_formula(books, conflict, formulas, default).join(value_proposition(books, values).hint("merge"), "novel_id")
+    out = out.join(rhythm_pattern(chapters, hooks).hint("merge"), "novel_id", "left").join(top_hook(chapters, hooks).hint("merge"), "novel_id", "left")
     out = out.withColumn("rhythm_pattern", F.coalesce("rhythm_pattern", F.lit("无明显节奏"))).withColumn("types_used", F.coalesce("types_used", F.lit(0)))
     out = out.withColumn("top_hook", F.coalesce("top_hook", F.lit(next(iter(hooks))))).withColumn("total_hooks", F.coalesce("total_hooks", F.lit(0)))
     out = out.withColumn("uniqueness", uniqueness(F.col("conflict_type"), F.col("types_used"), F.col("rhythm_pattern"), len(hooks), common))

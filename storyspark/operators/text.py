@@ -152,4 +152,4 @@ def parse_book(books: DataFrame, patterns: list[str] = TITLE_PATTERNS, labels: d
     info = info.withColumnsRenamed({k: f"novel_{k}" for k in labels})
     chapters = mark_core_chapters(split_chapters(cleaned, patterns))
     total = F.sum("word_count").over(Window.partitionBy("novel_id"))
-    return chapters.withColumn("total_word_count", total).withColumn("chapter_hash", content_hash("content")).join(info, "novel_id")
+    return chapters.withColumn("total_word_count", total).withColumn("chapter_hash", content_hash("content")).join(info.hint("merge"), "novel_id")

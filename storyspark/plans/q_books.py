@@ -152,14 +152,14 @@ _G6 = with_(BOOKS, G1, G2, G3)[:-1] + ", n as (select novel_id, count(*) as k fr
 @query(_G6 + "select novel_id, similarity, 1 - similarity as novelty from g6")
 def g6_similarity_novelty(t: Tables) -> DataFrame:
     n = G.constraints(t.books, **_C).groupBy("novel_id").agg(F.count("*").alias("k"))
-    rows = G.gf_type(t.books, FINGERS).join(G.growth_type(t.books, B.GROWTH), "novel_id").join(n, "novel_id", "left")
+    rows = G.gf_type(t.books, FINGERS).join(G.growth_type(t.books, B.GROWTH).hint("merge"), "novel_id").join(n.hint("merge"), "novel_id", "left")
     rows = rows.select("novel_id", G.similarity_to_common(F.col("gf_type"), F.col("growth_type"), F.coalesce("k", F.lit(0))).alias("similarity"))
     return rows.withColumn("novelty", G.novelty(F.col("similarity")))
 
 
 @query(with_(BOOKS, G1) + r"select novel_id, nullif(case gf_type when 'system' then regexp_extract(text, '([\p{L}\p{N}_]+ing)', 1) when 'space' then regexp_extract(text, '([\p{L}\p{N}_]+keit)', 1) end, '') as gf_name from g1 join books using (novel_id)")
 def g7_gf_name(t: Tables) -> DataFrame:
-    rows = t.books.join(G.gf_type(t.books, FINGERS), "novel_id")
+    rows = t.books.join(G.gf_type(t.books, FINGERS).hint("merge"), "novel_id")
     return rows.select("novel_id", G.gf_name("text", F.col("gf_type"), {"system": r"(?U)(\w+ing)", "space": r"(?U)(\w+keit)"}).alias("gf_name"))
 
 
@@ -193,7 +193,7 @@ def g10_rule_exploits(t: Tables) -> DataFrame:
 def g11_coherence(t: Tables) -> DataFrame:
     a = G.constraints(t.books, **_C).groupBy("novel_id").agg(F.count("*").alias("a"))
     b = G.world_rules(t.books, SYSTEMS, ["lles", "thing"]).groupBy("novel_id").agg(F.count("*").alias("b"))
-    rows = t.books.select("novel_id").join(a, "novel_id", "left").join(b, "novel_id", "left")
+    rows = t.books.select("novel_id").join(a.hint("merge"), "novel_id", "left").join(b.hint("merge"), "novel_id", "left")
     return rows.select("novel_id", G.coherence(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("coherence"))
 
 
@@ -226,7 +226,7 @@ def c3_completion(t: Tables) -> DataFrame:
 
 @query(with_(CHAPTERS, C1, C2, C3) + "select novel_id, least(case when arc_type in ('a', 'c') then 0.75e0 else 0.7e0 end + completion * 0.25e0, 1.0e0) as satisfaction from c1 join c3 using (novel_id)")
 def c4_satisfaction(t: Tables) -> DataFrame:
-    rows = C.arc_type(t.chapters, _ARCS).join(C.arc_completion(t.chapters, B.TURNINGS), "novel_id")
+    rows = C.arc_type(t.chapters, _ARCS).join(C.arc_completion(t.chapters, B.TURNINGS).hint("merge"), "novel_id")
     return rows.select("novel_id", C.satisfaction(F.col("arc_type"), F.col("completion"), ["a", "c"]).alias("satisfaction"))
 
 
@@ -285,7 +285,7 @@ def c8_infer_relationship(t: Tables) -> DataFrame:
 @query(with_(BOOKS, CHAPTERS, QUOTED, C2, C3, C5, C6, C7) + "select novel_id, least(0.6e0 + completion * 0.15e0 + least(coalesce(a, 0) * 0.03e0, 0.15e0) + least(coalesce(b, 0) * 0.02e0, 0.1e0), 1.0e0) as memorability from c3 left join (select novel_id, count(*) as a from c5 group by 1) using (novel_id) left join (select novel_id, count(*) as b from c7 group by 1) using (novel_id)")
 def c9_memorability(t: Tables) -> DataFrame:
     a, b = (df.groupBy("novel_id").agg(F.count("*").alias(n)) for df, n in ((_tags(t), "a"), (_roles(t), "b")))
-    rows = C.arc_completion(t.chapters, B.TURNINGS).join(a, "novel_id", "left").join(b, "novel_id", "left")
+    rows = C.arc_completion(t.chapters, B.TURNINGS).join(a.hint("merge"), "novel_id", "left").join(b.hint("merge"), "novel_id", "left")
     return rows.select("novel_id", C.memorability(F.col("completion"), F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("memorability"))
 
 
@@ -349,20 +349,20 @@ def n5_sensory_distribution(t: Tables) -> DataFrame:
 
 @query(with_(BOOKS, N3, N4) + "select novel_id, greatest(least(0.5e0 + (short_ratio - 0.3e0) * 0.5e0 - least(switches * 0.02e0, 0.1e0), 1.0e0), 0.0e0) as rhythm_score from n3 join n4 using (novel_id)")
 def n6_rhythm_score(t: Tables) -> DataFrame:
-    rows = N.sentence_stats(t.books, "[.!?;]").join(N.perspective(t.books, **VIEW), "novel_id")
+    rows = N.sentence_stats(t.books, "[.!?;]").join(N.perspective(t.books, **VIEW).hint("merge"), "novel_id")
     return rows.select("novel_id", N.rhythm_score(F.col("short_ratio"), F.col("switches")).alias("rhythm_score"))
 
 
 @query(with_(BOOKS, QUOTED, QCH, N1, N3) + "select novel_id, array_to_string(list_filter([case when hook_ratio > 0.15 then '快节奏爽文' else '慢热型作品' end, case when dialogue_ratio > 0.4 then '对话驱动型' else '叙述驱动型' end, case when short_ratio > 0.4 then '快节奏战斗场景' end, case when long_ratio > 0.3 then '氛围渲染场景' end], lambda x: x is not null), '|') as scenarios from n1 join n3 using (novel_id)")
 def n7_scenarios(t: Tables) -> DataFrame:
-    rows = N.chapter_structure(_quoted_chapters(t)).join(N.sentence_stats(t.books, "[.!?;]"), "novel_id")
+    rows = N.chapter_structure(_quoted_chapters(t)).join(N.sentence_stats(t.books, "[.!?;]").hint("merge"), "novel_id")
     return rows.select("novel_id", F.array_join(N.scenarios(F.col("hook_ratio"), F.col("dialogue_ratio"), F.col("short_ratio"), F.col("long_ratio")), "|").alias("scenarios"))
 
 
 @query(with_(CHAPTERS, N2) + "select novel_id, least(3 + cast(coalesce(k, 0) > 2 as int) + cast(coalesce(m, 0) > 0.6e0 as int), 5) as difficulty from (select distinct novel_id from chapters) left join (select novel_id, count(*) as k, avg(mystery_ratio) as m from n2 group by 1) using (novel_id)")
 def n8_difficulty(t: Tables) -> DataFrame:
     r = N.info_releases(t.chapters, B.INFO, B.METHODS, "found").groupBy("novel_id").agg(F.count("*").alias("k"), F.avg("mystery_ratio").alias("m"))
-    rows = t.chapters.select("novel_id").distinct().join(r, "novel_id", "left")
+    rows = t.chapters.select("novel_id").distinct().join(r.hint("merge"), "novel_id", "left")
     return rows.select("novel_id", N.difficulty(F.lit(0.1), F.coalesce("k", F.lit(0)), F.col("m")).alias("difficulty"))
 
 
@@ -396,7 +396,7 @@ def m3_payment_behavior(t: Tables) -> DataFrame:
 
 
 def _arpu(t: Tables) -> DataFrame:
-    rows = M.audience(t.books, B.SEGMENTS, B.AGES).join(M.payment_behavior(t.books, LATIN, B.MOTIVES), "novel_id")
+    rows = M.audience(t.books, B.SEGMENTS, B.AGES).join(M.payment_behavior(t.books, LATIN, B.MOTIVES).hint("merge"), "novel_id")
     return rows.select("novel_id", "segment", M.arpu(F.col("segment"), F.col("motivation"), B.ARPU).alias("arpu"))
 
 
@@ -448,13 +448,13 @@ def m8_derivatives(t: Tables) -> DataFrame:
 @query(with_(BOOKS, M1, M3, M4, M5, M8) + "select novel_id, least(least(arpu / 100, 1.0e0) * 0.3e0 + case when r is null then 0.1e0 else r / 5 * 0.4e0 end + case when len(p) > 0 then list_sum(p) / len(p) * 0.3e0 else 0.1e0 end, 1.0e0) as score from m4 join m8 using (novel_id) left join (select novel_id, max(roi) as r from m5 group by 1) using (novel_id)")
 def m9_commercial_score(t: Tables) -> DataFrame:
     most = _adapt(t).groupBy("novel_id").agg(F.max("roi").alias("r"))
-    rows = _arpu(t).join(t.books.select("novel_id", M.derivatives("text", **DERIVED).alias("d")), "novel_id").join(most, "novel_id", "left")
+    rows = _arpu(t).join(t.books.select("novel_id", M.derivatives("text", **DERIVED).alias("d")).hint("merge"), "novel_id").join(most.hint("merge"), "novel_id", "left")
     return rows.select("novel_id", M.commercial_score(F.col("arpu"), F.col("r"), F.col("d.potential")).alias("score"))
 
 
 @query(with_(BOOKS, M1, M5) + "select novel_id, '付费阅读（核心受众：' || segment || '） → ' || coalesce(adaptation_type || '改编（ROI预测：' || format('{:.1f}', roi) || '倍） → ', '') || 'IP衍生开发（周边、游戏、系列文）' as path from m1 left join (select * from m5 where place = 1) using (novel_id)")
 def m10_monetization_path(t: Tables) -> DataFrame:
-    rows = M.audience(t.books, B.SEGMENTS, B.AGES).join(_adapt(t).where("place = 1").select("novel_id", "adaptation_type", "roi"), "novel_id", "left")
+    rows = M.audience(t.books, B.SEGMENTS, B.AGES).join(_adapt(t).where("place = 1").select("novel_id", "adaptation_type", "roi").hint("merge"), "novel_id", "left")
     return rows.select("novel_id", M.monetization_path(F.col("segment"), F.col("adaptation_type"), F.col("roi")).alias("path"))
 
 

@@ -59,7 +59,7 @@ def _fused(t: Tables) -> DataFrame:
 @query(with_(BOOKS, _SIDES) + "select coalesce(r.novel_id, m.novel_id) as novel_id, coalesce(r.world_type, m.world_type) as low_weight, coalesce(m.world_type, r.world_type) as high_weight from ru r full join mo m on r.novel_id = m.novel_id")
 def f1_select_best(t: Tables) -> DataFrame:
     ru, mo = _sides(t)
-    both = ru.select("novel_id", F.col("world_type").alias("r")).join(mo.select("novel_id", F.col("world_type").alias("m")), "novel_id", "full_outer")
+    both = ru.select("novel_id", F.col("world_type").alias("r")).join(mo.select("novel_id", F.col("world_type").alias("m")).hint("merge"), "novel_id", "full_outer")
     return both.select("novel_id", U.select_best(F.col("r"), F.col("m"), 0.4).alias("low_weight"), U.select_best(F.col("r"), F.col("m"), 0.5).alias("high_weight"))
 
 
@@ -255,7 +255,7 @@ def v4_basic_features(t: Tables) -> DataFrame:
     out = deep.basic_features(titled(t), rule_table(t, FIELD_ROWS), **PARSE)
     steps = out.progress.groupBy("novel_id").agg(F.count("*").cast("int").alias("steps"), F.max_by("progress", "ord").alias("progress"))
     n = out.chapters.groupBy("novel_id").agg(F.count("*").alias("chapters"))
-    return out.features.select("novel_id", "task_structure", "world_type", "confidence_score", F.array_join("issues", "|").alias("issues")).join(steps, "novel_id").join(n, "novel_id")
+    return out.features.select("novel_id", "task_structure", "world_type", "confidence_score", F.array_join("issues", "|").alias("issues")).join(steps.hint("merge"), "novel_id").join(n.hint("merge"), "novel_id")
 
 
 @query(_DEEP + "select novel_id, conflict_type, uniqueness, gf_type, coherence, arc_type, memorability, perspective, rhythm_score, segment, commercial_score, overall_quality from fused")
@@ -362,7 +362,7 @@ def b5_reusable_elements(t: Tables) -> DataFrame:
     item = F.struct("place", F.struct("role_name", "function_type", "reusability").alias("role"))
     cast = cast.groupBy("novel_id").agg(F.array_sort(F.collect_list(item))["role"].alias("roles"))
     d = BM.reusable_elements(F.col("title"), F.col("conflict_type"), F.col("__conflict_type"), F.lit(0.5), F.col("rhythm_pattern"), F.col("roles"))["description"]
-    rows = _compared(t).where("place <= 2").join(cast, "novel_id", "left").select("novel_id", "place", d.alias("d"))
+    rows = _compared(t).where("place <= 2").join(cast.hint("merge"), "novel_id", "left").select("novel_id", "place", d.alias("d"))
     merged = F.flatten(F.array_sort(F.collect_list(F.struct("place", "d")))["d"])
     return rows.groupBy("novel_id").agg(F.nullif(F.array_join(merged, "|"), F.lit("")).alias("reusable"))
 

@@ -422,6 +422,12 @@ def w7_stream_failure_rates(t: Tables) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "hits")
 
 
+@query("select user_id, session_start, count(*) as calls from (select user_id, min(ts) over (partition by user_id, k) as session_start from (select *, sum(new) over (partition by user_id order by ts, event_id) as k from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 21600 second then 0 else 1 end as new from events))) group by 1, 2")
+def w9_stream_sessions(t: Tables) -> DataFrame:
+    out = streams.drained(streams.sessions(_live(t), "user_id", "21600 seconds", late="400 days"), "complete")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "calls")
+
+
 def _live_chapters(t: Tables) -> DataFrame:
     kind = t.read("documents").schema
     rows = t.spark.readStream.schema(kind).parquet(f"{t.folder}/documents.parquet*")

@@ -29,11 +29,11 @@ def sessions(events: DataFrame, key: str, silence: str = "60 seconds", late: str
     return by.select(key, F.col("s.start").alias("session_start"), "calls")
 
 
-def alert_cooldown(events: DataFrame, key: str, seconds: int = 300, ts: str = "ts") -> DataFrame:
+def alert_cooldown(events: DataFrame, key: str, seconds: int = 300, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Alerts that are let through; the state of a key is the time of its last one.
 
-    The state is dropped once the watermark, which the caller sets on ``events``, is past the time at which
-    every alert would be let through.
+    Alerts that come more than ``late`` behind are dropped. So is a key's state, once every alert that may
+    still come would be let through.
     """
     kind = dict(events.dtypes)[key]
 
@@ -53,7 +53,7 @@ def alert_cooldown(events: DataFrame, key: str, seconds: int = 300, ts: str = "t
             state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
 
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(told, f"{key} {kind}, {ts} timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_chapters(chapters: DataFrame, ts: str = "ts", remember: str = "30 days") -> DataFrame:

@@ -77,7 +77,7 @@ def test_stream_cooldown(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = drain(spark, streams.alert_cooldown(live, "user_id", 21_600))
+    got = drain(spark, streams.alert_cooldown(live, "user_id", 21_600, late="400 days"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, W.alert_cooldown(rows, "user_id", seconds=21_600).collect()))
 
 
