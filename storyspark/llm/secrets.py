@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, written
 
 # The patterns of the three base kinds, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -138,7 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = rows.where(F.col("h") <= F.lit(last).cast("long")).select("text")
-    words = chosen.mapInArrow(_labelled, "word string, label int").distinct()
+    words = written(chosen.mapInArrow(_labelled, "word string, label int").distinct(), "words")
     got = [[r.word for r in words.where(F.col("label") == k).orderBy(F.xxhash64("word"), "word").limit(strings).collect()] for k in (0, 1)]
     return Model(got[0] + random_strings(), got[1] + identifiers())
 

@@ -236,6 +236,64 @@ def test_viterbi_against_plain_loop():
         at += n
 
 
+def slow_label(model, text):
+    """Language, score and spans of a text, letter by letter and word by word."""
+    import unicodedata
+
+    def script(c):
+        return next(n for a, n in reversed(language.SCRIPTS) if ord(c) >= a)
+
+    words, now = [], []
+    for i, c in enumerate(text):
+        if unicodedata.category(c)[0] == "L":
+            now.append(i)
+        elif now:
+            words.append(now)
+            now = []
+    words += [now] if now else []
+    if not words:
+        return "und", 0.0, []
+    low = [(c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else "\0" for c in text]
+    rows = []
+    for w in words:
+        total = np.zeros(len(model.languages))
+        for i in w:
+            a, b, c = (ord(low[k]) if 0 <= k < len(low) else 0 for k in (i - 1, i, i + 1))
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            total += model.scores[((h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 16]
+        fine = np.array([all(model.scripts[language.NAMES.index(script(text[i])), k] for i in w) for k in range(len(model.languages))])
+        rows.append(np.where(fine | ~fine.any(), total, total.min() - 2 * language.SWITCH))
+    best, back = rows[0], []
+    for row in rows[1:]:
+        jump = best.max() - language.SWITCH
+        back.append([k if best[k] >= jump else int(best.argmax()) for k in range(len(best))])
+        best = np.maximum(best, jump) + row
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    path.reverse()
+    share = np.zeros(len(model.languages))
+    spans = []
+    for w, k in zip(words, path, strict=True):
+        share[k] += len(w)
+        if spans and spans[-1][2] == model.languages[k]:
+            spans[-1] = (spans[-1][0], w[-1] + 1, spans[-1][2])
+        else:
+            spans.append((w[0], w[-1] + 1, model.languages[k]))
+    return model.languages[int(share.argmax())], share.max() / share.sum(), spans
+
+
+def test_language_against_slow_labels(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs)
+    rows = docs.where("n_chars < 3000").limit(40).collect()
+    texts = [r.text for r in rows] + [a.text[:200] + " " + b.text[:200] for a, b in zip(rows, rows[7:], strict=False)] + ["東京 the ing", "Ünïcödé x\u0301y", "ΑΒΓ und der", ""]
+    got = language.label_texts(model, texts)
+    for text, (lang, score, spans) in zip(texts, got, strict=True):
+        want = slow_label(model, text)
+        assert (lang, spans) == (want[0], want[2]) and abs(score - want[1]) < 1e-9
+
+
 def test_language_odd_rows(spark):
     model = language.train(docs_of(spark))
     rows = language.identify(clashing(docs_of(spark)), model).collect()
@@ -635,6 +693,49 @@ def test_secrets_against_brute_force(spark):
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("markov")) == base
 
 
+def slow_ratio(secret, ordinary, text):
+    """Mean log-likelihood ratio of a string, by counts in dictionaries; the start is a character of its own."""
+    size, out = len(secrets.ALPHABET) + 1, 0.0
+    padded = lambda t: ["", "", *t]
+    for sign, sample in ((1, secret), (-1, ordinary)):
+        none, one, two = Counter(), Counter(), Counter()
+        for t in sample:
+            p = padded(t)
+            for a, b, c in zip(p, p[1:], p[2:], strict=False):
+                none[c] += 1
+                one[b, c] += 1
+                two[a, b, c] += 1
+        of_one, of_two = Counter(), Counter()
+        for (b, _), n in one.items():
+            of_one[b] += n
+        for (a, b, _), n in two.items():
+            of_two[a, b] += n
+        total = sum(none.values()) + size
+        first = lambda c: (none[c] + 1) / total
+        second = lambda b, c: (one[b, c] + 4 * first(c)) / (of_one[b] + 4)
+        p = padded(text)
+        out += sign * sum(np.log((two[a, b, c] + 4 * second(b, c)) / (of_two[a, b] + 4)) for a, b, c in zip(p, p[1:], p[2:], strict=False))
+    return out / len(text)
+
+
+def test_secret_spans_against_slow_ratios(spark):
+    good, plain = secrets.random_strings(300, 3), secrets.identifiers(300, 4)
+    model = secrets.Model(good, plain)
+    rng = np.random.default_rng(8)
+    tried = secrets.random_strings(60, 5) + secrets.identifiers(60, 6) + ["".join(rng.choice(list("abcdeXYZ019+/_"), 24)) for _ in range(30)]
+    for x in tried:
+        assert abs(model.score(x) - slow_ratio(good, plain, x)) < 1e-9
+    text = " ".join(tried)
+    want, at = [], 0
+    for x in tried:
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", x):
+            free = not any(a < at + m.end() and b > at + m.start() for _, a, b in secrets.base_spans(text))
+            if free and slow_ratio(good, plain, m.group()) > secrets.LEAST:
+                want.append((at + m.start(), at + m.end()))
+        at += len(x) + 1
+    assert [(a, b) for k, a, b in secrets.all_spans(model, text) if k == "markov"] == want and len(want) > 30
+
+
 def test_secrets_models(spark):
     model = secrets.train(spark.read.parquet(f"{SF}/documents.parquet"))
     random = secrets.random_strings(400, seed=99)
