@@ -29,10 +29,10 @@ def declared(rows: DataFrame) -> DataFrame:
 
 
 def cnt(text: str | Column, keyword: str) -> Column:
-    """Occurrences of a keyword that do not overlap."""
+    """Occurrences of a keyword that do not overlap. Bytes are compared, as their number is known without reading the text."""
     t = col(text)
-    gone = F.length(t) - F.length(F.replace(t, F.lit(keyword), F.lit("")))
-    return F.coalesce((gone / len(keyword)).cast("int"), F.lit(0))
+    gone = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(keyword), F.lit("")))
+    return F.coalesce((gone / len(keyword.encode())).cast("int"), F.lit(0))
 
 
 def has(text: str | Column, keyword: str) -> Column:

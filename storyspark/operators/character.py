@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.scores import lookup, scores, top
-from ..functions.textfn import cnt, col, first_present, has_any, matches
+from ..functions.textfn import cnt, col, first_present, has_any, matches, once
 from .text import context_window
 
 
@@ -89,12 +89,14 @@ def person_mentions(books: DataFrame, patterns=L.PERSON_PATTERNS, most: int = 10
 def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, stop: str = "。", reusable=L.REUSABLE_ROLES, most: int = 5, texts=L.ROLE_TEXTS, plots=L.PLOT_FUNCTIONS, relations=L.RELATIONSHIPS) -> DataFrame:
     """``(novel_id, place, role_name, function_type, role_description, relationship, plot_function, reusability)``.
 
-    A person's sentences are scored one by one and summed, which is what scoring them joined gives. The
-    few persons of a book meet its sentences by an equi-join on the book.
+    The few persons of a book are joined to its chapters as a list; a chapter yields a row for each person it
+    names, with that person's sentences joined, and keywords are counted in these.
     """
-    pieces = chapters.select("novel_id", F.explode(F.split("content", f"[{stop}]", -1)).alias("sentence"))
-    pairs = pieces.join(persons.select("novel_id", "person", "mentions").hint("merge"), "novel_id").where(F.contains("sentence", "person"))
-    sums = [F.sum(reduce(lambda a, b: a + b, [cnt("sentence", w) for w in keys])).alias(f"__s{k}") for k, keys in enumerate(lexicon.values())]
+    cast = persons.groupBy("novel_id").agg(F.collect_list(F.struct("person", "mentions")).alias("__p"))
+    said = lambda s, p: F.array_join(F.filter(s, lambda x: F.contains(x, p["person"])), "\n")
+    each = once(F.split("content", f"[{stop}]", -1), lambda s: F.transform("__p", lambda p: F.struct(p["person"].alias("person"), p["mentions"].alias("mentions"), said(s, p).alias("said"))))
+    pairs = chapters.join(cast.hint("merge"), "novel_id").select("novel_id", F.inline(each)).where("said != ''")
+    sums = [F.sum(reduce(lambda a, b: a + b, [cnt("said", w) for w in keys])).alias(f"__s{k}") for k, keys in enumerate(lexicon.values())]
     rows = pairs.groupBy("novel_id", "person", "mentions").agg(*sums)
     table = F.array(*[F.struct(F.lit(r).alias("category"), F.col(f"__s{k}").alias("score")) for k, r in enumerate(lexicon)])
     rows = rows.select("novel_id", "person", "mentions", table.alias("found")).withColumn("function_type", top("found"))

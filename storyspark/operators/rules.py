@@ -97,5 +97,5 @@ def lexicon_scores(books: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     own = lexicon.select("category", "cat_ord", "keyword")
     pairs = books.select("novel_id", "text").crossJoin(declared(own))
-    hits = (F.length("text") - F.length(F.replace("text", "keyword", F.lit("")))) / F.length("keyword")
+    hits = (F.octet_length("text") - F.octet_length(F.replace("text", "keyword", F.lit("")))) / F.octet_length("keyword")
     return pairs.groupBy("novel_id", "category", "cat_ord").agg(F.sum(hits).cast("long").alias("n"), F.sum(F.contains("text", "keyword").cast("int")).alias("present"))

@@ -9,11 +9,12 @@ from storyspark.functions import scores as S
 from storyspark.functions import textfn
 from storyspark.operators import benchmark as BM
 from storyspark.operators import character as C
+from storyspark.operators import deep
 from storyspark.operators import model as P
 from storyspark.operators import rules as R
 from storyspark.operators import search as Q
 from storyspark.operators import text as T
-from storyspark.plans import bindings, q_fusion
+from storyspark.plans import bindings, q_fusion, q_text
 from storyspark.sources import files, tables
 
 from .conftest import SF
@@ -106,3 +107,26 @@ def test_relational_scan_of_a_database(spark, tmp_path):
     rows = files.read_relational(spark, url, "NUMBERS", "ID", 0, 1000, 4)
     assert rows.rdd.getNumPartitions() == 4 and rows.count() == 1000
     assert sorted(tuple(r) for r in files.relational(rows, ["TWICE + 1 as n"], "ID < 3").collect()) == [(1,), (3,), (5,)]
+
+
+def test_deep_features_are_compared_with_the_library(spark):
+    t = bindings.Tables(spark, SF)
+    books = t.books.where("novel_id < 12").select("novel_id", "text")
+    chapters = t.chapters.where("novel_id < 12")
+    library = q_fusion._library(t).withColumn("genre", F.lit("city"))  # the first genre of one formula
+    rows = deep.deep_features(books, chapters, q_fusion.DEEP, library).select("novel_id", "formula_name", "benchmark_comparisons").collect()
+    assert len(rows) == books.count()
+    for r in rows:
+        lists = r.benchmark_comparisons
+        assert len(lists.similar) == (3 if r.formula_name == "rise" else 0)
+        assert ([x.suggestion for x in lists.suggestions] == [BM.NO_LIBRARY]) == (not lists.similar)
+    assert {bool(r.benchmark_comparisons.similar) for r in rows} == {True, False}
+
+
+def test_incremental_parsing_without_new_chapters_changes_nothing(spark):
+    was = spark.createDataFrame([(1, "old", None, 0.1)], "novel_id long, world_type string, task_structure string, confidence_score double")
+    chapters = spark.createDataFrame([(1, 1, "the and", "h1")], "novel_id long, chapter_number int, content string, chapter_hash string")
+    rules = q_text.rule_table(bindings.Tables(spark, SF), q_text.FIELD_ROWS)
+    assert [tuple(r) for r in deep.incremental_features(chapters, was, chapters, rules).collect()] == [(1, "old", None, 0.1)]
+    out = deep.incremental_features(chapters, was, chapters.withColumn("chapter_hash", F.lit("h2")), rules).first()
+    assert out.world_type == "english" and out.confidence_score > 0.1
