@@ -80,9 +80,10 @@ def reusable_elements(title: Column, own_conflict: Column, conflict: Column, reu
     pace = compact(F.when(F.contains(rhythm, F.lit("每")), item("爽点节奏", F.concat(F.lit("可复用节奏模式："), rhythm), F.lit(0.75))))
     if roles is None:
         return F.concat(formula, pace)
-    good = F.filter(F.slice(F.coalesce(roles, F.array().cast("array<struct<role_name:string,function_type:string,reusability:double>>")), 1, ROLES), lambda r: r["reusability"] > ROLE_LEAST)
+    good = F.filter(F.slice(roles, 1, ROLES), lambda r: r["reusability"] > ROLE_LEAST)
     said = lambda r: F.concat(F.lit("『"), r["role_name"], F.lit("』类型的"), r["function_type"], F.lit("配角可复用"))
-    return F.concat(formula, F.transform(good, lambda r: item("配角模板", said(r), r["reusability"])), pace)
+    templates = F.transform(good, lambda r: item("配角模板", said(r), r["reusability"]))
+    return F.concat(formula, F.coalesce(templates, F.slice(formula, 1, 0)), pace)  # a novel without roles has none
 
 
 def suggestions(total_hooks: Column, n_constraints: Column, completion: Column, commercial: Column) -> Column:
