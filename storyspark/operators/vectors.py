@@ -65,14 +65,24 @@ def mean_vector(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     return flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "__x")))["__x"].alias(vector))
 
 
+#: Bytes of query vectors that may be broadcast at once.
+MOST_BYTES = 64 << 20
+
+
+def _blocks(queries: DataFrame, vector: str, max_queries: int) -> int:
+    """Parts into which a query set is cut, by its number of rows and the size of its vectors."""
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
+    return max(1, -(-n // max_queries), -(-size * 8 // MOST_BYTES))
+
+
 def knn_exact(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, max_queries: int = 5000) -> DataFrame:
     """``(query_id, place, vec_id, score)``: highest inner products of unit vectors, ties by id.
 
-    The queries are a stated set: up to ``max_queries`` of them are broadcast, which is checked, and more
-    are run in blocks of that size. Filters come before the search. Each task keeps only its own best.
+    The queries are a stated set: up to ``max_queries`` of them, or ``MOST_BYTES`` of vectors, are broadcast,
+    which is checked, and more are run in blocks of that size. Filters come before the search. Each task
+    keeps only its own best.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
+    blocks = _blocks(queries, "vector", max_queries)
     own = (rows if where is None else rows.where(where)).select(F.col(key).alias("__id"), l2_normalize(F.col(vector)).alias("__v"))
     out = None
     for b in range(blocks):
@@ -142,7 +152,7 @@ def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str =
     """
     means = mean_vector(rows.join(queries.select(F.col("query_id").alias(novel)).distinct(), novel, "left_semi"), novel, vector)
     asked = means.select(F.col(novel).alias("query_id"), l2_normalize(F.col(vector)).alias("__q"))
-    blocks = max(1, -(-asked.count() // max_queries))
+    blocks = _blocks(asked, "__q", max_queries)
     own = rows.select(novel, l2_normalize(F.col(vector)).alias("__v"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), novel))
     out = None
