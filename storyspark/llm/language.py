@@ -20,13 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
 #: Training documents of each language, and languages.
-SAMPLE, LANGUAGES = 2000, 1000
+SAMPLE, LANGUAGES = 2000, 200
 #: Buckets of hashed letter trigrams.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -175,11 +176,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             bound = F.when(F.col("lang") == lang, F.lit((sample << 63) // n)).otherwise(bound)
     texts = fit.where(F.coalesce(drawn < bound, F.lit(True))).select("text", "lang")
     rows = texts.mapInArrow(_counts, "lang string, kind int, slot int, n long")
-    rows = rows.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r.lang for r in rows}))
+    table = rows.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each bucket and language
+    languages = tuple(sorted(table.column("lang").unique().to_pylist()))
+    lang = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    kind, slot, n = (table.column(c).to_numpy() for c in ("kind", "slot", "n"))
     grams, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(NAMES), len(languages)))
-    for r in rows:
-        (scripts if r.kind else grams)[r.slot, languages.index(r.lang)] = r.n
+    for counts, of in ((grams, kind == 0), (scripts, kind == 1)):
+        counts[slot[of], lang[of]] = n[of]
     if not languages:
         return Model((), grams.astype(np.float32), scripts.astype(bool))
     logs = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS))
