@@ -22,7 +22,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
