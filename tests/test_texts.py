@@ -147,8 +147,8 @@ def test_deep_features_of_a_small_book(spark):
     ch = text.split_chapters(b).select("novel_id", "chapter_number", "content")
     row = one(deep.deep_features(b, ch))
     assert 0 <= row.overall_quality <= 0.84 and len(row.reusable_tags) >= 5 and row.reverse_summary.count("\n") == 3
-    got, features = deep.basic_features(b, rules.builtin_rules(spark))
-    assert got.count() == 3 and one(features).power_system == "修仙境界"
+    got, features, progress = deep.basic_features(b, rules.builtin_rules(spark))
+    assert progress.count() == 6 and got.count() == 3 and one(features).power_system == "修仙境界"
 
 
 def test_model_run_and_parsing(spark):
