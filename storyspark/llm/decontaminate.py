@@ -15,7 +15,7 @@ travel as series (start, gap, number), so texts of repeated tokens give few rows
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +104,11 @@ def series(group: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return group[first], keys[first], at[first], gap, n
 
 
-def _windows(parts: list[np.ndarray], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The masked hashes of several token lists: list, hash, place. ``short``: masks of short items for these alone."""
+def _windows(parts: list[np.ndarray], short: bool, chosen: Callable[[np.ndarray], np.ndarray] = lambda keys: np.arange(len(keys))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The masked hashes of several token lists, as far as they are chosen: list, hash, place.
+
+    ``short``: masks of short items for these alone.
+    """
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
     joined = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -113,18 +116,16 @@ def _windows(parts: list[np.ndarray], short: bool) -> tuple[np.ndarray, np.ndarr
     out = []
     for which, mask in enumerate(_ALL):
         keys = masked(joined, which)
-        own = owner[: len(keys)]
-        at = np.flatnonzero(np.arange(len(keys)) + len(mask) <= ends[own])
+        at = chosen(keys)
+        at = at[at + len(mask) <= ends[owner[at]]]
         if short and which >= len(MASKS):
-            at = at[sizes[own[at]] == len(mask)]
-        out.append((own[at], keys[at], at - (ends - sizes)[own[at]]))
+            at = at[sizes[owner[at]] == len(mask)]
+        out.append((owner[at], keys[at], at - (ends - sizes)[owner[at]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _bits(keys: np.ndarray, power: int) -> Iterator[np.ndarray]:
-    """The filter's bits of hashes."""
-    for k in range(PROBES):
-        yield (keys * np.uint64(2 * k + 0x9E3779B97F4A7C15)) >> np.uint64(64 - power)
+#: Each gives the bit of a hash that a probe looks at: the upper bits of the product.
+_FACTOR = [np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(PROBES)]
 
 
 _SERIES = "key long, start int, gap int, n int"
@@ -162,7 +163,8 @@ def _filter(postings: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(list(_bits(batch.column(0).to_numpy().view(np.uint64), power))))
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([(keys * f) >> np.uint64(64 - power) for f in _FACTOR]))
             words, first = np.unique(at >> np.uint64(6), return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -176,8 +178,8 @@ def _filter(postings: DataFrame, n: int) -> tuple[np.ndarray, int]:
 def _passed(table: np.ndarray, power: int, keys: np.ndarray) -> np.ndarray:
     """Places of the hashes that may be the benchmark's."""
     at = np.arange(len(keys))
-    for bits in _bits(keys, power):
-        own = bits[at]
+    for factor in _FACTOR:
+        own = (keys[at] * factor) >> np.uint64(64 - power)
         at = at[(table[own] if len(table) >> power else table[own >> np.uint64(3)] >> (own & np.uint64(7)).astype(np.uint8) & 1) > 0]
     return at
 
@@ -238,11 +240,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str | None, text_col:
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3, SLICE_BYTES):
             parts = [_hashes(tokens(x)) for x in batch.column(3).to_pylist()]
-            text, keys, at = _windows(parts, short=False)
-            hit = _passed(shared.value, power, keys)
-            if not len(hit):
+            text, keys, at = _windows(parts, False, lambda x: _passed(shared.value, power, x))
+            if not len(keys):
                 continue
-            text, keys, *rest = series(text[hit], keys[hit], at[hit])
+            text, keys, *rest = series(text, keys, at)
             order = np.argsort(text, kind="stable")
             own, first = np.unique(text[order], return_index=True)
             cuts = pa.array(np.append(first, len(order)).astype(np.int32))
