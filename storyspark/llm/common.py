@@ -88,6 +88,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> I
             at, before = end, int(ends[end - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have ``rows`` rows, for work that goes through a batch's texts side by side."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, lengthened until no column has it."""
     taken = {c.lower() for c in columns}

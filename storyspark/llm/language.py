@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, gathered
 
 #: Training documents of each language, and languages.
 SAMPLE, LANGUAGES = 2000, 200
@@ -36,6 +36,8 @@ SWITCH = 12.0
 #: A script counts for a language if it has this share of its training letters.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
+#: Texts that advance side by side.
+ROWS = 2000
 
 # First code point of each script range that is told apart; 0 stands for any other.
 SCRIPTS = (
@@ -215,7 +217,7 @@ def _labelled(model, with_spans: bool):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, ROWS):
             found = label_texts(model.value, batch.column(1).to_pylist())
             cols = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if with_spans:
@@ -233,7 +235,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     go to the language that sorts first.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_rows(spark, ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spans = ", spans array<struct<start:int,end:int,lang:string>>" if with_spans else ""
@@ -244,11 +246,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents whose language is known with a score of ``least`` or more; columns as they are."""
     spark = docs.sparkSession
-    arrow_rows(spark, 2000)
+    arrow_rows(spark, ROWS)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, ROWS):
             found = label_texts(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
