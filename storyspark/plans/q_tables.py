@@ -117,7 +117,7 @@ def s14_create_catalog_row(t: Tables) -> DataFrame:
     return X.create_rows(t.read("documents"), ["doc_id", "source"]).select("doc_id", "id")
 
 
-@query("select o_orderkey, o_custkey, date_diff('day', date '1990-01-01', cast(o_orderdate as date)) as age from orders")
+@query("select o_orderkey, o_custkey, cast(date_diff('day', date '1990-01-01', cast(o_orderdate as date)) as int) as age from orders")
 def s15_relational_scan(t: Tables) -> DataFrame:
     """The tables stand in for a database: a scan of two columns and one computed, over all rows."""
     return S.relational(t.read("orders"), ["o_orderkey", "o_custkey", "datediff(o_orderdate, date'1990-01-01') as age"])
