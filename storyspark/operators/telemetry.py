@@ -77,6 +77,11 @@ def alert_cooldown(events: DataFrame, key: str, ts: str = "ts", seconds: int = 3
     return dealt.mapInArrow(told, dealt.schema).select(key, F.timestamp_micros("t").alias("ts"))
 
 
+def model_health(calls: DataFrame, good: Column, least: float = 0.8, width: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """``(window_start, n, hits, share, healthy)``: the share of model calls that succeeded, and whether it is enough."""
+    return share_by_window(calls, good, F.lit(True), width, ts).withColumn("healthy", F.col("share") >= least)
+
+
 def queue_backlog(tasks: DataFrame, per_worker: int = 10) -> DataFrame:
     n = F.count_if(F.col("status") == "pending")
     return tasks.agg(n.alias("pending"), F.ceil(n / per_worker).alias("workers"))

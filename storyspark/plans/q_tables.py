@@ -445,6 +445,12 @@ def w12_stream_new_chapters(t: Tables) -> DataFrame:
     return streams.drained(streams.new_chapters(rows)).select("chapter_hash")
 
 
+@query("select date_trunc('day', ts) as window_start, count(*) as n, count(*) filter (event_type <> 'error') as hits, count(*) filter (event_type <> 'error') / count(*) >= 0.8e0 as healthy from events group by 1")
+def w8_model_health(t: Tables) -> DataFrame:
+    rows = W.model_health(t.read("events"), F.col("event_type") != "error", width="1 day")
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "hits", "healthy")
+
+
 @query(with_(_TASKS) + "select count(*) filter (status = 'pending') as pending, cast(ceil(count(*) filter (status = 'pending') / 10) as bigint) as workers from tasks")
 def w8_queue_backlog(t: Tables) -> DataFrame:
     return W.queue_backlog(_tasks(t))
