@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def search_features(rows: DataFrame, equal: dict[str, object] | None = None, min_confidence: float | None = None, sort: str = "created_at", ascending: bool = False, key: str = "novel_id", skip: int = 0, limit: int = 20, score: str = "confidence_score") -> tuple[DataFrame, DataFrame]:
     """A page of the rows that fit, and their number. Filters reach the scan; ties in the sort go by key.
@@ -106,6 +108,7 @@ def status_transitions(events: DataFrame, start: str = "preprocessing", end: str
 
 def stage_progress(events: DataFrame) -> DataFrame:
     """Last progress and duration of each task and stage; a stage lasts until the next sample of the task."""
-    ahead = F.lead("ts").over(Window.partitionBy("task_id").orderBy("ts", "seq"))
-    rows = events.withColumn("__s", F.coalesce(F.unix_seconds(ahead) - F.unix_seconds("ts"), F.lit(0)))
+    rows = scan.dealt(events.select("task_id", "ts", "seq", "stage", "progress"), ["task_id"], ["ts", "seq"])
+    rows = scan.neighbours(rows, ["task_id"], ["ts", "seq"], {"__next": F.col("ts")})
+    rows = rows.withColumn("__s", F.coalesce(F.unix_seconds("__next") - F.unix_seconds("ts"), F.lit(0)))
     return rows.groupBy("task_id", "stage").agg(F.max_by("progress", F.struct("ts", "seq")).alias("progress"), F.sum("__s").alias("seconds"))

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def counter_totals(events: DataFrame, labels: list[str], width: str = "1 day", ts: str = "ts", value: str = "value") -> DataFrame:
     """``(window_start, labels, n, total)``."""
@@ -29,14 +31,16 @@ def histogram_buckets(events: DataFrame, bounds: list[float], labels: list[str],
 
 
 def in_progress_gauge(changes: DataFrame, key: str, ts: str = "ts", seq: str = "event_id", change: str = "change") -> DataFrame:
-    """Add ``running``: the sum of the key's changes so far."""
-    return changes.withColumn("running", F.sum(change).over(Window.partitionBy(key).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)))
+    """Add ``running``: the sum of the key's changes so far. A key's rows are dealt over many tasks."""
+    rows = scan.dealt(changes, [key], [ts, seq])
+    return scan.bare(scan.prefixes(rows, [key], [ts, seq], {"running": ("sum", F.col(change))}))
 
 
 def duration_by_stage(events: DataFrame, key: str, stage: str, ts: str = "ts", seq: str = "event_id") -> DataFrame:
-    """``(stage, n, seconds, longest)``: from each event to the key's next."""
-    ahead = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, seq))
-    rows = events.withColumn("__s", F.unix_seconds(ahead.cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))).where("__s is not null")
+    """``(stage, n, seconds, longest)``: from each event to the key's next. A key's rows are dealt over many tasks."""
+    rows = scan.dealt(events.select(key, stage, ts, seq), [key], [ts, seq])
+    rows = scan.neighbours(rows, [key], [ts, seq], {"__next": F.col(ts)})
+    rows = rows.withColumn("__s", F.unix_seconds(F.col("__next").cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))).where("__s is not null")
     return rows.groupBy(stage).agg(F.count("*").alias("n"), F.sum("__s").alias("seconds"), F.max("__s").alias("longest"))
 
 
@@ -88,13 +92,19 @@ def queue_backlog(tasks: DataFrame, per_worker: int = 10) -> DataFrame:
 
 
 def rate_limit_count(events: DataFrame, key: str, ts: str = "ts", seq: str = "event_id", silence: int = 60, limit: int = 60) -> DataFrame:
-    """Add ``calls`` since the key's last silence, and ``limited``. A gap of exactly ``silence`` ends it."""
-    own = Window.partitionBy(key).orderBy(ts, seq)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(own).cast("timestamp"))
-    rows = events.withColumn("__new", F.coalesce((gap >= silence * 1_000_000).cast("int"), F.lit(1)))
-    rows = rows.withColumn("__session", F.sum("__new").over(own))
-    rows = rows.withColumn("calls", F.row_number().over(Window.partitionBy(key, "__session").orderBy(ts, seq)))
-    return rows.withColumn("limited", F.col("calls") > limit).drop("__new", "__session")
+    """Add ``calls`` since the key's last silence, and ``limited``. A gap of exactly ``silence`` ends it.
+
+    Calls are the key's rows so far, less those before the last row that a silence precedes: two running
+    values, so that a key's rows are dealt over many tasks.
+    """
+    by = [ts, seq]
+    rows = scan.neighbours(scan.dealt(events, [key], by), [key], by, {"__before": F.col(ts)}, ahead=False)
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__before").cast("timestamp"))
+    rows = rows.withColumn("__new", F.coalesce(gap >= silence * 1_000_000, F.lit(True)))
+    rows = scan.prefixes(rows, [key], by, {"__n": ("sum", F.lit(1))})
+    rows = scan.prefixes(rows, [key], by, {"__since": ("max", F.when(F.col("__new"), F.col("__n")))})
+    calls = (F.col("__n") - F.col("__since") + 1).cast("int")
+    return scan.bare(rows.withColumn("calls", calls).withColumn("limited", calls > limit).drop("__before", "__new", "__n", "__since"))
 
 
 def named_counters(events: DataFrame, name: str, value: Column) -> DataFrame:
