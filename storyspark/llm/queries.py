@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack, bytebpe, chat, decontaminate, language, neighbours, secrets, simhash, substrings, tokenfiles, warc
+from . import backtrack, bytebpe, chat, decontaminate, language, neighbours, secrets, simhash, substrings, tokenfiles, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,12 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_language, op4_substring_dedup, op5_decontaminate, op6_neighbours, op7_token_files, op8_byte_bpe, op9_chat, op10_secrets, op12_bpe)
+    found = (op1_simhash, op2_warc, op3_language, op4_substring_dedup, op5_decontaminate, op6_neighbours, op7_token_files, op8_byte_bpe, op9_chat, op10_secrets, op12_bpe, op13_trie)
     return {f.__name__: f for f in found}
 
 
