@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backtrack, bytebpe, chat, decontaminate, language, neighbours, secrets, simhash, substrings, tokenfiles, trie, warc
+from . import backtrack, bytebpe, chat, decontaminate, language, neighbours, repair, secrets, simhash, substrings, tokenfiles, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair(rows, with_turns=False).withColumnRenamed("conv", "conv_id")
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -72,7 +77,7 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_warc, op3_language, op4_substring_dedup, op5_decontaminate, op6_neighbours, op7_token_files, op8_byte_bpe, op9_chat, op10_secrets, op12_bpe, op13_trie)
+    found = (op1_simhash, op2_warc, op3_language, op4_substring_dedup, op5_decontaminate, op6_neighbours, op7_token_files, op8_byte_bpe, op9_chat, op10_secrets, op11_repair, op12_bpe, op13_trie)
     return {f.__name__: f for f in found}
 
 
