@@ -42,6 +42,34 @@ def s5_html_chapters(t: Tables) -> DataFrame:
     return S.html_chapters(t.read("pages")).select("page_id", "title", F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
 
 
+#: Four shapes of the same pages, by their ids: in each the text stands in another element, with elements of the same kind, comments and quoted tags inside.
+_SHAPES = (
+    ("<div title='a>b' class=\"old chapter\">", '<div class="ad">Read on</div><!-- </div> -->', "<div>the end<p>of it</div></div>"),
+    ("<section CLASS='content x'>", "<section>Read on<section></section></section>", "<br/><div>left open</section>"),
+    ("<div id=content>", '<div class="main"><div>Read on</div></div>', "<!-- <div> --><img alt='</div>'></div>"),
+    ("<main>", "<main>Read on</main><article/>", "</main>"),
+)
+
+
+def _shaped(k: int) -> str:
+    """The page in shape k: its article, if it has one, within other elements."""
+    a, b, c = _SHAPES[k]
+    return f"replace(replace(html, '<article>', {s(a + b)}), '</article>', {s(c)})"
+
+
+_SHAPED = "case page_id % 4 " + " ".join(f"when {k} then {s(b)} || a || {s(c.removesuffix('</div>').removesuffix('</section>').removesuffix('</main>'))}" for k, (_, b, c) in enumerate(_SHAPES)) + " end"
+# the parts of the shapes in which a tag or comment holds an angle bracket
+_SHAPED = f"replace(replace({_SHAPED}, '<!-- </div> -->', '<!>'), {s('<!-- <div> --><img alt=' + chr(39) + '</div>' + chr(39) + '>')}, '<!><img>')"
+
+
+@query(f"select page_id, md5(x) as content_md5, cast(length(x) as int) as n_chars from (select page_id, {strip(_TEXT)} as x from (select page_id, {_SHAPED} as c from (select page_id, regexp_extract(b, {_sql_tag('article')}, 1) as a from (select page_id, {_BARE} as b from pages)) where a <> '')) where length(x) > 100")
+def s5_nested_elements(t: Tables) -> DataFrame:
+    """Chapters from pages whose text stands in elements of a class or an id, with others of their kind inside."""
+    shaped = F.expr("case page_id % 4 " + " ".join(f"when {k} then {_shaped(k)}" for k in range(4)).replace("''", "\\'") + " end")
+    pages = t.read("pages").where("html like '%<article>_%</article>%'").select("page_id", shaped.alias("html"))
+    return S.html_chapters(pages).select("page_id", F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
+
+
 _FEAT = "feat as (select doc_id as novel_id, lang as world_type, n_chars, cast(n_chars % 10 as double) / 10 as confidence_score, n_chars % 7 as version from documents)"
 
 

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.textfn import strip
 from ..operators.text import clean_text
+from .markup import elements
 
 EXTENSIONS = ("txt", "epub", "mobi", "html")
 LIMIT_BYTES = 100 << 20
@@ -63,32 +65,46 @@ def catalog_files(files: DataFrame, limit: int = LIMIT_BYTES, extensions: tuple[
     return files.withColumns({"file_hash": F.md5("content"), "file_size": size, "reject_reason": reason})
 
 
-def _tag(name: str) -> str:
-    return rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"
+def _entities_read(text: Column) -> Column:
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return clean_text(text)
 
 
 def html_text(html: str | Column) -> Column:
     """Text of a piece of HTML: tags become spaces, a few entities are read, and it is cleaned."""
-    out = F.regexp_replace(html, r"(?is)<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return clean_text(out)
+    return _entities_read(F.regexp_replace(html, r"(?is)<[^>]+>", " "))
+
+
+#: Where a page's title and its body are looked for, in this order; the empty one is the whole page.
+TITLES = ("h1", "h2", "h3", "title")
+BODIES = ("main", "article", ".chapter", ".content", "#content", "body", "")
+
+
+_PARTS = StructType([StructField("title", StringType()), StructField("body", StringType())])
+
+
+def _parts(pages: pa.Array) -> pa.Array:
+    out = []
+    for page in pages.to_pylist():
+        title = body = None
+        if page is not None:
+            heads, texts = elements(page, TITLES, ""), elements(page, BODIES)
+            title = next((heads[s] for s in TITLES if heads.get(s)), None)
+            body = next((texts[s] for s in BODIES if texts.get(s)), None)
+        out.append({"title": title, "body": body})
+    return pa.array(out, pa.struct([("title", pa.string()), ("body", pa.string())]))
 
 
 def html_chapters(pages: DataFrame, book: str | None = None, order: str = "page_id", html: str = "html", least: int = 100) -> DataFrame:
-    """``(order, chapter_number, title, content)`` of pages with more than ``least`` characters of text.
+    """``(order, title, content)`` of pages with more than ``least`` characters of text.
 
     The title is the first h1, else h2, h3, title; the body the first main, article, element of class
-    chapter or content, element of id content, else body. Numbers follow the order, in each ``book`` column's
-    value where one is named.
+    chapter or content, element of id content, body, else the whole page. Elements are taken whole, with what is nested in
+    them; an empty one counts as missing. The ``book`` column is kept where one is named. Null pages are left out.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.col(html), _tag("script"), ""), _tag("style"), "")
-    pick = lambda patterns: F.coalesce(*[F.nullif(F.regexp_extract("__bare", p, 1), F.lit("")) for p in patterns])
-    by_class = lambda key, name: rf'(?is)<(?:div|section)\b[^>]*{key}="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</(?:div|section)\s*>'
-    rows = pages.withColumn("__bare", bare)
-    title = pick([_tag(t) for t in ("h1", "h2", "h3", "title")])
-    body = pick([_tag("main"), _tag("article"), by_class("class", "chapter"), by_class("class", "content"), by_class("id", "content"), _tag("body")])
-    rows = rows.select(*([book] if book else []), order, strip(F.regexp_replace(title, "<[^>]+>", "")).alias("title"), html_text(body).alias("content"))
+    rows = pages.select(*([book] if book else []), order, F.arrow_udf(_parts, _PARTS)(F.col(html)).alias("__parts"))
+    rows = rows.select(*([book] if book else []), order, strip(F.col("__parts.title")).alias("title"), _entities_read(F.col("__parts.body")).alias("content"))
     return rows.where(F.length("content") > least)
 
 
