@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import schemas
 from ..functions.lexicons import RULES
 from ..functions.textfn import col, declared
+from .keywords import group_hits
 
 CONFIDENCE = {"task.task_structure": 0.8, "background.world_type": 0.9, "background.power_system": 0.85, "writing.narrative_perspective": 0.7, "plot.conflict_types": 0.75}
 
@@ -28,9 +29,9 @@ def keyword_presence_ratio(text: str | Column, keywords: Column) -> Column:
 
 
 def regex_rule_score(text: str | Column, pattern: str | Column) -> Column:
-    """Matches of a pattern, whatever the case, as tenths up to 1."""
+    """Matches of a pattern, whatever the case, as tenths up to 1; a null text has none."""
     p = F.concat(F.lit("(?iuU)"), pattern) if isinstance(pattern, Column) else F.lit(f"(?iuU){pattern}")
-    return F.least(F.regexp_count(col(text), p) / 10, F.lit(1.0))
+    return F.least(F.coalesce(F.regexp_count(col(text), p), F.lit(0)) / 10, F.lit(1.0))
 
 
 def first_matching_keyword(text: str | Column, keywords: Column) -> Column:
@@ -43,17 +44,25 @@ def first_matching_keyword(text: str | Column, keywords: Column) -> Column:
 
 
 def rule_scores(books: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(novel_id, rule_id, rule_ord, target_field, value, score)`` of each enabled rule that scores.
+    """``(novel_id, rule_id, rule_ord, target_field, value, score, weight)`` of each enabled rule that scores.
 
-    The rules are a small declared table and are broadcast to the books.
+    The keywords of all rules are found in one pass over a text, by one automaton; a rule scores by the share of its
+    listed keywords that occur, and its value is its own or the first of these. Patterns are a small
+    declared table; each is tried on each text. Rules are told apart by their order and id.
     """
     own = rules.where(F.coalesce("enabled", F.lit(True))).select("rule_id", "rule_ord", "name", "target_field", "rule_type", "keywords", "pattern", F.col("value").alias("rule_value"), "weight")
-    pairs = books.select("novel_id", "text").crossJoin(declared(own))
-    none = F.array().cast("array<string>")
-    keywords = F.coalesce("keywords", none)
-    score = F.when(F.col("rule_type") == "keyword", keyword_presence_ratio("text", keywords)).when(F.col("rule_type") == "regex", regex_rule_score("text", F.col("pattern"))).otherwise(0.0)
-    value = F.coalesce("rule_value", F.when(F.col("rule_type") == "keyword", first_matching_keyword("text", keywords)).otherwise(F.col("name")))
-    return pairs.select("novel_id", "rule_id", "rule_ord", "target_field", value.alias("value"), score.alias("score"), "weight").where("score > 0")
+    names = ["novel_id", "rule_id", "rule_ord", "target_field", "value", "score", "weight"]
+    by_word = own.where("rule_type = 'keyword'").select("rule_id", "rule_ord", "target_field", "rule_value", "weight", "keywords").collect()  # as many as are declared
+    entries = [(k, g, p) for g, r in enumerate(by_word) for p, k in enumerate(r.keywords or [])]
+    spark = books.sparkSession
+    hits = group_hits(books.select("novel_id", "text"), spark.createDataFrame(entries, "keyword string, group long, place long"))
+    told = [(g, r.rule_id, r.rule_ord, r.target_field, r.rule_value, r.weight, r.keywords) for g, r in enumerate(by_word) if r.keywords]
+    told = spark.createDataFrame(told, "group long, rule_id string, rule_ord int, target_field string, rule_value string, weight double, keywords array<string>")
+    found = hits.join(F.broadcast(told), "group").withColumn("score", F.col("present") / F.size("keywords"))
+    found = found.withColumn("value", F.coalesce("rule_value", F.get("keywords", F.col("first").cast("int"))))
+    patterns = books.select("novel_id", "text").crossJoin(declared(own.where("rule_type = 'regex'")))
+    tried = patterns.withColumn("score", regex_rule_score("text", F.col("pattern"))).withColumn("value", F.coalesce("rule_value", "name")).where("score > 0")
+    return found.select(*names).unionByName(tried.select(*names))
 
 
 def apply_rules(books: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,9 +102,16 @@ def rulesets_for_genre(sets: DataFrame, genre: str | None) -> DataFrame:
 def lexicon_scores(books: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Scores by a lexicon that is itself a table: ``(novel_id, category, cat_ord, n, present)``.
 
-    Categories without a hit have their row too. The lexicon is small and is broadcast.
+    Categories without a hit have their row too. All keywords are found in one pass over a text; a keyword that is listed
+    twice counts twice. The categories (not the keywords) are a small declared table.
     """
-    own = lexicon.select("category", "cat_ord", "keyword")
-    pairs = books.select("novel_id", "text").crossJoin(declared(own))
-    hits = (F.octet_length("text") - F.octet_length(F.replace("text", "keyword", F.lit("")))) / F.octet_length("keyword")
-    return pairs.groupBy("novel_id", "category", "cat_ord").agg(F.sum(hits).cast("long").alias("n"), F.sum(F.contains("text", "keyword").cast("int")).alias("present"))
+    spark = books.sparkSession
+    rows = books.select("novel_id", "text")
+    named = [(g, r.category, r.cat_ord) for g, r in enumerate(declared(lexicon.select("category", "cat_ord").distinct()).collect())]
+    groups = spark.createDataFrame(named, "group long, category string, cat_ord int")
+    own = lexicon.join(F.broadcast(groups), lexicon["category"].eqNullSafe(groups["category"]) & lexicon["cat_ord"].eqNullSafe(groups["cat_ord"]))
+    hits = group_hits(rows, own.select("keyword", "group", F.lit(0).cast("long").alias("place")), whole=False)
+    zero = F.lit(0).cast("long")
+    none = rows.select("novel_id").distinct().crossJoin(F.broadcast(groups.select("group"))).select("novel_id", "group", zero.alias("n"), zero.alias("present"))
+    by = hits.select("novel_id", "group", "n", "present").unionByName(none).groupBy("novel_id", "group").agg(F.sum("n").alias("n"), F.sum("present").alias("present"))
+    return by.join(F.broadcast(groups), "group").select("novel_id", "category", "cat_ord", "n", "present")

@@ -69,31 +69,40 @@ def carried(rows: DataFrame, keys: list[str], small: DataFrame) -> DataFrame:
     return rows.join(_renamed(small, names), _matching(names), "left").drop(*[f"__of_{n}" for n in names])
 
 
-def prefixes(rows: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Add running values up to and with each row of its key; ``rows`` come from ``dealt``.
-
-    ``wanted`` names a kind (sum, max, min or xor) and a column for each new column.
+def scanned(
+    rows: DataFrame, keys: list[str], order: list[str], running: dict[str, tuple[str, Column]] | None = None,
+    after: dict[str, Column] | None = None, before: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Add running values and values of neighbours; ``rows`` come from ``dealt`` with these keys and order.
+
+    ``running`` names a kind (sum, max, min or xor) and a column for each new column: its value over the key's rows up to
+    and with this one. ``after`` and ``before`` name columns of the key's next row and of the one before, null where
+    there is none. What the parts tell each other comes from one aggregate of the keys that lie in several.
     """
-    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    sums = by_part(rows, keys, *[_KINDS[k](c).alias(f"__c_{n}") for n, (k, c) in wanted.items()])
-    sums = sums.select(PART, *keys, *[_KINDS[k](f"__c_{n}").over(before).alias(f"__c_{n}") for n, (k, _) in wanted.items()])
-    own = Window.partitionBy(PART, *keys).orderBy(*order, TIE).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns({n: _KINDS[k](c).over(own) for n, (k, c) in wanted.items()})
-    out = carried(local, keys, sums)
-    return out.withColumns({n: _both(k, F.col(n), F.col(f"__c_{n}")) for n, (k, _) in wanted.items()}).drop(*[f"__c_{n}" for n in wanted])
-
-
-def neighbours(rows: DataFrame, keys: list[str], order: list[str], wanted: dict[str, Column], ahead: bool = True) -> DataFrame:
-    """Add values of the key's next row (``ahead``) or of the one before, null where there is none."""
-    step = F.lead if ahead else F.lag
+    running, after, before = running or {}, after or {}, before or {}
     at = F.struct(*order, TIE)
-    edge = (F.min_by if ahead else F.max_by)(F.struct(*[c.alias(n) for n, c in wanted.items()]), at)
-    ends = by_part(rows, keys, edge.alias("e"))
-    ends = ends.select(PART, *keys, step("e").over(Window.partitionBy(*keys).orderBy(PART)).alias("__e"))
+    told = [_KINDS[k](c).alias(f"__c_{n}") for n, (k, c) in running.items()]
     own = Window.partitionBy(PART, *keys).orderBy(*order, TIE)
-    local = rows.withColumns({n: step(c).over(own) for n, c in wanted.items()} | {"__inner": step(F.lit(1)).over(own)})
-    out = carried(local, keys, ends)
-    return out.withColumns({n: F.when(F.col("__inner").isNotNull(), F.col(n)).otherwise(F.col(f"__e.{n}")) for n in wanted}).drop("__e", "__inner")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    new = {n: _KINDS[k](c).over(so_far) for n, (k, c) in running.items()}
+    parts = Window.partitionBy(*keys).orderBy(PART)
+    up_to = parts.rowsBetween(Window.unboundedPreceding, -1)
+    carry = [_KINDS[k](f"__c_{n}").over(up_to).alias(f"__c_{n}") for n, (k, _) in running.items()]
+    for wanted, name, step, first in ((after, "__s_after", F.lead, F.min_by), (before, "__s_before", F.lag, F.max_by)):
+        if wanted:
+            told.append(first(F.struct(*[c.alias(n) for n, c in wanted.items()]), at).alias(name))
+            carry.append(step(name).over(parts).alias(name))
+            new |= {n: step(c).over(own) for n, c in wanted.items()} | {f"{name}_in": step(F.lit(1)).over(own)}
+    small = by_part(rows, keys, *told).select(PART, *keys, *carry)
+    out = carried(rows.withColumns(new), keys, small)
+    joined = {n: _both(k, F.col(n), F.col(f"__c_{n}")) for n, (k, _) in running.items()}
+    for wanted, name in ((after, "__s_after"), (before, "__s_before")):
+        joined |= {n: F.when(F.col(f"{name}_in").isNotNull(), F.col(n)).otherwise(F.col(f"{name}.{n}")) for n in wanted}
+    return out.withColumns(joined).drop("__s_after", "__s_before", "__s_after_in", "__s_before_in", *[f"__c_{n}" for n in running])
+
+
+def prefixes(rows: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    return scanned(rows, keys, order, running=wanted)
 
 
 def bare(rows: DataFrame) -> DataFrame:

@@ -109,6 +109,6 @@ def status_transitions(events: DataFrame, start: str = "preprocessing", end: str
 def stage_progress(events: DataFrame) -> DataFrame:
     """Last progress and duration of each task and stage; a stage lasts until the next sample of the task."""
     rows = scan.dealt(events.select("task_id", "ts", "seq", "stage", "progress"), ["task_id"], ["ts", "seq"])
-    rows = scan.neighbours(rows, ["task_id"], ["ts", "seq"], {"__next": F.col("ts")})
+    rows = scan.scanned(rows, ["task_id"], ["ts", "seq"], after={"__next": F.col("ts")})
     rows = rows.withColumn("__s", F.coalesce(F.unix_seconds("__next") - F.unix_seconds("ts"), F.lit(0)))
     return rows.groupBy("task_id", "stage").agg(F.max_by("progress", F.struct("ts", "seq")).alias("progress"), F.sum("__s").alias("seconds"))

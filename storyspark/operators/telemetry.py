@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from . import scan
 
 
@@ -39,7 +40,7 @@ def in_progress_gauge(changes: DataFrame, key: str, ts: str = "ts", seq: str = "
 def duration_by_stage(events: DataFrame, key: str, stage: str, ts: str = "ts", seq: str = "event_id") -> DataFrame:
     """``(stage, n, seconds, longest)``: from each event to the key's next. A key's rows are dealt over many tasks."""
     rows = scan.dealt(events.select(key, stage, ts, seq), [key], [ts, seq])
-    rows = scan.neighbours(rows, [key], [ts, seq], {"__next": F.col(ts)})
+    rows = scan.scanned(rows, [key], [ts, seq], after={"__next": F.col(ts)})
     rows = rows.withColumn("__s", F.unix_seconds(F.col("__next").cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))).where("__s is not null")
     return rows.groupBy(stage).agg(F.count("*").alias("n"), F.sum("__s").alias("seconds"), F.max("__s").alias("longest"))
 
@@ -98,13 +99,12 @@ def rate_limit_count(events: DataFrame, key: str, ts: str = "ts", seq: str = "ev
     values, so that a key's rows are dealt over many tasks.
     """
     by = [ts, seq]
-    rows = scan.neighbours(scan.dealt(events, [key], by), [key], by, {"__before": F.col(ts)}, ahead=False)
+    rows = scan.scanned(scan.dealt(events, [key], by), [key], by, running={"__n": ("sum", F.lit(1))}, before={"__before": F.col(ts)})
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__before").cast("timestamp"))
-    rows = rows.withColumn("__new", F.coalesce(gap >= silence * 1_000_000, F.lit(True)))
-    rows = scan.prefixes(rows, [key], by, {"__n": ("sum", F.lit(1))})
-    rows = scan.prefixes(rows, [key], by, {"__since": ("max", F.when(F.col("__new"), F.col("__n")))})
+    rows = stored(rows.withColumn("__new", F.when(F.coalesce(gap >= silence * 1_000_000, F.lit(True)), F.col("__n"))).drop("__before"), "calls")
+    rows = scan.scanned(rows, [key], by, running={"__since": ("max", F.col("__new"))})
     calls = (F.col("__n") - F.col("__since") + 1).cast("int")
-    return scan.bare(rows.withColumn("calls", calls).withColumn("limited", calls > limit).drop("__before", "__new", "__n", "__since"))
+    return scan.bare(rows.withColumn("calls", calls).withColumn("limited", calls > limit).drop("__new", "__n", "__since"))
 
 
 def named_counters(events: DataFrame, name: str, value: Column) -> DataFrame:

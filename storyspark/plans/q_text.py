@@ -9,6 +9,7 @@ from ..functions import scores as S
 from ..functions import schemas
 from ..operators import rules as R
 from ..operators import text as T
+from ..operators.keywords import keyword_hits
 from .bindings import BOOKS, CHAPTERS, LATIN, Tables, case, cols, first_present, present, query, s, scored, strip, top, total, with_
 
 _JUNK = "'(?i)www\\..+\\.com|tion'"
@@ -297,3 +298,28 @@ def u3_user_lexicon(t: Tables) -> DataFrame:
     return R.lexicon_scores(t.books, lexicon).select("novel_id", "category", "n", F.col("present").cast("int").alias("present"))
 
 
+
+
+#: A lexicon that grows with its table: all words of the benchmark, by their length.
+_WORDS = "words as (select distinct w as keyword, cast(length(w) % 5 as int) as cat_ord from (select unnest(regexp_split_to_array(text, '\\s+')) as w from benchmark) where w <> '')"
+
+
+def _words(t: Tables) -> DataFrame:
+    words = t.read("benchmark").select(F.explode(F.split("text", r"\s+")).alias("keyword")).where("keyword != ''").distinct()
+    order = (F.length("keyword") % 5).cast("int")
+    return words.select("keyword", order.alias("cat_ord"), F.concat(F.lit("c"), order.cast("string")).alias("category"))
+
+
+_COUNT = "(length(text) - length(replace(text, keyword, ''))) // length(keyword)"
+
+
+@query(with_(BOOKS, _WORDS) + f"select novel_id, 'c' || cat_ord as category, cast(sum({_COUNT}) as bigint) as n, cast(count(*) filter (contains(text, keyword)) as bigint) as present from books cross join words group by 1, 2")
+def u3_large_lexicon(t: Tables) -> DataFrame:
+    """Scores by all words of the benchmark, found in one pass over each text."""
+    return R.lexicon_scores(t.books, _words(t)).select("novel_id", "category", "n", "present")
+
+
+@query(with_(BOOKS, _WORDS) + f"select keyword, cast(count(*) as bigint) as texts, cast(sum({_COUNT}) as bigint) as n from books cross join words where contains(text, keyword) group by 1")
+def r12_keyword_hits(t: Tables) -> DataFrame:
+    """In how many texts each word of the benchmark occurs, and how often."""
+    return keyword_hits(t.books.select("novel_id", "text"), _words(t)).groupBy("keyword").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))

@@ -32,9 +32,7 @@ def test_prefixes_and_neighbours(spark, parts):
     rows = events()
     by = scan.dealt(spark.createDataFrame(rows, SCHEMA), ["k"], ["ts", "seq"], parts=parts)
     wanted = {"s": ("sum", F.col("v")), "n": ("sum", F.lit(1)), "m": ("max", F.col("v")), "l": ("min", F.col("v")), "x": ("xor", F.col("v"))}
-    out = scan.prefixes(by, ["k"], ["ts", "seq"], wanted)
-    out = scan.neighbours(out, ["k"], ["ts", "seq"], {"after": F.col("v"), "after_seq": F.col("seq")})
-    out = scan.neighbours(out, ["k"], ["ts", "seq"], {"before": F.col("v")}, ahead=False)
+    out = scan.scanned(by, ["k"], ["ts", "seq"], wanted, {"after": F.col("v"), "after_seq": F.col("seq")}, {"before": F.col("v")})
     got = {r.seq: (r.s, r.n, r.m, r.l, r.x, r.after, r.after_seq, r.before) for r in out.collect()}
     want = {}
     for own in ordered(rows).values():
@@ -64,7 +62,7 @@ def test_equal_rows_are_dealt_too(spark):
 
 def test_no_rows(spark):
     by = scan.dealt(spark.createDataFrame([], SCHEMA), ["k"], ["ts", "seq"])
-    out = scan.neighbours(scan.prefixes(by, ["k"], ["ts", "seq"], {"n": ("sum", F.lit(1))}), ["k"], ["ts", "seq"], {"a": F.col("v")})
+    out = scan.scanned(by, ["k"], ["ts", "seq"], {"n": ("sum", F.lit(1))}, {"a": F.col("v")})
     assert out.count() == 0
 
 
