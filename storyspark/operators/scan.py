@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.scratch import stored
 
 #: Columns that ``dealt`` adds: the part, and a number that tells equal rows apart.
 PART, TIE = "__part", "__tie"

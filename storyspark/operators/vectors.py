@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from . import nearest
+
 
 def feature_texts(deep: DataFrame) -> DataFrame:
     """``(novel_id, part, text)``: four texts for each book."""
@@ -65,34 +68,18 @@ def mean_vector(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     return flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__p", "__x")))["__x"].alias(vector))
 
 
-#: Bytes of query vectors that may be broadcast at once.
-MOST_BYTES = 64 << 20
-
-
-def _blocks(queries: DataFrame, vector: str, max_queries: int) -> int:
-    """Parts into which a query set is cut, by its number of rows and the size of its vectors."""
-    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
-    return max(1, -(-n // max_queries), -(-size * 8 // MOST_BYTES))
-
-
-def knn_exact(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, max_queries: int = 5000) -> DataFrame:
+def knn_exact(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", where: Column | None = None, max_queries: int = nearest.MOST_QUERIES) -> DataFrame:
     """``(query_id, place, vec_id, score)``: highest inner products of unit vectors, ties by id.
 
-    The queries are a stated set: up to ``max_queries`` of them, or ``MOST_BYTES`` of vectors, are broadcast,
-    which is checked, and more are run in blocks of that size. Filters come before the search. Each task
-    keeps only its own best.
+    The queries are a stated set; one scan of the rows serves all of them, see ``nearest.exact``. Filters come before the search.
     """
-    blocks = _blocks(queries, "vector", max_queries)
-    own = (rows if where is None else rows.where(where)).select(F.col(key).alias("__id"), l2_normalize(F.col(vector)).alias("__v"))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        asked = part.select("query_id", l2_normalize(F.col("vector")).alias("__q"))
-        pairs = own.crossJoin(F.broadcast(asked)).where(F.col("__id") != F.col("query_id")).select("query_id", F.col("__id").alias("vec_id"), inner_product(F.col("__q"), F.col("__v")).alias("score"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        best = pairs.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
-        out = best if out is None else out.unionByName(best)
-    return out
+    return nearest.exact(rows if where is None else rows.where(where), queries, k, key, vector, max_queries=max_queries)
+
+
+def knn_graph(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", width: int = 40, links: int = nearest.LINKS, shard: int = nearest.SHARD) -> DataFrame:
+    """The search by a navigable small-world graph in each shard, see ``nearest.graph_index``; the index is stored first."""
+    index = stored(nearest.graph_index(rows, key, vector, links, shard), "graph")
+    return nearest.graph_search(index, queries, k, key, width)
 
 
 def knn_approx(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probe: int = 12, seed: int = 3) -> DataFrame:
@@ -130,7 +117,7 @@ def knn_lsh(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     return near.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 
 
-_METHODS: dict[str, Callable[..., DataFrame]] = {"exact": knn_exact, "ivf": knn_approx, "lsh": knn_lsh}
+_METHODS: dict[str, Callable[..., DataFrame]] = {"exact": knn_exact, "ivf": knn_approx, "lsh": knn_lsh, "graph": knn_graph}
 
 
 def register_index(name: str, method: Callable[..., DataFrame]) -> None:
@@ -139,30 +126,19 @@ def register_index(name: str, method: Callable[..., DataFrame]) -> None:
 
 
 def search(rows: DataFrame, queries: DataFrame, method: str = "exact", **options) -> DataFrame:
-    """The search by a named method: ``exact``, ``ivf``, ``lsh`` or one that was registered."""
+    """The search by a named method: ``exact``, ``ivf``, ``lsh``, ``graph`` or one that was registered."""
     if method not in _METHODS:
         raise ValueError(f"unknown method: {method}")
     return _METHODS[method](rows, queries, **options)
 
 
-def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str = "novel_id", vector: str = "vector", max_queries: int = 5000) -> DataFrame:
+def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str = "novel_id", vector: str = "vector", max_queries: int = nearest.MOST_QUERIES) -> DataFrame:
     """``(query_id, place, novel_id, score)`` by mean vectors; a novel once, with its best row.
 
-    More than ``max_queries`` queries are run in blocks of that size.
+    One scan of the rows serves up to ``max_queries`` queries, see ``nearest.exact``.
     """
     means = mean_vector(rows.join(queries.select(F.col("query_id").alias(novel)).distinct(), novel, "left_semi"), novel, vector)
-    asked = means.select(F.col(novel).alias("query_id"), l2_normalize(F.col(vector)).alias("__q"))
-    blocks = _blocks(asked, "__q", max_queries)
-    own = rows.select(novel, l2_normalize(F.col(vector)).alias("__v"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), novel))
-    out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = own.crossJoin(F.broadcast(part)).where(F.col(novel) != F.col("query_id"))
-        best = pairs.groupBy("query_id", novel).agg(F.max(inner_product(F.col("__q"), F.col("__v"))).alias("score"))
-        best = best.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", novel, "score")
-        out = best if out is None else out.unionByName(best)
-    return out
+    return nearest.exact(rows, means.select(F.col(novel).alias("query_id"), F.col(vector).alias("vector")), k, novel, vector, distinct=True, max_queries=max_queries)
 
 
 def delete_vectors(rows: DataFrame, gone: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -352,6 +352,11 @@ def k7_knn_approx(t: Tables) -> DataFrame:
     return K.search(t.read("embeddings"), _asked(t), "ivf").withColumn("score", F.round("score", 6))
 
 
+@query()
+def k7_knn_graph(t: Tables) -> DataFrame:
+    return K.search(t.read("embeddings"), _asked(t), "graph").withColumn("score", F.round("score", 6))
+
+
 @query()
 def k7_knn_lsh(t: Tables) -> DataFrame:
     return K.search(t.read("embeddings"), _asked(t), "lsh").withColumn("score", F.round("score", 6))

@@ -14,7 +14,7 @@ from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Approximate searches, whose recall is tested; run here for their rows alone.
-ROWS_ONLY = {"k7_knn_approx", "k7_knn_lsh"}
+ROWS_ONLY = {"k7_knn_approx", "k7_knn_graph", "k7_knn_lsh"}
 
 
 @pytest.fixture(scope="module")
