@@ -11,11 +11,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.textfn import strip
 from ..operators.text import clean_text
+from .charsets import detect
 from .markup import elements
 
 EXTENSIONS = ("txt", "epub", "mobi", "html")
 LIMIT_BYTES = 100 << 20
-ENCODINGS = ("utf-8", "gb18030", "gbk", "gb2312", "big5")
 
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -32,30 +32,26 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.txt", exten
 
 
 def decode_charset(rows: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``text``, ``encoding`` and ``error``. Valid UTF-8 never leaves the JVM.
+    """Add ``text``, ``encoding``, ``error`` and ``sure``. Valid UTF-8 without zero bytes never leaves the JVM.
 
-    Other bytes are decoded by the first of the known encodings that fits.
+    Other bytes are read in the character set in which they make the likeliest text, see ``charsets``; ``sure`` is false
+    where another comes close. Null content has an error. Columns of these names are replaced.
     """
-    fine = F.is_valid_utf8(F.col(content).cast("string"))
-    utf8 = rows.where(fine).withColumns({"text": F.col(content).cast("string"), "encoding": F.lit("utf-8"), "error": F.lit(None).cast("string")})
+    rows = rows.drop(*({"text", "encoding", "error", "sure"} - {content}))
+    string = F.col(content).cast("string")
+    fine = F.coalesce(F.is_valid_utf8(string) & ~F.contains(string, F.lit("\0")), F.lit(False))
+    utf8 = rows.where(fine).withColumns({"text": string, "encoding": F.lit("utf-8"), "error": F.lit(None).cast("string"), "sure": F.lit(True)})
     at = rows.columns.index(content)
+    added = [("text", pa.string()), ("encoding", pa.string()), ("error", pa.string()), ("sure", pa.bool_())]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for data in batch.column(at).to_pylist():
-                found = (None, None, "no known encoding fits")
-                for name in ENCODINGS[1:] if data is not None else ():
-                    try:
-                        found = (data.decode(name), name, None)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([o[i] for o in out], pa.string()) for i in range(3))], [*batch.schema.names, "text", "encoding", "error"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", text string, encoding string, error string"
-    return utf8.unionByName(rows.where(~F.coalesce(fine, F.lit(False))).mapInArrow(told, schema))
+            found = [None if data is None else detect(data) for data in batch.column(at).to_pylist()]
+            out = [(None, None, "no known encoding fits", False) if f is None else (f[0], f[1], None, f[2]) for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(added))], [*batch.schema.names, *(n for n, _ in added)])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", text string, encoding string, error string, sure boolean"
+    return utf8.unionByName(rows.where(~fine).mapInArrow(told, schema))
 
 
 def catalog_files(files: DataFrame, limit: int = LIMIT_BYTES, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
