@@ -63,27 +63,43 @@ def satisfaction(arc: Column, done: Column, popular=L.POPULAR_ARCS) -> Column:
 
 def character_tags(books: DataFrame, speech: str = L.SPEECH_PATTERN, behaviours=L.BEHAVIOURS, habits=L.HABITS, least_behaviour: int = 3, least_habit: int = 5, most: int = 5) -> DataFrame:
     """``(novel_id, place, tag_type, tag_description, frequency, quotes)``, the most frequent first."""
-    quotes = matches("text", speech)
+    tags = books.select("novel_id", F.explode(tag_items("text", speech, behaviours, habits, least_behaviour, least_habit)).alias("t")).select("novel_id", "t.*")
+    place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("frequency"), "ord"))
+    return tags.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", "tag_type", "tag_description", "frequency", "quotes")
+
+
+def tag_items(text: str, speech: str = L.SPEECH_PATTERN, behaviours=L.BEHAVIOURS, habits=L.HABITS, least_behaviour: int = 3, least_habit: int = 5) -> Column:
+    """Array of (ord, tag_type, tag_description, frequency, quotes) of a book."""
+    quotes = matches(text, speech)
     none = F.lit("")
     tag = lambda k, ok, kind, said, n, q=none: F.when(ok, F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("tag_type"), F.lit(said).alias("tag_description"), n.alias("frequency"), q.alias("quotes")))
     rows = [tag(0, F.size(quotes) > 0, "语言", "说话喜欢带语气词", F.size(quotes), F.array_join(F.slice(quotes, 1, 3), "\n"))]
     for name, pattern in behaviours.items():
-        n = F.regexp_count(col("text"), F.lit(f"(?d){pattern}"))
+        n = F.regexp_count(col(text), F.lit(f"(?d){pattern}"))
         rows.append(tag(len(rows), n >= least_behaviour, "行为", f"经常{name}", n))
     for name in habits:
-        n = cnt("text", name)
+        n = cnt(text, name)
         rows.append(tag(len(rows), n >= least_habit, "习惯", f"有{name}的习惯", n))
-    tags = books.select("novel_id", F.explode(F.array_compact(F.array(*rows))).alias("t")).select("novel_id", "t.*")
-    place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("frequency"), "ord"))
-    return tags.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", "tag_type", "tag_description", "frequency", "quotes")
+    return F.array_compact(F.array(*rows))
 
 
 def person_mentions(books: DataFrame, patterns=L.PERSON_PATTERNS, most: int = 10) -> DataFrame:
     """``(novel_id, person, mentions)``: the names most often mentioned, then by name."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(f"(?U){p}"), F.lit(1)) for p in patterns]))
-    rows = books.select("novel_id", F.explode(found).alias("person")).groupBy("novel_id", "person").agg(F.count("*").alias("mentions"))
-    place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("mentions"), "person"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "person", "mentions")
+    return books.select("novel_id", F.inline(top_persons("text", patterns, most)))
+
+
+def top_persons(text: str, patterns=L.PERSON_PATTERNS, most: int = 10) -> Column:
+    """Array of (person, mentions) of a book: its names in order are cut where the name changes."""
+    found = F.array_sort(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?U){p}"), F.lit(1)) for p in patterns])))
+
+    def counted(names: Column) -> Column:
+        new = lambda x, i: F.when((i == 0) | (F.get(names, i - 1) != x), i)
+        starts = F.array_compact(F.transform(names, new))
+        size = lambda s: lambda at, k: F.struct((at - F.coalesce(F.get(s, k + 1), F.size(names))).cast("long").alias("less"), F.get(names, at).alias("person"))
+        return once(starts, lambda s: F.transform(s, size(s)))
+
+    best = F.slice(F.array_sort(once(found, counted)), 1, most)
+    return F.transform(best, lambda r: F.struct(r["person"].alias("person"), (-r["less"]).alias("mentions")))
 
 
 def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, stop: str = "。", reusable=L.REUSABLE_ROLES, most: int = 5, texts=L.ROLE_TEXTS, plots=L.PLOT_FUNCTIONS, relations=L.RELATIONSHIPS) -> DataFrame:
@@ -100,6 +116,11 @@ def supporting_roles(chapters: DataFrame, persons: DataFrame, lexicon=L.ROLES, s
     rows = pairs.groupBy("novel_id", "person", "mentions").agg(*sums)
     table = F.array(*[F.struct(F.lit(r).alias("category"), F.col(f"__s{k}").alias("score")) for k, r in enumerate(lexicon)])
     rows = rows.select("novel_id", "person", "mentions", table.alias("found")).withColumn("function_type", top("found"))
+    return ranked_roles(rows, reusable, most, texts, plots, relations)
+
+
+def ranked_roles(rows: DataFrame, reusable=L.REUSABLE_ROLES, most: int = 5, texts=L.ROLE_TEXTS, plots=L.PLOT_FUNCTIONS, relations=L.RELATIONSHIPS) -> DataFrame:
+    """The roles of persons with a ``function_type``, the most reusable first."""
     rows = rows.withColumn("reusability", F.when(F.col("function_type").isin(*reusable), 0.95).otherwise(0.75))
     place = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("reusability"), F.desc("mentions"), "person"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select(
@@ -121,21 +142,3 @@ def role_description(kind: Column, table=L.ROLE_TEXTS) -> Column:
 
 def memorability(done: Column, n_tags: Column, n_roles: Column) -> Column:
     return F.least(F.lit(0.6) + done * 0.15 + F.least(n_tags * 0.03, F.lit(0.15)) + F.least(n_roles * 0.02, F.lit(0.1)), F.lit(1.0))
-
-
-def character_analysis(
-    books: DataFrame, chapters: DataFrame, arcs=L.ARCS, turnings=L.TURNINGS, persons=L.PERSON_PATTERNS, roles=L.ROLES, stop: str = "。",
-    speech: str = L.SPEECH_PATTERN, behaviours=L.BEHAVIOURS, habits=L.HABITS, reusable=L.REUSABLE_ROLES, popular=L.POPULAR_ARCS,
-) -> DataFrame:
-    """All of the characters, one row a book; ``roles`` are its supporting roles, the most reusable first."""
-    n = lambda df, name: df.groupBy("novel_id").agg(F.count("*").alias(name))
-    cast = supporting_roles(chapters, person_mentions(books, persons), roles, stop, reusable)
-    role = F.struct("place", F.struct("role_name", "function_type", "role_description", "relationship", "plot_function", "reusability").alias("role"))
-    cast = cast.groupBy("novel_id").agg(F.count("*").alias("n_roles"), F.array_sort(F.collect_list(role))["role"].alias("roles"))
-    out = books.select("novel_id").join(arc_type(chapters, arcs).hint("merge"), "novel_id", "left").join(arc_completion(chapters, turnings).hint("merge"), "novel_id", "left")
-    out = out.join(n(character_tags(books, speech, behaviours, habits), "n_tags").hint("merge"), "novel_id", "left").join(cast.hint("merge"), "novel_id", "left")
-    out = out.withColumns({"arc_type": F.coalesce("arc_type", F.lit(next(iter(arcs)))), "completion": F.coalesce("completion", F.lit(0.5)), "n_tags": F.coalesce("n_tags", F.lit(0)), "n_roles": F.coalesce("n_roles", F.lit(0))})
-    return out.withColumns({
-        "satisfaction": satisfaction(F.col("arc_type"), F.col("completion"), popular), "memorability": memorability(F.col("completion"), F.col("n_tags"), F.col("n_roles")),
-        "initial_state": lookup(F.col("arc_type"), L.ARC_STARTS, "普通状态"), "final_state": lookup(F.col("arc_type"), L.ARC_ENDS, "成长后的状态"),
-    })

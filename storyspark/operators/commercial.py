@@ -15,9 +15,13 @@ from ..functions.textfn import cnt, compact, has, has_any, mean_of
 def audience(books: DataFrame, lexicon=L.AUDIENCES, ages=L.AGE_RANGES) -> DataFrame:
     """``(novel_id, segment, secondary, age_low, age_high)``; up to two others that score, in list order."""
     rows = books.select("novel_id", scores("text", lexicon).alias("found")).withColumn("segment", top("found"))
-    others = F.slice(F.filter("found", lambda s: (s["score"] > 0) & (s["category"] != F.col("segment")))["category"], 1, 2)
-    low, high = (lookup(F.col("segment"), {k: v[i] for k, v in ages.items()}, d) for i, d in ((0, 18), (1, 45)))
-    return rows.select("novel_id", "segment", others.alias("secondary"), low.alias("age_low"), high.alias("age_high"))
+    return rows.select("novel_id", "segment", *[c.alias(n) for n, c in audience_columns("found", F.col("segment"), ages).items()])
+
+
+def audience_columns(found: str, segment: Column, ages=L.AGE_RANGES) -> dict[str, Column]:
+    others = F.slice(F.filter(found, lambda s: (s["score"] > 0) & (s["category"] != segment))["category"], 1, 2)
+    low, high = (lookup(segment, {k: v[i] for k, v in ages.items()}, d) for i, d in ((0, 18), (1, 45)))
+    return {"secondary": others, "age_low": low, "age_high": high}
 
 
 def gender_split(books: DataFrame, lexicon=L.GENDERS) -> DataFrame:
@@ -27,7 +31,11 @@ def gender_split(books: DataFrame, lexicon=L.GENDERS) -> DataFrame:
 def payment_behavior(books: DataFrame, lexicon=L.PAYMENT_TRIGGERS, motives=L.MOTIVATIONS, above: int = 5) -> DataFrame:
     """``(novel_id, motivation, triggers)``."""
     rows = books.select("novel_id", scores("text", lexicon).alias("found"))
-    return rows.select("novel_id", lookup(top("found"), motives, "综合需求").alias("motivation"), F.filter("found", lambda s: s["score"] > above)["category"].alias("triggers"))
+    return rows.select("novel_id", *[c.alias(n) for n, c in payment_columns("found", motives, above).items()])
+
+
+def payment_columns(found: str, motives=L.MOTIVATIONS, above: int = 5) -> dict[str, Column]:
+    return {"motivation": lookup(top(found), motives, "综合需求"), "triggers": F.filter(found, lambda s: s["score"] > above)["category"]}
 
 
 def arpu(segment: Column, motivation: Column, base=L.BASE_ARPU, factor=L.MOTIVATION_FACTOR) -> Column:
@@ -49,17 +57,29 @@ def distinct_matches(text: str, pattern: str) -> Column:
 
 def adaptations(books: DataFrame, lexicon=L.ADAPTATIONS, base=L.BASE_COST, speaker: str = L.SPEAKER_PATTERN, scene: str = L.SCENE_PATTERN, least: float = 0.3, most: int = 3) -> DataFrame:
     """``(novel_id, place, adaptation_type, suitability, key_points, cost, roi)``, the best return first."""
+    rows = books.select("novel_id", *[c.alias(n) for n, c in adaptation_counts("text", lexicon, speaker, scene).items()])
+    rows = rows.select("novel_id", F.posexplode(adaptation_items(base, least, most)).alias("p", "b"))
+    return rows.select("novel_id", (F.col("p") + 1).alias("place"), "b.adaptation_type", "b.suitability", "b.key_points", "b.cost", "b.roi")
+
+
+def adaptation_counts(text: str, lexicon=L.ADAPTATIONS, speaker: str = L.SPEAKER_PATTERN, scene: str = L.SCENE_PATTERN) -> dict[str, Column]:
+    """Scenes, speakers, and each kind's keywords with their numbers, each counted once."""
     kinds = []
-    for k, (kind, keys) in enumerate(lexicon.items()):  # each keyword is counted once, as (word, n)
-        kinds.append(F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("adaptation_type"), F.array(*[F.struct(F.lit(w).alias("word"), cnt("text", w).alias("n")) for w in keys]).alias("words")))
-    rows = books.select("novel_id", distinct_matches("text", scene).alias("scenes"), distinct_matches("text", speaker).alias("speakers"), F.explode(F.array(*kinds)).alias("k"))
-    n = F.aggregate("k.words", F.lit(0), lambda a, w: a + w["n"])
-    points = F.slice(F.filter("k.words", lambda w: w["n"] > 5)["word"], 1, 3)
-    rows = rows.select("novel_id", "scenes", "speakers", "k.ord", "k.adaptation_type", F.least(n / (10 * F.size("k.words")), F.lit(1.0)).alias("suitability"), points.alias("key_points")).where(F.col("suitability") > least)
-    rows = rows.withColumn("cost", adaptation_cost(F.col("adaptation_type"), F.col("scenes"), F.col("speakers"), base)).withColumn("roi", roi(F.col("suitability"), F.col("cost")))
-    item = F.struct((-F.round("roi", 2)).alias("by"), "ord", "adaptation_type", "suitability", "key_points", "cost", "roi")
-    best_of = rows.groupBy("novel_id").agg(F.slice(F.array_sort(F.collect_list(item)), 1, most).alias("best"))
-    return best_of.select("novel_id", F.posexplode("best").alias("p", "b")).select("novel_id", (F.col("p") + 1).alias("place"), "b.adaptation_type", "b.suitability", "b.key_points", "b.cost", "b.roi")
+    for k, (kind, keys) in enumerate(lexicon.items()):
+        kinds.append(F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("adaptation_type"), F.array(*[F.struct(F.lit(w).alias("word"), cnt(text, w).alias("n")) for w in keys]).alias("words")))
+    return {"__scenes": distinct_matches(text, scene), "__speakers": distinct_matches(text, speaker), "__kinds": F.array(*kinds)}
+
+
+def adaptation_items(base=L.BASE_COST, least: float = 0.3, most: int = 3) -> Column:
+    """Array of (adaptation_type, suitability, key_points, cost, roi) from ``adaptation_counts``, the best return first."""
+    n = lambda k: F.aggregate(k["words"], F.lit(0), lambda a, w: a + w["n"])
+    points = lambda k: F.slice(F.filter(k["words"], lambda w: w["n"] > 5)["word"], 1, 3)
+    own = F.transform("__kinds", lambda k: F.struct(k["ord"].alias("ord"), k["adaptation_type"].alias("adaptation_type"), F.least(n(k) / (10 * F.size(k["words"])), F.lit(1.0)).alias("suitability"), points(k).alias("key_points")))
+    own = F.filter(own, lambda k: k["suitability"] > least)
+    priced = F.transform(own, lambda k: F.struct(*[k[c].alias(c) for c in ("ord", "adaptation_type", "suitability", "key_points")], adaptation_cost(k["adaptation_type"], F.col("__scenes"), F.col("__speakers"), base).alias("cost")))
+    valued = F.transform(priced, lambda k: F.struct(*[k[c].alias(c) for c in ("ord", "adaptation_type", "suitability", "key_points", "cost")], roi(k["suitability"], k["cost"]).alias("roi")))
+    ordered = F.array_sort(F.transform(valued, lambda k: F.struct((-F.round(k["roi"], 2)).alias("by"), *[k[c].alias(c) for c in ("ord", "adaptation_type", "suitability", "key_points", "cost", "roi")])))
+    return F.slice(ordered, 1, most)
 
 
 def derivatives(text: str = "text", system: str = "系统", world: str = "世界观", branch=("选择", "分支"), speaker: str = L.SPEAKER_PATTERN, long: int = 500_000) -> Column:
@@ -81,15 +101,3 @@ def commercial_score(arpu_: Column, best_roi: Column, potentials: Column) -> Col
 def monetization_path(segment: Column, adaptation: Column, best_roi: Column) -> Column:
     adapted = F.when(adaptation.isNotNull(), F.concat(adaptation, F.lit("改编（ROI预测："), F.format_number(best_roi, 1), F.lit("倍）")))
     return F.concat_ws(" → ", F.concat(F.lit("付费阅读（核心受众："), segment, F.lit("）")), adapted, F.lit("IP衍生开发（周边、游戏、系列文）"))
-
-
-def commercial_value(books: DataFrame, audiences=L.AUDIENCES, triggers=L.PAYMENT_TRIGGERS, kinds=L.ADAPTATIONS, ages=L.AGE_RANGES, base=L.BASE_ARPU, motives=L.MOTIVATIONS, costs=L.BASE_COST, speaker: str = L.SPEAKER_PATTERN, scene: str = L.SCENE_PATTERN, **derived) -> DataFrame:
-    """All of the commercial value, one row a book."""
-    found = adaptations(books, kinds, costs, speaker, scene)
-    best = found.groupBy("novel_id").agg(F.min_by("adaptation_type", "place").alias("best_adaptation"), F.min_by("roi", "place").alias("best_roi"), F.max("roi").alias("max_roi"))
-    out = audience(books, audiences, ages).join(payment_behavior(books, triggers, motives).hint("merge"), "novel_id").join(best.hint("merge"), "novel_id", "left")
-    out = out.join(books.select("novel_id", derivatives("text", speaker=speaker, **derived).alias("derivatives")).hint("merge"), "novel_id").withColumn("arpu", arpu(F.col("segment"), F.col("motivation"), base))
-    out = out.withColumn("commercial_score", commercial_score(F.col("arpu"), F.col("max_roi"), F.col("derivatives.potential")))
-    return out.withColumn("monetization_path", monetization_path(F.col("segment"), F.col("best_adaptation"), F.col("best_roi")))
-
-

@@ -42,20 +42,37 @@ def info_releases(chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_MET
 
 def sentence_stats(books: DataFrame, marks: str = "[。！？；]", short: int = 10, long: int = 30) -> DataFrame:
     """``(novel_id, sentences, short_ratio, long_ratio, average_length)``; fixed values without sentences."""
-    rows = books.select("novel_id", F.transform(sentences("text", marks), lambda s: F.length(s)).alias("n"))
-    size = F.size("n")
-    share = lambda f, d: F.when(size > 0, F.size(F.filter("n", f)) / size).otherwise(d)
-    average = F.when(size > 0, F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x) / size).otherwise(15.0)
-    return rows.select("novel_id", F.greatest(size, F.lit(0)).alias("sentences"), share(lambda x: x < short, 0.3).alias("short_ratio"), share(lambda x: x > long, 0.2).alias("long_ratio"), average.alias("average_length"))
+    rows = books.select("novel_id", sentence_lengths("text", marks).alias("n"))
+    return rows.select("novel_id", *[c.alias(n) for n, c in sentence_columns("n", short, long).items()])
+
+
+def sentence_lengths(text: str, marks: str = "[。！？；]") -> Column:
+    return F.transform(sentences(text, marks), lambda s: F.length(s))
+
+
+def sentence_columns(n: str, short: int = 10, long: int = 30) -> dict[str, Column]:
+    size = F.size(n)
+    share = lambda f, d: F.when(size > 0, F.size(F.filter(n, f)) / size).otherwise(d)
+    average = F.when(size > 0, F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x) / size).otherwise(15.0)
+    return {"sentences": F.greatest(size, F.lit(0)), "short_ratio": share(lambda x: x < short, 0.3), "long_ratio": share(lambda x: x > long, 0.2), "average_length": average}
 
 
 def perspective(books: DataFrame, first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN, head: int = 10_000) -> DataFrame:
     """``(novel_id, switches, perspective)``; twice as many markers of one kind decide, else switches are counted."""
+    rows = books.select("novel_id", *[c.alias(n) for n, c in view_counts("text", first, third, switch, head).items()])
+    return rows.select("novel_id", *[c.alias(n) for n, c in view_columns().items()])
+
+
+def view_counts(text: str, first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN, head: int = 10_000) -> dict[str, Column]:
+    """Markers of the first and third person, and switches in the text's beginning."""
     count = lambda t, p: F.regexp_count(t, F.lit(f"(?d){p}"))
-    rows = books.select("novel_id", count("text", first).alias("a"), count("text", third).alias("b"), count(F.substr(F.col("text"), F.lit(1), F.lit(head)), switch).alias("s"))
-    clear = (F.col("a") > F.col("b") * 2) | (F.col("b") > F.col("a") * 2)
-    view = F.when(F.col("a") > F.col("b") * 2, "第一人称").when(F.col("b") > F.col("a") * 2, "第三人称").when(F.col("s") > 5, "多视角").otherwise("第三人称")
-    return rows.select("novel_id", F.when(clear, 0).otherwise(F.col("s")).alias("switches"), view.alias("perspective"))
+    return {"__first": count(F.col(text), first), "__third": count(F.col(text), third), "__switch": count(F.substr(F.col(text), F.lit(1), F.lit(head)), switch)}
+
+
+def view_columns() -> dict[str, Column]:
+    a, b, s = F.col("__first"), F.col("__third"), F.col("__switch")
+    view = F.when(a > b * 2, "第一人称").when(b > a * 2, "第三人称").when(s > 5, "多视角").otherwise("第三人称")
+    return {"switches": F.when((a > b * 2) | (b > a * 2), 0).otherwise(s), "perspective": view}
 
 
 def sensory_distribution(books: DataFrame, lexicon=L.SENSES) -> DataFrame:
@@ -81,16 +98,3 @@ def difficulty(hook_ratio: Column, n_releases: Column, mean_mystery: Column) ->
 
 def validate_ratios(hook: Column, development: Column, cliffhanger: Column) -> Column:
     return F.abs(hook + development + cliffhanger - 1) < 0.01
-
-
-def narrative_technique(books: DataFrame, chapters: DataFrame, kinds=L.INFO_TYPES, methods=L.RELEASE_METHODS, marks: str = "[。！？；]", first: str = L.FIRST_PERSON, third: str = L.THIRD_PERSON, switch: str = L.SWITCH_PATTERN, other: str = L.RELEASE_OTHER) -> DataFrame:
-    """All of the technique, one row a book."""
-    releases = info_releases(chapters, kinds, methods, other).groupBy("novel_id").agg(F.count("*").alias("n_releases"), F.avg("mystery_ratio").alias("mean_mystery"))
-    out = sentence_stats(books, marks).join(perspective(books, first, third, switch).hint("merge"), "novel_id").join(chapter_structure(chapters).hint("merge"), "novel_id", "left").join(releases.hint("merge"), "novel_id", "left")
-    defaults = {"hook_ratio": 0.1, "development_ratio": 0.7, "cliffhanger_ratio": 0.2, "paragraph_length": 200.0, "dialogue_ratio": 0.3}
-    out = out.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()} | {"n_releases": F.coalesce("n_releases", F.lit(0))})
-    return out.withColumns({
-        "rhythm_score": rhythm_score(F.col("short_ratio"), F.col("switches")), "difficulty": difficulty(F.col("hook_ratio"), F.col("n_releases"), F.col("mean_mystery")),
-        "scenarios": scenarios(F.col("hook_ratio"), F.col("dialogue_ratio"), F.col("short_ratio"), F.col("long_ratio")),
-        "ratios_valid": validate_ratios(F.col("hook_ratio"), F.col("development_ratio"), F.col("cliffhanger_ratio")),
-    })

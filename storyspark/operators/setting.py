@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.scores import lookup, score_of, scores, top
-from ..functions.textfn import compact, first_present, has, has_any, strip
+from ..functions.textfn import compact, first_present, has, has_any, once, strip
 
 
 def gf_type(books: DataFrame, lexicon=L.GOLDEN_FINGERS) -> DataFrame:
@@ -16,9 +18,12 @@ def gf_type(books: DataFrame, lexicon=L.GOLDEN_FINGERS) -> DataFrame:
 
 def growth_type(books: DataFrame, lexicon=L.GROWTH) -> DataFrame:
     found = books.select("novel_id", scores("text", lexicon).alias("found"))
-    static, growth, exp = (score_of("found", k) for k in ("static", "growth", "exp"))
-    kind = F.when(exp > 5, "dynamic_exp").when(growth > static, "dynamic_linear").when(static > growth, "static").otherwise("dynamic_step")
-    return found.select("novel_id", kind.alias("growth_type"))
+    return found.select("novel_id", growth_of("found").alias("growth_type"))
+
+
+def growth_of(found: str) -> Column:
+    static, growth, exp = (score_of(found, k) for k in ("static", "growth", "exp"))
+    return F.when(exp > 5, "dynamic_exp").when(growth > static, "dynamic_linear").when(static > growth, "static").otherwise("dynamic_step")
 
 
 def constraints(books: DataFrame, lexicon=L.CONSTRAINTS, stop: str = "。", gravest=L.SEVERITY_GRAVEST, grave=L.SEVERITY_GRAVE, per_keyword: int = 3, most: int = 5) -> DataFrame:
@@ -26,27 +31,31 @@ def constraints(books: DataFrame, lexicon=L.CONSTRAINTS, stop: str = "。", grav
 
     Of each keyword the first few, in list order; of equal descriptions the first; then the first few.
     """
+    rows = books.select("novel_id", ended_sentences("text", stop).alias("__ended"))
+    rows = rows.select("novel_id", constraint_items("__ended", lexicon, gravest, grave, per_keyword, most).alias("__items"))
+    rows = rows.select("novel_id", F.posexplode("__items").alias("place", "r")).select("novel_id", (F.col("place") + 1).alias("place"), "r.*")
+    return rows.withColumn("plot_impact", lookup(F.col("constraint_type"), L.PLOT_IMPACTS, "影响剧情发展"))
+
+
+def ended_sentences(text: str, stop: str = "。") -> Column:
+    """The pieces up to each mark; the last piece has none behind it and is no sentence."""
+    pieces = F.split(text, rf"\Q{stop}\E", -1)
+    return F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.concat(x, F.lit(stop)))
 
-    def item(base: int, kind: str):
-        return lambda m, i: F.struct((F.lit(base) + i).alias("ord"), F.lit(kind).alias("constraint_type"), strip(m).alias("description"), m.alias("raw"))
+
+def constraint_items(ended: str, lexicon=L.CONSTRAINTS, gravest=L.SEVERITY_GRAVEST, grave=L.SEVERITY_GRAVE, per_keyword: int = 3, most: int = 5) -> Column:
+    """Array of (constraint_type, description, severity) of a book, from its ``ended`` sentences."""
+
+    def item(kind: str):
+        severity = lambda m: F.when(has_any(m, gravest), 5).when(has_any(m, grave), 4).otherwise(3)
+        return lambda m: F.struct(F.lit(kind).alias("constraint_type"), strip(m).alias("description"), severity(m).alias("severity"))
 
     def with_key(key: str):
         return lambda x: F.contains(x, F.lit(key))
 
-    parts = []
-    for c, (kind, keys) in enumerate(lexicon.items()):
-        for k, key in enumerate(keys):
-            found = F.slice(F.filter("__ended", with_key(key)), 1, per_keyword)
-            parts.append(F.transform(found, item(c * 10_000 + k * 100, kind)))
-    pieces = F.split("text", rf"\Q{stop}\E", -1)  # the last piece has no mark behind it and is no sentence
-    rows = books.select("novel_id", F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda x: F.concat(x, F.lit(stop))).alias("__ended"))
-    rows = rows.select("novel_id", F.explode(F.flatten(F.array(*parts))).alias("r")).select("novel_id", "r.*")
-    severity = F.when(has_any("raw", gravest), 5).when(has_any("raw", grave), 4).otherwise(3)
-    rows = rows.withColumn("severity", severity)
-    first = F.row_number().over(Window.partitionBy("novel_id", "description").orderBy("ord"))
-    rows = rows.withColumn("__first", first).where("__first = 1")
-    place = F.row_number().over(Window.partitionBy("novel_id").orderBy("ord"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("novel_id", "place", "constraint_type", "description", "severity", lookup(F.col("constraint_type"), L.PLOT_IMPACTS, "影响剧情发展").alias("plot_impact"))
+    parts = [F.transform(F.slice(F.filter(ended, with_key(key)), 1, per_keyword), item(kind)) for kind, keys in lexicon.items() for key in keys]
+    first = lambda rows: F.filter(rows, lambda x, i: F.array_position(rows["description"], x["description"]) == i + 1)
+    return F.slice(once(F.flatten(F.array(*parts)), first), 1, most)
 
 
 def early_text(chapters: DataFrame, first: int = 5) -> DataFrame:
@@ -60,24 +69,35 @@ def fit(early: DataFrame, types: DataFrame, pains=L.PAINS, solves=(("system", "
     """``(novel_id, pain_keyword, pain_point, fit_score)``."""
     rows = types.join(early.hint("merge"), "novel_id", "left").withColumn("early_text", F.coalesce("early_text", F.lit("")))
     pain = first_present("early_text", pains)
+    return rows.select("novel_id", pain.alias("pain_keyword"), *[c.alias(n) for n, c in fit_columns(F.col("gf_type"), pain, lambda w: has("early_text", w), solves).items()])
+
+
+def fit_columns(kind: Column, pain: Column, early: Callable[[str], Column], solves=(("system", "弱"), ("item", "穷"))) -> dict[str, Column]:
+    """The pain in words, and how well the type fits; ``early`` tells whether the first chapters hold a word."""
     good = F.lit(False)
-    for kind, word in solves:
-        good = good | ((F.col("gf_type") == kind) & has("early_text", word))
+    for name, word in solves:
+        good = good | ((kind == name) & early(word))
     said = F.when(pain.isNull(), "主角初期处于普通状态").otherwise(F.concat(F.lit("主角初期面临"), pain, F.lit("的困境")))
-    return rows.select("novel_id", pain.alias("pain_keyword"), said.alias("pain_point"), F.when(good, 0.8).otherwise(0.5).alias("fit_score"))
+    return {"pain_point": said, "fit_score": F.when(good, 0.8).otherwise(0.5)}
 
 
 def innovations(books: DataFrame, found: DataFrame, lexicon=L.GOLDEN_FINGERS, mood: str = "情绪值", price: str = "代价") -> DataFrame:
     """``(novel_id, innovations)``: up to three tags; ``found`` are the book's constraints."""
     heavy = found.groupBy("novel_id").agg((F.count_if(F.col("constraint_type") == price) > 0).alias("priced"), (F.max("severity") >= 4).alias("grave"))
-    types = F.filter(F.array(*[F.when(has_any("text", keys[:3]), F.lit(t)) for t, keys in lexicon.items()]), lambda x: x.isNotNull())
-    rows = books.join(heavy.hint("merge"), "novel_id", "left").withColumn("__types", types)
-    tags = compact(
-        F.when(has("text", mood), "使用'情绪值'作为系统兑换资源，而非传统积分"),
-        F.when(F.col("priced") & F.col("grave"), "金手指使用需要付出沉重代价，增加剧情张力"),
-        F.when(F.size("__types") > 1, F.concat(F.lit("多金手指组合："), F.array_join("__types", ", "))),
-    )
-    return rows.select("novel_id", tags.alias("innovations"))
+    rows = books.join(heavy.hint("merge"), "novel_id", "left").withColumn("__types", several_types("text", lexicon))
+    return rows.select("novel_id", innovation_tags("text", "__types", F.col("priced") & F.col("grave"), mood).alias("innovations"))
+
+
+def several_types(text: str, lexicon=L.GOLDEN_FINGERS) -> Column:
+    """The types of which one of the first three keywords occurs."""
+    return F.filter(F.array(*[F.when(has_any(text, keys[:3]), F.lit(t)) for t, keys in lexicon.items()]), lambda x: x.isNotNull())
+
+
+def innovation_tags(text: str, types: str, dear: Column, mood: str = "情绪值") -> Column:
+    return compact(
+        F.when(has(text, mood), "使用'情绪值'作为系统兑换资源，而非传统积分"), F.when(dear, "金手指使用需要付出沉重代价，增加剧情张力"),
+        F.when(F.size(types) > 1, F.concat(F.lit("多金手指组合："), F.array_join(types, ", "))),
+    )
 
 
 def similarity_to_common(kind: Column, growth: Column, n_constraints: Column, pairs=L.COMMON_PAIRS) -> Column:
@@ -110,9 +130,14 @@ def max_potential(text: str, peaks=L.PEAKS) -> Column:
 
 def world_rules(books: DataFrame, systems=L.POWER_SYSTEMS, resources=L.RESOURCES) -> DataFrame:
     """``(novel_id, ord, rule_name, rule_category, consistency)``."""
-    rows = [F.when(has_any("text", keys), F.struct(F.lit(i).alias("ord"), F.lit(f"{name}体系").alias("rule_name"), F.lit("力量体系").alias("rule_category"), F.lit(0.9).alias("consistency"))) for i, (name, keys) in enumerate(systems.items())]
-    rows.append(F.when(has_any("text", resources), F.struct(F.lit(len(systems)).alias("ord"), F.lit("资源分配规则").alias("rule_name"), F.lit("资源分配").alias("rule_category"), F.lit(0.8).alias("consistency"))))
-    return books.select("novel_id", F.explode(compact(*rows)).alias("r")).select("novel_id", "r.*")
+    return books.select("novel_id", F.explode(world_rule_items("text", systems, resources)).alias("r")).select("novel_id", "r.*")
+
+
+def world_rule_items(text: str, systems=L.POWER_SYSTEMS, resources=L.RESOURCES) -> Column:
+    """Array of (ord, rule_name, rule_category, consistency) of a book."""
+    rows = [F.when(has_any(text, keys), F.struct(F.lit(i).alias("ord"), F.lit(f"{name}体系").alias("rule_name"), F.lit("力量体系").alias("rule_category"), F.lit(0.9).alias("consistency"))) for i, (name, keys) in enumerate(systems.items())]
+    rows.append(F.when(has_any(text, resources), F.struct(F.lit(len(systems)).alias("ord"), F.lit("资源分配规则").alias("rule_name"), F.lit("资源分配").alias("rule_category"), F.lit(0.8).alias("consistency"))))
+    return compact(*rows)
 
 
 def rule_exploits(chapters: DataFrame, keywords=L.EXPLOITS, stop: str = "。", most: int = 3) -> DataFrame:
@@ -132,20 +157,3 @@ def rule_exploits(chapters: DataFrame, keywords=L.EXPLOITS, stop: str = "。", m
 
 def coherence(n_constraints: Column, n_rules: Column) -> Column:
     return F.least(F.lit(0.8) + n_constraints * 0.05 + n_rules * 0.05, F.lit(1.0))
-
-
-def core_setting(
-    books: DataFrame, chapters: DataFrame, fingers=L.GOLDEN_FINGERS, growth=L.GROWTH, limits=L.CONSTRAINTS, stop: str = "。", gravest=L.SEVERITY_GRAVEST, grave=L.SEVERITY_GRAVE, systems=L.POWER_SYSTEMS,
-    resources=L.RESOURCES, pains=L.PAINS, solves=(("system", "弱"), ("item", "穷")), mood: str = "情绪值", price: str = "代价", names=L.GF_NAMES, peaks=L.PEAKS,
-) -> DataFrame:
-    """All of the setting, one row a book."""
-    held = constraints(books, limits, stop, gravest, grave)
-    types = gf_type(books, fingers)
-    out = books.join(types.hint("merge"), "novel_id").join(growth_type(books, growth).hint("merge"), "novel_id")
-    n = held.groupBy("novel_id").agg(F.count("*").alias("n_constraints"), F.array_sort(F.collect_list(F.struct("place", "constraint_type")))["constraint_type"].alias("constraint_types"))
-    rules = world_rules(books, systems, resources).groupBy("novel_id").agg(F.count("*").alias("n_rules"))
-    out = out.join(n.hint("merge"), "novel_id", "left").join(rules.hint("merge"), "novel_id", "left").join(fit(early_text(chapters), types, pains, solves).hint("merge"), "novel_id").join(innovations(books, held, fingers, mood, price).hint("merge"), "novel_id")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_constraints", "n_rules")}).withColumn("constraint_types", F.coalesce("constraint_types", F.array().cast("array<string>")))
-    out = out.withColumn("similarity", similarity_to_common(F.col("gf_type"), F.col("growth_type"), F.col("n_constraints")))
-    out = out.withColumns({"novelty": novelty(F.col("similarity")), "coherence": coherence(F.col("n_constraints"), F.col("n_rules")), "gf_name": gf_name("text", F.col("gf_type"), names), "initial_power": initial_power(F.col("gf_type")), "max_potential": max_potential("text", peaks)})
-    return out.drop("text")

@@ -16,9 +16,13 @@ def conflict_formula(books: DataFrame, lexicon=L.CONFLICT, formulas=L.FORMULAS,
     """``(novel_id, conflict_type, formula_name, desire, obstacle, path, genres, reusability)``."""
     rows = books.select("novel_id", scores("text", lexicon, "presence").alias("found"))
     rows = rows.select("novel_id", "found", top("found").alias("conflict_type"))
-    named = {n: lookup(F.col("conflict_type"), {k: v[i] for k, v in formulas.items()}, default[i]) for i, n in enumerate(("formula_name", "desire", "obstacle", "path", "genres"))}
-    share = F.when(total("found") > 0, best("found") / total("found")).otherwise(0.5)
-    return rows.select("novel_id", "conflict_type", *[c.alias(n) for n, c in named.items()], share.alias("reusability"))
+    return rows.select("novel_id", "conflict_type", *[c.alias(n) for n, c in conflict_columns("found", F.col("conflict_type"), formulas, default).items()])
+
+
+def conflict_columns(found: str, kind: Column, formulas=L.FORMULAS, default=L.FORMULA_DEFAULT) -> dict[str, Column]:
+    """The formula of a conflict type, and how far the type leads in the scores."""
+    named = {n: lookup(kind, {k: v[i] for k, v in formulas.items()}, default[i]) for i, n in enumerate(("formula_name", "desire", "obstacle", "path", "genres"))}
+    return named | {"reusability": F.when(total(found) > 0, best(found) / total(found)).otherwise(0.5)}
 
 
 def hook_matches(chapters: DataFrame, lexicon=L.HOOKS) -> DataFrame:
@@ -62,10 +66,14 @@ def rhythm_pattern(chapters: DataFrame, lexicon=L.HOOKS) -> DataFrame:
         F.count(own).alias("k"), ((F.max(own) - F.min(own)) / F.nullif(F.count(own) - 1, F.lit(0))).alias("gap"),
         ((F.max(major) - F.min(major)) / F.nullif(F.count(major) - 1, F.lit(0))).alias("major_gap"),
     )
-    small = F.when(F.col("gap") <= 3, "每1-3章1个小爽点").when(F.col("gap") <= 5, "每3-5章1个小爽点").otherwise("每5章以上1个小爽点")
-    large = F.when(F.col("major_gap").isNull(), "无明显大爽点节奏").when(F.col("major_gap") <= 10, "每10章1个大爽点").when(F.col("major_gap") <= 20, "每10-20章1个大爽点").otherwise("每20章以上1个大爽点")
-    said = F.when(F.col("k") == 0, "无明显节奏").when(F.col("k") < 2, "钩子分布稀疏").otherwise(F.concat(small, F.lit("，"), large))
-    return rows.select("novel_id", F.col("k").alias("hook_chapters"), said.alias("rhythm_pattern"))
+    return rows.select("novel_id", F.col("k").alias("hook_chapters"), rhythm_text(F.col("k"), F.col("gap"), F.col("major_gap")).alias("rhythm_pattern"))
+
+
+def rhythm_text(k: Column, gap: Column, major_gap: Column) -> Column:
+    """Words for the number of chapters with hooks and the mean gaps between them and between the major ones."""
+    small = F.when(gap <= 3, "每1-3章1个小爽点").when(gap <= 5, "每3-5章1个小爽点").otherwise("每5章以上1个小爽点")
+    large = F.when(major_gap.isNull(), "无明显大爽点节奏").when(major_gap <= 10, "每10章1个大爽点").when(major_gap <= 20, "每10-20章1个大爽点").otherwise("每20章以上1个大爽点")
+    return F.when(k == 0, "无明显节奏").when(k < 2, "钩子分布稀疏").otherwise(F.concat(small, F.lit("，"), large))
 
 
 def value_proposition(books: DataFrame, lexicon=L.VALUES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from storyspark.functions import schemas
 from storyspark.functions import scores as S
 from storyspark.functions import textfn
 from storyspark.operators import benchmark as BM
@@ -95,10 +96,16 @@ def test_model_calls_leave_the_partitions_alone(spark):
 
 
 def test_declared_tables_are_small(spark, monkeypatch):
+    """Patterns and categories are declared tables of bounded size; keywords have no bound any more."""
     monkeypatch.setattr(textfn, "MOST_DECLARED", 3)
     books = spark.createDataFrame([(1, "x")], "novel_id long, text string")
     with pytest.raises(ValueError):
-        R.lexicon_scores(books, spark.range(4).select(F.lit("c").alias("category"), F.lit(0).alias("cat_ord"), F.lit("x").alias("keyword")))
+        R.lexicon_scores(books, spark.range(4).select(F.col("id").cast("string").alias("category"), F.lit(0).alias("cat_ord"), F.lit("x").alias("keyword")))
+    patterns = [(str(k), k, "p", "f", "regex", None, "x", "v", 1.0, True, None) for k in range(4)]
+    with pytest.raises(ValueError):
+        R.rule_scores(books, spark.createDataFrame(patterns, schemas.RULES))
+    many = spark.range(20).select(F.lit("c").alias("category"), F.lit(0).alias("cat_ord"), F.concat(F.lit("x"), F.when(F.col("id") > 0, F.col("id").cast("string")).otherwise("")).alias("keyword"))
+    assert [tuple(r) for r in R.lexicon_scores(books, many).select("n", "present").collect()] == [(1, 1)]
 
 
 def test_relational_scan_of_a_database(spark, tmp_path):
