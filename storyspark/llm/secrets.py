@@ -1,10 +1,11 @@
 """Secret spans: three fixed patterns, and character Markov models of random strings.
 
 Two order-2 character models, one of random strings and one of ordinary identifiers, are trained from
-labelled samples; a candidate string is a secret if its log-likelihood ratio favours the random model
-clearly. The labelled samples come from a bounded set of documents (those with the smallest hash of
-their id): strings that the fixed patterns hold are random, other long strings are identifiers. Labelled
-random strings and identifiers made from a fixed seed are added, so that any corpus gives a model.
+labelled samples; a string is a secret if its log-likelihood ratio favours the random model, by enough
+for its length and by enough in all. No length is asked for: the ratio of a short string can't be large.
+What lies beside a base span is scored without it. The labelled samples come from a bounded set of
+documents (those with the smallest hash of their id): strings that the fixed patterns hold are random, the others are
+ordinary. Labelled random strings and identifiers made from a fixed seed are added, so that any corpus gives a model.
 """
 
 from __future__ import annotations
@@ -29,15 +30,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that are scored: long enough for a mean ratio to tell; a 16-digit number is no secret.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Strings in base spans that are labelled random.
+LABELLED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Documents from which labelled samples are taken.
 SAMPLE = 2000
 #: Of them at most so many strings of each label are used, the first by hash.
 STRINGS = 20_000
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
-#: Mean log-likelihood ratio per character above which a string is a secret.
-LEAST = 0.5
+#: A string is a secret if its log-likelihood ratio is above ``LEAST`` a character and above ``NEEDED`` in all, which weighs
+#: against there being few secrets among many strings; one character tells ``MOST`` at most.
+LEAST, NEEDED, MOST = 0.5, 14.0, 4.0
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -77,6 +79,32 @@ class Model:
         c = _codes(text)
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean())
 
+    def random_runs(self, text: str, apart: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Places of the runs of candidate characters that are secrets; the places ``apart`` belong to none.
+
+        All characters of a text are scored side by side, and the runs' sums are differences of a running sum.
+        """
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = _CODE_OF[np.minimum(points, 128)]
+        for a, b in apart:
+            codes[a:b] = len(ALPHABET)
+        inside = codes < len(ALPHABET)
+        if not inside.any():
+            return []
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        one = np.concatenate([[len(ALPHABET)], codes[:-1]])
+        two = np.where(one < len(ALPHABET), np.concatenate([[len(ALPHABET)], one[:-1]]), len(ALPHABET))
+        size = len(ALPHABET) + 1
+        told = np.minimum(self.ratio.ravel()[(two * size + one) * size + codes], MOST)
+        sums = np.add.reduceat(np.where(inside, told, 0), begin)  # what is between two runs adds nothing
+        good = sums > np.maximum(LEAST * (end - begin), NEEDED)
+        return list(zip(begin[good].tolist(), end[good].tolist(), strict=True))
+
+
+#: The code of each ASCII character, and of all others at 128; characters outside the alphabet have that of a start.
+_CODE_OF = np.array([ALPHABET.find(chr(i)) if chr(i) in ALPHABET else len(ALPHABET) for i in range(128)] + [len(ALPHABET)], np.int64)
+
 
 def random_strings(n: int = 3000, seed: int = 7) -> list[str]:
     draw = random.Random(seed)
@@ -115,13 +143,14 @@ def identifiers(n: int = 3000, seed: int = 8) -> list[str]:
 
 
 def strings_of(text: str) -> tuple[list[str], list[str]]:
-    """Labelled strings of a text: in fixed patterns, and others of 8 letters or more."""
+    """Labelled strings of a text: in fixed patterns, and all others."""
     spans = base_spans(text)
-    secret = [m.group() for k, a, b in spans for m in CANDIDATE.finditer(text[a:b])]
-    rest = text
-    for _, a, b in reversed(spans):
-        rest = rest[:a] + " " + rest[b:]
-    return secret, re.findall(r"[A-Za-z_/-]{8,}", rest)
+    secret = [m.group() for k, a, b in spans for m in LABELLED.finditer(text[a:b])]
+    rest, last = [], 0
+    for _, a, b in spans:
+        rest.append(text[last : max(a, last)])
+        last = max(last, b)
+    return secret, re.findall(r"[A-Za-z0-9+/_=-]+", " ".join([*rest, text[last:]]))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +172,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return Model(got[0] + random_strings(), got[1] + identifiers())
 
 
-def all_spans(model: Model, text: str, least: float = LEAST) -> list[tuple[str, int, int]]:
-    """The base spans, and random-looking strings that none of them touches."""
+def all_spans(model: Model, text: str) -> list[tuple[str, int, int]]:
+    """The base spans, and random-looking strings in what these leave."""
     found = base_spans(text)
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and y > a for _, x, y in found):
-            continue
-        s = m.group()
-        if model.score(s) > least:
-            found.append(("markov", a, b))
+    found += [("markov", a, b) for a, b in model.random_runs(text, [(a, b) for _, a, b in found])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -693,9 +694,9 @@ def test_secrets_against_brute_force(spark):
         assert ",".join(x for x in r.spans.split(",") if not x.startswith("markov")) == base
 
 
-def slow_ratio(secret, ordinary, text):
-    """Mean log-likelihood ratio of a string, by counts in dictionaries; the start is a character of its own."""
-    size, out = len(secrets.ALPHABET) + 1, 0.0
+def slow_terms(secret, ordinary, text):
+    """Log-likelihood ratio of each character of a string, by counts in dictionaries; the start is a character of its own."""
+    size, terms = len(secrets.ALPHABET) + 1, np.zeros(len(text))
     padded = lambda t: ["", "", *t]
     for sign, sample in ((1, secret), (-1, ordinary)):
         none, one, two = Counter(), Counter(), Counter()
@@ -714,26 +715,39 @@ def slow_ratio(secret, ordinary, text):
         first = lambda c: (none[c] + 1) / total
         second = lambda b, c: (one[b, c] + 4 * first(c)) / (of_one[b] + 4)
         p = padded(text)
-        out += sign * sum(np.log((two[a, b, c] + 4 * second(b, c)) / (of_two[a, b] + 4)) for a, b, c in zip(p, p[1:], p[2:], strict=False))
-    return out / len(text)
+        terms += sign * np.array([np.log((two[a, b, c] + 4 * second(b, c)) / (of_two[a, b] + 4)) for a, b, c in zip(p, p[1:], p[2:], strict=False)])
+    return terms
 
 
 def test_secret_spans_against_slow_ratios(spark):
+    """Strings of all lengths, alone and joined to base spans: what a base span leaves is scored by itself."""
     good, plain = secrets.random_strings(300, 3), secrets.identifiers(300, 4)
     model = secrets.Model(good, plain)
     rng = np.random.default_rng(8)
-    tried = secrets.random_strings(60, 5) + secrets.identifiers(60, 6) + ["".join(rng.choice(list("abcdeXYZ019+/_"), 24)) for _ in range(30)]
+    tried = secrets.random_strings(60, 5) + secrets.identifiers(60, 6) + ["".join(rng.choice(list("abcdeXYZ019+/_"), n)) for n in rng.integers(1, 40, 60)]
     for x in tried:
-        assert abs(model.score(x) - slow_ratio(good, plain, x)) < 1e-9
+        assert abs(model.score(x) - slow_terms(good, plain, x).mean()) < 1e-9
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(10)]
+    tried += [f"{x}_{h}" for x, h in zip(tried, hexes, strict=False)] + [f"{h}_{x}" for x, h in zip(tried[5:], hexes, strict=False)] + ["é" + tried[0] + "é", f"password={tried[1]}/{tried[2]}"]
     text = " ".join(tried)
-    want, at = [], 0
-    for x in tried:
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", x):
-            free = not any(a < at + m.end() and b > at + m.start() for _, a, b in secrets.base_spans(text))
-            if free and slow_ratio(good, plain, m.group()) > secrets.LEAST:
-                want.append((at + m.start(), at + m.end()))
-        at += len(x) + 1
+    base = secrets.base_spans(text)
+    free = "".join(" " if any(a <= i < b for _, a, b in base) else c for i, c in enumerate(text))
+    want = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", free):
+        if np.minimum(slow_terms(good, plain, m.group()), secrets.MOST).sum() > max(secrets.LEAST * len(m.group()), secrets.NEEDED):
+            want.append(m.span())
     assert [(a, b) for k, a, b in secrets.all_spans(model, text) if k == "markov"] == want and len(want) > 30
+    joined = tried[0] + "_" + hexes[0]
+    assert [k for k, *_ in secrets.all_spans(model, joined)] == ["markov", "hex"]
+
+
+def test_secret_spans_of_long_texts_take_linear_time():
+    model = secrets.Model(secrets.random_strings(300, 3), secrets.identifiers(300, 4))
+    text = " ".join(f"{x} password=abcdefghij" for x in secrets.random_strings(4000, 6))[:250_000]
+    start = time.perf_counter()
+    assert len(secrets.all_spans(model, text)) > 5000
+    secrets.strings_of(text)
+    assert time.perf_counter() - start < 0.6
 
 
 def test_secrets_models(spark):
