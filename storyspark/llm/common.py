@@ -88,14 +88,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> I
             at, before = end, int(ends[end - 1])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches joined until they have ``rows`` rows, for work that goes through a batch's texts side by side."""
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have ``rows`` rows or ``most_bytes`` of texts, for work that goes through texts side by side."""
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        size += own
+        if sum(b.num_rows for b in held) >= rows or size >= most_bytes:
             yield pa.concat_batches(held)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.concat_batches(held)
 

@@ -20,14 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, gathered
+from .common import arrow_rows, gathered, slices
 
-#: Training documents of each language, and languages.
-SAMPLE, LANGUAGES = 2000, 200
+#: Training documents of each language; languages that a model is held for (more would not fit into a worker).
+SAMPLE, LANGUAGES = 2000, 2000
 #: Buckets of hashed letter trigrams.
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -36,8 +35,8 @@ SWITCH = 12.0
 #: A script counts for a language if it has this share of its training letters.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
-#: Texts that advance side by side.
-ROWS = 2000
+#: Texts that advance side by side, and the bytes of these; words times languages that are scored at once.
+ROWS, BATCH_BYTES, CELLS = 2000, 16 << 20, 8 << 20
 
 # First code point of each script range that is told apart; 0 stands for any other.
 SCRIPTS = (
@@ -138,21 +137,33 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return labels
 
 
+#: Languages that a worker counts side by side, and characters that it counts at once.
+COUNTED, WINDOW = 64, 1 << 20
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, both in found.items():
+            for kind, counts in enumerate(both):
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])],
+                    ["lang", "kind", "slot", "n"],
+                )
+        found.clear()
+
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            _, bucket, script = letters_of(text)
+            if lang not in found and len(found) >= COUNTED:
+                yield from told()
             grams, scripts = found.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)))
-            grams += np.bincount(bucket, minlength=BUCKETS)
-            scripts += np.bincount(script, minlength=len(NAMES))
-    for lang, both in found.items():
-        for kind, counts in enumerate(both):
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])],
-                ["lang", "kind", "slot", "n"],
-            )
+            for a, b in windows(text, WINDOW):
+                _, bucket, script = letters_of(text[a:b])
+                grams += np.bincount(bucket, minlength=BUCKETS)
+                scripts += np.bincount(script, minlength=len(NAMES))
+    yield from told()
 
 
 def held_out(id_col: str) -> Column:
@@ -163,38 +174,130 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` rows of each language, or all, that are not held out.
 
-    The sample is bounded by ``sample`` times the number of languages, of which there may be ``LANGUAGES``
-    (more raise an error); the model by ``BUCKETS``.
+    The sample is bounded by ``sample`` times the number of languages. A language's counts are put together by a task of
+    its own and come as one row of ``BUCKETS`` numbers, so that what is gathered is the model itself. Over
+    ``LANGUAGES`` languages raise an error, as no worker could hold the model.
     """
     own = [F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")]
     fit = docs.select(*own).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in fit.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    sizes = fit.groupBy("lang").count().limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
+    shares = [(r.lang, (sample << 63) // r["count"]) for r in sizes if r["count"] > sample]
     drawn = F.shiftrightunsigned(F.xxhash64("id", "text"), 1)
-    bound = F.lit(None).cast("long")
-    for lang, n in sizes.items():
-        if n > sample:
-            bound = F.when(F.col("lang") == lang, F.lit((sample << 63) // n)).otherwise(bound)
-    texts = fit.where(F.coalesce(drawn < bound, F.lit(True))).select("text", "lang")
-    rows = texts.mapInArrow(_counts, "lang string, kind int, slot int, n long")
-    table = rows.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each bucket and language
-    languages = tuple(sorted(table.column("lang").unique().to_pylist()))
-    lang = pc.index_in(table.column("lang"), pa.array(languages, pa.string())).to_numpy()
-    kind, slot, n = (table.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    grams, scripts = np.zeros((BUCKETS, len(languages))), np.zeros((len(NAMES), len(languages)))
-    for counts, of in ((grams, kind == 0), (scripts, kind == 1)):
-        counts[slot[of], lang[of]] = n[of]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, bound long"))
+    texts = fit.join(bound, "lang", "left").where(F.coalesce(drawn < F.col("bound"), F.lit(True))).select("text", "lang")
+    rows = texts.mapInArrow(_counts, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))
+    table = sorted(rows.groupBy("lang").applyInArrow(_packed, "lang string, grams binary, scripts binary").collect(), key=lambda r: r.lang)
+    languages = tuple(r.lang for r in table)
     if not languages:
-        return Model((), grams.astype(np.float32), scripts.astype(bool))
-    logs = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS))
-    logs -= logs.mean(axis=1, keepdims=True)
-    return Model(languages, logs.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
+    logs = np.empty((BUCKETS, len(languages)), np.float32)
+    scripts = np.empty((len(NAMES), len(languages)))
+    for k, r in enumerate(table):
+        grams = np.frombuffer(r.grams, np.int64).astype(np.float64)
+        logs[:, k] = np.log((grams + SMOOTHING) / (grams.sum() + SMOOTHING * BUCKETS))
+        scripts[:, k] = np.frombuffer(r.scripts, np.int64)
+    logs -= logs.mean(axis=1, keepdims=True, dtype=np.float64).astype(np.float32)
+    return Model(languages, logs, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """The counts of one language as two rows of numbers."""
+    kind, slot, n = (rows.column(c).to_numpy() for c in ("kind", "slot", "n"))
+    packed = []
+    for k, size in ((0, BUCKETS), (1, len(NAMES))):
+        counts = np.zeros(size, np.int64)
+        counts[slot[kind == k]] = n[kind == k]
+        packed.append(pa.array([counts.tobytes()], pa.binary()))
+    return pa.table([rows.column("lang").slice(0, 1).combine_chunks(), *packed], ["lang", "grams", "scripts"])
+
+
+def _advance(scores: np.ndarray, state: np.ndarray | None, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state behind a window of one text's words, and for each word whether its label may stay and what it came from."""
+    n, k = scores.shape
+    stay, best = np.ones((n, k), bool), np.zeros(n, np.int16)
+    for t in range(n):
+        if state is None:
+            state = scores[t]
+            continue
+        best[t] = state.argmax()
+        jump = state[best[t]] - np.float32(switch)
+        stay[t] = state >= jump
+        state = np.maximum(state, jump) - jump + scores[t]
+    return state, stay, best
 
 
-def label_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """For each text: language, score, spans (start, end, language) in code points."""
-    parts = [word_scores(model, x or "") for x in texts]
+def windows(text: str, size: int) -> list[tuple[int, int]]:
+    """Places that cut a text into windows of up to ``size`` characters, between words where a word is shorter than half of it."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        back = end
+        while back < len(text) and back > at + size // 2 and text[back].isalpha() and text[back - 1].isalpha():
+            back -= 1
+        if back > at + size // 2:
+            end = back
+        out.append((at, end))
+        at = end
+    return out
+
+
+Label = tuple[str, float, list[tuple[int, int, str]]]
+
+
+def label_long(model: Model, text: str, size: int) -> Label:
+    """The label of a text that is too long for one table: windows forward for the state at each, then back for the labels."""
+    cut = windows(text, size)
+    states: list[np.ndarray | None] = [None]
+    for a, b in cut:
+        states.append(_advance(word_scores(model, text[a:b])[2], states[-1])[0])
+    if states[-1] is None:
+        return UNKNOWN, 0.0, []
+    label = int(states[-1].argmax())
+    share = np.zeros(len(model.languages))
+    spans: list[tuple[int, int, int]] = []
+    for (a, b), state in zip(reversed(cut), reversed(states[:-1]), strict=True):
+        places, letters, scores = word_scores(model, text[a:b])
+        _, stay, best = _advance(scores, state)
+        for t in range(len(scores) - 1, -1, -1):
+            share[label] += letters[t]
+            start = a + int(places[t])
+            if spans and spans[-1][2] == label:
+                spans[-1] = (start, spans[-1][1], label)
+            else:
+                spans.append((start, start + int(letters[t]), label))
+            if not stay[t, label]:
+                label = int(best[t])
+    top = int(share.argmax())
+    return model.languages[top], float(share[top] / share.sum()), [(a, b, model.languages[k]) for a, b, k in reversed(spans)]
+
+
+def label_texts(model: Model, texts: list[str | None]) -> list[Label]:
+    """For each text: language, score, spans (start, end, language) in code points.
+
+    Texts are scored in groups of up to ``CELLS`` words times languages, by the words that their lengths allow; a longer text by itself, in windows.
+    """
+    most = max(CELLS // max(len(model.languages), 1), 1000)  # words; a word and a blank are two characters at least
+    out: list[Label] = []
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        words = len(text) // 2 + 1
+        if held and size + words > most:
+            out += _label_group(model, held)
+            held, size = [], 0
+        if words > most and model.languages:
+            out.append(label_long(model, text, 2 * most))
+        else:
+            held.append(text)
+            size += words
+    return out + _label_group(model, held)
+
+
+def _label_group(model: Model, texts: list[str]) -> list[Label]:
+    parts = [word_scores(model, x) for x in texts]
     sizes = np.array([len(p[0]) for p in parts], np.int64)
     labels = viterbi(np.concatenate([p[2] for p in parts]), sizes) if len(model.languages) and len(parts) else np.zeros(0, np.int16)
     out, at = [], 0
@@ -217,7 +320,7 @@ def _labelled(model, with_spans: bool):
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, ROWS):
+        for batch in gathered(slices(batches, 1, BATCH_BYTES), ROWS, 1, BATCH_BYTES):
             found = label_texts(model.value, batch.column(1).to_pylist())
             cols = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if with_spans:
@@ -250,7 +353,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, ROWS):
+        for batch in gathered(slices(batches, at, BATCH_BYTES), ROWS, at, BATCH_BYTES):
             found = label_texts(shared.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
