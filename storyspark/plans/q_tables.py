@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as Q
 from ..operators import telemetry as W
+from ..operators import textindex
 from ..operators import vectors as K
 from ..operators.text import line_chapters
 from ..sources import files as S
@@ -237,6 +238,23 @@ def q2_text_search(t: Tables) -> DataFrame:
     return Q.text_search(t.books, "Thing eaux").select("novel_id", "matched")
 
 
+_WORDS = "w as (select novel_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as ws from books), p as (select novel_id, len(ws) as size, unnest(ws) as term from w), tf as (select novel_id, term, size, count(*) as tf from p where term in ('the', 'que', 'and') group by all), df as (select term, count(*) as df from tf group by 1), tot as (select count(*) as n, avg(len(ws)) as mean from w)"
+
+
+@query(
+    with_(BOOKS, _WORDS)
+    + "select tf.novel_id, count(*) as matched, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * size / mean))), 6) as score, count(*) = 3 as in_all, coalesce(bool_or(contains(' ' || array_to_string(ws, ' ') || ' ', ' and the ')), false) as in_phrase from tf join df using (term) join w using (novel_id), tot group by 1"
+)
+def q2_text_index(t: Tables) -> DataFrame:
+    """Searches by an index that is written first: any, all, and a phrase of words."""
+    path = X.scratch(t.spark, "index")
+    textindex.build(t.books, path)
+    any_ = textindex.search(t.spark, path, "The que AND")
+    told = any_.join(textindex.search(t.spark, path, "the que and", "all").select("novel_id", F.lit(True).alias("in_all")).hint("merge"), "novel_id", "left")
+    told = told.join(textindex.search(t.spark, path, "and the", "phrase").select("novel_id", F.lit(True).alias("in_phrase")).hint("merge"), "novel_id", "left")
+    return told.select("novel_id", "matched", F.round("score", 6).alias("score"), F.coalesce("in_all", F.lit(False)).alias("in_all"), F.coalesce("in_phrase", F.lit(False)).alias("in_phrase"))
+
+
 @query(with_(_FEAT) + "select novel_id, cast(place as int) as place, other_id from (select a.novel_id, b.novel_id as other_id, row_number() over (partition by a.novel_id order by b.confidence_score desc, b.novel_id) as place from feat a join feat b on (a.world_type is null or a.world_type = b.world_type) and (a.version is null or a.version = b.version) and a.novel_id <> b.novel_id and b.confidence_score >= 0.6e0) where place <= 5")
 def q3_similar_by_features(t: Tables) -> DataFrame:
     return Q.similar_by_features(_feat(t), ["world_type", "version"], limit=5)  # a missing field is no filter
