@@ -12,6 +12,8 @@ BETWEEN = r"[^\p{L}\p{N}]+"
 #: Constants of the rank: how soon further occurrences stop to count, and how much long texts are held back.
 SATURATION, LENGTH = 1.2, 0.75
 
+_POSTINGS = "term string, key {}, tf long, size int, positions array<int>, bucket int"
+
 
 def words_of(text: str | Column) -> Column:
     """The words of a text in order, in lower case; a null text has none."""
@@ -39,10 +41,11 @@ def build(rows: DataFrame, path: str, key: str = "novel_id", text: str = "text",
     by = by.withColumn("bucket", _bucket(F.col("term"), buckets))
     dealt = by.repartition(F.col("bucket"), F.pmod(F.xxhash64("key"), F.lit(spread))).sortWithinPartitions("bucket", "term", "key")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    kind = by.schema["key"].dataType.simpleString()
+    terms = spark.read.schema(_POSTINGS.format(kind)).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     size = rows.select(F.size(words_of(F.col(text))).alias("n"))
-    size.agg(F.count("*").alias("texts"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/totals")
+    size.agg(F.count("*").alias("texts"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(kind).alias("kind")).coalesce(1).write.parquet(f"{path}/totals")
 
 
 def search(spark: SparkSession, path: str, query: str, mode: str = "any", key: str = "novel_id") -> DataFrame:
@@ -58,8 +61,8 @@ def search(spark: SparkSession, path: str, query: str, mode: str = "any", key: s
     terms = list(dict.fromkeys(wanted))
     buckets = sorted({zlib.crc32(t.encode()) % total.buckets for t in terms})
     of_terms = F.col("bucket").isin(buckets) & F.col("term").isin(terms)
-    known = spark.read.parquet(f"{path}/terms").where(of_terms).select("term", F.log(1 + (total.texts - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
-    held = spark.read.parquet(f"{path}/postings").where(of_terms).join(F.broadcast(known), "term")  # as many rows as the query has words
+    known = spark.read.schema("term string, df long, bucket int").parquet(f"{path}/terms").where(of_terms).select("term", F.log(1 + (total.texts - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))
+    held = spark.read.schema(_POSTINGS.format(total.kind)).parquet(f"{path}/postings").where(of_terms).join(F.broadcast(known), "term")  # as many rows as the query has words
     weight = F.col("weight") * F.col("tf") * (SATURATION + 1) / (F.col("tf") + SATURATION * (1 - LENGTH + LENGTH * F.col("size") / max(total.mean, 1e-9)))
     where = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{k}") for k, t in enumerate(terms)] if mode == "phrase" else []
     found = held.groupBy(F.col("key").alias(key)).agg(F.count("*").alias("matched"), F.sum(weight).alias("score"), *where)
