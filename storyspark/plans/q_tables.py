@@ -13,11 +13,14 @@ from ..operators import search as Q
 from ..operators import telemetry as W
 from ..operators import textindex
 from ..operators import vectors as K
+from ..operators import text as T
 from ..operators.text import line_chapters
 from ..sources import files as S
 from ..sources import tables as X
 from ..streaming import streams
+from ..sources.buckets import BucketTable
 from . import q_fusion  # noqa: F401  its reports are read here
+from .q_text import PARSE, PARSED, titled
 from .bindings import _FOUND, BOOKS, CHAPTERS, LATIN, Tables, cols, query, s, scored, strip, with_
 from .bindings import top as sql_top
 
@@ -517,6 +520,50 @@ def w11_stream_ingest(t: Tables) -> DataFrame:
     return streams.drained(line_chapters(_live_chapters(t))).groupBy("novel_id").agg(F.count("*").alias("chapters"))
 
 
+@query(with_(PARSED) + "select novel_id, chapter_number, md5(content) as chapter_hash from split")
+def w11_stream_books(t: Tables) -> DataFrame:
+    """The books as a stream, parsed as they come; their chapters are kept in a table in buckets, each micro-batch once."""
+    live = Tables(t.spark, t.folder)
+    live.books = _live_chapters(t)
+    schema = T.parse_book(titled(t), **PARSE).schema
+    chapters = BucketTable(t.spark, X.scratch(t.spark, "chapters"), schema, ["novel_id"])
+    streams.parsed_books(titled(live), chapters, X.scratch(t.spark, "state"), **PARSE).awaitTermination()
+    return chapters.read().select("novel_id", "chapter_number", "chapter_hash")
+
+
+@query(
+    "with a as (select event_id, user_id, ts from events where event_type = 'view'), b as (select user_id, ts from events where event_type = 'purchase'), w as (select least((select max(ts) from a), (select max(ts) from b)) - interval 3600 second as mark), "
+    "j as (select a.user_id, a.event_id, a.ts as started, b.ts as ended from a left join b on a.user_id = b.user_id and b.ts between a.ts and a.ts + interval 86400 second) select j.* from j, w where ended is not null or started + interval 86400 second < mark"
+)
+def w4_stream_durations(t: Tables) -> DataFrame:
+    """Views and the purchases that follow them within a day, as two streams; views without one once no purchase can come."""
+    live = _live(t)
+    keys = live.where("event_type = 'view'"), live.where("event_type = 'purchase'")
+    out = streams.drained(streams.durations(*keys, ["user_id"], "86400 seconds", "3600 seconds", also=["event_id"]))
+    return out.select("user_id", "event_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")])
+
+
+@query(_FOUND["w6_alert_cooldown"][1])
+def w6_stream_cooldown(t: Tables) -> DataFrame:
+    out = streams.drained(streams.alert_cooldown(_live(t), "user_id", 21_600, late="400 days"))
+    return out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(with_(_LOG) + ", r as (select *, row_number() over (partition by task_id order by ts desc, seq desc) as p, count(*) over (partition by task_id) as n_updates, (select max(ts) from log) as latest from log) select task_id, status, progress, n_updates, ts + interval 86400 second < latest - interval 3600 second as ended from r where p = 1")
+def q11_stream_task_states(t: Tables) -> DataFrame:
+    """The latest state of each task from its log as a stream; one of which nothing was heard for a day has ended."""
+    key, conf = "spark.sql.streaming.stateStore.providerClass", t.spark.conf
+    was = conf.get(key, None)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live = _live(t).select(F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("value").alias("progress"))
+        out = streams.drained(streams.task_states(live, silence=86_400))
+    finally:
+        conf.set(key, was) if was else conf.unset(key)
+    by = out.groupBy("task_id").agg(F.max("status").alias("status"), F.max("progress").alias("progress"), F.max("n_updates").alias("n_updates"), F.bool_or("ended").alias("ended"))
+    return by.select("task_id", "status", "progress", "n_updates", "ended")
+
+
 @query("select md5(text) as chapter_hash from documents group by 1")
 def w12_stream_new_chapters(t: Tables) -> DataFrame:
     rows = _live_chapters(t).select(F.md5("text").alias("chapter_hash"), F.lit("2024-01-01").cast("timestamp").alias("ts"))

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the telemetry and ingest operators."""
+"""Structured Streaming twins of the telemetry and ingest operators."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.tables import scratch
+from ..operators import text
+from ..sources.buckets import BucketTable, sink
+from ..sources.scratch import scratch
+from ..sources.tables import one_each
 
 
 def counter_totals(events: DataFrame, labels: list[str], width: str = "1 day", late: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -66,6 +70,76 @@ def ingest(books: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return books.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def parsed_books(books: DataFrame, chapters: BucketTable, checkpoint: str, version: str | None = None, **parse):
+    """Parse the books of a stream as they come, and keep each book's chapters in a table: exactly once.
+
+    ``chapters`` has the key ``novel_id`` and the columns of ``text.parse_book``. A book that comes again replaces its
+    chapters, of several in one micro-batch one stands (see ``tables.one_each``). A micro-batch that runs again after a failure
+    changes nothing. Returns the started query.
+    """
+    made = lambda batch: text.parse_book(one_each(batch, ["novel_id"], version).select("novel_id", "text"), **parse)
+    return ingest(books, sink(chapters, made, whole=True), checkpoint)
+
+
+def durations(starts: DataFrame, ends: DataFrame, keys: list[str], longest: str = "1 hour", late: str = "1 hour", ts: str = "ts", also: list[str] | None = None) -> DataFrame:
+    """``(keys, also, started, ended)``: each start with the ends that follow within ``longest``; null where none comes.
+    ``also`` names further columns of the starts.
+
+    Two streams are joined; both have watermarks, so that a start is held only until no end can come any more.
+    """
+    a = starts.withWatermark(ts, late).select(*keys, *(also or []), F.col(ts).alias("started"))
+    b = ends.withWatermark(ts, late).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(ts).alias("ended"))
+    match = F.expr(f"ended >= started and ended <= started + interval {longest}")
+    for k in keys:
+        match = match & (F.col(k) == F.col(f"__{k}"))
+    return a.join(b, match, "leftOuter").select(*keys, *(also or []), "started", "ended")
+
+
+class _Latest(StatefulProcessor):
+    """The latest state of each task, and how often it changed; a silent task's state ends with a timer."""
+
+    def __init__(self, silence: int) -> None:
+        self.silence = silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long, seq long, status string, progress double, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ts, seq, status, progress, n = self.last.get() if self.last.exists() else (-(1 << 62), -(1 << 62), None, None, 0)
+        for part in rows:
+            n += len(part)
+            at = (part["ts"].astype("int64") // (1000 if str(part["ts"].dtype).startswith("datetime64[ns") else 1)).tolist()
+            for t, s, a, p in zip(at, part["seq"].tolist(), part["status"].tolist(), part["progress"].tolist(), strict=True):
+                if (t, s) > (ts, seq):
+                    ts, seq, status, progress = t, s, a, p
+        self.last.update((ts, seq, status, progress, n))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ts // 1000 + self.silence * 1000)
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "progress": [progress], "n_updates": [n], "ended": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, _, status, progress, n = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "progress": [progress], "n_updates": [n], "ended": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def task_states(log: DataFrame, silence: int = 3600, late: str = "1 hour") -> DataFrame:
+    """``(task_id, status, progress, n_updates, ended)``: a row for each task that a micro-batch changes, by the latest of its updates.
+
+    ``log`` has ``(task_id, ts, seq, status, progress)``. Updates that come late or twice leave a later status alone. A task of which
+    nothing was heard for ``silence`` seconds of event time ends: it gets a last row, and its state goes. The session must use the
+    RocksDB state store.
+    """
+    kind = dict(log.dtypes)["task_id"]
+    rows = log.select("task_id", "ts", "seq", "status", F.col("progress").cast("double").alias("progress")).withWatermark("ts", late)
+    return rows.groupBy("task_id").transformWithStateInPandas(_Latest(silence), f"task_id {kind}, status string, progress double, n_updates long, ended boolean", "append", "eventTime")
+
+
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read its result.
 
