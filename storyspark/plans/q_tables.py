@@ -15,6 +15,7 @@ from ..operators import textindex
 from ..operators import vectors as K
 from ..operators import text as T
 from ..operators.text import line_chapters
+from ..sources import corpus
 from ..sources import files as S
 from ..sources import tables as X
 from ..streaming import streams
@@ -89,6 +90,18 @@ def _ups(t: Tables) -> DataFrame:
     return _feat(t).where("n_chars % 3 = 0").withColumn("novel_id", (F.floor(F.col("novel_id") / 2) * 2).cast("long")).withColumn("world_type", F.concat(F.lit("new"), F.col("n_chars").cast("string")))
 
 
+@query(with_(_FEAT, _UPS) + ", u as (select novel_id, max(version) as version from ups group by 1) select novel_id, version from feat where novel_id not in (select novel_id from ups) and novel_id % 7 > 0 union all select novel_id, version from u where novel_id % 7 > 0")
+def s6_bucket_upsert(t: Tables) -> DataFrame:
+    """The upsert and a delete on a table in buckets; the updates come as a numbered batch that runs twice."""
+    rows = _feat(t)
+    table = BucketTable(t.spark, X.scratch(t.spark, "features"), rows.schema, ["novel_id"])
+    table.upsert(rows, batch=0)
+    for _ in range(2):
+        table.upsert(_ups(t), "version", batch=1)
+    table.delete(rows.select("novel_id").union(_ups(t).select("novel_id")).where("novel_id % 7 = 0"), batch=2)
+    return table.read().select("novel_id", "version")
+
+
 @query(with_(_FEAT, _UPS) + ", u as (select novel_id, max(version) as version from ups group by 1) select novel_id, version from feat where novel_id not in (select novel_id from ups) union all select novel_id, version from u")
 def s6_upsert_features(t: Tables) -> DataFrame:
     return X.upsert(_feat(t), _ups(t), ["novel_id"], "version").select("novel_id", "version")
@@ -174,6 +187,15 @@ def s2_read_directory(t: Tables) -> DataFrame:
     return files.groupBy("extension").agg(F.sum("size").alias("size"), F.bool_and(F.startswith("title", F.lit("part-"))).alias("titled"))
 
 
+@query("select source, cast(count(*) > 0 as int) as titled, cast(sum(length(coalesce(text, '')) + 1) as bigint) as n_chars from documents group by 1")
+def u4_data_source(t: Tables) -> DataFrame:
+    """The documents as text files, read through the ``corpus`` data source."""
+    corpus.register(t.spark)
+    files = t.spark.read.format("corpus").option("path", _as_files(t, "source")).load()
+    by = files.groupBy(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"))
+    return by.agg(F.bool_and(F.startswith("title", F.lit("part-"))).cast("int").alias("titled"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("select doc_id as novel_id, coalesce(text, '') as content from documents")
 def u4_user_source(t: Tables) -> DataFrame:
     S.register_source("table", lambda spark, path: spark.read.parquet(path).select(F.col("doc_id").alias("novel_id"), F.coalesce("text", F.lit("")).alias("content")))
