@@ -246,12 +246,12 @@ def incremental_features(chapters: DataFrame, features: DataFrame, incoming: Dat
     return fusion.merge_by_confidence(features, text_features(new, rule_table, model).select(*features.columns))
 
 
-def parse_batch(books: DataFrame, wanted: DataFrame, rule_table: DataFrame, kind: str = "basic", **parse) -> DataFrame:
-    """Basic or deep features of the wanted books in one job."""
+def parse_batch(books: DataFrame, wanted: DataFrame, rule_table: DataFrame, kind: str = "basic", options: dict[str, dict] | None = None, **parse) -> DataFrame:
+    """Basic or deep features of the wanted books in one job; ``options`` are those of ``deep_features``."""
     own = books.join(wanted.select("novel_id").distinct().hint("merge"), "novel_id", "left_semi")
     if kind == "basic":
         return basic_features(own, rule_table, **parse).features
     if kind == "deep":
         chapters = text.parse_book(own, **parse).select("novel_id", "chapter_number", "content")
-        return deep_features(text.full_text(chapters), chapters)
+        return deep_features(text.full_text(chapters), chapters, options)
     raise ValueError(f"unknown kind: {kind}")

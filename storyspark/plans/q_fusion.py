@@ -208,8 +208,8 @@ DEEP = {
     "commercial": dict(audiences=B.SEGMENTS, triggers=LATIN, kinds=B.KINDS, ages=B.AGES, base=B.ARPU, motives=B.MOTIVES, costs=B.COSTS, scene=SCENE, **DERIVED),
 }
 #: The chain of all dimensions, from the SQL of their parts; books stand for the quoted ones.
-_DEEP = with_(
-    BOOKS, CHAPTERS, "quoted as (select novel_id, text from books)", HC, D1, D5, D6, HT, G1, G2, G3, G9, C1, C2, C3, C5, C6, C7, N1, N2, N3, N4, M1, M3, M4, M5, M8,
+_DEEP_PARTS = (
+    "quoted as (select novel_id, text from books)", HC, D1, D5, D6, HT, G1, G2, G3, G9, C1, C2, C3, C5, C6, C7, N1, N2, N3, N4, M1, M3, M4, M5, M8,
     f"h as (select novel_id, bool_or(constraint_type = 'price') as priced, max(severity) >= 4 as grave, count(*) as n_constraints from g3 group by 1), inn as (select novel_id, {INNOVATIONS} as innovations from books left join h using (novel_id))",
     "k9 as (select novel_id, count(*) as n_rules from g9 group by 1), k5 as (select novel_id, count(*) as n_tags from c5 group by 1), k7 as (select novel_id, count(*) as n_roles from c7 group by 1), k2 as (select novel_id, count(*) as n_releases, avg(mystery_ratio) as mystery from n2 group by 1), roi as (select novel_id, max(roi) as max_roi from m5 group by 1)",
     f"""deep as (select b.novel_id, d1.conflict_type, d1.formula_name, desire, obstacle, path, d1.reusability, coalesce(rhythm_pattern, '无明显节奏') as rhythm_pattern, coalesce(top_hook, 'en') as top_hook, value_type,
@@ -228,6 +228,7 @@ _DEEP = with_(
  '这是一个关于『' || desire || '』的故事，主角面临『' || obstacle || '』的阻碍，通过『' || path || '』实现目标。' || chr(10) || '主角拥有『' || gf_type || '』金手指，具有『' || growth_type || '』特性，初始能力为『' || initial_power || '』。' || chr(10) || '主角从『普通状态』成长为『成长后的状态』，完成『' || arc_type || '』的人物弧光。' || chr(10) || '故事以『' || top_hook || '』为主要情绪驱动，形成『' || rhythm_pattern || '』的阅读体验。' as reverse_summary,
  formula_name || ' | ' || gf_type || '/' || growth_type || ' | ' || arc_type || ' | ' || rhythm_pattern as formula_summary from deep)""",
 )
+_DEEP = with_(BOOKS, CHAPTERS, *_DEEP_PARTS)
 
 
 def _deep(t: Tables) -> DataFrame:
@@ -271,6 +272,41 @@ def p6_parse_novels_batch(t: Tables) -> DataFrame:
     return deep.parse_batch(titled(t), wanted, rule_table(t, FIELD_ROWS), **PARSE).select("novel_id", "world_type", "confidence_score")
 
 
+#: What a model told of most of the books, and the features that rules and model give together.
+_MODEL = "mo as (select doc_id as novel_id, source as world_type, lang as task_structure, cast(n_chars % 8 as double) / 8 as confidence_score from documents where n_chars % 5 <> 1)"
+_WITH_MODEL = f"""{_MODEL}, fm as (select coalesce(r.novel_id, m.novel_id) as novel_id, coalesce(r.world_type, m.world_type) as world_type, coalesce(m.task_structure, r.task_structure) as task_structure,
+ case when ({{both}}) > 0 then ({{same}}) / ({{both}}) else 0.5e0 end as consistency, coalesce(r.confidence_score, 0.0e0) as rc, coalesce(m.confidence_score, 0.0e0) as mc from found r full join mo m using (novel_id)),
+fused as (select novel_id, world_type, task_structure, consistency, least((rc * 0.4e0 + mc * 0.6e0) * 0.6e0 + consistency * 0.2e0 + (cast(world_type is not null as int) + cast(task_structure is not null as int)) / 10 * 0.2e0, 1.0e0) as confidence_score from fm)""".format(
+    both=" + ".join(f"coalesce(case when r.{c} <> '' and m.{c} <> '' then 1 end, 0)" for c in ("world_type", "task_structure")),
+    same=" + ".join(f"coalesce(case when r.{c} <> '' and m.{c} <> '' and r.{c} = m.{c} then 1 end, 0)" for c in ("world_type", "task_structure")),
+)
+
+
+def _said(t: Tables) -> DataFrame:
+    n = F.col("n_chars")
+    return t.books.where("n_chars % 5 != 1").select("novel_id", F.col("source").alias("world_type"), F.col("genre").alias("task_structure"), ((n % 8).cast("double") / 8).alias("confidence_score"))
+
+
+@query(with_(PARSED, CORE_TEXTS, FOUND, _WITH_MODEL) + f"select novel_id, world_type, task_structure, consistency, confidence_score, {_ISSUES} as issues from (select * from fused union all select -1 - novel_id, world_type, task_structure, consistency, confidence_score from fused where novel_id % 2 = 0)")
+def v4_model_features(t: Tables) -> DataFrame:
+    """Basic parsing with a model's answers and a table of known features, of which some belong to other books."""
+    first = deep.basic_features(titled(t), rule_table(t, FIELD_ROWS), _said(t), **PARSE).features
+    old = first.where("novel_id % 2 = 0")
+    known = old.withColumn("novel_id", -1 - F.col("novel_id")).unionByName(old.withColumn("world_type", F.lit("old")))
+    out = deep.basic_features(titled(t), rule_table(t, FIELD_ROWS), _said(t), known, **PARSE).features
+    return out.select("novel_id", "world_type", "task_structure", "consistency", "confidence_score", F.array_join("issues", "|").alias("issues"))
+
+
+_WANTED = "(select doc_id from labels)"
+
+
+@query(with_(PARSED, f"books as (select novel_id, string_agg(content, chr(10) || chr(10) order by chapter_number) as text from split where novel_id in {_WANTED} group by 1), chapters as (select novel_id, chapter_number, content from split where novel_id in {_WANTED})", *_DEEP_PARTS) + f"select novel_id, {', '.join(_V1)}, overall_quality from fused")
+def p6_deep_batch(t: Tables) -> DataFrame:
+    """Batch parsing in deep mode: the labelled books, cut into chapters by their titles."""
+    wanted = t.read("labels").select(F.col("doc_id").alias("novel_id"))
+    return deep.parse_batch(titled(t), wanted, rule_table(t, FIELD_ROWS), "deep", DEEP, **PARSE).select("novel_id", *_V1, "overall_quality")
+
+
 # --- benchmark library
 
 _LIB = f"lib as (select novel_id as benchmark_id, 'B' || novel_id as title, genre, n_chars % 4 > 0 as is_active, case when n_chars % 6 > 0 then n_chars % 97 end as read_count, {sql_top(LATIN, cols(LATIN))} as conflict_type, source as gf_type, case when n_chars % 3 = 0 then 'a' else 'b' end as arc_type, case when n_chars % 2 = 0 then '每' else '-' end as rhythm_pattern, cast(n_chars % 10 as double) / 10 as short_ratio, case when n_chars % 5 > 1 then 'h1' else 'h2' end as top_hook, n_chars from (select *, {scored(LATIN)} from books))"
