@@ -94,7 +94,7 @@ def merge_by_confidence(old: DataFrame, new: DataFrame, key: str = "novel_id", b
     a = old.select(F.col(key), F.struct(*old.columns).alias("__old"))
     b = new.select(F.col(key), F.struct(*old.columns).alias("__new"))
     take = F.col("__old").isNull() | (F.col(f"__new.{by}") > F.col(f"__old.{by}"))
-    return a.join(b, key, "full_outer").select(F.when(F.col("__new").isNotNull() & take, F.col("__new")).otherwise(F.col("__old")).alias("row")).select("row.*")
+    return a.join(b.hint("merge"), key, "full_outer").select(F.when(F.col("__new").isNotNull() & take, F.col("__new")).otherwise(F.col("__old")).alias("row")).select("row.*")
 
 
 def incremental_chapters(known: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def list_all(rows: DataFrame, key: str, skip: int = 0, limit: int = 100, **equal
 
 def get_by_key(rows: DataFrame, key: str, keys: DataFrame | list) -> DataFrame:
     """The rows with a key: a short list becomes a filter, a table a semi join."""
-    return rows.where(F.col(key).isin(keys)) if isinstance(keys, list) else rows.join(keys.select(key).distinct(), key, "left_semi")
+    return rows.where(F.col(key).isin(keys)) if isinstance(keys, list) else rows.join(keys.select(key).distinct().hint("merge"), key, "left_semi")
 
 
 def with_features(catalog: DataFrame, features: DataFrame, key: str = "novel_id") -> DataFrame:

@@ -142,4 +142,4 @@ def similar_novels(rows: DataFrame, queries: DataFrame, k: int = 5, novel: str =
 
 
 def delete_vectors(rows: DataFrame, gone: DataFrame, key: str = "vec_id") -> DataFrame:
-    return rows.join(gone.select(key).distinct(), key, "left_anti")
+    return rows.join(gone.select(key).distinct().hint("merge"), key, "left_anti")

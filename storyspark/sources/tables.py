@@ -22,7 +22,7 @@ def one_each(rows: DataFrame, keys: list[str], version: str | None = None) -> Da
 def upsert(table: DataFrame, updates: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Replace or insert by key. Of several updates of a key one stands, see ``one_each``."""
     updates = one_each(updates, keys, version)
-    return table.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)
+    return table.join(updates.select(*keys).distinct().hint("merge"), keys, "left_anti").unionByName(updates)
 
 
 def append_chapters(chapters: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def update_columns(table: DataFrame, updates: DataFrame, key: str, columns: list
     Of several updates of a key one stands, see ``one_each``.
     """
     own = one_each(updates, [key], version).select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    rows = table.join(own, key, "left")
+    rows = table.join(own.hint("merge"), key, "left")
     changed = F.lit(False)
     for c in columns:
         changed = changed | (F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c)))
@@ -47,7 +47,7 @@ def update_columns(table: DataFrame, updates: DataFrame, key: str, columns: list
 def delete_by_key(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Each table without the rows of the deleted keys."""
     keys = gone.select(key).distinct()
-    return {name: t.join(keys, key, "left_anti") for name, t in tables.items()}
+    return {name: t.join(keys.hint("merge"), key, "left_anti") for name, t in tables.items()}
 
 
 def add_benchmark(table: DataFrame, rows: DataFrame) -> DataFrame:
