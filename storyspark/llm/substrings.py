@@ -246,6 +246,11 @@ def _removed(with_text: bool):
     return told
 
 
+def _plain(path: Column) -> Column:
+    """A local file's path as it is named: Spark tells it with signs escaped. Other stores take escaped URIs."""
+    return F.when(F.startswith(path, F.lit("file:")), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """Remove each word that lies in a window of ``length`` words which also starts elsewhere.
 
@@ -262,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.col(id_col)
     rows = docs.select(own.cast("long").alias("id"), own.isNull().alias("none"), F.col(text_col).alias("text"))
     texts = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-    files = written(texts.select(_part("row"), F.col("_metadata.file_path").alias("path")).distinct(), "files")
+    files = written(texts.select(_part("row"), _plain(F.col("_metadata.file_path")).alias("path")).distinct(), "files")
     near = _found(texts.select("row", "text").mapInArrow(_anchors(length), _ROWS), PERIOD - 1, 1, "anchors")
     runs = _found(_beside(files, near, "inner").mapInArrow(_windows(length), _ROWS), 0, length, "windows")
     text = ", kept string" if with_text else ""
