@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,23 +36,27 @@ def text_search(rows: DataFrame, query: str, text: str = "text") -> DataFrame:
 def similar_by_features(rows: DataFrame, same: list[str], key: str = "novel_id", score: str = "confidence_score", least: float = 0.6, limit: int = 10) -> DataFrame:
     """``(novel_id, place, other_id)``: others with the same fields, the most confident first.
 
-    A row is searched by the fields it has; one that lacks all of them may be like any other. Only the ``limit``
-    + 1 best rows of each combination can be among the answers, so only those are joined; no group meets
-    itself whole.
+    A row is searched by the fields it has; one that lacks all of them may be like any other. A row that may be found stands
+    under each choice of its fields, and only the ``limit`` + 1 best of each combination of values can be among the answers, so
+    one window and one join do; no group meets itself whole. Meant for a few fields.
     """
-    parts = []
-    for have in product((True, False), repeat=len(same)):
-        own = [c for c, h in zip(same, have, strict=True) if h]
-        asked = rows.where(" and ".join(f"{c} is {'not ' if h else ''}null" for c, h in zip(same, have, strict=True))).select(key, *own)
-        good = rows.where(F.col(score) >= least).select(*own, F.col(key).alias("other_id"), F.col(score).alias("__s"))
-        if own:
-            place = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("__s"), "other_id"))
-            good = good.where(" and ".join(f"{c} is not null" for c in own)).withColumn("__p", place).where(F.col("__p") <= limit + 1).drop("__p")
-            pairs = asked.join(good, own)
-        else:
-            pairs = asked.crossJoin(F.broadcast(good.orderBy(F.desc("__s"), "other_id").limit(limit + 1)))
-        parts.append(pairs.where(F.col(key) != F.col("other_id")).select(key, "other_id", "__s"))
-    pairs = reduce(DataFrame.unionByName, parts)
+    at = [f"__k{i}" for i in range(len(same))]
+    mask = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(same)), F.lit(0))
+    asked = rows.select(key, mask.alias("__m"), *[F.col(c).alias(a) for a, c in zip(at, same, strict=True)])
+    kinds = dict(rows.dtypes)
+
+    def under(m: int) -> Column:
+        own = [F.col(c) if m >> i & 1 else F.lit(None).cast(kinds[c]) for i, c in enumerate(same)]
+        held = [F.col(c).isNotNull() for i, c in enumerate(same) if m >> i & 1]
+        return F.when(reduce(lambda a, b: a & b, held, F.lit(True)), F.struct(F.lit(m).alias("m"), *[x.alias(a) for a, x in zip(at, own, strict=True)]))
+
+    choices = F.array_compact(F.array(*[under(m) for m in range(1 << len(same))]))
+    good = rows.where(F.col(score) >= least).select(F.col(key).alias("other_id"), F.col(score).alias("__s"), F.explode(choices).alias("c"))
+    good = good.select("other_id", "__s", F.col("c.m").alias("__of_m"), *[F.col(f"c.{a}").alias(f"__of{a}") for a in at])
+    place = F.row_number().over(Window.partitionBy("__of_m", *[f"__of{a}" for a in at]).orderBy(F.desc("__s"), "other_id"))
+    good = good.withColumn("__p", place).where(F.col("__p") <= limit + 1).drop("__p")
+    same_key = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"__of{a}")) for a in at], F.col("__m") == F.col("__of_m"))
+    pairs = asked.join(good.hint("merge"), same_key).where(F.col(key) != F.col("other_id")).select(key, "other_id", "__s")
     mine = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__s"), "other_id"))
     return pairs.withColumn("place", mine).where(F.col("place") <= limit).select(key, "place", "other_id")
 
