@@ -469,3 +469,28 @@ def p5_batch_run_summary(t: Tables) -> DataFrame:
     return P.batch_run_summary(_run(t))
 
 
+#: The chain's rows as novels of a library whose benchmarks all have one genre.
+_COMPARED = (
+    _LIB.replace("lib as (", "lib0 as (", 1), "lib as (select * replace ('city' as genre) from lib0)",
+    "nov as (select f.novel_id, f.conflict_type, f.gf_type, f.arc_type, f.rhythm_pattern, f.top_hook, n3.short_ratio, string_split(d1.genres, ',')[1] as genre from fused f join n3 using (novel_id) join d1 using (novel_id))", _SIMS,
+    "rl as (select novel_id, list('『' || role_name || '』类型的' || function_type || '配角可复用' order by place) filter (place <= 2 and reusability > 0.8e0) as said from c7 group by 1)",
+    """lists as (select c.novel_id, string_agg(title, ',' order by place) as similar,
+ string_agg(array_to_string(list_filter([case when innovations[1] is not null then '相比《' || title || '》，本作金手指具有创新性：' || innovations[1] end, case when nh <> bh then '《' || title || '》以' || bh || '为主，本作以' || nh || '为主' end, case when na <> ba then '人物弧光类型不同：' || na || ' vs ' || ba end], lambda x: x is not null), '|'), '|') filter (place = 1) as points,
+ array_to_string(flatten(list(list_filter(list_concat([case when nc = bc then '可复用《' || title || '》的冲突公式结构' end], coalesce(rl.said, []), [case when contains(nr, '每') then '可复用节奏模式：' || nr end]), lambda x: x is not null) order by place) filter (place <= 2)), '|') as again
+ from cmp c join fused f using (novel_id) left join rl using (novel_id) where place <= 3 group by 1)""",
+)
+
+
+@query(
+    with_(BOOKS, CHAPTERS, *_DEEP_PARTS, *_COMPARED)
+    + f"""select f.novel_id, coalesce(l.similar, '') as similar, coalesce(points, '') as differentiation, coalesce(again, '') as reusable, case when l.novel_id is null then {s(BM.NO_LIBRARY)} else array_to_string(list_filter([
+ case when coalesce(th.total_hooks, 0) < 20 then '情绪节奏' end, case when f.n_constraints < 2 then '设定设计' end, case when coalesce(c3.completion, 0.5e0) < 0.6e0 then '人物塑造' end, case when f.commercial_score < 0.6e0 then '商业潜力' end], lambda x: x is not null), '|') end as suggestions
+ from fused f left join lists l using (novel_id) left join th using (novel_id) left join c3 using (novel_id)"""
+)
+def v1_benchmark_comparisons(t: Tables) -> DataFrame:
+    """Deep features with a benchmark library: what each book has in common with the best of its genre, and what not."""
+    library = _library(t).withColumn("genre", F.lit("city"))
+    rows = deep.deep_features(t.books.select("novel_id", "text"), t.chapters, DEEP, library).select("novel_id", "benchmark_comparisons.*")
+    joined = lambda c: F.array_join(F.col(c), "|")
+    tips = F.array_join(F.transform("suggestions", lambda x: F.when(x["category"] == "", x["suggestion"]).otherwise(x["category"])), "|")
+    return rows.select("novel_id", F.array_join(F.col("similar.title"), ",").alias("similar"), joined("differentiation.point").alias("differentiation"), joined("reusable.description").alias("reusable"), tips.alias("suggestions"))
