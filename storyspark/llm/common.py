@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -67,6 +68,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed from the executors' disks.
+
+    Spark's cleaner removes them once the driver has collected the plans that named them, which a driver with free memory may put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays small in memory.
 
