@@ -18,6 +18,8 @@ import numpy as np
 CHARSETS = ("gb18030", "big5", "shift_jis", "euc_jp", "euc_kr", "latin-1", "utf-16-le", "utf-16-be", "utf-8")
 #: Lead of the best reading over the next, in natural logarithms, from which on it counts as sure.
 SURE = 7.0
+#: Likelihood of a byte among random ones, and how much less likely a reading may be: below that it is no text.
+RANDOM, SLACK = -math.log(256), 8.0
 
 # Kinds of characters.
 CONTROL, BLANK, ASCII, ACCENTED, ALPHABET, KANA, TOP, COMMON, RARE, HANGUL, MARK, SYMBOL, HALF, NONE = range(14)
@@ -101,7 +103,7 @@ def likelihood(text: str, name: str) -> float:
 
 
 def detect(data: bytes) -> tuple[str, str, bool] | None:
-    """``(text, character set, sure)`` of bytes; null if no character set reads them.
+    """``(text, character set, sure)`` of bytes; null if no character set reads them as anything likelier than random bytes.
 
     A byte order mark decides. Whole texts are read, not their beginnings.
     """
@@ -124,5 +126,7 @@ def detect(data: bytes) -> tuple[str, str, bool] | None:
         return None
     found.sort(reverse=True)
     best = found[0]
+    if best[0] < len(data) * RANDOM - SLACK:
+        return None
     others = [f[0] for f in found[1:] if f[3] != best[3]]
     return best[3], best[2], not others or best[0] - others[0] >= SURE
