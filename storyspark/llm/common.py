@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -68,13 +68,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs removed from the executors' disks.
-
-    Spark's cleaner removes them once the driver has collected the plans that named them, which a driver with free memory may put off for long.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def passing_shuffles(spark: SparkSession):
+    """For what is run inside, a job's shuffle files go as soon as it ends, not when the driver collects its plan."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:

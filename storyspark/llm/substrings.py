@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, release, written
+from .common import arrow_rows, passing_shuffles, written
 from .files import seekable
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of these.
@@ -268,10 +268,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(own.cast("long").alias("id"), own.isNull().alias("none"), F.col(text_col).alias("text"))
     texts = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
     files = written(texts.select(_part("row"), _plain(F.col("_metadata.file_path")).alias("path")).distinct(), "files")
-    near = _found(texts.select("row", "text").mapInArrow(_anchors(length), _ROWS), PERIOD - 1, 1, "anchors")
-    release(docs.sparkSession)
-    runs = _found(_beside(files, near, "inner").mapInArrow(_windows(length), _ROWS), 0, length, "windows")
-    release(docs.sparkSession)
+    with passing_shuffles(docs.sparkSession):
+        near = _found(texts.select("row", "text").mapInArrow(_anchors(length), _ROWS), PERIOD - 1, 1, "anchors")
+        runs = _found(_beside(files, near, "inner").mapInArrow(_windows(length), _ROWS), 0, length, "windows")
     text = ", kept string" if with_text else ""
     out = _beside(files, runs, "left").mapInArrow(_removed(with_text), f"id long, n_words long, n_removed long, kept_sha256 string{text}")
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
