@@ -12,6 +12,7 @@ from storyspark.operators import benchmark as BM
 from storyspark.operators import character as C
 from storyspark.operators import deep
 from storyspark.operators import model as P
+from storyspark.operators import narrative as N
 from storyspark.operators import rules as R
 from storyspark.operators import search as Q
 from storyspark.operators import text as T
@@ -137,3 +138,14 @@ def test_incremental_parsing_without_new_chapters_changes_nothing(spark):
     assert [tuple(r) for r in deep.incremental_features(chapters, was, chapters, rules).collect()] == [(1, "old", None, 0.1)]
     out = deep.incremental_features(chapters, was, chapters.withColumn("chapter_hash", F.lit("h2")), rules).first()
     assert out.world_type == "english" and out.confidence_score > 0.1
+
+
+def test_a_mean_mystery_at_the_bound_counts_no_more(spark):
+    kinds = {k: [k] for k in ("aa", "bb", "cc")}
+    for held in ((1, 2, 3), (3, 2, 1), (1, 1, 4), (2, 2, 2)):  # six of fifteen: the mean is 0.6, which floating sums may miss
+        rows = [(1, i + 1, " ".join(k for k, h in zip(kinds, held, strict=True) if i < h)) for i in range(5)]
+        chapters = spark.createDataFrame(rows, "novel_id long, chapter_number int, content string")
+        cast = spark.createDataFrame([(1, [])], "novel_id long, cast array<struct<person: string, mentions: long>>")
+        assert deep.chapter_features(chapters, cast, {"narrative": {"kinds": kinds}}).first().mean_mystery == 0.6
+    found = N.mean_mystery(F.lit(3), F.lit(6), F.lit(5))
+    assert spark.range(1).select(N.difficulty(F.lit(0.1), F.lit(3), found).alias("d")).first().d == 4
