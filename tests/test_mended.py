@@ -149,3 +149,11 @@ def test_a_mean_mystery_at_the_bound_counts_no_more(spark):
         assert deep.chapter_features(chapters, cast, {"narrative": {"kinds": kinds}}).first().mean_mystery == 0.6
     found = N.mean_mystery(F.lit(3), F.lit(6), F.lit(5))
     assert spark.range(1).select(N.difficulty(F.lit(0.1), F.lit(3), found).alias("d")).first().d == 4
+
+
+def test_equal_scores_go_by_the_order_of_rules(spark):
+    text, words = " ".join("abcdefghij"), list("abcdefghij")
+    rows = [("one", 0, ["a", "0"], "first", 0.6)] + [(f"r{i}", i, [w], "second", 0.1) for i, w in enumerate(words[:3], 1)]  # 0.1 + 0.1 + 0.1 > 0.3
+    table = [(rule, k, rule, "f", "keyword", keys, None, value, weight, True, None) for rule, k, keys, value, weight in rows]
+    found = R.apply_rules(spark.createDataFrame([(1, text)], "novel_id long, text string"), spark.createDataFrame(table, schemas.RULES))
+    assert found.first().value == "first"
