@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 MOST_BYTES, MOST_QUERIES, BLOCK = 64 << 20, 200_000, 1024
 #: How far a matrix product's rounding may lie off: such scores are computed again pair by pair.
 SLACK = 1e-9
+#: Pairs that are found before they are put among a query's best.
+PENDING = 1_000_000
 
 Queries = list[tuple[np.ndarray, np.ndarray]]
+#: From unit rows and unit queries to groups ``(rows, queries)`` by place, in ascending order: which rows are compared with which queries.
+Groups = Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
 def unit_matrix(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +43,18 @@ class Best:
         self.k, self.distinct = k, distinct
         self.floor = np.full(queries, -np.inf)
         self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def hold(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Keep pairs until there are many, as adding sorts all."""
+        self.pending.append((q, ids, score))
+        if sum(len(p[0]) for p in self.pending) >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.pending:
+            pending, self.pending = self.pending, []
+            self.add(*(np.concatenate(p) for p in zip(*pending, strict=True)))
 
     def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
@@ -58,8 +74,8 @@ class Best:
         self.floor[q[full]] = score[full]
 
 
-def _scan(best: Best, first: int, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
-    """Put the rows' best into ``best``, for the queries of one block; ``ids`` are in ascending order."""
+def _scan(best: Best, asked: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, unit: np.ndarray) -> None:
+    """Put the rows' best into ``best``, for the queries of one block, which stand at ``asked``; ``ids`` are in ascending order."""
     got = unit @ block.T
     begin, end = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
     for j in np.flatnonzero(end > begin).tolist():
@@ -67,19 +83,20 @@ def _scan(best: Best, first: int, query_ids: np.ndarray, block: np.ndarray, ids:
     starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if best.distinct else np.arange(len(ids))
     top = np.maximum.reduceat(got, starts, axis=0) if best.distinct else got
     k = min(best.k, len(starts))
-    least = np.maximum(np.partition(top, len(starts) - k, axis=0)[len(starts) - k], best.floor[first : first + len(query_ids)]) - SLACK
+    least = np.maximum(np.partition(top, len(starts) - k, axis=0)[len(starts) - k], best.floor[asked]) - SLACK
     row, j = np.nonzero((got >= least) & np.isfinite(got))
     if len(row):
-        best.add(first + j, ids[row], (unit[row] * block[j]).sum(axis=1))
+        best.hold(asked[j], ids[row], (unit[row] * block[j]).sum(axis=1))
 
 
-def exact(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, distinct: bool = False, max_queries: int = MOST_QUERIES) -> DataFrame:
+def exact(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, distinct: bool = False, max_queries: int = MOST_QUERIES, groups: Groups | None = None) -> DataFrame:
     """``(query_id, place, <key>, score)``: the highest inner products of unit vectors, ties by the smaller key.
 
     ``queries`` has ``(query_id, vector)``. Each Arrow batch of rows is multiplied with blocks of the queries, and a task keeps
     the best of each query. All queries are served by one scan, up to ``max_queries`` of them or ``MOST_BYTES`` of
     vectors, which is checked; more take another scan each. No row is its own neighbour. Keys are whole numbers; a vector that is
-    null, of another length than the query's, or holds a null or non-finite number takes no part.
+    null, of another length than the query's, or holds a null or non-finite number takes no part. ``groups`` says which rows are
+    compared with which queries, each pair at most once; without it all are.
     """
     found = None
     for asked in query_sets(queries, max_queries):
@@ -94,8 +111,13 @@ def exact(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, di
                         continue
                     ids = batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
                     order = np.argsort(ids, kind="stable")
-                    for b in range(0, len(query_ids), BLOCK):
-                        _scan(own, b, query_ids[b : b + BLOCK], matrix[b : b + BLOCK], ids[order], unit[order])
+                    ids, unit = ids[order], unit[order]
+                    for among, asked in groups(unit, matrix) if groups else [(np.arange(len(ids)), np.arange(len(query_ids)))]:
+                        near, near_ids = (unit[among], ids[among]) if groups else (unit, ids)
+                        for b in range(0, len(asked) if len(among) else 0, BLOCK):
+                            at = asked[b : b + BLOCK]
+                            _scan(own, at, query_ids[at], matrix[at], near_ids, near)
+                    own.settle()
             for own, (query_ids, _) in zip(best, shared.value, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[own.q]), pa.array(own.id), pa.array(own.score)], ["query_id", key, "score"])
 
@@ -105,6 +127,40 @@ def exact(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, di
     return ranked(found, k, key, distinct)
 
 
+def by_lists(centres: np.ndarray, probe: int) -> Groups:
+    """Rows in the list of their nearest centre, with the queries whose ``probe`` nearest centres are among them.
+
+    Vectors of another length than the centres' are one list.
+    """
+    half = (centres * centres).sum(axis=1) / 2
+
+    def groups(unit: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if unit.shape[1] != centres.shape[1]:
+            yield np.arange(len(unit)), np.arange(len(matrix))
+            return
+        cell = (half - unit @ centres.T).argmin(axis=1)
+        probed = np.argsort(half - matrix @ centres.T, axis=1, kind="stable")[:, :probe]
+        for c in np.unique(cell).tolist():
+            yield np.flatnonzero(cell == c), np.flatnonzero((probed == c).any(axis=1))
+
+    return groups
+
+
+def by_buckets(width: float, tables: int, seed: int) -> Groups:
+    """Rows with the queries that share a bucket with them in one of the tables: places on random directions, in steps of ``width``."""
+
+    def groups(unit: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        drawn = np.random.default_rng(seed).standard_normal((unit.shape[1], tables))
+        drawn /= np.sqrt((drawn * drawn).sum(axis=0))
+        own, asked = (np.floor(v @ drawn / width).astype(np.int64) for v in (unit, matrix))
+        kinds, kind = np.unique(own, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        for i, buckets in enumerate(kinds):
+            yield np.flatnonzero(kind == i), np.flatnonzero((asked == buckets).any(axis=1))
+
+    return groups
+
+
 def ranked(found: DataFrame, k: int, key: str, distinct: bool = False) -> DataFrame:
     """The k best of each query among what the tasks have found."""
     if distinct:

@@ -93,3 +93,34 @@ def test_graph_of_odd_rows(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     got = nearest.graph_search(nearest.graph_index(frame, shard=40), spark.createDataFrame(asked, "query_id long, vector array<float>"), k=5, width=200)
     assert [r[3] for r in told(got)] == [r[3] for r in slow(rows, asked, 5)]
+
+
+def test_lists_and_buckets_shuffle_no_pairs(spark):
+    rows = made()
+    asked = [(i, v) for i, v in rows[:40:2]] + [(1002, [1.0] * 9), (9000, None)]
+    frame, queries = spark.createDataFrame(rows, SCHEMA).repartition(5), spark.createDataFrame(asked, "query_id long, vector array<float>")
+    good = [(q, v) for q, v in asked if v]
+    assert told(vectors.knn_approx(frame, queries, 4, lists=5, probe=5)) == slow(rows, good, 4)
+    assert told(vectors.knn_lsh(frame, queries, 4, width=100.0, tables=8, radius=3.0)) == slow(rows, good, 4)  # two buckets a table
+    for method in (vectors.knn_approx, vectors.knn_lsh):
+        plan = method(frame, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan
+
+
+def test_groups_hold_the_pairs_of_their_lists_and_buckets():
+    rng = np.random.default_rng(2)
+    unit, asked, centres = rng.standard_normal((200, 6)), rng.standard_normal((30, 6)), rng.standard_normal((7, 6))
+
+    def pairs(groups):
+        found = [(int(r), int(q)) for rows, queries in groups(unit, asked) for r in rows for q in queries]
+        assert len(found) == len(set(found))
+        return set(found)
+
+    far = lambda v: ((v[:, None] - centres) ** 2).sum(axis=2)
+    cell, probed = far(unit).argmin(axis=1), far(asked).argsort(axis=1)[:, :3]
+    assert pairs(nearest.by_lists(centres, 3)) == {(r, q) for r in range(200) for q in range(30) if cell[r] in probed[q]}
+    found = pairs(nearest.by_buckets(0.5, 3, 1))
+    drawn = np.random.default_rng(1).standard_normal((6, 3))
+    drawn /= np.linalg.norm(drawn, axis=0)
+    a, b = np.floor(unit @ drawn / 0.5), np.floor(asked @ drawn / 0.5)
+    assert found == {(r, q) for r in range(200) for q in range(30) if (a[r] == b[q]).any()} and 0 < len(found) < 6000
