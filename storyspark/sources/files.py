@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.batches import small_batches
 from ..functions.textfn import strip
 from ..operators.text import clean_text
 from .charsets import detect
@@ -37,6 +38,7 @@ def decode_charset(rows: DataFrame, content: str = "content") -> DataFrame:
     Other bytes are read in the character set in which they make the likeliest text, see ``charsets``; ``sure`` is false
     where another comes close. Null content has an error. Columns of these names are replaced.
     """
+    small_batches(rows.sparkSession)
     rows = rows.drop(*({"text", "encoding", "error", "sure"} - {content}))
     string = F.col(content).cast("string")
     fine = F.coalesce(F.is_valid_utf8(string) & ~F.contains(string, F.lit("\0")), F.lit(False))
@@ -99,6 +101,7 @@ def html_chapters(pages: DataFrame, book: str | None = None, order: str = "page_
     chapter or content, element of id content, body, else the whole page. Elements are taken whole, with what is nested in
     them; an empty one counts as missing. The ``book`` column is kept where one is named. Null pages are left out.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(*([book] if book else []), order, F.arrow_udf(_parts, _PARTS)(F.col(html)).alias("__parts"))
     rows = rows.select(*([book] if book else []), order, strip(F.col("__parts.title")).alias("title"), _entities_read(F.col("__parts.body")).alias("content"))
     return rows.where(F.length("content") > least)
