@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyspark.functions import batches
+from storyspark.operators import keywords
 from storyspark.sources import files
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -20,6 +21,7 @@ def _largest(parts):
 CALLS = {
     "charsets": lambda rows: files.decode_charset(rows.select(F.encode("text", "UTF-16LE").alias("content"))),
     "pages": lambda rows: files.html_chapters(rows.select(F.lit(1).alias("page_id"), F.col("text").alias("html"))),
+    "keywords": lambda rows: keywords.keyword_hits(rows.select(F.lit(1).alias("novel_id"), "text"), rows.sparkSession.createDataFrame([("ab",)], "keyword string")),
 }
 
 
