@@ -74,12 +74,13 @@ class BucketTable:
             return
         stage = f"{self.path}/_stage/{uuid.uuid4().hex if batch is None else f'batch={batch}'}"
         if not self._exists(f"{stage}/touched/_SUCCESS"):
-            keyed = (rows if gone is None else gone).select(*keys).distinct().withColumn(BUCKET, self._bucket())
+            rows.withColumn(BUCKET, self._bucket()).select(*self.full.names).write.mode("overwrite").parquet(f"{stage}/new")  # worked out once, used twice
+            new = self.spark.read.schema(self.full).parquet(f"{stage}/new")
+            keyed = (new if gone is None else gone).select(*keys).distinct().withColumn(BUCKET, self._bucket())
             keyed.write.mode("overwrite").parquet(f"{stage}/keys")
             known = self.spark.read.schema(keyed.schema).parquet(f"{stage}/keys")
             touched = [r[0] for r in known.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
             stay = self._files().where(F.col(BUCKET).isin(touched)).join(known.drop(BUCKET).hint("merge"), keys, "left_anti")
-            new = rows.withColumn(BUCKET, self._bucket()).select(*self.full.names)
             stay.select(*self.full.names).unionByName(new).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{stage}/rows")
             self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{stage}/touched")
         self._publish(stage)
@@ -94,7 +95,7 @@ class BucketTable:
         full = {b for b in touched if self._exists(f"{stage}/rows/{BUCKET}={b}")}
         if full:
             rows = self.spark.read.schema(self.full).parquet(f"{stage}/rows")
-            rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)  # its files are by bucket already
         for b in set(touched) - full:
             fs, at = self._fs(f"{self.path}/{BUCKET}={b}")
             fs.delete(at, True)

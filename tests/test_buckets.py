@@ -138,3 +138,18 @@ def test_task_states_of_late_and_repeated_updates(spark, tmp_path):
     ended = sorted(r[:4] for r in got if r[4])
     assert ended[:2] == [("a", "run", 0.1, 3), ("b", "done", 1.0, 2)]
     assert ("a", "run", 0.1, 3, False) in got and ("b", "done", 1.0, 2, False) in got and ("c", "run", 0.5, 1, False) in got
+
+
+def test_the_rows_of_a_batch_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x: int) -> int:
+        seen.add(1)
+        return x
+
+    rows = spark.range(0, 50, 1, 2).select(F.udf(told, "long")("id").alias("id"), F.lit("a").alias("name"))
+    table = BucketTable(spark, str(tmp_path / "once"), rows.schema, ["id"], 4)
+    table.replace(rows, ["id"], 0)
+    table.replace(rows.limit(0), ["id"], 1)
+    assert table.read().count() == 50
+    assert seen.value == 50
