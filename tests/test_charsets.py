@@ -45,6 +45,13 @@ def test_marks_and_odd_bytes():
     assert detect("plain text".encode("utf-16-le"))[1] == "utf-16-le"
 
 
+def test_accents_side_by_side():
+    for text in ("Çèen en vich de.", "Éé la, une équepapa.", "Enelle le éèpaeux."):  # pairs that Big5 has for a Cyrillic letter, EUC-KR and GB18030 for a sign
+        assert detect(text.encode("latin-1"))[:2] == (text, "latin-1")
+    for text in ("I say 这个人 now", "Вчера вечером мы ходили смотреть фильм о Shanghai.", "Spark 的 DataFrame"):
+        assert detect(text.encode("gb18030"))[0] == text
+
+
 def test_rows(spark):
     rows = [(1, "naïve".encode()), (2, TEXTS["tw"].encode("big5")), (3, None), (4, b""), (5, TEXTS["ja"].encode("shift_jis")), (6, "plain".encode("utf-16-le")), (7, b"\xa1")]
     got = {r.id: (r.text, r.encoding, r.error, r.sure) for r in files.decode_charset(spark.createDataFrame(rows, "id int, content binary")).collect()}
