@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from storyspark.functions.textfn import WHITE, strip
 from storyspark.operators import character
-from storyspark.plans import bindings, q_books
+from storyspark.plans import bindings, q_books, q_fusion
 
 from .conftest import SF
 
@@ -40,3 +42,8 @@ def test_roles_are_counted_by_sentence(spark):
     assert {k: sorted(v) for k, v in got.items()} == {(1, 1): [("Ann", 3, 3, 1), ("Bob", 2, 0, 0)], (1, 2): [("Bob", 2, 0, 1)], (2, 1): []}
     roles = {r.role_name: r.function_type for r in character.supporting_roles(chapters, persons, lexicon, ".").collect()}
     assert roles == {"Ann": "help", "Bob": "foe"}
+
+
+def test_comparisons_read_the_texts_once(spark):
+    plan = q_fusion.v1_benchmark_comparisons(bindings.Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan.*documents\.parquet", plan)) <= 2  # those of the library
