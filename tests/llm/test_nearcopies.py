@@ -84,3 +84,46 @@ def test_spanning_joins_what_a_plain_search_joins():
         got[u] = got[v]
     assert got == label
     assert 1 < len(set(label)) < 80
+
+
+def test_simhash_alone_finds_pairs_of_the_least_similarity():
+    rng = np.random.default_rng(5)
+    for n, many in ((4, 400), (9, 400), (18, 400), (90, 300), (360, 100)):
+        sides = [[], []]
+        for _ in range(many):
+            h = rng.integers(1 << 63, size=n + max(1, n // 9), dtype=np.uint64)
+            sides[0].append(nearcopies.sums(h[:n]))
+            sides[1].append(nearcopies.sums(h[n // 9 :]))  # n=4: one more of five; else a ninth of each is its own: similarity 0.8
+        (ka, ca), (kb, cb) = (nearcopies.keys(nearcopies.prints(np.array(x))) for x in sides)
+        share = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(ka, kb)])
+        near = nearcopies.alike(*(ca ^ cb).T)
+        assert (share & near).mean() >= 0.995, n
+        assert not nearcopies.alike(*(ca ^ np.roll(ca, 1, axis=0)).T).any(), n
+
+
+def test_buckets_link_what_all_pairs_link():
+    rng = np.random.default_rng(8)
+    key = np.sort(np.concatenate([np.repeat(5, 600), rng.integers(10, 200, size=500)]).astype(np.int32))
+    bits = rng.integers(-(1 << 63), 1 << 63, size=(30, 2), dtype=np.int64)[rng.integers(30, size=len(key))]
+    for _ in range(40):  # flips that put some rows of one origin beyond the radius of each other
+        bits[np.arange(len(key)), rng.integers(2, size=len(key))] ^= np.int64(1) << rng.integers(63, size=len(key))
+    node = rng.permutation(len(key))
+    got = {i: i for i in node.tolist()}
+
+    def root(x):
+        while got[x] != x:
+            x = got[x]
+        return x
+
+    def settle(pairs):
+        for u, v in pairs:
+            a, b = sorted((root(int(u)), root(int(v))))
+            got[b] = a
+        return {i: root(i) for i in got}
+
+    found = settle(nearcopies.near(key, node, bits[:, 0], bits[:, 1]))
+    got = {i: i for i in node.tolist()}
+    apart = np.array([[bin((int(x[0]) ^ int(y[0])) & (1 << 64) - 1).count("1") + bin((int(x[1]) ^ int(y[1])) & (1 << 64) - 1).count("1") for y in bits] for x in bits])
+    u, v = np.nonzero((apart <= nearcopies.RADIUS) & (key[:, None] == key))
+    assert found == settle(zip(node[u], node[v], strict=True))
+    assert 30 < len(set(found.values())) < len(key)
