@@ -96,48 +96,82 @@ def durations(starts: DataFrame, ends: DataFrame, keys: list[str], longest: str
 
 
 class _Latest(StatefulProcessor):
-    """The latest state of each task, and how often it changed; a silent task's state ends with a timer."""
+    """The latest state of each task of a bucket, and how often it changed; the bucket's timer ends the tasks that are silent.
+
+    A bucket's states are read and written as one value: each message to the state store, and each frame that is handed on, is
+    for all its tasks.
+    """
 
     def __init__(self, silence: int) -> None:
         self.silence = silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts long, seq long, status string, progress double, n long")
+        self.last = handle.getValueState("last", "tasks array<struct<task: string, ts: long, seq: long, status: string, progress: double, n: long>>")
+
+    def held(self) -> dict:
+        return {row[0]: tuple(row)[1:] for row in self.last.get()[0]} if self.last.exists() else {}
+
+    def ends(self, ts: int) -> int:
+        return ts // 1000 + self.silence * 1000
+
+    def first(self, tasks: dict) -> int | None:
+        return min((self.ends(x[0]) for x in tasks.values()), default=None)
+
+    def keep(self, tasks: dict) -> None:
+        if tasks:
+            self.last.update(([(task, *x) for task, x in tasks.items()],))
+        else:
+            self.last.clear()
+
+    def told(self, tasks: dict, ended: bool) -> pd.DataFrame:
+        _, _, status, progress, n = zip(*tasks.values(), strict=True)
+        return pd.DataFrame({"task": list(tasks), "status": list(status), "progress": list(progress), "n_updates": list(n), "ended": [ended] * len(tasks)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ts, seq, status, progress, n = self.last.get() if self.last.exists() else (-(1 << 62), -(1 << 62), None, None, 0)
+        tasks, seen = self.held(), {}
+        was = self.first(tasks)
         for part in rows:
-            n += len(part)
             at = (part["ts"].astype("int64") // (1000 if str(part["ts"].dtype).startswith("datetime64[ns") else 1)).tolist()
-            for t, s, a, p in zip(at, part["seq"].tolist(), part["status"].tolist(), part["progress"].tolist(), strict=True):
-                if (t, s) > (ts, seq):
-                    ts, seq, status, progress = t, s, a, p
-        self.last.update((ts, seq, status, progress, n))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ts // 1000 + self.silence * 1000)
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "progress": [progress], "n_updates": [n], "ended": [False]})
+            for task, t, s, a, p in zip(part["task"].tolist(), at, part["seq"].tolist(), part["status"].tolist(), part["progress"].tolist(), strict=True):
+                ts, seq, status, progress, n = seen.get(task) or tasks.get(task) or (-(1 << 62), -(1 << 62), None, None, 0)
+                seen[task] = (t, s, a, p, n + 1) if (t, s) > (ts, seq) else (ts, seq, status, progress, n + 1)
+        tasks |= seen
+        self.keep(tasks)
+        now = self.first(tasks)
+        if now != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(now)
+        yield self.told(seen, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        _, _, status, progress, n = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "progress": [progress], "n_updates": [n], "ended": [True]})
+        tasks, mark = self.held(), timerValues.getCurrentWatermarkInMs()
+        over = {task: x for task, x in tasks.items() if self.ends(x[0]) < mark}
+        tasks = {task: x for task, x in tasks.items() if task not in over}
+        self.keep(tasks)
+        if tasks:
+            self.handle.registerTimer(self.first(tasks))
+        if over:
+            yield self.told(over, True)
 
     def close(self) -> None:
         pass
 
 
-def task_states(log: DataFrame, silence: int = 3600, late: str = "1 hour") -> DataFrame:
+def task_states(log: DataFrame, silence: int = 3600, late: str = "1 hour", buckets: int = 2048) -> DataFrame:
     """``(task_id, status, progress, n_updates, ended)``: a row for each task that a micro-batch changes, by the latest of its updates.
 
     ``log`` has ``(task_id, ts, seq, status, progress)``. Updates that come late or twice leave a later status alone. A task of which
     nothing was heard for ``silence`` seconds of event time ends: it gets a last row, and its state goes. The session must use the
-    RocksDB state store.
+    RocksDB state store. Tasks are dealt over ``buckets`` by a hash; a micro-batch reads and writes the states of the buckets that it
+    touches, so many more tasks at a time ask for more buckets.
     """
     kind = dict(log.dtypes)["task_id"]
-    rows = log.select("task_id", "ts", "seq", "status", F.col("progress").cast("double").alias("progress")).withWatermark("ts", late)
-    return rows.groupBy("task_id").transformWithStateInPandas(_Latest(silence), f"task_id {kind}, status string, progress double, n_updates long, ended boolean", "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = log.select(bucket, F.col("task_id").cast("string").alias("task"), "ts", "seq", "status", F.col("progress").cast("double").alias("progress")).withWatermark("ts", late)
+    told = rows.groupBy("bucket").transformWithStateInPandas(_Latest(silence), "task string, status string, progress double, n_updates long, ended boolean", "append", "eventTime")
+    return told.select(F.col("task").cast(kind).alias("task_id"), "status", "progress", "n_updates", "ended")
 
 
 def drained(rows: DataFrame, mode: str = "append") -> DataFrame:

@@ -153,3 +153,28 @@ def test_the_rows_of_a_batch_are_worked_out_once(spark, tmp_path):
     table.replace(rows.limit(0), ["id"], 1)
     assert table.read().count() == 50
     assert seen.value == 50
+
+
+def test_tasks_of_one_bucket_end_one_by_one(spark, tmp_path):
+    """All tasks in one bucket: one state and one timer for them, results as for each alone; ids are beyond a double's."""
+    zero, big = 1_700_000_000, 1 << 60
+    turns = [[(big, 100, 1, "run"), (big + 1, 3000, 2, "run"), (None, 200, 3, "run")], [(big + 1, 3100, 4, "done"), (big + 1, 2900, 0, "old"), (7, 6000, 5, "run")], [(8, 9000, 6, "run")], [(9, 9100, 7, "run")]]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(turns):
+        frame = spark.createDataFrame(rows, "task_id long, s long, seq long, status string").selectExpr("task_id", "timestamp_seconds(s + 1700000000) as ts", "seq", "status", "cast(seq as double) as progress")
+        frame.coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        (src,) = (tmp_path / f"t{k}").glob("*.parquet")
+        src.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (zero + k, zero + k))
+    live = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streams.drained(streams.task_states(live, silence=3600, late="10 minutes", buckets=1))
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    assert out.schema["task_id"].dataType.simpleString() == "bigint"
+    assert sorted((r[0] or 0, *r[1:4]) for r in got if r[4]) == [(0, "run", 3.0, 1), (big, "run", 1.0, 1), (big + 1, "done", 4.0, 3)]
+    assert sorted((r[0] or 0, *r[1:4]) for r in got if not r[4]) == [(0, "run", 3.0, 1), (7, "run", 5.0, 1), (8, "run", 6.0, 1), (9, "run", 7.0, 1), (big, "run", 1.0, 1), (big + 1, "done", 4.0, 3), (big + 1, "run", 2.0, 1)]
