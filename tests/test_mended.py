@@ -157,3 +157,16 @@ def test_equal_scores_go_by_the_order_of_rules(spark):
     table = [(rule, k, rule, "f", "keyword", keys, None, value, weight, True, None) for rule, k, keys, value, weight in rows]
     found = R.apply_rules(spark.createDataFrame([(1, text)], "novel_id long, text string"), spark.createDataFrame(table, schemas.RULES))
     assert found.first().value == "first"
+
+
+def _sums_of_three_tenths(spark):
+    """A novel and two benchmarks of similarity 0.3: 0.15 + 0.15 is the more read, 0.2 + 0.1 the larger as a floating sum."""
+    fields = "genre string, conflict_type string, gf_type string, arc_type string, rhythm_pattern string, short_ratio double, top_hook string"
+    novels = spark.createDataFrame([(1, "g", "c", "f", "a", "每", 0.1, "h")], f"novel_id long, {fields}")
+    library = [(7, "B7", True, 9, "g", "-", "f", "a", "-", 0.1, "h"), (8, "B8", True, 5, "g", "c", "-", "-", "每", 0.1, "h")]
+    return novels, spark.createDataFrame(library, f"benchmark_id long, title string, is_active boolean, read_count int, {fields}")
+
+
+def test_equal_similarities_go_by_reads(spark):
+    rows = BM.compare(*_sums_of_three_tenths(spark)).orderBy("place").collect()
+    assert [r.benchmark_id for r in rows] == [7, 8] and [round(r.similarity, 9) for r in rows] == [0.3, 0.3]
