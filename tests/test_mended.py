@@ -170,3 +170,11 @@ def _sums_of_three_tenths(spark):
 def test_equal_similarities_go_by_reads(spark):
     rows = BM.compare(*_sums_of_three_tenths(spark)).orderBy("place").collect()
     assert [r.benchmark_id for r in rows] == [7, 8] and [round(r.similarity, 9) for r in rows] == [0.3, 0.3]
+
+
+def test_reusable_elements_follow_reads_of_equal_similarities(spark):
+    novels, library = _sums_of_three_tenths(spark)
+    c = F.col
+    elements = BM.reusable_elements(c("title"), c("conflict_type"), c("__conflict_type"), F.lit(0.5), c("rhythm_pattern"))
+    rows = BM.compare(novels, library).orderBy("place").select(elements["source"].alias("s")).collect()
+    assert [r.s for r in rows] == [["B7"], ["B8", "B8"]]
