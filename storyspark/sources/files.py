@@ -32,8 +32,12 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.txt", exten
     return rows.where(F.col("extension").isin(*extensions))
 
 
+#: Letters of two bytes in UTF-8 that hardly ever stand in texts, while other character sets have usual signs for these bytes.
+UNUSUAL = "[\u0180-\u036f\u03aa\u03ab\u03b0\u0460-\u052f]"
+
+
 def decode_charset(rows: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``text``, ``encoding``, ``error`` and ``sure``. Valid UTF-8 without zero bytes never leaves the JVM.
+    """Add ``text``, ``encoding``, ``error`` and ``sure``. Valid UTF-8 without zero bytes or ``UNUSUAL`` letters never leaves the JVM.
 
     Other bytes are read in the character set in which they make the likeliest text, see ``charsets``; ``sure`` is false
     where another comes close. Null content has an error. Columns of these names are replaced.
@@ -41,7 +45,7 @@ def decode_charset(rows: DataFrame, content: str = "content") -> DataFrame:
     small_batches(rows.sparkSession)
     rows = rows.drop(*({"text", "encoding", "error", "sure"} - {content}))
     string = F.col(content).cast("string")
-    fine = F.coalesce(F.is_valid_utf8(string) & ~F.contains(string, F.lit("\0")), F.lit(False))
+    fine = F.coalesce(F.is_valid_utf8(string) & ~F.contains(string, F.lit("\0")) & ~F.rlike(string, F.lit(UNUSUAL)), F.lit(False))
     utf8 = rows.where(fine).withColumns({"text": string, "encoding": F.lit("utf-8"), "error": F.lit(None).cast("string"), "sure": F.lit(True)})
     at = rows.columns.index(content)
     added = [("text", pa.string()), ("encoding", pa.string()), ("error", pa.string()), ("sure", pa.bool_())]

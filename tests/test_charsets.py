@@ -52,6 +52,24 @@ def test_accents_side_by_side():
         assert detect(text.encode("gb18030"))[0] == text
 
 
+def test_short_and_repeated_words():
+    latin = ("Èé", "Éévi", "Íí", "èé", "ü", "für", "Ééan", "Èçiereux")
+    for text in [" ".join([w] * n + ["ou oi de"]) for w in latin for n in (1, 7, 200)] + [" ".join(["éè"] * n) for n in (2, 50)]:  # once read as Chinese, Korean, UTF-16 or nothing at all
+        assert detect(text.encode("latin-1"))[:2] == (text, "latin-1")
+    for text in ("UNE!! RE,!! DE!! ÈÉOI.!! ENEN!!", "No el ñó", "stpfö für.", "Dans. Çêch le"):
+        assert detect(text.encode("latin-1"))[:2] == (text, "latin-1")
+    for n in (1, 2, 500):  # in EUC-JP hiragana that never stand so, in EUC-KR a Cyrillic letter
+        for text in ("中不中國" * n, "中國中不" * n, "為為" * n):
+            assert detect(text.encode("big5"))[:2] == (text, "big5")
+
+
+def test_bytes_that_are_valid_utf8_by_chance(spark):
+    rows = [(1, "一时".encode("gb18030")), (2, ("一时" * 9).encode("gb18030")), (3, "Вечер, ίδιος, naïve, šum, əlifba, қала, האור, 'fəʊniːm".encode()), (4, "Қазақстан Республикасы, әлем".encode())]
+    got = {r.id: (r.text, r.encoding) for r in files.decode_charset(spark.createDataFrame(rows, "id int, content binary")).collect()}
+    assert got[1] == ("一时", "gb18030") and got[2] == ("一时" * 9, "gb18030")
+    assert [got[k] for k in (3, 4)] == [(rows[k - 1][1].decode(), "utf-8") for k in (3, 4)]
+
+
 def test_rows(spark):
     rows = [(1, "naïve".encode()), (2, TEXTS["tw"].encode("big5")), (3, None), (4, b""), (5, TEXTS["ja"].encode("shift_jis")), (6, "plain".encode("utf-16-le")), (7, b"\xa1")]
     got = {r.id: (r.text, r.encoding, r.error, r.sure) for r in files.decode_charset(spark.createDataFrame(rows, "id int, content binary")).collect()}
