@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import MAX_BROADCAST_ROWS, arrow_rows, tree_links, written
+from .common import FAN, MAX_BROADCAST_ROWS, arrow_rows, tree_links, written
 from .components import components
 
 SIZE = 5
@@ -39,6 +39,8 @@ WIDE, OPEN, BANDS, CHECK, RADIUS = 20, 3, 22, 128, 36
 BLOCK = 4_000_000
 #: Texts in a bucket that are compared all at once; a larger one is gone through text by text.
 FEW = 256
+#: Pairs that a task holds before they are reduced to trees.
+HELD = 500_000
 _HASHES = (WIDE * BANDS + CHECK) // 8
 _XOR, _TIMES = np.random.default_rng(11).integers(1 << 63, dtype=np.uint64, size=(2, _HASHES))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -114,17 +116,43 @@ def alike(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f.view(np.uint64)) + np.bitwise_count(g.view(np.uint64)) <= RADIUS
 
 
+def forest(links: np.ndarray) -> np.ndarray:
+    """Links, smaller node first, that join as shallow trees what the given ones join: fewer than there are nodes."""
+    nodes, ends = np.unique(links, return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    order = np.argsort(root, kind="stable")
+    place = np.arange(len(order))
+    first = np.searchsorted(root[order], root[order])
+    above = first + (place - first - 1) // FAN
+    rest = place > first
+    return np.stack([nodes[order[above[rest]]], nodes[order[rest]]], 1)
+
+
 def near(key: np.ndarray, node: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Links between rows sorted by key: pairs that join what near SimHashes join within each bucket."""
+    """Links between rows sorted by key that join what near SimHashes join within any bucket: fewer than there are nodes, not all pairs."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(starts[1:], len(key))
     found = []
     left = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # rows of the bucket that follow
     at = np.flatnonzero(np.repeat(ends - starts <= FEW, ends - starts) & (left > 0))
-    step = 1
+    step, held = 1, 0
     while len(at):
         both = at[alike(f[at] ^ f[at + step], g[at] ^ g[at + step])]
         found.append(np.stack([node[both], node[both + step]], 1))
+        held += len(both)
+        if held > HELD:
+            found = [forest(np.concatenate(found))]
+            held = 0
         step += 1
         at = at[left[at] >= step]
     for a, b in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
@@ -139,10 +167,7 @@ def near(key: np.ndarray, node: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.
                     group += node[rest[close]].tolist()
                     rest = rest[~close]
             found.append(np.array(tree_links(group), np.int64).reshape(-1, 2))
-    links = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-    links.sort(axis=1)
-    links = links[np.lexsort(links.T)]
-    return links[np.concatenate([np.ones(1, bool), (links[1:] != links[:-1]).any(axis=1)])[: len(links)]]
+    return forest(np.concatenate([*found, np.zeros((0, 2), np.int64)]))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,3 +127,21 @@ def test_buckets_link_what_all_pairs_link():
     u, v = np.nonzero((apart <= nearcopies.RADIUS) & (key[:, None] == key))
     assert found == settle(zip(node[u], node[v], strict=True))
     assert 30 < len(set(found.values())) < len(key)
+
+
+def test_buckets_yield_fewer_links_than_nodes(monkeypatch):
+    many = (2, 200, 256, 300)  # up to 256 all pairs are compared, here all are near; the nodes of the second half are those of the first
+    key = np.repeat(np.arange(2 * len(many), dtype=np.int32), 2 * many)
+    node = np.tile(np.random.default_rng(3).permutation(sum(many)), 2)
+    same = np.zeros(len(key), np.int64)
+    for held in (nearcopies.HELD, 100):
+        monkeypatch.setattr(nearcopies, "HELD", held)
+        links = nearcopies.near(key, node, same, same)
+        assert len(links) == sum(many) - len(many) and (links[:, 0] < links[:, 1]).all()
+        assert np.unique(links, return_counts=True)[1].max() <= nearcopies.FAN + 1
+        found = {n: n for n in node.tolist()}
+        for u, v in links[np.argsort(links[:, 1])].tolist():
+            found[v] = found[u]
+        ends = np.cumsum(many)
+        assert all(found[n] == node[a:b].min() for a, b in zip(ends - many, ends, strict=True) for n in node[a:b].tolist())
+    assert nearcopies.near(key[:1], node[:1], same[:1], same[:1]).shape == (0, 2)
